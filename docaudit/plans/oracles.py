@@ -776,7 +776,7 @@ select event_id, case event_type when 'click' then 'metadata is not valid JSON'
   else '' end as error from events""")
 MEMBERS = """
 m as (
-  select l_orderkey as archive_id, l_linenumber * 1000000 + l_partkey as ordinal,
+  select l_orderkey as archive_id, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey as ordinal,
     case when l_discount >= 0.1 then '../x.' || e when l_tax >= 0.08 then 'run.exe' else '/dir' || chr(92) || 'f' || l_linenumber || '.' || e end as path,
     cast(trunc(l_extendedprice * 300) as bigint) as size, l_quantity >= 50 as link, l_quantity = 1 as is_dir
   from (select *, case l_returnflag when 'A' then 'tex' when 'N' then 'bib' else 'PNG' end as e from lineitem)),
@@ -932,3 +932,54 @@ query("report_html", "with e as (select o_orderkey as id, '&lt;s&amp;' || o_cust
 query("pr_composed", f"""
 with p as (select doc_id, source, lang, {trim('left(text, 40)')} as ch, {trim('substr(text, 5, 50)')} as df from documents)
 select doc_id, array_to_string(list_filter(['# Summary', source, '## Background', '## Changes', ch, '## Test Plan', lang, '## Risks', '## Rollback', 'revert', '## Diff', df], lambda x: x <> ''), chr(10)) as body from p""")
+
+NUMBERED = r"\b(?:Fig\.?|Figure)\s*(\d+)\b"
+LABELLED = r"\\(?:ref|autoref|eqref)\{([^}]*)\}"
+
+# ---- the whole job ------------------------------------------------------------------------------------------
+
+query("artifact_rejects", "select doc_id, case lang when 'fr' then 'DOC' when 'de' then 'PR' else 'SHEET' end as artifact_type, 'inputType does not match artifactType' as reason from documents where source = 'src13'")
+query("analysis_result", f"""
+with {RISKS},
+gate as (select doc_id from p group by doc_id having count(*) >= 6 and sum(len(text)) >= 700),
+nums as (select distinct doc_id, unnest(regexp_extract_all(text, {q(duck_regex(NUMBERED, True))}, 1)) as x from p),
+labels as (select distinct doc_id, unnest(regexp_extract_all(text, {q(LABELLED)}, 1)) as x from p),
+wr as (select doc_id, count(*) as n from nums group by all),
+er as (select doc_id, count(*) as n from labels where trim(x) <> '' group by all),
+findings as (select doc_id, 'warning' as s from nums union all select doc_id, 'error' from labels where trim(x) <> ''),
+cc as (select doc_id, count(*) as n from c group by all),
+ec as (select doc_id, count(*) as n, count(*) filter (len(para_ids) = 0) as none, count(*) filter (len(para_ids) > 0) as weak from ev group by all),
+lc as (select doc_id, count(*) as n, count(*) filter (severity in ('HIGH', 'MEDIUM')) as spec, count(*) filter (severity = 'LOW') as low from lr group by all),
+tc as (select doc_id, count(*) as n from (
+  select doc_id, src, pos, dup from firsts union all select doc_id, 2, 0, 1 from findings) group by all)
+select gate.doc_id, cc.n as claims, coalesce(ec.n, 0) as evidence_risks, coalesce(lc.n, 0) as logic_risks, cc.n as prior_art_queries,
+  least(50, coalesce(tc.n, 0)) as top_risks, coalesce(none, 0) as no_evidence_claims, coalesce(weak, 0) + coalesce(low, 0) as weak_evidence_claims, coalesce(spec, 0) as specificity_lack,
+  coalesce(er.n, 0) as error_count, coalesce(wr.n, 0) as warning_count
+from gate join cc using (doc_id) left join ec using (doc_id) left join lc using (doc_id) left join tc using (doc_id) left join wr using (doc_id) left join er using (doc_id)""")
+query("routed_artifacts", f"""
+with lang as (select doc_id, lang from documents where source <> 'src13'),
+s as (select doc_id, count(*) as n from (with {SHEET} select doc_id from p) group by all),
+d as (select doc_id, n from (with {DOC} select doc_id, n_paras + len(s) as n from sigp)),
+r as (select doc_id, count(*) as n from (with {PRTEXT} select doc_id from up) group by all)
+select doc_id, 'DOC' as artifact_type, d.n as paragraphs from lang join d using (doc_id) where lang = 'fr'
+union all select doc_id, 'PR', r.n from lang join r using (doc_id) where lang = 'de'
+union all select doc_id, 'SHEET', s.n from lang join s using (doc_id) where lang not in ('fr', 'de')""")
+KIND_TITLE = " ".join(f"when '{k}' then {q(v[2])}" for k, v in K.items() if k != "UNKNOWN_FIGURE_NUMBER")
+PAPER_AUDIT = (AUDIT + LOGIC + RISKS[len(AUDIT + LOGIC):]).replace(
+    SHEET, FINDINGS + ",\np as (select doc_id, text, ord, 0 as n_body from paras)"
+).replace(
+    "firsts as (",
+    f"""allf as (
+  select * from allr
+  union all select doc_id, 2, n, case severity when 'error' then 'HIGH' else 'MEDIUM' end, case kind {KIND_TITLE} end, message, '', 0 from fo),
+firsts as (""",
+).replace("from allr qualify dup = 1", "from allf qualify dup = 1")
+query("analysis_summary", f"""
+with {PAPER_AUDIT},
+gate as (select doc_id from p group by doc_id having count(*) >= 8 and sum(len(text)) >= 2500),
+t3 as (select doc_id, string_agg(title, '|' order by rank) as top3 from top where rank <= 3 group by all),
+cl as (
+  select c.doc_id, count(*) as claims, string_agg(case when ev.code is null then {seq('p', 'c.para')} else array_to_string(list_transform(para_ids, lambda x: replace(x, 'par_', 'p_')), '+') end, ',' order by c.n) as paragraphs
+  from c left join ev on c.doc_id = ev.doc_id and c.n = ev.n group by c.doc_id),
+er as (select doc_id, count(*) filter (severity = 'error') as e from fo group by all)
+select gate.doc_id, coalesce(top3, '') as top3, claims, paragraphs, coalesce(e, 0) as error_count from gate join cl using (doc_id) left join t3 using (doc_id) left join er using (doc_id)""")

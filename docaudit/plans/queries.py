@@ -27,6 +27,7 @@ from docaudit.operators import risks as rk
 from docaudit.operators import structure as st
 from docaudit.operators import views as vw
 from docaudit.plans import inputs as src
+from docaudit.plans.audit_job import analyse, route, summary_view
 from docaudit.sources.storage import checkpointed
 from docaudit.sources.tables import read_table
 
@@ -678,7 +679,9 @@ def _members(spark, sf):
     )
     return read_table(spark, sf, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("archive_id"),
-        (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("ordinal"),
+        (
+            F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")
+        ).alias("ordinal"),
         path.alias("path"),
         (F.col("l_extendedprice") * 300).cast("long").alias("size"),
         F.when(F.col("l_quantity") >= 50, fx.SYMLINK_MODE + 0o777).otherwise(0o100644).alias("unix_mode"),
@@ -950,3 +953,66 @@ def pr_composed(spark, sf):
         "risks": F.lit(""), "rollback": F.lit("revert"), "diff": F.substring(t, 5, 50),
     }
     return src.documents(spark, sf).select("doc_id", vw.compose_pr(parts).alias("body"))
+
+
+# ---- the whole job -----------------------------------------------------------------------------------
+
+
+def _mixed_artifacts(spark, sf):
+    """Documents as SHEET, DOC and PR artifacts by language, a few with a wrong input type."""
+    docs = src.documents(spark, sf).selectExpr(
+        "doc_id",
+        "case lang when 'fr' then 'DOC' when 'de' then 'PR' else 'SHEET' end as artifact_type",
+        "case when source = 'src13' then 'PDF' when lang = 'fr' then 'DOC_TEXT' when lang = 'de' then 'PR_TEXT' "
+        "else 'SHEET_TEXT' end as input_type",
+        f"case lang when 'fr' then {src.DOC_TEXT} when 'de' then {src.PR_TEXT} else text end as text",
+    )
+    return docs
+
+
+@query
+def artifact_rejects(spark, sf):
+    """Artifacts that cannot be routed, with the reason."""
+    _, rejects = route(_mixed_artifacts(spark, sf))
+    return rejects
+
+
+@query
+def routed_artifacts(spark, sf):
+    """Extract rows of all artifact types in one shape."""
+    rows, _ = route(_mixed_artifacts(spark, sf))
+    return rows.select("doc_id", "artifact_type", F.size("paragraphs").alias("paragraphs"))
+
+
+@query
+def analysis_result(spark, sf):
+    """Result row per gated SHEET document with its list sizes and counts."""
+    audit = analyse(src.sheet_rows(spark, sf))
+    view = audit.result
+    return view.select(
+        "doc_id",
+        F.size("claims").alias("claims"),
+        F.size("evidence_risks").alias("evidence_risks"),
+        F.size("logic_risks").alias("logic_risks"),
+        F.size("prior_art_queries").alias("prior_art_queries"),
+        F.size("top_risks").alias("top_risks"),
+        "no_evidence_claims",
+        "weak_evidence_claims",
+        "specificity_lack",
+        "error_count",
+        "warning_count",
+    )
+
+
+@query
+def analysis_summary(spark, sf):
+    """Summary view of the result rows of LaTeX papers."""
+    audit = analyse(src.latex_rows(spark, sf))
+    view = summary_view(audit.result)
+    return view.select(
+        "doc_id",
+        joined(F.transform("top3_risks", lambda r: r["title"]), "|").alias("top3"),
+        F.size("claim_evidence").alias("claims"),
+        joined(F.transform("claim_evidence", lambda c: joined(c["paragraph_ids"], "+")), ",").alias("paragraphs"),
+        F.col("preflight_summary.error_count").alias("error_count"),
+    )
