@@ -4,74 +4,90 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit import fixed as fx
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 
-CJK = "[\\u3040-\\u30ff\\u3400-\\u9fff]"
-LINE = "struct<y:double,h:double,n:int,parts:array<struct<x:double,seq:int,text:string>>>"
+NO_SPACE_AFTER = list("([{/\"'-")
+NO_SPACE_BEFORE = list(")]}:;,.!?")
 
 
-def needs_space(before: Column, after: Column) -> Column:
-    """A blank joins two texts unless one side is CJK or punctuation binds them."""
-    return (
-        (before != "")
-        & (after != "")
-        & ~before.rlike(f"{CJK}\\z")
-        & ~after.rlike(f"^{CJK}")
-        & ~before.rlike("[(\\[{/\"'\\-]\\z")
-        & ~after.rlike("^[)\\]}:;,.!?]")
-    )
-
-
-def _close(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= fx.LINE_MERGE_TOLERANCE
-
-
-def _anchor_lines(items: Column) -> Column:
-    """Number the lines of items sorted by falling y: a line is anchored at its first y."""
-    start = F.struct(
-        F.lit(None).cast("double").alias("y"),
-        F.lit(0).alias("line"),
-        F.array().cast("array<int>").alias("out"),
-    )
-
-    def step(s: Column, it: Column) -> Column:
-        same = s["y"].isNotNull() & _close(s["y"], it["y"])
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(
-            F.when(same, s["y"]).otherwise(it["y"]).alias("y"),
-            line.alias("line"),
-            F.array_append(s["out"], line).alias("out"),
-        )
-
-    return F.aggregate(items, start, step, lambda s: s["out"])
+def is_cjk(char: Column) -> Column:
+    """Kana or kanji; a one-character text compares by code point."""
+    return char.between("぀", "ヿ") | char.between("㐀", "鿿")
 
 
-def _merge_lines(items: Column) -> Column:
-    """Fold ordered items into lines; an end-of-line flag on a merged item opens a new line."""
-    part = lambda it: F.struct(it["x"], it["seq"], it["text"])
-
-    def fresh(y: Column, h: Column, n: Column, parts: Column) -> Column:
-        return F.struct(
-            y.alias("y"), h.alias("h"), n.cast("int").alias("n"), parts.alias("parts")
-        ).cast(LINE)
+def needs_space(before: Column, after: Column) -> Column:
+    """A blank joins two non-empty texts unless one side is CJK or punctuation binds them."""
+    last, first = F.right(before, F.lit(1)), F.left(after, F.lit(1))
+    bound = is_cjk(last) | is_cjk(first) | last.isin(NO_SPACE_AFTER) | first.isin(NO_SPACE_BEFORE)
+    return (before != "") & (after != "") & ~bound
 
-    none = F.array().cast("array<struct<x:double,seq:int,text:string>>")
 
-    def step(lines: Column, it: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        opened = F.array_append(lines, fresh(it["y"], it["h"], F.lit(1), F.array(part(it))))
-        mean = (last["h"] * last["n"] + it["h"]) / (last["n"] + 1)
-        grown = fresh(last["y"], mean, last["n"] + 1, F.array_append(last["parts"], part(it)))
-        merged = F.array_append(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), grown)
-        after = fresh(it["y"] - last["h"], it["h"], F.lit(0), none)
-        closed = F.when(it["eol"], F.array_append(merged, after)).otherwise(merged)
-        return F.when(last.isNotNull() & _close(last["y"], it["y"]), closed).otherwise(opened)
+def _line_numbers():
+    """UDF over the items of one page, sorted by falling y and rising x.
 
-    lines = F.aggregate(items, F.array().cast(f"array<{LINE}>"), step)
-    return F.filter(lines, lambda x: F.size(x["parts"]) > 0)
+    Which line an item joins depends on all items before it (lines are anchored at their
+    first y, an end-of-line flag on a merged item opens a new line), so this is a loop over
+    numbers; everything else stays in column expressions. Returns the line of each item and
+    the y and mean height of each line.
+    """
+    import pandas as pd
+
+    tolerance = fx.LINE_MERGE_TOLERANCE
+
+    def lines(ys: pd.Series, xs: pd.Series, hs: pd.Series, eols: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        for y, x, h, eol in zip(ys, xs, hs, eols):
+            y, x, h, eol = (np.asarray(v) for v in (y, x, h, eol))
+            group = np.zeros(len(y), dtype=int)
+            anchor, number = None, -1
+            for i, v in enumerate(y.tolist()):
+                if anchor is None or abs(anchor - v) > tolerance:
+                    anchor, number = v, number + 1
+                group[i] = number
+            member = [0] * len(y)
+            line_y, line_h, line_n = [], [], []
+            for i in np.lexsort((x, group)).tolist():
+                v, tall = float(y[i]), float(h[i])
+                if not line_y or abs(line_y[-1] - v) > tolerance:
+                    line_y.append(v), line_h.append(tall), line_n.append(1)
+                    member[i] = len(line_y) - 1
+                    continue
+                before, n = line_h[-1], line_n[-1]
+                line_h[-1], line_n[-1] = (before * n + tall) / (n + 1), n + 1
+                member[i] = len(line_y) - 1
+                if eol[i]:
+                    line_y.append(v - before), line_h.append(tall), line_n.append(0)
+            used = [k for k, n in enumerate(line_n) if n]
+            place = {k: j for j, k in enumerate(used)}
+            out.append(
+                (
+                    [place[m] for m in member],
+                    [line_y[k] for k in used],
+                    [line_h[k] for k in used],
+                )
+            )
+        return pd.DataFrame(out, columns=["line", "y", "h"])
+
+    lines.__annotations__ = {
+        "ys": pd.Series, "xs": pd.Series, "hs": pd.Series, "eols": pd.Series, "return": pd.DataFrame,
+    }
+    doubles = T.ArrayType(T.DoubleType())
+    return F.pandas_udf(
+        lines,
+        T.StructType(
+            [
+                T.StructField("line", T.ArrayType(T.IntegerType())),
+                T.StructField("y", doubles),
+                T.StructField("h", doubles),
+            ]
+        ),
+    )
 
 
 def page_text(items: DataFrame) -> DataFrame:
@@ -85,7 +101,7 @@ def page_text(items: DataFrame) -> DataFrame:
         F.struct(
             (-F.col("y")).alias("down"),
             F.col("x").alias("x"),
-            F.col("seq").cast("int").alias("seq"),
+            F.col("seq").alias("seq"),
             F.col("y").alias("y"),
             F.greatest(F.lit(1.0), F.col("height")).alias("h"),
             tx.spaces(F.col("text")).alias("text"),
@@ -93,31 +109,38 @@ def page_text(items: DataFrame) -> DataFrame:
         ).alias("it"),
     ).where(F.col("it.text") != "")
     pages = clean.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("it")).alias("items"))
-    pages = settle(pages.withColumn("lines", _anchor_lines(F.col("items"))))
-    placed = F.zip_with(
-        "items", "lines", lambda it, n: F.struct(n.alias("n"), it["x"], it["seq"], it["y"], it["h"], it["text"], it["eol"])
+    placed = _line_numbers()(
+        F.col("items.y"), F.col("items.x"), F.col("items.h"), F.col("items.eol")
     )
-    pages = settle(pages.select("doc_id", "page", F.sort_array(placed).alias("items")))
-    pages = settle(pages.select("doc_id", "page", _merge_lines(F.col("items")).alias("lines")))
-
-    def line_text(line: Column) -> Column:
-        return tx.spaces(
-            F.aggregate(
-                F.sort_array(line["parts"]),
-                F.lit(""),
-                lambda out, p: F.concat(
-                    out, F.when(needs_space(out, p["text"]), " ").otherwise(""), p["text"]
-                ),
-            )
+    pages = settle(pages.withColumn("at", placed))
+    parts = F.sort_array(
+        F.zip_with(
+            "items",
+            "at.line",
+            lambda it, n: F.struct(n.alias("line"), it["x"].alias("x"), it["seq"].alias("seq"), it["text"].alias("text")),
         )
+    )
+    pages = settle(pages.select("doc_id", "page", parts.alias("parts"), "at.y", "at.h"))
 
-    def rendered(lines: Column) -> Column:
-        def one(line: Column, i: Column) -> Column:
-            prev = F.get(lines, i - 1)
-            wide = F.greatest(F.lit(6.0), F.greatest(prev["h"], line["h"]) * 1.25)
-            gap = (i > 0) & ((prev["y"] - line["y"]) > wide)
-            return F.concat(F.when(gap, "\n").otherwise(""), line_text(line))
+    def rendered(page: Column) -> Column:
+        def gap(line: Column) -> Column:
+            wide = F.greatest(
+                F.lit(6.0), F.greatest(F.get(page["h"], line - 1), F.get(page["h"], line)) * 1.25
+            )
+            return (F.get(page["y"], line - 1) - F.get(page["y"], line)) > wide
+
+        def piece(p: Column, i: Column) -> Column:
+            prev = F.get(page["parts"], i - 1)
+            glue = (
+                F.when(i == 0, "")
+                .when(prev["line"] != p["line"], F.when(gap(p["line"]), "\n\n").otherwise("\n"))
+                .when(needs_space(prev["text"], p["text"]), " ")
+                .otherwise("")
+            )
+            return F.concat(glue, p["text"])
 
-        return tx.js_trim(F.array_join(F.transform(lines, one), "\n"))
+        return tx.js_trim(F.array_join(F.transform(page["parts"], piece), ""))
 
-    return pages.select("doc_id", "page", tx.let(F.col("lines"), rendered).alias("text"))
+    return pages.select(
+        "doc_id", "page", tx.let(F.struct("parts", "y", "h"), rendered).alias("text")
+    )

@@ -110,9 +110,14 @@ def claim_headlines(spark, sf):
     )
 
 
-def _raw_candidates(spark, sf):
+def _mined(spark, sf):
+    """Claims and paragraphs that feed several operators: stored once instead of mined again."""
+    return checkpointed(src.mined_sheets(spark, sf).select("doc_id", "paragraphs", "claims"))
+
+
+def _raw_candidates(extracts):
     """Paragraphs as stand-in model candidates; every second reference does not exist."""
-    paras = st.paragraph_table(src.sheet_rows(spark, sf))
+    paras = st.paragraph_table(extracts)
     own = F.when(F.col("text").rlike("[0-9]"), F.lit("par_none")).otherwise(F.col("para_id"))
     return paras.select(
         "doc_id",
@@ -123,35 +128,36 @@ def _raw_candidates(spark, sf):
     )
 
 
-def _resolved(spark, sf):
-    return cd.resolve_candidates(_raw_candidates(spark, sf), src.sheet_rows(spark, sf))
+def _resolved(extracts):
+    return cd.resolve_candidates(_raw_candidates(extracts), extracts)
 
 
 @query
 def claim_scores(spark, sf):
     """Candidate score after dropping unknown paragraph references."""
-    return _resolved(spark, sf).select("doc_id", "ord", "text", joined("para_ids").alias("para_ids"), "score")
+    return _resolved(_mined(spark, sf)).select("doc_id", "ord", "text", joined("para_ids").alias("para_ids"), "score")
 
 
 @query
 def claim_dedupe_best(spark, sf):
     """Best candidate per normalised text, ranked, at most 36."""
-    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(spark, sf)))
+    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(_mined(spark, sf))))
     return ranked.select("doc_id", "ord", "text", "score")
 
 
 @query
 def claim_merge_fallback(spark, sf):
     """The ten best candidates per document, completed with rule-based claims."""
-    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(spark, sf)), 10)
-    merged = cd.merge_with_fallback(ranked, src.sheet_claims(spark, sf))
+    mined = _mined(spark, sf)
+    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(mined)), 10)
+    merged = cd.merge_with_fallback(ranked, cl.claim_table(mined))
     return merged.select("doc_id", "ord", "text")
 
 
 @query
 def claim_quality(spark, sf):
     """Quality score and issue list."""
-    mined = src.mined_sheets(spark, sf)
+    mined = _mined(spark, sf)
     df = cd.with_quality(cl.claim_table(mined), mined)
     return df.select("doc_id", "claim_id", "quality", joined("issues").alias("issues"))
 
@@ -167,7 +173,7 @@ def claim_duplicates(spark, sf):
 @query
 def claim_refine(spark, sf):
     """U15 with U13, U14: two rounds of replacing weak and duplicate claims."""
-    mined = src.mined_sheets(spark, sf)
+    mined = _mined(spark, sf)
     fallback = cl.claim_table(mined)
     refined = cd.refine_claims(fallback, fallback, mined)
     return refined.select("doc_id", "ord", "text", "quality", F.col("n_issues").alias("issues"))
@@ -242,8 +248,7 @@ def quality_gate(spark, sf):
 
 
 def _risk_parts(spark, sf):
-    # Claims feed three operators: cut the lineage instead of mining them again for each.
-    mined = checkpointed(src.mined_sheets(spark, sf).select("doc_id", "paragraphs", "claims"))
+    mined = _mined(spark, sf)
     claims = cl.claim_table(mined)
     evidence = ev.evidence_risks(ev.audit_documents(mined))
     return claims, evidence, lo.inspect_logic(claims)
@@ -290,7 +295,7 @@ def claim_evidence_view(spark, sf):
 @query
 def claims_with_logic(spark, sf):
     """Claims with their logic severity."""
-    claims = src.sheet_claims(spark, sf)
+    claims = cl.claim_table(_mined(spark, sf))
     df = vw.claims_with_logic(claims, lo.inspect_logic(claims))
     return df.select("doc_id", "claim_id", F.coalesce("logic_severity", F.lit("NONE")).alias("logic_severity"))
 
@@ -435,10 +440,15 @@ def preflight_todos(spark, sf):
     return rows.select("doc_id", "todo_id", "title", "description", "impact", "effort")
 
 
+def _paper_children(spark, sf):
+    """Child lists of the papers, stored once for the joins between them."""
+    return checkpointed(src.latex_rows(spark, sf).select("doc_id", "figures", "refs", "cites", "bib"))
+
+
 @query
 def missing_citations(spark, sf):
     """Cited keys without a bibliography entry (anti-join)."""
-    rows = src.latex_rows(spark, sf)
+    rows = _paper_children(spark, sf)
     df = pf.missing_citations(lx.cite_table(rows), lx.bib_table(rows))
     return df.select("doc_id", "key", joined("para_ids").alias("para_ids"))
 
@@ -446,7 +456,7 @@ def missing_citations(spark, sf):
 @query
 def uncited_bib(spark, sf):
     """Bibliography entries never cited (anti-join)."""
-    rows = src.latex_rows(spark, sf)
+    rows = _paper_children(spark, sf)
     return pf.uncited_entries(lx.cite_table(rows), lx.bib_table(rows)).select("doc_id", "ord", "key")
 
 
@@ -460,7 +470,7 @@ def _refs(rows: DataFrame, field: str, name: str) -> DataFrame:
 @query
 def unknown_figure_refs(spark, sf):
     """References to undefined labels and to numbers beyond the figure count."""
-    rows = src.latex_rows(spark, sf)
+    rows = _paper_children(spark, sf)
     figures = lx.figure_table(rows)
     a = pf.unknown_labels(_refs(rows, "labels", "label"), figures).select("doc_id", F.col("label").alias("ref"), "para_ids")
     b = pf.unknown_numbers(_refs(rows, "numbers", "number"), figures).select("doc_id", F.col("number").alias("ref"), "para_ids")
