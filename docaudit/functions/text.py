@@ -120,9 +120,13 @@ def extracted_text(c: Column) -> Column:
 
 
 def decode_bytes(c: Column) -> Column:
-    """UTF-8 text, read as Latin-1 instead if it holds a NUL."""
-    utf8 = F.decode(c, "UTF-8")
-    return F.when(F.instr(utf8, "\x00") > 0, F.decode(c, "ISO-8859-1")).otherwise(utf8)
+    """UTF-8 text with invalid bytes replaced; read as Latin-1 instead if it holds a NUL.
+
+    (``decode`` as UTF-8 would fail the job on the first invalid byte.)
+    """
+    raw = c.cast("string")
+    latin = F.decode(c, "ISO-8859-1")
+    return F.when(F.instr(raw, "\x00") > 0, latin).otherwise(F.make_valid_utf8(raw))
 
 
 def seq_id(prefix: str, n: Column) -> Column:
