@@ -61,38 +61,40 @@ def evidence_reason(code: Column, best: Column, avg: Column, coverage: Column) -
 WORD_BITS = 62
 
 
+CODE_STEP = 1024  # more than any token position or token count of a claim
+
+
+def _posting(token: Column, code: Column) -> Column:
+    return F.struct(token.alias("token"), code.cast("long").alias("code"))
+
+
 def _claim_postings(c: Column, at: Column) -> Column:
-    """One posting per token position of a claim.
+    """One posting per token position; the negative code packs claim, position, size and flag.
 
     An extra empty token stands for the claim itself, so that claims without any match (or
-    any token) stay in the result.
+    any token) stay in the result. Plain numbers keep the grouping cheap.
     """
-    return tx.let(
-        F.concat(F.array(F.lit("")), tx.evidence_tokens(c)),
-        lambda toks: F.transform(
+
+    def rows(o: Column) -> Column:
+        toks, q = o["toks"], o["q"].cast("long")
+        n = F.size(toks) - 1
+        return F.transform(
             toks,
-            lambda t, i: F.struct(
-                t.alias("token"),
-                F.lit(None).cast("struct<at:int,q:boolean>").alias("para"),
-                F.struct(
-                    at.alias("at"),
-                    (i - 1).alias("pos"),
-                    (F.size(toks) - 1).alias("n"),
-                    F.when(i == 0, tx.has_quantity(c)).alias("q"),
-                ).alias("claim"),
+            lambda t, i: _posting(
+                t, -(((at.cast("long") * CODE_STEP + i) * CODE_STEP + n) * 2 + q) - 1
             ),
-        ),
-    )
+        )
+
+    toks = F.concat(F.array(F.lit("")), tx.evidence_tokens(c))
+    return tx.let(F.struct(toks.alias("toks"), tx.has_quantity(c).alias("q")), rows)
 
 
 def _para_postings(p: Column, at: Column) -> Column:
-    para = F.struct(at.alias("at"), tx.has_quantity(p).alias("q"))
-    none = F.lit(None).cast("struct<at:int,pos:int,n:int,q:boolean>")
+    """One posting per distinct token; the code packs paragraph and flag."""
     return tx.let(
-        para,
-        lambda para: F.transform(
-            F.array_distinct(tx.evidence_tokens(p)),
-            lambda t: F.struct(t.alias("token"), para.alias("para"), none.alias("claim")),
+        at * 2 + tx.has_quantity(p).cast("int"),
+        lambda code: F.transform(
+            F.array_distinct(tx.evidence_tokens(p)), lambda t: _posting(t, code)
         ),
     )
 
@@ -115,22 +117,28 @@ def claim_paragraph_scores(mined: DataFrame) -> DataFrame:
         F.flatten(F.transform("claims", _claim_postings)),
     )
     rows = texts.select("doc_id", F.inline(postings))
+    code = F.col("code")
     index = rows.groupBy("doc_id", "token").agg(
-        F.collect_list("claim").alias("claims"), F.collect_list("para").alias("paras")
+        F.collect_list(F.when(code < 0, -code - 1)).alias("claims"),
+        F.collect_list(F.when(code >= 0, code)).alias("paras"),
     )
     index = index.where((F.size("claims") > 0) & ((F.size("paras") > 0) | (F.col("token") == "")))
     hits = index.select("doc_id", F.explode("claims").alias("c"), "paras").select(
-        "doc_id", "c.*", F.explode_outer("paras").alias("p")
+        "doc_id", "c", F.explode_outer("paras").alias("p")
     )
     hits = hits.select(
         "doc_id",
-        F.col("at").alias("claim"),
-        F.col("p.at").alias("para"),
-        F.col("p.q").alias("para_q"),
+        F.expr(f"c div {2 * CODE_STEP * CODE_STEP}").cast("int").alias("claim"),
+        F.expr("p div 2").cast("int").alias("para"),
+        F.expr("p % 2 = 1").alias("para_q"),
+        F.expr(f"cast(c div {2 * CODE_STEP} % {CODE_STEP} as int) - 1").alias("pos"),
+        F.expr(f"cast(c div 2 % {CODE_STEP} as int)").alias("n"),
+        F.expr("c % 2 = 1").alias("claim_q"),
+    )
+    hits = hits.select(
+        "doc_id", "claim", "para", "para_q", "n", "claim_q",
         F.expr(f"if(pos between 0 and {WORD_BITS - 1}, shiftleft(1L, pos), 0L)").alias("lo"),
         F.expr(f"if(pos >= {WORD_BITS}, shiftleft(1L, pos - {WORD_BITS}), 0L)").alias("hi"),
-        "n",
-        F.col("q").alias("claim_q"),
     )
     pairs = hits.groupBy("doc_id", "claim", "para").agg(
         F.bit_or("lo").alias("lo"),
