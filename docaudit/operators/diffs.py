@@ -290,7 +290,7 @@ def pr_extract(docs: DataFrame) -> DataFrame:
     )
     df = settle(
         df.select(
-            *docs.columns,
+            "doc_id",
             sections.alias("sections"),
             paras.alias("paras"),
             warnings.alias("warnings"),

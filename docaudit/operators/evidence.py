@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docaudit import fixed as fx
 from docaudit.functions.plan import settle
 from docaudit.functions import text as tx
-from docaudit.sources.tables import broadcast_if_small, cluster
+from docaudit.sources.tables import cluster, fits
 
 
 def finding_code(
@@ -230,21 +230,21 @@ def claim_token_table(claims: DataFrame, key: str, by: list[str]) -> DataFrame:
     return df.select(*by, key, F.size("toks").alias("n"), F.inline(per_token))
 
 
-def score_pairs(claims: DataFrame, paragraphs: DataFrame, key: str, by: list[str]) -> DataFrame:
+PARA_KEY = ["doc_id", "ord", "para_id"]
+
+
+def score_pairs(tokens: DataFrame, paragraphs: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Scores of all claim-paragraph pairs that share a token.
 
     Paragraphs are spread by their own id, not by document, so that one huge document is
     split over many tasks; the pair aggregation keeps that partitioning and adds no shuffle
-    while the claim tokens are broadcast. Beyond the checked size the token join becomes a
-    shuffled one, where adaptive execution splits hot tokens.
+    while the claim tokens are broadcast.
     """
-    small = broadcast_if_small(claim_token_table(claims, key, by))
-    para_key = ["doc_id", "ord"]
     toks = paragraphs.select(
-        *para_key, F.explode(F.array_distinct(tx.evidence_tokens(F.col("text")))).alias("token")
+        *PARA_KEY, F.explode(F.array_distinct(tx.evidence_tokens(F.col("text")))).alias("token")
     )
-    hits = toks.join(small, [*by, "token"])
-    return hits.groupBy(*para_key, *[c for c in by if c not in para_key], key).agg(
+    hits = toks.join(tokens, [*by, "token"])
+    return hits.groupBy(*PARA_KEY, *[c for c in by if c not in PARA_KEY], key).agg(
         (F.sum("cnt") / F.max("n")).alias("score")
     )
 
@@ -269,15 +269,25 @@ def audit_tables(
     """
     by = by or []
     keys = [*by, key]
-    paras = paragraphs.select("doc_id", "ord", "para_id", "text").repartition("doc_id", "ord")
-    pairs = score_pairs(claims, paras, key, by)
+    tokens = claim_token_table(claims, key, by)
+    # Claim tokens are broadcast only after counting them. Beyond that the joins shuffle, and
+    # adaptive execution splits hot tokens.
+    small = fits(tokens)
+    paras = cluster(paragraphs.select(*PARA_KEY, "text"), "doc_id", "ord")
+    pairs = score_pairs(F.broadcast(tokens) if small else tokens, paras, key, by)
     totals = pairs.groupBy(*keys).agg(
         F.max("score").alias("best_score"),
         F.count_if(F.col("score") >= fx.STRONG_SCORE).alias("strong_count"),
         F.count_if(F.col("score") >= fx.SUPPORT_SCORE).alias("support_count"),
     )
-    # At most three rows per claim go back to the paragraph texts.
-    top = top_support(pairs, keys).join(paras, ["doc_id", "ord"])
+    # At most three rows per claim meet the texts again. Null-safe keys add no filter, and the
+    # same columns are taken, below the shuffle of the texts: its output is read again instead
+    # of made again.
+    top = top_support(pairs, keys).alias("t")
+    again = paras.alias("p")
+    same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.ord").eqNullSafe(F.col("t.ord"))
+    top = again.join(F.broadcast(top) if small else top, same)
+    top = top.select("p.para_id", "p.text", *[f"t.{c}" for c in dict.fromkeys(["doc_id", "rank", "score", *keys])])
     support = top.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(F.struct("rank", "score", "doc_id", "para_id", "text"))

@@ -122,7 +122,8 @@ def _append_signals(df: DataFrame, signals: Column, warnings: Column) -> DataFra
 
 def sheet_extract(docs: DataFrame) -> DataFrame:
     """SHEET artifacts (doc_id, text) -> extract rows."""
-    df = settle(sheet_signal_counts(settle(with_fallback_split(sheet_blocks(docs)))))
+    df = sheet_signal_counts(settle(with_fallback_split(sheet_blocks(docs))))
+    df = settle(df.drop("text", "lines"))
     stat = F.format_string(
         "SHEET統計: rows=%d, paragraphs=%d, numeric_rows=%d", "n_rows", F.size("paras"), "n_numeric"
     )
@@ -205,7 +206,7 @@ def doc_extract(docs: DataFrame) -> DataFrame:
         ("has_risk", fx.DOC_RISK_WORD, "doc_no_risk"),
         ("has_assumption", fx.DOC_ASSUMPTION_WORD, "doc_no_assumption"),
     ]
-    df = settle(df.select("*", *[tx.matches(lower, p).alias(n) for n, p, _ in checks]))
+    df = settle(df.select("*", *[tx.matches(lower, p).alias(n) for n, p, _ in checks]).drop("text"))
     stat = F.format_string(
         "DOC統計: sections=%d, paragraphs=%d", F.size("sections"), F.size("paras")
     )
@@ -253,7 +254,7 @@ def finish_extract(df: DataFrame, artifact_type: str) -> DataFrame:
     no_heading = F.when(F.size("sections") == 0, fx.MSG["no_headings"])
     if artifact_type in ("DOC", "SHEET"):
         df = df.withColumn("warnings", F.concat("warnings", _strings(no_heading)))
-    return settle(df.withColumn("artifact_type", F.lit(artifact_type)).drop("lines"))
+    return settle(df.withColumn("artifact_type", F.lit(artifact_type)))
 
 
 def paragraph_table(extracts: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
@@ -33,12 +32,6 @@ def cluster(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(shuffle, spark.sparkContext.defaultParallelism), *keys)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the frame holds at most ``max_rows`` (short) rows.
-
-    The check reads no more than ``max_rows + 1`` rows. Larger frames are returned without
-    a hint and join by shuffle.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Does the frame hold at most ``max_rows`` (short) rows? Reads one row more at most."""
+    return df.limit(max_rows + 1).count() <= max_rows
