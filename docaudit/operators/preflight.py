@@ -33,6 +33,9 @@ def _paras_with(refs: Column, field: str, value: Column) -> Column:
 def preflight_rows(extracts: DataFrame) -> DataFrame:
     """Add ``findings`` to extract rows that carry figures, refs, cites and bib; map-only.
 
+    Only total functions are used (``try_cast``, array set operations), so an odd document
+    cannot fail the job; it simply has no finding of that kind.
+
     Order: unmentioned figures, unknown labels, unknown numbers, missing bibliography
     entries, uncited entries; each in first-seen order.
     """

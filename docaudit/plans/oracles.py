@@ -983,3 +983,57 @@ cl as (
   from c left join ev on c.doc_id = ev.doc_id and c.n = ev.n group by c.doc_id),
 er as (select doc_id, count(*) filter (severity = 'error') as e from fo group by all)
 select gate.doc_id, coalesce(top3, '') as top3, claims, paragraphs, coalesce(e, 0) as error_count from gate join cl using (doc_id) left join t3 using (doc_id) left join er using (doc_id)""")
+
+query("vague_counts", f"with {RISKS} select 'no_condition' as type, (select count(*) from lr) + (select count(*) from top where doc_id not in (select doc_id from lr)) as n")
+query("strength_from_risks", f"with {RISKS} select doc_id, cid as claim_id, title as text, case when n_paras > 0 then 'moderate' else 'none' end as strength from top")
+query("focus_claims", f"""
+with {CLAIMS}
+select d.doc_id, coalesce(c.text, '') as focus_text from documents d
+left join c on c.doc_id = d.doc_id and c.n = case lang when 'en' then 2 when 'de' then 99 else 1 end""")
+ORAL_HEAD = "\n".join(
+    ["タスク: 口頭試問で使う質問を1つ生成し、期待回答の要点を作る。", *fx.COMMON_PROMPT_RULES, "出力スキーマ:",
+     '{ "question": "...", "expectedAnswer": "...", "claimId": "...", "paragraphIds": ["..."] }',
+     "question と expectedAnswer は日本語で書く。", "対象claim ID: claim_1", "対象claim: "]
+)
+query("oral_prompts", f"""
+with {CLAIMS},
+x as (select doc_id, string_agg('[claim_' || n || '] ' || text, chr(10) order by n) as ctx, min(text) filter (n = 1) as f from c where n <= 12 group by all)
+select doc_id, md5({q(ORAL_HEAD)} || f || chr(10) || '入力文書:' || chr(10) || ctx) as digest from x""")
+EVIDENCE_HEAD = "\n".join(
+    ["タスク: 各claimに対応する根拠段落・図・引用を対応づける。", *fx.COMMON_PROMPT_RULES, "出力スキーマ:",
+     '{ "evidence": [{ "claimId": "...", "paragraphIds": ["..."], "figureIds": ["..."], "citationKeys": ["..."], "reason": "..." }] }', "Claims:", ""]
+)
+query("evidence_prompts", f"""
+with {CLAIMS}, {segments(120, 24)[len(SHEET) + 1:]},
+body as (select doc_id, string_agg('[' || {seq('par', 'ord')} || '] ' || left(ptext, 1200), chr(10) order by o) as body from placed where seg = 0 group by all),
+cs as (select doc_id, string_agg('- claim_' || n || ': ' || text, chr(10) order by n) as cs from c group by all)
+select doc_id, md5({q(EVIDENCE_HEAD)} || cs || chr(10) || '入力文書:' || chr(10) || body) as digest from body join cs using (doc_id)""")
+query("figure_mentions_joined", f"""
+with {PAPER}
+select f.doc_id, f.figure_id, coalesce(string_agg(r.para_id, ',' order by r.ord), '') as mentioned_in
+from fig f left join (select distinct doc_id, ord, para_id, lower(label) as k from lref) r on r.doc_id = f.doc_id and r.k = lower(f.label)
+group by all""")
+
+query("claims_with_model", f"""
+with {CLAIMS},
+raw as (
+  select doc_id, ord, {claim_text('text')} as text from p
+  where ord <= n_body and ord <= 14 and doc_id in (select doc_id from p group by doc_id having count(*) >= 4)),
+sc as (
+  select *, {claim_key('text')} as key, {cents(f"(case when {match_any('text', fx.CLAIM_PATTERNS)} then 2.0 else 0.0 end) + (case when regexp_matches(text, '[0-9]') then 1.0 else 0.0 end) + (case when {match('text', fx.CANDIDATE_CUE)} then 1.0 else 0.0 end) + 0.5::double + least(2.0::double, cast(len(text) as double) / 120)")} as score
+  from raw where len(text) >= 12),
+best as (select doc_id, key, min(ord) as place, arg_max((text, ord, score), (score, -ord)) as b from sc group by all),
+ranked as (
+  select doc_id, row_number() over (partition by doc_id order by b[3] desc, place) as n, b[1] as text, b[2] as para from best qualify n <= 36),
+u as (select doc_id, n, text, para, 0 as src from ranked union all select doc_id, n, text, para, 1 from c),
+ud as (select *, row_number() over (partition by doc_id, lower({collapse('lower(text)')}) order by src, n) as dup from u),
+merged as (
+  select doc_id, row_number() over (partition by doc_id order by src, n) as n, text, para from ud where src = 0 or dup = 1 qualify row_number() over (partition by doc_id order by src, n) <= 36),
+allc as (select doc_id, 0 as src, n, text, para from merged union all select doc_id, 1, n, text, para from c)
+{QUALITY.replace("from c join p", "from allc c join p").replace("select c.doc_id, c.n,", "select c.doc_id, c.src, c.n,").replace("select doc_id, n, text,", "select doc_id, src, n, text,")},
+pool as (
+  select *, row_number() over (partition by doc_id order by src, n) as pord, len(issues) as n_issues from (
+    select * from qs where key <> '' qualify row_number() over (partition by doc_id, key order by src, n) = 1)),
+cur0 as (select doc_id, n as place, text, quality, len(issues) as n_issues, key from qs where src = 0)
+{refine_round(1)}{refine_round(2)}
+select doc_id, row_number() over (partition by doc_id order by place) as ord, text, quality from cur2""")

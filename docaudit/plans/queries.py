@@ -224,6 +224,32 @@ def model_output_check(spark, sf):
     return cd.check_output(outputs, "claims").select("doc_id", "valid")
 
 
+@query
+def claims_with_model(spark, sf):
+    """K2 with X23, X24, J11, X4, U2, U5, U10, U15: answers merged with rule-based claims, refined.
+
+    The answers are made from the rows of each document, some fenced, some broken.
+    """
+    mined = _mined(spark, sf)
+    items = F.transform(
+        F.filter("paragraphs", lambda p: p["section_id"] == "sec_0001"),
+        lambda p: F.struct(
+            p["para_id"].alias("claimId"), p["text"].alias("text"), F.array(p["para_id"]).alias("paragraphIds")
+        ),
+    )
+    body = F.to_json(F.struct(items.alias("claims")))
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    broken = F.size("paragraphs") < 4
+    outputs = mined.select(
+        "doc_id",
+        F.lit(1).alias("segment"),
+        cd.claims_per_segment(F.lit(1)).alias("max_claims"),
+        F.when(broken, F.concat(F.lit("x"), F.substring(body, 2, 40))).otherwise(fenced).alias("raw_json"),
+    )
+    claims, _ = cd.mine_with_model(mined, outputs)
+    return claims.select("doc_id", "ord", "text", "quality")
+
+
 # ---- logic, prior art, risks ---------------------------------------------------------------
 
 
@@ -338,6 +364,47 @@ def claim_context(spark, sf):
     return vw.claim_context(src.sheet_claims(spark, sf))
 
 
+@query
+def vague_counts(spark, sf):
+    """Vague points per type."""
+    claims, evidence, logic = _risk_parts(spark, sf)
+    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
+    return vw.vague_counts(vw.vague_points(logic, risks)).withColumnRenamed("count", "n")
+
+
+@query
+def strength_from_risks(spark, sf):
+    """Claim strength derived from ranked risks alone."""
+    claims, evidence, logic = _risk_parts(spark, sf)
+    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
+    return vw.strength_from_risks(risks).select("doc_id", "claim_id", "text", "strength")
+
+
+@query
+def focus_claims(spark, sf):
+    """Focus claim of a question, by id or the first one."""
+    focus = F.when(F.col("lang") == "en", "claim_2").when(F.col("lang") == "de", "claim_99")
+    asked = src.documents(spark, sf).select("doc_id", F.lit("t1").alias("turn_id"), focus.alias("focus_claim_id"))
+    df = vw.focus_claims(asked, cl.claim_table(_mined(spark, sf)))
+    return df.select("doc_id", F.coalesce("focus_text", F.lit("")).alias("focus_text"))
+
+
+@query
+def oral_prompts(spark, sf):
+    """Oral-question prompt of each document's first claim."""
+    ctx = vw.claim_context(src.sheet_claims(spark, sf))
+    prompt = cd.oral_prompt(F.col("context"), F.lit("claim_1"), F.col("first_claim"))
+    return ctx.select("doc_id", F.md5(prompt).alias("digest"))
+
+
+@query
+def evidence_prompts(spark, sf):
+    """Evidence prompt per document from its first segment and all claims."""
+    df = cd.segments(src.mined_sheets(spark, sf))
+    prompt = cd.evidence_prompt(cd.segment_text(F.get("segments", F.lit(0))), F.col("claims"))
+    return df.where(F.size("segments") > 0).select("doc_id", F.md5(prompt).alias("digest"))
+
+
 # ---- structure -------------------------------------------------------------------------------
 
 
@@ -414,6 +481,14 @@ def figure_mentions(spark, sf):
     return df.select("doc_id", "figure_id", "label", "caption", joined("mentioned_in").alias("mentioned_in"))
 
 
+@query
+def figure_mentions_joined(spark, sf):
+    """Figure mentions by equi-join of labels and references."""
+    rows = checkpointed(src.latex_rows(spark, sf).select("doc_id", "figures", "paragraphs"))
+    df = lx.attach_mentions(lx.figure_table(rows), st.paragraph_table(rows))
+    return df.select("doc_id", "figure_id", joined("mentioned_in").alias("mentioned_in"))
+
+
 @query
 def latex_citations(spark, sf):
     """Citation keys per paragraph."""
