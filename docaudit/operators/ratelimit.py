@@ -18,17 +18,32 @@ from pyspark.sql import types as T
 from docaudit import fixed as fx
 from docaudit.functions.times import millis
 
-BLOCK_WINDOWS = 64
+BLOCK_MS = 4_000_000
+
+
+def block_windows(window_ms: int) -> int:
+    """Windows per block: about an hour of milliseconds, at least 4 and at most 64 windows.
+
+    Times are distinct milliseconds, so a block array is bounded by the block's width.
+    """
+    return max(4, min(64, BLOCK_MS // window_ms))
+
+
+RUNS = T.ArrayType(
+    T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "exit", "slope")])
+)
 
 
 def _block_exits(window_ms: int):
-    """UDF: block times -> (entries, exits), the last start reached from each entry.
+    """UDF: block times -> runs of entries with the last start the chain reaches from them.
 
-    Entries with the same exit are merged; the largest one is kept.
+    A run covers entries ``first..last``; the exit is the same for all (slope 0), or entries
+    and exits are consecutive milliseconds (slope 1). Sparse traffic merges into few exits
+    and dense traffic into long runs, so summaries stay short.
     """
     import pandas as pd
 
-    def exits(times: pd.Series, block_start: pd.Series) -> pd.DataFrame:
+    def exits(times: pd.Series, block_start: pd.Series) -> pd.Series:
         import numpy as np
 
         out = []
@@ -36,22 +51,29 @@ def _block_exits(window_ms: int):
             at = np.asarray(at, dtype="int64")
             n = len(at)
             after = np.searchsorted(at, at + window_ms)
-            last = np.arange(n)
+            reach = np.arange(n)
             for i in range(n - 1, -1, -1):
                 if after[i] < n:
-                    last[i] = last[after[i]]
+                    reach[i] = reach[after[i]]
             # The chain enters at the first request not before its threshold, and the
             # threshold lies less than one window after the block start.
             stop = min(n, int(np.searchsorted(at, begin + window_ms)) + 1)
-            keep = np.append(last[1:stop] != last[: stop - 1], True)
-            out.append((at[:stop][keep].tolist(), at[last[:stop]][keep].tolist()))
-        return pd.DataFrame(out, columns=["entries", "exits"])
-
-    exits.__annotations__ = {"times": pd.Series, "block_start": pd.Series, "return": pd.DataFrame}
-    longs = T.ArrayType(T.LongType())
-    return F.pandas_udf(
-        exits, T.StructType([T.StructField("entries", longs), T.StructField("exits", longs)])
-    )
+            entry, leave = at[:stop], at[reach[:stop]]
+            step, move = np.diff(entry), np.diff(leave)
+            kind = np.where(move == 0, 0, np.where((step == 1) & (move == 1), 1, 2))
+            fresh = (kind == 2) | np.append(False, kind[1:] != kind[:-1])
+            begins = np.append(0, np.nonzero(fresh)[0] + 1)
+            ends = np.append(begins[1:], stop) - 1
+            out.append(
+                [
+                    (int(entry[a]), int(entry[b]), int(leave[a]), int(kind[a]) if b > a else 0)
+                    for a, b in zip(begins, ends)
+                ]
+            )
+        return pd.Series(out)
+
+    exits.__annotations__ = {"times": pd.Series, "block_start": pd.Series, "return": pd.Series}
+    return F.pandas_udf(exits, RUNS)
 
 
 def _block_starts(window_ms: int):
@@ -79,15 +101,14 @@ def _block_starts(window_ms: int):
 
 def window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
     """(key, ms, n) distinct request times -> adds ``window_start``."""
-    width = window_ms * BLOCK_WINDOWS
+    width = window_ms * block_windows(window_ms)
     blocks = instants.groupBy("key", F.floor(F.col("ms") / width).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("ms", "n"))).alias("times")
     )
-    exits = _block_exits(window_ms)(F.col("times.ms"), F.col("block") * width)
-    summary = blocks.withColumn("x", exits).select("key", "block", "x.entries", "x.exits")
+    runs = _block_exits(window_ms)(F.col("times.ms"), F.col("block") * width)
     # One short entry per block: bounded by the covered time span, not by the requests.
-    chained = summary.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("block", "entries", "exits"))).alias("bs")
+    chained = blocks.select("key", "block", runs.alias("runs")).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("block", "runs"))).alias("bs")
     )
     none = F.struct(
         F.lit(None).cast("long").alias("prev"),
@@ -95,9 +116,9 @@ def window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
     )
 
     def step(s: Column, b: Column) -> Column:
-        limit = F.coalesce(s["prev"] + window_ms, F.get(b["entries"], F.lit(0)))
-        zipped = F.filter(F.arrays_zip(b["entries"].alias("e"), b["exits"].alias("x")), lambda z: z["e"] >= limit)
-        reached = F.get(zipped, F.lit(0))["x"]
+        limit = F.coalesce(s["prev"] + window_ms, F.get(b["runs"], F.lit(0))["first"])
+        run = F.get(F.filter(b["runs"], lambda r: r["last"] >= limit), F.lit(0))
+        reached = run["exit"] + run["slope"] * (F.greatest(limit, run["first"]) - run["first"])
         return F.struct(
             F.coalesce(reached, s["prev"]).alias("prev"),
             F.array_append(s["out"], F.struct(b["block"], s["prev"])).alias("out"),

@@ -40,10 +40,15 @@ def test_rate_limit_equals_loop(spark):
         for _ in range(n):
             rid += 1
             data.append((key, rid, rnd.randint(0, span)))
+    # One request in (almost) every millisecond over several blocks.
+    for ms in range(0, 30_000):
+        if ms % 4001:
+            rid += 1
+            data.append(("dense", rid, ms))
     # The hot key runs through many blocks (64 windows of 100 ms) without a pause.
     for limit, window in ((2, 100), (20, 1000), (1, 7)):
         got = limited(spark, data, limit, window)
-        for key in ("hot", "slow", "burst", "one"):
+        for key in ("hot", "slow", "burst", "one", "dense"):
             times = sorted((ms, i) for k, i, ms in data if k == key)
             want = brute_limit(times, limit, window)
             assert {i: got[(key, i)] for _, i in times} == want, (key, limit, window)
