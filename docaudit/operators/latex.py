@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit import fixed as fx
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators.archive import safe_path

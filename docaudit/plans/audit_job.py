@@ -21,7 +21,6 @@ from docaudit.operators import logic as lo
 from docaudit.operators import preflight as pf
 from docaudit.operators import risks as rk
 from docaudit.operators import structure as st
-from docaudit.operators import views as vw
 from docaudit.sources.storage import checkpointed
 
 # An adapter turns (doc_id, text) rows of one artifact type into extract rows.

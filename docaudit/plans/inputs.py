@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.operators import archive as ar
 from docaudit.operators import claims as cl
-from docaudit.operators import diffs as df_
 from docaudit.operators import latex as lx
 from docaudit.operators import structure as st
 from docaudit.sources.tables import read_table
