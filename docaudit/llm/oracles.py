@@ -1,3 +1,15 @@
 """SQL for the registered queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages
+        ), k AS (
+            SELECT digest, n, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest, n
+        )
+        SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN k.kept <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN k.kept <> p.page_id THEN k.kept END AS refers_to
+        FROM p LEFT JOIN k ON p.digest = k.digest AND p.n = k.n
+    """,
+}

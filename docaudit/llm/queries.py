@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import table
+from docaudit.llm.common import new_folder, table
 from docaudit.llm.packing import pack_texts
+from docaudit.llm.sharding import shard
 from docaudit.llm.token_counts import count_tokens
+from docaudit.llm.warc import read_records, reassembled, write_archives
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +23,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    pages = reassembled(read_records(spark, folder))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard(table(spark, sf_dir, "documents"))
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return sharded.select("doc_id", "size", checksum, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op10_sharding": op10_sharding,
 }
