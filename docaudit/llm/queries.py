@@ -11,6 +11,7 @@ from docaudit.llm.common import new_folder, table
 from docaudit.llm.packing import pack_texts
 from docaudit.llm.sharding import shard
 from docaudit.llm.token_counts import count_tokens
+from docaudit.llm.toxicity import score_toxicity, train
 from docaudit.llm.warc import read_records, reassembled, write_archives
 
 
@@ -19,6 +20,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    documents = table(spark, sf_dir, "documents")
+    model = train(documents, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -38,6 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
