@@ -7,24 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.llm import quality, toxicity
 from docaudit.llm.common import new_folder, table
 from docaudit.llm.packing import pack_texts
 from docaudit.llm.sharding import shard
+from docaudit.llm.simhash import fingerprint_text, near_duplicates
 from docaudit.llm.token_counts import count_tokens
-from docaudit.llm.toxicity import score_toxicity, train
 from docaudit.llm.warc import read_records, reassembled, write_archives
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    classifier = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(documents, classifier, host=F.col("source"), path=F.col("lang"))
+    return scored.select("doc_id", "doc_score", "host_score", "path_score", "score", "keep")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_texts(table(spark, sf_dir, "documents"), "doc_id")
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), fingerprint_text(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     documents = table(spark, sf_dir, "documents")
-    model = train(documents, table(spark, sf_dir, "labels").where(~held_out))
-    return score_toxicity(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score_toxicity(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +58,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
