@@ -13,6 +13,7 @@ from docaudit.llm.packing import pack_texts
 from docaudit.llm.sharding import shard
 from docaudit.llm.simhash import fingerprint_text, near_duplicates
 from docaudit.llm.token_counts import count_tokens
+from docaudit.llm.topk import top_products
 from docaudit.llm.warc import read_records, reassembled, write_archives
 
 
@@ -33,6 +34,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), fingerprint_text(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     documents = table(spark, sf_dir, "documents")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
