@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from docaudit.llm import quality, toxicity
 from docaudit.llm.common import new_folder, table
 from docaudit.llm.packing import pack_texts
+from docaudit.llm.secrets import BASE, described, find_secrets, of_kind
 from docaudit.llm.sharding import shard
 from docaudit.llm.simhash import fingerprint_text, near_duplicates
 from docaudit.llm.token_counts import count_tokens
@@ -34,6 +36,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), fingerprint_text(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    counts = [F.size(F.filter("spans", partial(of_kind, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    return found.select("doc_id", *counts, F.sha2(described(base).cast("binary"), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -66,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_secrets": op4_secrets,
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
