@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.llm import quality, toxicity
 from docaudit.llm.common import new_folder, table
+from docaudit.llm.decontam import contaminated
 from docaudit.llm.packing import pack_texts
 from docaudit.llm.secrets import BASE, described, find_secrets, of_kind
 from docaudit.llm.sharding import shard
@@ -65,6 +66,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), "item_id", "matched", "windows", "similarity")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard(table(spark, sf_dir, "documents"))
     checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -80,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
