@@ -8,7 +8,6 @@ goes next. Nothing is shuffled, and each task leaves at most one sequence unfill
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,7 +134,7 @@ def pack_texts(df: DataFrame, key: str, text: str = "text", loss: Column | None
     kind = dict(rows.dtypes)["key"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, base = Encoder(tables.value), Packer(limits, cut), TaskContext.get().partitionId() << 33
+        encoder, packer, base = Encoder.of(tables.value), Packer(limits, cut), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # row number: key, ids, ids not placed yet, bears
         out: list[tuple] = []
         number, key_type = 0, None
@@ -165,8 +164,3 @@ def pack_texts(df: DataFrame, key: str, text: str = "text", loss: Column | None
             yield from emit(packer.finish(), flush=True)
 
     return rows.mapInArrow(pack, f"key {kind}, {COLUMNS}").withColumnRenamed("key", key)
-
-
-def crc32(ids: np.ndarray) -> int:
-    """Checksum of ids as `ids` holds them."""
-    return zlib.crc32(ids.astype("<u4").tobytes())

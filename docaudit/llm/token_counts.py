@@ -32,7 +32,7 @@ def token_counter(spark, path: str):
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(tables.value)
+        counter = Counter.of(tables.value)
         for texts in batches:
             yield pa.array([counter.count(text.as_py() or "") for text in texts], pa.int64())
 
