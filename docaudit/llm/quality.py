@@ -108,7 +108,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     drawn = known.orderBy(F.xxhash64("__key"), "__key").limit(rows)
     texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__key")
     found = texts.select(text_shape("__text").alias("shape"), "__label").orderBy(F.xxhash64("shape"), "__label").limit(rows).toArrow()
-    return fit(np.array(found["shape"].to_pylist(), float).reshape(found.num_rows, -1), found["__label"].to_numpy())
+    return fit(np.array(found["shape"].to_pylist(), float).reshape(found.num_rows, len(shape(""))), found["__label"].to_numpy())
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def score_quality(documents: DataFrame, classifier: Classifier, host: Column, pa
     @F.arrow_udf("double")
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            shapes = np.array([shape(t.as_py() or "") for t in texts], float).reshape(len(texts), -1)
+            shapes = np.array([shape(t.as_py() or "") for t in texts], float).reshape(len(texts), len(shape("")))
             yield pa.array(shared.value.probabilities(shapes), pa.float64())
 
     placed = documents.withColumns({"doc_score": probability(F.col(text)), "__host": F.coalesce(host.cast("string"), F.lit("")), "__path": F.coalesce(path.cast("string"), F.lit(""))})
