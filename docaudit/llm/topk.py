@@ -25,6 +25,7 @@ COSINE = 0.7  # local threshold from which coordinates prune
 FOCUS = 3  # coordinates looked at
 QUERIES_A_GROUP = 16_384
 EXACT = 2.0**52  # products below this are exact as doubles
+LONGEST = 2.0**31  # norms from which products may not fit a long
 SLACK = 1e-9  # rounding of norms and bounds
 
 
@@ -39,7 +40,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     rows = df.select(F.col(key).alias("id"), quantised(F.col(vector)).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     single = rows.groupBy("id").agg(F.max("vec").alias("vec"))
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return single.select("id", "vec", F.size("vec").alias("dim"), F.sqrt(square).alias("norm"))
+    return single.select("id", "vec", F.size("vec").alias("dim"), F.sqrt(square).alias("norm")).where(F.col("norm") < LONGEST)
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     reach = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
     if reach < EXACT:
         return np.rint(left.astype("f8") @ right.astype("f8").T).astype("i8")
-    return left @ right.T if reach < 2.0**63 else (left.astype(object) @ right.astype(object).T).astype("i8")
+    return left @ right.T  # sums wrap, and the result fits as norms are below LONGEST
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -120,12 +121,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query_
 def top_products(df: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """query_id, rank (from 1), the found key and its score: the k largest inner products of each query.
 
-    Vectors count as floor(256 x). `is_query` tells from a key whether it is a query; every vector but a
-    query's own is a candidate, and fewer than k give fewer rows. Ties go to the smaller key. Null
-    keys, and vectors that are null or hold a null or non-finite component, take no part; a
-    repeated key counts once, with its largest vector; vectors only meet others of their length.
-    Extra columns play no part; an empty table gives no rows. Queries meet blocks of vectors: both
-    sides of a group are bounded, and blocks that can't matter for a query never see it.
+    Vectors count as floor(256 x). `is_query` tells from a key whether it is a query; every vector
+    but a query's own is a candidate, and fewer than k give fewer rows. Ties go to the smaller key.
+    Null keys take no part, nor do vectors that are null, hold a null or non-finite component or are
+    so long that products may not fit a long (256 times the norm is 2**31 or more). A repeated key
+    counts once, with its largest vector; vectors only meet others of as many components. Extra
+    columns play no part; an empty table gives no rows. Queries meet blocks of vectors: both sides
+    of a group are bounded, and blocks that can't matter for a query never see it.
     """
     vectors = stored(usable(df, key, vector), "vectors")
     spark = df.sparkSession
