@@ -9,7 +9,7 @@ prune these before the full Hamming check. Equal fingerprints are one node throu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ BITS = 64
 SHINGLE = 4
 SEED = 42
 LIMIT = 4
+PROBES_A_TASK = 1_000_000
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -78,44 +79,49 @@ def _keys(fp: Column, ring: list[tuple[int, int]], changed: bool) -> Column:
 
 
 def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Links a, b between the fingerprints `fp`, enough to connect all that differ in `limit` bits or fewer.
+    """Links a, b between the distinct fingerprints `fp`, enough to connect all that differ in `limit` bits or fewer.
 
-    Each bucket of equal keys has two pivots. Whatever links with a pivot gives one row; pairs of
-    which both link with the same pivot are connected by it and aren't given, so that a dense
-    group costs rows in proportion to its size. All other pairs are compared.
+    Each bucket of equal keys has two pivots, its smallest and largest fingerprint. Whatever links
+    with a pivot gives one row; pairs of which both link with the same pivot are connected by it and
+    aren't given, so that a dense group costs rows in proportion to its size. All other pairs are
+    held against the chains' budgets and then compared in full.
     """
     if not 1 <= limit <= 15:
         raise ValueError("the limit is 1 to 15 bits")
     ring = segments(limit)
     start = F.shiftrightunsigned(F.col("key"), 58).cast("int") + 1
 
-    def linked(a: Column, b: Column) -> Column:
-        """Whether every chain from the bucket's start keeps to its budget; the last is the whole ring."""
-        differing = a.bitwiseXOR(b)
+    def near(a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= limit
+
+    def chained(a: Column, b: Column) -> Column:
+        """Whether every chain from the bucket's start keeps to its budget."""
         held = F.lit(True)
         for length in range(2, len(ring)):
             masks = F.array(*(F.lit(_mask(ring, n, length)) for n in range(len(ring))))
-            held = held & (F.bit_count(differing.bitwiseAND(F.element_at(masks, start))) <= length - 1)
-        return held & (F.bit_count(differing) <= limit)
+            held = held & (F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.element_at(masks, start))) <= length - 1)
+        return held
 
-    kept = nodes.select("fp").distinct()
-    index = kept.select(F.explode(_keys(F.col("fp"), ring, False)).alias("key"), F.col("fp").alias("b"))
+    probes_each = BITS + len(ring)
+    kept = nodes.select("fp").repartition(max(1, math.ceil(nodes.count() * probes_each / PROBES_A_TASK)))
+    index = kept.select(F.explode(_keys(F.col("fp"), ring, False)).alias("place"), F.col("fp").alias("b"))
     probes = kept.select(F.explode(_keys(F.col("fp"), ring, True)).alias("key"), F.col("fp").alias("a"))
-    buckets = index.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("*").alias("n"))
+    buckets = index.groupBy(F.col("place").alias("key")).agg(F.min("b").alias("low"), F.max("b").alias("high"))
     a, b, low, high = (F.col(c) for c in ("a", "b", "low", "high"))
-    joined = probes.join(buckets, "key")
-    stars = joined.select(F.explode(F.filter(F.array(F.when((a != low) & linked(a, low), F.struct(F.least(a, low).alias("a"), F.greatest(a, low).alias("b"))), F.when((a != high) & (low != high) & linked(a, high), F.struct(F.least(a, high).alias("a"), F.greatest(a, high).alias("b")))), lambda x: x.isNotNull())).alias("link")).select("link.*")
-    rest = joined.where("n > 2").join(index, "key").where((a < b) & (b != low) & (b != high) & (a != low) & (a != high) & linked(a, b))
-    rest = rest.where(~(linked(a, low) & linked(b, low)) & ~(linked(a, high) & linked(b, high)))
-    return stars.union(rest.select("a", "b")).distinct()
+    apart = ~(near(a, low) & near(b, low)) & ~(near(a, high) & near(b, high))
+    others = (a < b) & ~b.isin(low, high) & ~a.isin(low, high) & chained(a, b) & near(a, b) & apart
+    joined = probes.join(buckets, "key").join(index, (F.col("key") == F.col("place")) & others, "left")
+    ends = [F.when((a != c) & near(a, c), F.struct(F.least(a, c).alias("a"), F.greatest(a, c).alias("b"))) for c in (low, high)]
+    ends.append(F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))))
+    return joined.select(F.inline(F.array_compact(F.array(*ends)))).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """key, row_hash, fp and component for every row.
+    """key, row_hash, fp, root and component for every row.
 
-    The component is the smallest key among all rows whose fingerprints are connected by links;
-    null keys count only where there is no other. row_hash is of all columns, for telling rows with
-    equal keys apart. Null and empty texts share fingerprint zero; repeated rows stay repeated; an
+    root is a fingerprint that names the group of rows whose fingerprints are connected by links,
+    component the smallest key in it; a null key counts only where there is no other. row_hash is of
+    all columns, for telling rows with equal keys apart. Null and empty texts share fingerprint zero; repeated rows stay repeated; an
     empty table gives no rows. Texts are read once and never shuffled.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
@@ -125,8 +131,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     roots = stored(components(stored(links(nodes, limit), "links")).select(F.col("node").alias("fp"), "root"), "roots")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "smallest")
-    found = stored(placed.join(smallest, "root").select("fp", "component"), "found")
-    return prints.join(found, "fp").select("key", "row_hash", "fp", "component")
+    found = stored(placed.join(smallest, "root").select("fp", "root", "component"), "found")
+    return prints.join(found, "fp").select("key", "row_hash", "fp", "root", "component")
 
 
 def fingerprint_text(fp: Column) -> Column:
