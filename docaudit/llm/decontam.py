@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units after a number and names within a sentence become typed placeholders, so a question
-with other values has the same template. Windows of template words are hash-joined with those of
+Numbers, units and names within a sentence become typed placeholders, so a question with other
+values has the same template. Windows of template words are hash-joined with those of
 the benchmark. The values behind the placeholders must then agree: within a document and item, each
 value of the benchmark stands for one value of the document throughout.
 """
@@ -33,8 +33,8 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros usd eur percent mph kmh kph degree degrees watt watts volt volts joule joules newton newtons hz khz mhz ghz b kb mb gb tb".split()
 )
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]|[$€£%]")
-PLAIN, NAME, NUMBER, UNIT, STOP = range(5)
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:]|\n\s*\n|[$€£%]")
+PLAIN, NAME, NUMBER, UNIT, LETTER, STOP = range(6)
 KIND = 7  # the low bits of a token's code hold its kind
 HOLES = {NAME: 8 * 1, NUMBER: 8 * 2, UNIT: 8 * 3}  # codes of the placeholders
 FACTOR = 0x9E3779B97F4A7C15
@@ -49,12 +49,12 @@ class Templates:
 
     def _code(self, token: str) -> int:
         lower = token.lower()
-        if token in ".!?:\n":
+        if token in ".!?:" or token[0] == "\n":
             return STOP
         if token[0].isdigit() or lower in NUMBER_WORDS:
             kind = NUMBER
         elif lower in UNITS or token in "$€£%":
-            kind = UNIT
+            kind = UNIT if len(token) > 1 or token in "$€£%" else LETTER
         else:
             kind = NAME if len(token) > 1 and token.istitle() else PLAIN
         return xxhash.xxh64_intdigest(lower) & ~KIND | kind
@@ -73,17 +73,17 @@ class Templates:
             got = list(map(self.codes.__getitem__, tokens))
         codes = np.array(got, "u8")
         kinds = (codes & np.uint64(KIND)).astype("u1")
-        before = np.append(np.uint8(STOP), kinds[:-1])
-        after = np.append(kinds[1:], np.uint8(STOP))
-        plain = codes & ~np.uint64(KIND)
-        plain[kinds == NUMBER] = HOLES[NUMBER]
-        plain[(kinds == UNIT) & ((before == NUMBER) | (after == NUMBER))] = HOLES[UNIT]
-        named = plain.copy()
-        named[(kinds == NAME) & (before != STOP)] = HOLES[NAME]
         words = kinds != STOP
+        first = np.append(True, ~words[:-1])[words]  # of a sentence
+        plain, kinds = (codes & ~np.uint64(KIND))[words], kinds[words]
+        number = kinds == NUMBER
+        beside = np.append(False, number[:-1]) | np.append(number[1:], False) if len(number) else number
+        plain[number] = HOLES[NUMBER]
+        plain[(kinds == UNIT) | (kinds == LETTER) & beside] = HOLES[UNIT]
+        named = plain.copy()
+        named[(kinds == NAME) & ~first] = HOLES[NAME]
         kept = [t for t, w in zip(tokens, words.tolist()) if w]
-        views = [named[words]] if np.array_equal(named, plain) else [named[words], plain[words]]
-        return kept, views
+        return kept, [named] if np.array_equal(named, plain) else [named, plain]
 
 
 def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
