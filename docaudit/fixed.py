@@ -219,6 +219,8 @@ MSG = {
     "oral_fallback": "この研究の新規性を、比較対象を含めて1文で説明してください。",
     "oral_focus_fallback": "Claim {claim} を支える実験条件と比較対象を、1文で具体化してください。",
     "archive_no_tex": "No .tex file found in archive.",
+    "no_claims": "claim extraction via llm failed: llm produced empty claim list",
+    "refiner_empty": "claim refiner iteration {n}: no replacement candidates available",
 }
 PREFLIGHT_KINDS = {
     "MISSING_FIGURE_REFERENCE": ("error", "図 {x} が本文中で一度も参照されていません。", "図参照の欠落"),
@@ -278,3 +280,35 @@ COMMON_PROMPT_RULES = [
     "不確実な場合でも推測を作らず、根拠不足として扱う。",
     "説明文は日本語で簡潔に記述する。",
 ]
+
+# ---- fixed values: prompts ------------------------------------------------------------
+CLAIM_PROMPT = {
+    "task": "タスク: 文書から主要な主張(claim)を抽出する。",
+    "schema": [
+        "出力スキーマ:",
+        '{ "claims": [{ "claimId": "...", "text": "...", "paragraphIds": ["..."], "confidence": "low|medium|high" }] }',
+    ],
+    "count": "最大件数: ",
+    "input": ["注意: claim.text は元文の意味を維持し、冗長にしない。", "入力文書:"],
+}
+EVIDENCE_PROMPT = {
+    "task": "タスク: 各claimに対応する根拠段落・図・引用を対応づける。",
+    "schema": [
+        "出力スキーマ:",
+        '{ "evidence": [{ "claimId": "...", "paragraphIds": ["..."], "figureIds": ["..."], "citationKeys": ["..."], "reason": "..." }] }',
+    ],
+    "claims": "Claims:",
+    "none": "- (no claims)",
+    "input": ["入力文書:"],
+}
+ORAL_PROMPT = {
+    "task": "タスク: 口頭試問で使う質問を1つ生成し、期待回答の要点を作る。",
+    "schema": [
+        "出力スキーマ:",
+        '{ "question": "...", "expectedAnswer": "...", "claimId": "...", "paragraphIds": ["..."] }',
+        "question と expectedAnswer は日本語で書く。",
+    ],
+    "id": "対象claim ID: ",
+    "claim": "対象claim: ",
+    "input": ["入力文書:"],
+}

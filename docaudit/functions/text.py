@@ -87,6 +87,20 @@ def matches_any(c: Column, patterns: list[str], ignore_case: bool = True) -> Col
     return let(F.lower(c), lambda low: _contains_any(low, words)) & found
 
 
+def first_items(arr: Column | str, limit: int | None) -> Column:
+    """The first items of an array, or all of them without a limit."""
+    return (F.col(arr) if isinstance(arr, str) else arr) if limit is None else F.slice(arr, 1, limit)
+
+
+def first_chars(c: Column, limit: int | None) -> Column:
+    return c if limit is None else F.substring(c, 1, limit)
+
+
+def left_out(size: Column, limit: int) -> Column:
+    """How many items a limit leaves out."""
+    return F.greatest(size - limit, F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(fx.WS_CHARS))
 
@@ -151,8 +165,8 @@ def strip_latex_comments(c: Column) -> Column:
 # ---- claims ---------------------------------------------------------------------
 
 
-def claim_text(c: Column) -> Column:
-    """First sentence with visible text, at most 280 characters.
+def claim_text(c: Column, max_chars: int | None = None) -> Column:
+    """First sentence with visible text.
 
     Sentences end at ``。 . ! ?``, so a decimal point ends one too.
     """
@@ -162,15 +176,17 @@ def claim_text(c: Column) -> Column:
         first = F.regexp_extract(compact, "^[。.!? ]*([^。.!?]+)", 1)
         return let(first, lambda f: F.when(f != "", f).otherwise(compact))
 
-    return F.substring(js_trim(let(collapse(c), pick)), 1, fx.CLAIM_MAX_CHARS)
+    return first_chars(js_trim(let(collapse(c), pick)), max_chars)
 
 
-def headline(c: Column) -> Column:
-    cut = fx.HEADLINE_CHARS
+def headline(c: Column, max_chars: int | None = None) -> Column:
+    """The claim text; beyond ``max_chars`` it ends in three dots."""
+    if max_chars is None:
+        return claim_text(c)
     return let(
         claim_text(c),
-        lambda t: F.when(F.length(t) <= cut, t).otherwise(
-            F.concat(F.substring(t, 1, cut - 3), F.lit("..."))
+        lambda t: F.when(F.length(t) <= max_chars, t).otherwise(
+            F.concat(F.substring(t, 1, max_chars - 3), F.lit("..."))
         ),
     )
 
@@ -205,26 +221,14 @@ def evidence_tokens(c: Column) -> Column:
     return tokens(c, fx.EVIDENCE_STOP_WORDS)
 
 
-def keywords(c: Column, limit: int = fx.KEYWORD_LIMIT) -> Column:
+def keywords(c: Column, limit: int | None = None) -> Column:
     default = F.array(*[F.lit(k) for k in fx.DEFAULT_KEYWORDS])
     return let(
-        F.slice(F.array_distinct(tokens(c, fx.KEYWORD_STOP_WORDS)), 1, limit),
+        first_items(F.array_distinct(tokens(c, fx.KEYWORD_STOP_WORDS)), limit),
         lambda picked: F.when(F.size(picked) > 0, picked).otherwise(default),
     )
 
 
-def repeats(toks: Column) -> Column:
-    """The tokens that already stood earlier in the list."""
-    return F.filter(toks, lambda t, i: F.array_position(toks, t) <= i)
-
-
-def matched_count(distinct: Column, extra: Column, other: Column) -> Column:
-    """How many tokens (``distinct`` plus their ``extra`` repeats) occur in ``other``."""
-    base = F.size(F.array_intersect(distinct, other))
-    again = F.when(F.size(extra) > 0, F.size(F.filter(extra, lambda t: F.array_contains(other, t))))
-    return base + F.coalesce(again, F.lit(0))
-
-
 # ---- numbers and formats ------------------------------------------------------------
 
 
@@ -257,15 +261,5 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def keep_first(arr: Column, key) -> Column:
-    """First-wins dedupe of an array by a key; the quadratic pass runs only if keys repeat."""
-
-    def drop_later(a: Column, keys: Column) -> Column:
-        first = F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-        return F.when(F.size(F.array_distinct(keys)) == F.size(a), a).otherwise(first)
-
-    return let(arr, lambda a: let(F.transform(a, key), lambda keys: drop_later(a, keys)))
-
-
 def severity_rank(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in fx.SEVERITIES]), c)

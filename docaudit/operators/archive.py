@@ -26,13 +26,14 @@ RULES = [
 ]
 
 
-def screen_archives(members: DataFrame) -> DataFrame:
+def screen_archives(members: DataFrame, max_files: int = fx.ARCHIVE_MAX_FILES) -> DataFrame:
     """First rule broken in member order per archive; null rule means accepted.
 
     Manifest columns: archive_id, ordinal, path, size, unix_mode, is_dir. Rules of a single
-    member are a plain minimum. The running count and size need only the first 2001 files of
-    an archive, because the 2001st file rejects it; the rank limit is applied before the
-    shuffle, so a huge archive does not land in one task.
+    member are a plain minimum over all members. The file after the ``max_files``-th breaks the
+    rule on their number, so the running sums, which only find rules broken before that, stop
+    with it; the rank limit is applied before the shuffle, so a huge archive does not land in
+    one task.
     """
     is_file = ~F.col("is_dir")
     link = F.col("unix_mode").bitwiseAND(F.lit(fx.MODE_MASK)) == fx.SYMLINK_MODE
@@ -50,10 +51,10 @@ def screen_archives(members: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("archive_id").orderBy("ordinal")
     files = members.where(is_file).withColumn("n", F.row_number().over(order))
-    files = files.where(F.col("n") <= fx.ARCHIVE_MAX_FILES + 1).withColumn(
+    files = files.where(F.col("n") <= max_files + 1).withColumn(
         "bytes", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    running = F.when(F.col("n") > fx.ARCHIVE_MAX_FILES, 3).when(
+    running = F.when(F.col("n") > max_files, 3).when(
         F.col("bytes") > fx.ARCHIVE_MAX_TOTAL_BYTES, 5
     )
     by_run = files.withColumn("rule", running).where("rule is not null").groupBy("archive_id").agg(

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
-from docaudit.operators.claims import claim_table
-from docaudit.sources.tables import cluster
 
 # ---- segments and prompts ----------------------------------------------------------------
 
@@ -29,9 +28,12 @@ def segments(
     extracts: DataFrame,
     size: int = fx.SEGMENT_SIZE,
     overlap: int = fx.SEGMENT_OVERLAP,
-    limit: int = fx.MAX_SEGMENTS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Add ``segments``: paragraphs of each section in overlapping slices, merged to ``limit``."""
+    """Add ``segments``: paragraphs of each section in overlapping slices.
+
+    With ``limit`` neighbouring slices are merged until so many are left; every paragraph stays.
+    """
     cand = F.filter(
         F.transform(
             "paragraphs",
@@ -44,34 +46,24 @@ def segments(
         lambda p: F.length(p["text"]) >= fx.CLAIM_MIN_CHARS,
     )
     df = settle(extracts.withColumn("cand", cand))
-    by_section = tx.let(
-        F.col("cand"),
-        lambda ps: F.flatten(
-            F.transform(
-                F.array_distinct(F.transform(ps, lambda p: p["sec"])),
-                lambda s: _chunks(F.filter(ps, lambda p: p["sec"] == s), size, overlap),
-            )
-        ),
+    by_section = F.flatten(
+        F.transform(aa.groups(F.col("cand"), lambda p: p["sec"]), lambda g: _chunks(g["xs"], size, overlap))
     )
     df = settle(df.withColumn("basis", by_section))
+    if limit is None:
+        return settle(df.withColumnRenamed("basis", "segments").drop("cand"))
 
     def merged(basis: Column) -> Column:
         stride = F.ceil(F.size(basis) / F.lit(limit)).cast("int")
         blocks = F.ceil(F.size(basis) / stride).cast("int")
         return F.transform(
             F.sequence(F.lit(0), blocks - 1),
-            lambda j: F.slice(
-                tx.keep_first(
-                    F.flatten(F.slice(basis, j * stride + 1, stride)), lambda p: p["para_id"]
-                ),
-                1,
-                size,
+            lambda j: aa.first_of_each(
+                F.flatten(F.slice(basis, j * stride + 1, stride)), lambda p: p["para_id"]
             ),
         )
 
-    out = tx.let(
-        F.col("basis"), lambda b: F.when(F.size(b) <= limit, b).otherwise(F.slice(merged(b), 1, limit))
-    )
+    out = tx.let(F.col("basis"), lambda b: F.when(F.size(b) <= limit, b).otherwise(merged(b)))
     return settle(df.withColumn("segments", out).drop("cand", "basis"))
 
 
@@ -85,17 +77,19 @@ def segment_table(segmented: DataFrame) -> DataFrame:
 
 
 def claims_per_segment(n_segments: Column) -> Column:
+    """How many claims a prompt asks for; answers with more are kept."""
     share = F.ceil(F.lit(fx.MAX_CLAIMS) / F.greatest(F.lit(1), n_segments)) + 2
     return F.greatest(F.lit(4), F.least(F.lit(14), share)).cast("int")
 
 
-def segment_text(paragraphs: Column) -> Column:
+def segment_text(paragraphs: Column, max_chars: int | None = None) -> Column:
+    """Numbered paragraphs of a segment, one per line."""
     return F.array_join(
         F.transform(
             paragraphs,
             lambda p: F.concat(
                 F.lit("["), p["para_id"], F.lit("] "),
-                F.substring(tx.collapse(p["text"]), 1, fx.PROMPT_PARAGRAPH_CHARS),
+                tx.first_chars(tx.collapse(p["text"]), max_chars),
             ),
         ),
         "\n",
@@ -107,46 +101,23 @@ def _prompt(*lines: Column | str) -> Column:
 
 
 def claim_prompt(text: Column, max_claims: Column) -> Column:
-    return _prompt(
-        "タスク: 文書から主要な主張(claim)を抽出する。",
-        *fx.COMMON_PROMPT_RULES,
-        "出力スキーマ:",
-        '{ "claims": [{ "claimId": "...", "text": "...", "paragraphIds": ["..."], "confidence": "low|medium|high" }] }',
-        F.concat(F.lit("最大件数: "), max_claims.cast("string")),
-        "注意: claim.text は元文の意味を維持し、冗長にしない。",
-        "入力文書:",
-        text,
-    )
+    asked = F.concat(F.lit(fx.CLAIM_PROMPT["count"]), max_claims.cast("string"))
+    return _prompt(fx.CLAIM_PROMPT["task"], *fx.COMMON_PROMPT_RULES, *fx.CLAIM_PROMPT["schema"], asked, *fx.CLAIM_PROMPT["input"], text)
 
 
 def evidence_prompt(text: Column, claims: Column) -> Column:
     listed = F.array_join(
         F.transform(claims, lambda c: F.concat(F.lit("- "), c["claim_id"], F.lit(": "), c["text"])), "\n"
     )
-    return _prompt(
-        "タスク: 各claimに対応する根拠段落・図・引用を対応づける。",
-        *fx.COMMON_PROMPT_RULES,
-        "出力スキーマ:",
-        '{ "evidence": [{ "claimId": "...", "paragraphIds": ["..."], "figureIds": ["..."], "citationKeys": ["..."], "reason": "..." }] }',
-        "Claims:",
-        F.coalesce(F.nullif(listed, F.lit("")), F.lit("- (no claims)")),
-        "入力文書:",
-        text,
-    )
+    some = F.coalesce(F.nullif(listed, F.lit("")), F.lit(fx.EVIDENCE_PROMPT["none"]))
+    p = fx.EVIDENCE_PROMPT
+    return _prompt(p["task"], *fx.COMMON_PROMPT_RULES, *p["schema"], p["claims"], some, *p["input"], text)
 
 
 def oral_prompt(text: Column, claim_id: Column, claim_text: Column) -> Column:
-    return _prompt(
-        "タスク: 口頭試問で使う質問を1つ生成し、期待回答の要点を作る。",
-        *fx.COMMON_PROMPT_RULES,
-        "出力スキーマ:",
-        '{ "question": "...", "expectedAnswer": "...", "claimId": "...", "paragraphIds": ["..."] }',
-        "question と expectedAnswer は日本語で書く。",
-        F.concat(F.lit("対象claim ID: "), claim_id),
-        F.concat(F.lit("対象claim: "), claim_text),
-        "入力文書:",
-        text,
-    )
+    p = fx.ORAL_PROMPT
+    about = [F.concat(F.lit(p["id"]), claim_id), F.concat(F.lit(p["claim"]), claim_text)]
+    return _prompt(p["task"], *fx.COMMON_PROMPT_RULES, *p["schema"], *about, *p["input"], text)
 
 
 def claim_prompts(segmented: DataFrame) -> DataFrame:
@@ -275,35 +246,39 @@ def check_output(outputs: DataFrame, schema: str | Callable[[Column], Column] =
     return df.withColumn("valid", F.coalesce(test(F.col("parsed")), F.lit(False)))
 
 
-def output_claims(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidate rows, warning rows) of claim answers (doc_id, segment, max_claims, raw_json).
+ANSWER = "array<struct<claimId:string,text:string,paragraphIds:array<string>,confidence:string>>"
+
 
-    A failed or malformed segment only leaves a warning.
+def read_answers(outputs: DataFrame, enforce: bool = False) -> DataFrame:
+    """(doc_id, segment, first_para, items, warning) of claim answers (doc_id, segment, max_claims, raw_json).
+
+    A failed or malformed segment has no items and a warning. Claims beyond the number asked for
+    are kept, or with ``enforce`` left out and counted in a warning.
     """
     df = check_output(outputs, "claims")
-    items = F.from_json(
-        F.to_json(F.try_variant_get("parsed", "$.claims", "variant")),
-        "array<struct<claimId:string,text:string,paragraphIds:array<string>,confidence:string>>",
-    )
-    rows = df.where("valid").select(
-        "doc_id", "segment", *[c for c in ("first_para",) if c in outputs.columns],
-        F.posexplode(F.slice(items, 1, F.col("max_claims"))).alias("pos", "c"),
-    )
-    rows = rows.select(
-        *[c for c in rows.columns if c not in ("pos", "c")],
-        (F.col("pos") + 1).alias("ord"),
-        F.col("c.text").alias("text"),
-        F.col("c.paragraphIds").alias("para_ids"),
-        F.col("c.confidence").alias("confidence"),
+    segment = F.col("segment").cast("int")
+    items = F.when(F.col("valid"), F.from_json(F.to_json(F.try_variant_get("parsed", "$.claims", "variant")), ANSWER))
+    warning = F.when(~F.col("valid"), F.format_string("claim extraction segment %d failed", segment))
+    if enforce:
+        beyond = F.size(items) - F.col("max_claims")
+        warning = F.coalesce(warning, F.when(beyond > 0, F.format_string("claim extraction segment %d: %d claims left out", segment, beyond)))
+        items = F.slice(items, 1, F.col("max_claims"))
+    first = F.col("first_para") if "first_para" in outputs.columns else F.lit(None).cast("string")
+    return df.select("doc_id", segment.alias("segment"), first.alias("first_para"), items.alias("items"), warning.alias("warning"))
+
+
+def output_claims(outputs: DataFrame, enforce: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candidate rows, warning rows) of claim answers."""
+    df = read_answers(outputs, enforce)
+    rows = df.select("doc_id", "segment", "first_para", F.posexplode("items").alias("pos", "c")).select(
+        "doc_id", "segment", "first_para", (F.col("pos") + 1).alias("ord"), "c.text", F.col("c.paragraphIds").alias("para_ids"), "c.confidence"
     )
-    warnings = df.where(~F.col("valid")).select(
-        "doc_id", "segment",
-        F.format_string("claim extraction segment %d failed", F.col("segment").cast("int")).alias("warning"),
-    )
-    return rows, warnings
+    return rows, df.where(F.col("warning").isNotNull()).select("doc_id", "segment", "warning")
 
 
-# ---- candidate claims --------------------------------------------------------------------------
+# ---- candidate claims, in the row of their document ------------------------------------------------
+#
+# A candidate is (segment, ord, text, para_ids, first_para); rows hold paragraphs and claims.
 
 
 def candidate_score(text: Column, para_ids: Column) -> Column:
@@ -318,186 +293,235 @@ def candidate_score(text: Column, para_ids: Column) -> Column:
     )
 
 
-def resolve_candidates(candidates: DataFrame, extracts: DataFrame) -> DataFrame:
-    """Normalised candidate claims with existing paragraph ids only, and their score.
+def with_answers(rows: DataFrame, outputs: DataFrame, enforce: bool = False) -> DataFrame:
+    """Add ``candidates`` and ``claim_warnings`` from the answers of each document: one join by document."""
+    entry = F.struct("segment", "first_para", "items", "warning")
+    listed = read_answers(outputs, enforce).groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("answers"))
+    df = rows.join(listed, "doc_id", "left")
+
+    def claims(answer: Column) -> Column:
+        return F.transform(
+            F.coalesce(answer["items"], F.array().cast(ANSWER)),
+            lambda c, i: F.struct(
+                answer["segment"].alias("segment"), (i + 1).alias("ord"), c["text"].alias("text"),
+                c["paragraphIds"].alias("para_ids"), answer["first_para"].alias("first_para"),
+            ),
+        )
+
+    some = F.coalesce("answers", F.array().cast(listed.schema["answers"].dataType))
+    df = settle(df.withColumn("answers", some))
+    warnings = F.array_compact(F.transform("answers", lambda a: a["warning"]))
+    return settle(df.withColumns({"candidates": F.flatten(F.transform("answers", claims)), "claim_warnings": warnings}).drop("answers"))
 
-    If no id exists the first paragraph of the segment (column ``first_para``), else of the
-    document, is used. Candidates of a document are few (14 per segment, 6 segments) and meet
-    the document's own id list in a join by document.
+
+def resolve_candidates(rows: DataFrame) -> DataFrame:
+    """``candidates`` with claim text, existing paragraph ids only, and a score.
+
+    If no id exists the first paragraph of the segment, else of the document, is used.
     """
-    ids = extracts.select("doc_id", F.transform("paragraphs", lambda p: p["para_id"]).alias("known"))
-    df = candidates.withColumn("text", tx.claim_text(F.col("text")))
-    df = df.where(F.length("text") >= fx.CLAIM_MIN_CHARS).join(ids, "doc_id")
-    kept = F.filter("para_ids", lambda i: F.array_contains("known", i))
-    first = F.get("known", F.lit(0))
-    if "first_para" in candidates.columns:
-        first = F.coalesce("first_para", first)
-    df = settle(df.withColumn("kept", kept))
-    ids_or_first = F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array_compact(F.array(first)))
-    df = df.withColumn("para_ids", ids_or_first).drop("kept", "known")
-    df = df.where(F.size("para_ids") > 0)
-    return df.withColumn("score", candidate_score(F.col("text"), F.col("para_ids")))
-
-
-def dedupe_best(resolved: DataFrame) -> DataFrame:
+
+    def resolved(known: Column) -> Column:
+        def one(c: Column) -> Column:
+            ids = F.filter(c["para_ids"], lambda i: F.array_contains(known, i))
+            first = F.array_compact(F.array(F.coalesce(c["first_para"], F.get(known, F.lit(0)))))
+            return F.struct(
+                c["segment"].alias("segment"), c["ord"].alias("ord"), tx.claim_text(c["text"]).alias("text"),
+                tx.let(ids, lambda x: F.when(F.size(x) > 0, x).otherwise(first)).alias("para_ids"),
+            )
+
+        return F.transform("candidates", one)
+
+    found = tx.let(F.transform("paragraphs", lambda p: p["para_id"]), resolved)
+    df = settle(rows.withColumn("candidates", found))
+    kept = F.filter("candidates", lambda c: (F.length(c["text"]) >= fx.CLAIM_MIN_CHARS) & (F.size(c["para_ids"]) > 0))
+    scored = F.transform(kept, lambda c: c.withField("score", candidate_score(c["text"], c["para_ids"])))
+    return settle(df.withColumn("candidates", scored))
+
+
+def dedupe_best(rows: DataFrame) -> DataFrame:
     """Best score per normalised text; the place is that of the first occurrence."""
-    place = F.struct("segment", "ord")
-    df = resolved.withColumn("key", tx.claim_key(F.col("text")))
-    return df.groupBy("doc_id", "key").agg(
-        F.min(place).alias("place"),
-        F.max_by(
-            F.struct("text", "para_ids", "score"),
-            F.struct(F.col("score"), -F.col("segment"), -F.col("ord")),
-        ).alias("best"),
-    ).select("doc_id", "key", "place", "best.*")
-
-
-def rank_candidates(deduped: DataFrame, limit: int = fx.MAX_CLAIMS) -> DataFrame:
-    """(doc_id, ord, text, para_ids, score): best first, capped."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "place")
-    return (
-        deduped.withColumn("ord", F.row_number().over(w))
-        .where(F.col("ord") <= limit)
-        .select("doc_id", "ord", "text", "para_ids", "score")
-    )
 
+    def best(g: Column) -> Column:
+        top = F.array_max(F.transform(g["xs"], lambda c: F.struct(c["score"], -c["segment"], -c["ord"], c["text"], c["para_ids"])))
+        first = F.get(g["xs"], F.lit(0))
+        return F.struct(
+            first["segment"].alias("segment"), first["ord"].alias("ord"), top["text"].alias("text"),
+            top["para_ids"].alias("para_ids"), top["score"].alias("score"),
+        )
 
-def merge_with_fallback(primary: DataFrame, fallback: DataFrame, limit: int = fx.MAX_CLAIMS) -> DataFrame:
-    """Primary claims, then fallback claims with new text, capped; (doc_id, ord, text, para_ids).
+    found = F.transform(aa.groups(F.col("candidates"), lambda c: tx.claim_key(c["text"])), best)
+    return settle(rows.withColumn("candidates", found))
 
-    Repeats among the primary claims stay. Both inputs hold at most 36 rows per document.
+
+def rank_candidates(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Best first; with ``limit`` also candidates_left_out."""
+    keyed = F.sort_array(F.transform("candidates", lambda c: F.struct((-c["score"]).alias("neg"), c["segment"], c["ord"], c.alias("c"))))
+    ranked = F.transform(tx.first_items(keyed, limit), lambda k: k["c"])
+    left = {} if limit is None else {"candidates_left_out": tx.left_out(F.size("candidates"), limit)}
+    return settle(rows.withColumns({"candidates": ranked} | left))
+
+
+def merge_with_fallback(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """``merged``: the candidates, then rule-based claims with new text; with ``limit`` also claims_left_out.
+
+    Repeats among the candidates stay.
     """
-    cols = ["doc_id", "ord", "text", "para_ids"]
-    rows = primary.select(*cols, F.lit(0).alias("src")).unionByName(
-        fallback.select(*cols, F.lit(1).alias("src"))
+    key = lambda text: F.lower(tx.collapse(F.lower(text)))
+    plain = lambda c: F.struct(c["text"].alias("text"), c["para_ids"].alias("para_ids"))
+    primary = F.transform("candidates", plain)
+    seen = F.transform("candidates", lambda c: key(c["text"]))
+    rest = tx.let(
+        seen,
+        lambda known: F.filter(
+            aa.first_of_each(F.transform("claims", plain), lambda c: key(c["text"])),
+            lambda c: ~F.array_contains(known, key(c["text"])),
+        ),
     )
-    rows = rows.withColumn("key", F.lower(tx.collapse(F.lower("text"))))
-    same = Window.partitionBy("doc_id", "key").orderBy("src", "ord")
-    rows = rows.withColumn("n", F.row_number().over(same))
-    rows = rows.where((F.col("src") == 0) | (F.col("n") == 1))
-    w = Window.partitionBy("doc_id").orderBy("src", "ord")
-    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-    return rows.select("doc_id", F.col("place").alias("ord"), "text", "para_ids")
+    df = settle(rows.withColumn("merged", F.concat(primary, rest)))
+    if limit is None:
+        return df
+    cut = {"merged": tx.first_items("merged", limit), "claims_left_out": tx.left_out(F.size("merged"), limit)}
+    return settle(df.withColumns(cut))
 
 
 # ---- quality and refinement ----------------------------------------------------------------------
 
 
-def with_quality(claims: DataFrame, extracts: DataFrame) -> DataFrame:
-    """Adds ``quality`` and ``issues`` to claims (doc_id, text, para_ids).
+def quality_of(claims: Column, paragraphs: Column) -> Column:
+    """Claims (text, para_ids) with ``quality``, ``issues`` and the comparison ``key``.
 
-    The first referenced paragraph is fetched by an equi-join on (doc_id, para_id).
+    The first referenced paragraph is looked up in the row.
     """
-    paras = extracts.select("doc_id", F.explode("paragraphs").alias("p")).select(
-        "doc_id", F.col("p.para_id").alias("first_id"), F.col("p.text").alias("para_text")
-    )
-    df = claims.withColumn("first_id", F.get("para_ids", F.lit(0))).join(paras, ["doc_id", "first_id"], "left")
-    df = df.withColumn("norm", tx.claim_text(F.col("text"))).withColumn(
-        "left", tx.tokens(tx.claim_text(F.col("text")))
-    ).withColumn("right", tx.tokens(F.coalesce("para_text", F.lit(""))))
-    shared = F.size(F.filter("left", lambda t: F.array_contains("right", t)))
-    overlap = F.when(F.size("left") > 0, shared / F.size("left")).otherwise(0.0)
-    norm, has_ref = F.col("norm"), F.size("para_ids") > 0
-    checks = [
-        (F.length(norm) >= 20, 100, "too_short"),
-        (tx.looks_like_claim(norm), 100, "not_claim_like"),
-        (tx.has_digit(norm), 80, "no_number"),
-        (tx.matches(norm, fx.CONDITION_CUE), 70, "no_condition_or_comparator"),
-        (has_ref, 60, "no_paragraph_ref"),
-    ]
-    close = has_ref & (overlap >= 0.3)
-    points = F.when(close, 100).otherwise(0)
-    for test, value, _ in checks:
-        points = points + F.when(test, value).otherwise(0)
-    issues = [F.when(~t, n) for t, _, n in checks] + [F.when(has_ref & ~close, "low_source_overlap")]
-    df = df.select(
-        *claims.columns, (points / 100).alias("quality"), F.array_compact(F.array(*issues)).alias("issues")
-    )
-    return df
-
 
-def refine_claims(
-    initial: DataFrame, fallback: DataFrame, extracts: DataFrame, rounds: int = fx.REFINER_ROUNDS
-) -> DataFrame:
-    """Replace weak and duplicate claims by the best unused pool claims, for all documents at once.
-
-    Current claims (kind 0) and the pool of all known claims (kind 1) travel in one table,
-    clustered by document; a round is a set of windows over at most 36 + 72 short rows per
-    document, so no round shuffles again. The pool holds every initial claim and only keys of
-    kept claims are excluded, so a removed claim may return.
+    def judged(c: Column, ids: Column) -> Column:
+        first = F.get(c["para_ids"], F.lit(0))
+        at = F.array_position(ids, first)
+        para = F.coalesce(F.when(at > 0, F.get(paragraphs, (at - 1).cast("int"))["text"]), F.lit(""))
+        norm, has_ref = tx.claim_text(c["text"]), F.size(c["para_ids"]) > 0
+
+        def overlap(o: Column) -> Column:
+            shared = F.size(F.filter(o["left"], lambda t: F.array_contains(o["right"], t)))
+            return F.when(F.size(o["left"]) > 0, shared / F.size(o["left"])).otherwise(0.0)
+
+        def points(v: Column) -> Column:
+            checks = [
+                (F.length(v["norm"]) >= 20, 100, "too_short"),
+                (tx.looks_like_claim(v["norm"]), 100, "not_claim_like"),
+                (tx.has_digit(v["norm"]), 80, "no_number"),
+                (tx.matches(v["norm"], fx.CONDITION_CUE), 70, "no_condition_or_comparator"),
+                (has_ref, 60, "no_paragraph_ref"),
+            ]
+            close = has_ref & (v["overlap"] >= 0.3)
+            tests = F.array(*[t for t, _, _ in checks], close)
+
+            def sums(held: Column) -> Column:
+                total = F.when(F.get(held, F.lit(5)), 100).otherwise(0)
+                for n, (_, value, _) in enumerate(checks):
+                    total = total + F.when(F.get(held, F.lit(n)), value).otherwise(0)
+                issues = [F.when(~F.get(held, F.lit(n)), name) for n, (_, _, name) in enumerate(checks)]
+                issues.append(F.when(has_ref & ~F.get(held, F.lit(5)), "low_source_overlap"))
+                return F.struct(
+                    c["text"].alias("text"), c["para_ids"].alias("para_ids"), (total / 100).alias("quality"),
+                    F.array_compact(F.array(*issues)).alias("issues"), tx.claim_key(c["text"]).alias("key"),
+                )
+
+            return tx.let(tests, sums)
+
+        shares = tx.let(F.struct(tx.tokens(norm).alias("left"), tx.tokens(para).alias("right")), overlap)
+        return tx.let(F.struct(norm.alias("norm"), shares.alias("overlap")), points)
+
+    return tx.let(F.transform(paragraphs, lambda p: p["para_id"]), lambda ids: F.transform(claims, lambda c: judged(c, ids)))
+
+
+def _weak(c: Column) -> Column:
+    return (c["quality"] < fx.WEAK_QUALITY) | (F.size(c["issues"]) >= fx.WEAK_ISSUES)
+
+
+def refine_claims(rows: DataFrame, initial: str = "claims", rounds: int = fx.REFINER_ROUNDS) -> DataFrame:
+    """Replace weak and duplicate claims by the best unused claims of the pool, in each row.
+
+    The pool holds every initial and rule-based claim; only keys of kept claims are excluded, so a
+    removed claim may return. A document stops when nothing is to be replaced or nothing can be,
+    which leaves a warning. ``claims`` gets the result with quality and issues, ``refine`` the
+    iterations, replacements, weak claims left and warnings.
     """
-    cols = ["doc_id", "ord", "text", "para_ids"]
-    both = initial.select(*cols, F.lit(0).alias("src")).unionByName(
-        fallback.select(*cols, F.lit(1).alias("src"))
+    judged = rows.withColumn("__now", quality_of(F.col(initial), F.col("paragraphs")))
+    same = initial == "claims"
+    df = settle(judged if same else judged.withColumn("__own", quality_of(F.col("claims"), F.col("paragraphs"))))
+    known = F.col("__now") if same else F.concat("__now", "__own")
+    unique = F.filter(aa.first_of_each(known, lambda c: c["key"]), lambda c: c["key"] != "")
+    pool = F.transform(
+        F.sort_array(F.transform(unique, lambda c, i: F.struct((-c["quality"]).alias("neg"), i.alias("i"), c.alias("c")))), lambda p: p["c"]
     )
-    scored = with_quality(both, extracts).withColumn("key", tx.claim_key(F.col("text")))
-    scored = cluster(scored.withColumn("n_issues", F.size("issues")), "doc_id")
-    first = Window.partitionBy("doc_id", "key").orderBy("src", "ord")
-    rows = scored.withColumn("first", F.row_number().over(first) == 1)
-    in_pool = F.col("first") & (F.col("key") != "")
-    place = Window.partitionBy("doc_id").orderBy("src", "ord")
-    rows = rows.withColumn("pool_ord", F.row_number().over(place))
-    kinds = F.array_compact(F.array(F.when(F.col("src") == 0, 0), F.when(in_pool, 1)))
-    rows = rows.withColumn("kind", F.explode(kinds)).withColumn(
-        "at", F.when(F.col("kind") == 0, F.col("ord")).otherwise(F.col("pool_ord"))
+    none = F.array().cast("array<string>")
+    state = F.struct(
+        F.col("__now").alias("now"), F.lit(0).alias("iterations"), F.lit(0).alias("replacements"), none.alias("warnings"), F.lit(False).alias("done")
     )
-    state = ["doc_id", "kind", "at", "text", "para_ids", "quality", "n_issues", "key", "pool_ord"]
-    rows = rows.select(*state)
+    df = settle(df.withColumns({"__pool": pool, "__state": state}).drop("__now", "__own"))
     for number in range(1, rounds + 1):
-        rows = _round(rows, number * 1000).select(*state)
-    final = rows.where("kind = 0")
-    w = Window.partitionBy("doc_id").orderBy("at")
-    return final.select(
-        "doc_id", F.row_number().over(w).alias("ord"), "text", "para_ids", "quality", "n_issues"
+        df = settle(df.withColumn("__state", _round(F.col("__state"), F.col("__pool"), number)))
+    last = F.col("__state")
+    empty = F.size(last["now"]) == 0
+    report = F.struct(
+        F.when(empty, 0).otherwise(last["iterations"]).alias("iterations"),
+        last["replacements"].alias("replacements"),
+        F.size(F.filter(last["now"], _weak)).alias("weak_claims"),
+        F.when(empty, F.array(F.lit(fx.MSG["no_claims"]))).otherwise(last["warnings"]).alias("warnings"),
     )
-
-
-def _round(rows: DataFrame, base: int) -> DataFrame:
-    current = F.col("kind") == 0
-    doc = Window.partitionBy("doc_id")
-    same = Window.partitionBy("doc_id", "kind", "key")
-    weak = (F.col("quality") < fx.WEAK_QUALITY) | (F.col("n_issues") >= fx.WEAK_ISSUES)
-    loser = F.row_number().over(same.orderBy(F.desc("quality"), "at")) > 1
-    df = rows.withColumn("replace", current & (weak | loser))
-    df = df.withColumn("kept", current & ~F.col("replace"))
-    df = df.withColumn("used", F.max("kept").over(Window.partitionBy("doc_id", "key")))
-    df = df.withColumn("need", F.count_if("replace").over(doc))
-    free = ~current & ~F.col("used")
-    ranked = Window.partitionBy("doc_id", "free").orderBy(F.desc("quality"), "pool_ord")
-    df = df.withColumn("free", free).withColumn("rank", F.row_number().over(ranked))
-    df = df.withColumn("take", F.col("free") & (F.col("rank") <= F.col("need")))
-    df = df.withColumn("changed", F.max("take").over(doc))
-    # Kept claims stay in order, the taken ones follow by rank; without any, nothing changes.
-    stays = F.when(~current, True).otherwise(F.col("kept") | ~F.col("changed"))
-    entries = F.array_compact(
-        F.array(
-            F.when(stays, F.struct(F.col("kind").alias("kind"), F.col("at").alias("at"))),
-            F.when(F.col("take"), F.struct(F.lit(0).alias("kind"), (F.col("rank") + base).alias("at"))),
-        )
+    claims = F.transform(
+        last["now"],
+        lambda c, i: F.struct(
+            F.format_string("claim_%d", i + 1).alias("claim_id"), c["text"].alias("text"), c["para_ids"].alias("para_ids"),
+            c["quality"].alias("quality"), c["issues"].alias("issues"),
+        ),
     )
-    return df.withColumn("e", F.explode(entries)).drop("kind", "at").select("*", "e.kind", "e.at")
-
+    return settle(df.withColumns({"claims": claims, "refine": report}).drop("__state", "__pool"))
+
+
+def _round(state: Column, pool: Column, number: int) -> Column:
+    def winners(now: Column) -> Column:
+        """Places of the best claim of each key."""
+        keyed = F.transform(now, lambda c, i: F.struct(c["key"].alias("key"), c["quality"].alias("quality"), (-i).alias("neg")))
+        best = lambda g: F.array_max(F.transform(g["xs"], lambda x: F.struct(x["quality"], x["neg"].alias("neg"))))
+        return F.transform(aa.groups(keyed, lambda x: x["key"]), lambda g: -best(g)["neg"])
+
+    def kept(s: Column) -> Column:
+        return tx.let(winners(s["now"]), lambda w: F.filter(s["now"], lambda c, i: ~_weak(c) & F.array_contains(w, i)))
+
+    def taken(s: Column, stay: Column) -> Column:
+        free = tx.let(F.transform(stay, lambda c: c["key"]), lambda used: F.filter(pool, lambda p: ~F.array_contains(used, p["key"])))
+        return F.slice(free, 1, F.size(s["now"]) - F.size(stay))
+
+    def step(v: Column) -> Column:
+        s, stay, take = v["s"], v["stay"], v["take"]
+        need = F.size(s["now"]) - F.size(stay)
+        idle = s["done"] | (F.size(take) == 0)
+        text = F.lit(fx.MSG["refiner_empty"].replace("{n}", str(number)))
+        return F.struct(
+            F.when(idle, s["now"]).otherwise(F.concat(stay, take)).alias("now"),
+            F.when(s["done"], s["iterations"]).otherwise(F.lit(number)).alias("iterations"),
+            (s["replacements"] + F.when(idle, 0).otherwise(F.size(take))).alias("replacements"),
+            F.when(~s["done"] & (need > 0) & (F.size(take) == 0), F.array_append(s["warnings"], text)).otherwise(s["warnings"]).alias("warnings"),
+            idle.alias("done"),
+        )
 
-def refine_summary(refined: DataFrame) -> DataFrame:
-    """Claims and still weak claims per document after refinement."""
-    weak = (F.col("quality") < fx.WEAK_QUALITY) | (F.col("n_issues") >= fx.WEAK_ISSUES)
-    return refined.groupBy("doc_id").agg(
-        F.count("*").alias("claims"), F.count_if(weak).alias("weak_claims")
+    with_stay = tx.let(state, lambda s: F.struct(s.alias("s"), kept(s).alias("stay")))
+    return tx.let(
+        with_stay,
+        lambda v: tx.let(F.struct(v["s"].alias("s"), v["stay"].alias("stay"), taken(v["s"], v["stay"]).alias("take")), step),
     )
 
 
-def mine_with_model(
-    mined: DataFrame, outputs: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Claims from model answers merged with the rule-based ones, then refined.
+def mine_with_model(mined: DataFrame, outputs: DataFrame | None = None, enforce: bool = False) -> DataFrame:
+    """Rows whose claims come from model answers merged with the rule-based ones, then refined.
 
     ``mined`` carries the rule-based ``claims``; ``outputs`` (doc_id, segment, max_claims,
-    raw_json) may be missing, then the rule-based claims alone are refined. Returns the claim
-    table and the warnings.
+    raw_json) may be missing, then the rule-based claims alone are refined and nothing is
+    shuffled. ``claim_warnings`` gathers those of the answers and of the refinement.
     """
-    fallback = claim_table(mined)
     if outputs is None:
-        return refine_claims(fallback, fallback, mined), None
-    rows, warnings = output_claims(outputs)
-    primary = rank_candidates(dedupe_best(resolve_candidates(rows, mined)))
-    return refine_claims(merge_with_fallback(primary, fallback), fallback, mined), warnings
+        df = refine_claims(mined.withColumn("claim_warnings", F.array().cast("array<string>")))
+    else:
+        df = rank_candidates(dedupe_best(resolve_candidates(with_answers(mined, outputs, enforce))))
+        df = refine_claims(merge_with_fallback(df), "merged").drop("candidates", "merged")
+    return df.withColumn("claim_warnings", F.concat("claim_warnings", F.col("refine.warnings")))

@@ -12,19 +12,22 @@ from docaudit.functions import text as tx
 
 def mine_claims(
     extracts: DataFrame,
-    max_claims: int = fx.MAX_CLAIMS,
-    min_claims: int = fx.FALLBACK_MIN_CLAIMS,
+    max_claims: int | None = None,
+    min_claims: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add ``claims``: claim-like first sentences first, then the rest, in document order.
 
-    If no paragraph gives a sentence of 12 characters, the first non-empty ones stand in.
+    If no paragraph gives a sentence of 12 characters, the non-empty ones stand in. With
+    ``max_claims`` the column ``claims_left_out`` counts those beyond it; ``min_claims`` then
+    limits the stand-ins further.
     """
     df = extracts.withColumn(
         "cand",
         F.transform(
             "paragraphs",
             lambda p: F.struct(
-                tx.claim_text(p["text"]).alias("text"),
+                tx.claim_text(p["text"], max_chars).alias("text"),
                 p["para_id"].alias("para_id"),
                 F.length(tx.js_trim(p["text"])).alias("chars"),
             ),
@@ -43,14 +46,16 @@ def mine_claims(
     likely = F.filter("src", lambda c: c["like"])
     others = F.filter("src", lambda c: ~c["like"])
     ranked = F.transform(
-        F.slice(F.concat(likely, others), 1, max_claims), lambda c: c.dropFields("like")
+        tx.first_items(F.concat(likely, others), max_claims), lambda c: c.dropFields("like")
     )
-    short = F.slice(
-        F.filter("cand", lambda c: F.length(c["text"]) > 0),
-        1,
-        min(max_claims, max(3, min_claims)),
-    )
-    df = df.withColumn("picked", F.when(F.size("src") > 0, ranked).otherwise(short))
+    limits = [n for n in (max_claims, max(3, min_claims) if min_claims else None) if n is not None]
+    short = F.filter("cand", lambda c: F.length(c["text"]) > 0)
+    stand_ins = tx.first_items(short, min(limits) if limits else None)
+    if limits:
+        all_of = F.when(F.size("src") > 0, F.size("src")).otherwise(F.size(short))
+        used = F.when(F.size("src") > 0, F.size(ranked)).otherwise(F.size(stand_ins))
+        df = df.withColumn("claims_left_out", all_of - used)
+    df = df.withColumn("picked", F.when(F.size("src") > 0, ranked).otherwise(stand_ins))
     claims = F.transform(
         "picked",
         lambda c, i: F.struct(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators import structure as st
@@ -38,7 +39,7 @@ def pr_blocks(docs: DataFrame) -> DataFrame:
     )
 
     def blocks(body: Column) -> Column:
-        parts = st._split_before(body, FLUSH_LINE, st.MARK2)
+        parts = st._split_before(body, FLUSH_LINE)
         # Every part but the first begins with the line that ended the block before it.
         bodies = F.transform(parts, lambda b, i: F.when(i > 0, st._after_first_line(b)).otherwise(b))
         return F.filter(F.transform(bodies, tx.js_trim), lambda b: b != "")
@@ -72,7 +73,7 @@ def hunk_list(text: Column) -> Column:
 
     def of_file(piece: Column) -> Column:
         path = tx.first_match(st._first_line(piece), FILE_PATH)
-        hunks = F.slice(st._split_before(piece, HUNK_LINE, st.MARK2), 2, 1 << 30)
+        hunks = F.slice(st._split_before(piece, HUNK_LINE), 2, 1 << 30)
         return tx.let(
             F.when(path != "", path).otherwise("unknown"),
             lambda path: F.transform(hunks, lambda h: of_hunk(path, h)),
@@ -100,12 +101,12 @@ def hunk_list(text: Column) -> Column:
     return F.flatten(F.transform(st._split_before(text, FILE_LINE), of_file))
 
 
-def preview(lines: Column) -> Column:
-    """First three non-blank lines, spaces normalised, joined and cut to 260 characters."""
+def preview(lines: Column, max_lines: int | None = None, max_chars: int | None = None) -> Column:
+    """Non-blank lines, spaces normalised and joined."""
     return tx.let(
-        F.slice(F.filter(F.transform(lines, tx.spaces), lambda x: x != ""), 1, fx.PREVIEW_LINES),
+        tx.first_items(F.filter(F.transform(lines, tx.spaces), lambda x: x != ""), max_lines),
         lambda p: F.when(F.size(p) == 0, "(none)").otherwise(
-            F.substring(F.array_join(p, " ; "), 1, fx.PREVIEW_CHARS)
+            tx.first_chars(F.array_join(p, " ; "), max_chars)
         ),
     )
 
@@ -173,7 +174,7 @@ def diff_stats(hunked: DataFrame) -> DataFrame:
     )
 
 
-def signal_list() -> Column:
+def signal_list(max_paths: int | None = None, max_names: int | None = None) -> Column:
     """Array of (text, warning) signals from the columns of ``diff_stats``."""
     c = F.col
     none = F.lit(None).cast("string")
@@ -182,8 +183,8 @@ def signal_list() -> Column:
         s = F.struct(text.alias("text"), warning.alias("warning"))
         return s if when is None else F.when(when, s)
 
-    def listed(name: str, n: int) -> Column:
-        return F.array_join(F.slice(name, 1, n), ", ")
+    def listed(name: str, n: int | None) -> Column:
+        return F.array_join(tx.first_items(name, n), ", ")
 
     total = c("n_added") + c("n_removed")
     items = [
@@ -200,12 +201,12 @@ def signal_list() -> Column:
         ),
         signal(
             F.size("securities") > 0,
-            F.concat(F.lit("セキュリティ関連ファイル変更: "), listed("securities", fx.LISTED_PATHS)),
+            F.concat(F.lit("セキュリティ関連ファイル変更: "), listed("securities", max_paths)),
             F.lit(fx.MSG["pr_security"]),
         ),
         signal(
             F.size("migrations") > 0,
-            F.concat(F.lit("スキーマ変更ファイル: "), listed("migrations", fx.LISTED_PATHS)),
+            F.concat(F.lit("スキーマ変更ファイル: "), listed("migrations", max_paths)),
             F.when(~c("has_migration_text"), fx.MSG["pr_migration"]),
         ),
         signal(
@@ -233,7 +234,7 @@ def signal_list() -> Column:
     items.append(
         signal(
             F.size("names") > 0,
-            F.concat(F.lit("変更関数候補: "), listed("names", fx.LISTED_NAMES)),
+            F.concat(F.lit("変更関数候補: "), listed("names", max_names)),
         )
     )
     return F.array_compact(F.array(*items))
@@ -299,6 +300,6 @@ def pr_extract(docs: DataFrame) -> DataFrame:
     trimmed = F.transform("paras", lambda p: p.withField("text", tx.js_trim(p["text"])))
     df = df.withColumn(
         "paras",
-        tx.keep_first(F.filter(trimmed, lambda p: p["text"] != ""), lambda p: F.lower(p["text"])),
-    ).withColumn("sections", tx.keep_first(F.col("sections"), lambda s: F.lower(s["title"])))
+        aa.first_of_each(F.filter(trimmed, lambda p: p["text"] != ""), lambda p: F.lower(p["text"])),
+    ).withColumn("sections", aa.first_of_each(F.col("sections"), lambda s: F.lower(s["title"])))
     return st.finish_extract(df, "PR")

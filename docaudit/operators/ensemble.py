@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators import markup as mk
@@ -32,7 +33,7 @@ def clean_sections(sections: Column) -> Column:
         ),
         lambda s: F.length(s["title"]) >= 2,
     )
-    return tx.keep_first(kept, lambda s: F.lower(s["title"]))
+    return aa.first_of_each(kept, lambda s: F.lower(s["title"]))
 
 
 def clean_bib(bib: Column) -> Column:
@@ -42,7 +43,7 @@ def clean_bib(bib: Column) -> Column:
         ),
         lambda b: b["key"] != "",
     )
-    return tx.keep_first(kept, lambda b: b["key"])
+    return aa.first_of_each(kept, lambda b: b["key"])
 
 
 def normalise_candidates(candidates: DataFrame) -> DataFrame:

@@ -2,22 +2,24 @@
 
 Two forms share one severity ladder.
 
-``audit_documents`` claims and paragraphs sit in the same extract row. The rows are clustered
-                    by document once; an inverted index per document then finds the pairs
-                    that share tokens, without any further shuffle.
+``audit_documents`` claims and paragraphs sit in the same extract row. Each row is scored on its
+                    own by an inverted index of its paragraphs: map-only, nothing is shuffled.
 ``audit_tables``    claims and paragraphs are separate tables (for example one claim list
-                    against a whole corpus). They meet in an equi-join on tokens.
+                    against a whole corpus). They meet in equi-joins on a claim's rarer tokens.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit import fixed as fx
 from docaudit.functions.plan import settle
 from docaudit.functions import text as tx
-from docaudit.sources.tables import cluster, fits
+from docaudit.sources.storage import stored
 
 
 def finding_code(
@@ -56,158 +58,119 @@ def evidence_reason(code: Column, best: Column, avg: Column, coverage: Column) -
 
 # ---- claims and paragraphs of the same artifact ------------------------------------------
 
-# Claim texts have at most 280 characters, so fewer than 94 tokens of two characters and a
-# blank: two mask words hold one bit per token position.
-WORD_BITS = 62
+SCORES = T.StructType(
+    [
+        T.StructField("best_score", T.DoubleType()),
+        T.StructField("avg_score", T.DoubleType()),
+        T.StructField("coverage", T.DoubleType()),
+        T.StructField("strong_count", T.LongType()),
+        T.StructField("support_count", T.LongType()),
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+        T.StructField("support_scores", T.ArrayType(T.DoubleType())),
+    ]
+)
 
 
-CODE_STEP = 1024  # more than any token position or token count of a claim
+def score_claims(claims: list[list[str]], paragraphs: list[list[str]]) -> list[dict]:
+    """Scores of each claim (tokens, repeats counted) against the paragraphs (tokens) of its document.
 
-
-def _posting(token: Column, code: Column) -> Column:
-    return F.struct(token.alias("token"), code.cast("long").alias("code"))
-
-
-def _claim_postings(c: Column, at: Column) -> Column:
-    """One posting per token position; the negative code packs claim, position, size and flag.
-
-    An extra empty token stands for the claim itself, so that claims without any match (or
-    any token) stay in the result. Plain numbers keep the grouping cheap.
+    An inverted index gives the paragraphs of each token; a claim adds up its tokens' lists.
     """
-
-    def rows(o: Column) -> Column:
-        toks, q = o["toks"], o["q"].cast("long")
-        n = F.size(toks) - 1
-        return F.transform(
-            toks,
-            lambda t, i: _posting(
-                t, -(((at.cast("long") * CODE_STEP + i) * CODE_STEP + n) * 2 + q) - 1
-            ),
+    number: dict[str, int] = {}
+    holders: list[list[int]] = []
+    for place, tokens in enumerate(paragraphs):
+        for token in set(tokens):
+            at = number.setdefault(token, len(holders))
+            if at == len(holders):
+                holders.append([])
+            holders[at].append(place)
+    lists = [np.array(h, "i4") for h in holders]
+    out = []
+    for tokens in claims:
+        counts: dict[int, int] = {}
+        for token in tokens:
+            at = number.get(token)
+            if at is not None:
+                counts[at] = counts.get(at, 0) + 1
+        best, strong, support, top, top_scores = 0.0, 0, 0, [], []
+        if counts:
+            matched = np.zeros(len(paragraphs), "i8")
+            for at, n in counts.items():
+                matched[lists[at]] += n
+            scores = matched / len(tokens)
+            best, strong = float(scores.max()), int((scores >= fx.STRONG_SCORE).sum())
+            near = np.flatnonzero(scores >= fx.SUPPORT_SCORE)
+            support = len(near)
+            top = near[np.argsort(-scores[near], kind="stable")[: fx.SUPPORT_LIMIT]].tolist()
+            top_scores = scores[top].tolist()
+        total = 0.0
+        for score in top_scores:  # plain additions in order; sum() would compensate for rounding
+            total += score
+        held = set().union(*(paragraphs[place] for place in top))
+        covered = sum(token in held for token in tokens)
+        out.append(
+            {
+                "best_score": best,
+                "avg_score": total / len(top) if top else 0.0,
+                "coverage": covered / len(tokens) if top else 0.0,
+                "strong_count": strong,
+                "support_count": support,
+                "places": top,
+                "support_scores": top_scores,
+            }
         )
-
-    toks = F.concat(F.array(F.lit("")), tx.evidence_tokens(c))
-    return tx.let(F.struct(toks.alias("toks"), tx.has_quantity(c).alias("q")), rows)
+    return out
 
 
-def _para_postings(p: Column, at: Column) -> Column:
-    """One posting per distinct token; the code packs paragraph and flag."""
-    return tx.let(
-        at * 2 + tx.has_quantity(p).cast("int"),
-        lambda code: F.transform(
-            F.array_distinct(tx.evidence_tokens(p)), lambda t: _posting(t, code)
-        ),
-    )
+@F.arrow_udf(T.ArrayType(SCORES))
+def _scores(claims: pa.Array, paragraphs: pa.Array) -> pa.Array:
+    rows = [score_claims(c.as_py() or [], p.as_py() or []) for c, p in zip(claims, paragraphs)]
+    kind = pa.struct(
+        [
+            ("best_score", pa.float64()), ("avg_score", pa.float64()), ("coverage", pa.float64()), ("strong_count", pa.int64()),
+            ("support_count", pa.int64()), ("places", pa.list_(pa.int32())), ("support_scores", pa.list_(pa.float64())),
+        ]
+    )
+    return pa.array(rows, pa.list_(kind))
 
 
-def claim_paragraph_scores(mined: DataFrame) -> DataFrame:
-    """(doc_id, claim, para, score, ...) for claims and paragraphs of a document sharing a token.
+def audit_rows(mined: DataFrame) -> DataFrame:
+    """Add ``audit`` to rows with paragraphs and claims: one entry per claim, in claim order.
 
-    The texts are clustered by document once. The inverted index and the pair sums group by
-    the document and more columns, so they stay inside a task and shuffle nothing again.
-    Each claim also keeps one row with a null paragraph and score 0.
+    Each has the claim's id and text, its scores, up to three support paragraphs, finding code
+    and severity; ``para_ids`` are those of a risk.
     """
-    texts = mined.select(
-        "doc_id",
-        F.transform("paragraphs", lambda p: p["text"]).alias("paragraphs"),
-        F.transform("claims", lambda c: c["text"]).alias("claims"),
-    )
-    texts = cluster(texts, "doc_id")
-    postings = F.concat(
-        F.flatten(F.transform("paragraphs", _para_postings)),
-        F.flatten(F.transform("claims", _claim_postings)),
-    )
-    rows = texts.select("doc_id", F.inline(postings))
-    code = F.col("code")
-    index = rows.groupBy("doc_id", "token").agg(
-        F.collect_list(F.when(code < 0, -code - 1)).alias("claims"),
-        F.collect_list(F.when(code >= 0, code)).alias("paras"),
-    )
-    index = index.where((F.size("claims") > 0) & ((F.size("paras") > 0) | (F.col("token") == "")))
-    hits = index.select("doc_id", F.explode("claims").alias("c"), "paras").select(
-        "doc_id", "c", F.explode_outer("paras").alias("p")
-    )
-    hits = hits.select(
-        "doc_id",
-        F.expr(f"c div {2 * CODE_STEP * CODE_STEP}").cast("int").alias("claim"),
-        F.expr("p div 2").cast("int").alias("para"),
-        F.expr("p % 2 = 1").alias("para_q"),
-        F.expr(f"cast(c div {2 * CODE_STEP} % {CODE_STEP} as int) - 1").alias("pos"),
-        F.expr(f"cast(c div 2 % {CODE_STEP} as int)").alias("n"),
-        F.expr("c % 2 = 1").alias("claim_q"),
-    )
-    hits = hits.select(
-        "doc_id", "claim", "para", "para_q", "n", "claim_q",
-        F.expr(f"if(pos between 0 and {WORD_BITS - 1}, shiftleft(1L, pos), 0L)").alias("lo"),
-        F.expr(f"if(pos >= {WORD_BITS}, shiftleft(1L, pos - {WORD_BITS}), 0L)").alias("hi"),
-    )
-    pairs = hits.groupBy("doc_id", "claim", "para").agg(
-        F.bit_or("lo").alias("lo"),
-        F.bit_or("hi").alias("hi"),
-        F.max("n").alias("n"),
-        F.max("claim_q").alias("claim_q"),
-        F.max("para_q").alias("para_q"),
-    )
-    matched = F.bit_count("lo") + F.bit_count("hi")
-    return pairs.withColumn(
-        "score", F.when(matched > 0, matched / F.col("n")).otherwise(0.0)
-    )
+    texts = lambda name: F.transform(name, lambda x: tx.evidence_tokens(x["text"]))
+    df = settle(mined.withColumns({"__claims": texts("claims"), "__paras": F.transform(texts("paragraphs"), F.array_distinct)}))
+    df = settle(df.withColumn("__scores", _scores("__claims", "__paras")).drop("__claims", "__paras"))
+    none = F.array().cast("array<string>")
 
+    def entry(claim: Column, place: Column, paragraphs: Column, scores: Column) -> Column:
+        s = F.get(scores, place)
+        ids = F.transform(s["places"], lambda i: F.get(paragraphs, i)["para_id"])
+        para_q = F.exists(s["places"], lambda i: tx.has_quantity(F.get(paragraphs, i)["text"]))
+        code = finding_code(s["best_score"], s["coverage"], s["strong_count"], F.size(s["places"]), tx.has_quantity(claim["text"]), para_q)
+
+        def filled(code: Column) -> Column:
+            return F.struct(
+                (place + 1).alias("ord"), claim["claim_id"].alias("claim_id"), claim["text"].alias("text"),
+                *[s[n].alias(n) for n in ("best_score", "avg_score", "coverage", "strong_count", "support_count")],
+                ids.alias("support_ids"), s["support_scores"].alias("support_scores"), code.alias("code"),
+                code_severity(code).alias("severity"), F.when(code == "no_evidence", none).otherwise(ids).alias("para_ids"),
+            )
+
+        return tx.let(code, filled)
+
+    audit = tx.let(
+        F.struct("paragraphs", "__scores"),
+        lambda row: F.transform("claims", lambda c, i: entry(c, i, row["paragraphs"], row["__scores"])),
+    )
+    return settle(df.withColumn("audit", audit).drop("__scores"))
 
-def audit_documents(mined: DataFrame, para_prefix: str = "par") -> DataFrame:
-    """Audit of every claim against the paragraphs of its own document.
 
-    One row per claim: scores, up to three support paragraphs (``para_prefix`` ids), finding
-    code and severity.
-    """
-    pairs = claim_paragraph_scores(mined)
-    entry = F.struct((-F.col("score")).alias("neg"), "para", "para_q", "lo", "hi")
-    supports = F.when(F.col("score") >= fx.SUPPORT_SCORE, entry)
-    per_claim = pairs.groupBy("doc_id", "claim").agg(
-        F.max("score").alias("best_score"),
-        F.count_if(F.col("score") >= fx.STRONG_SCORE).alias("strong_count"),
-        F.count_if(F.col("score") >= fx.SUPPORT_SCORE).alias("support_count"),
-        F.max("n").alias("n"),
-        F.max("claim_q").alias("claim_q"),
-        F.collect_list(supports).alias("supports"),
-    )
-    df = per_claim.withColumn(
-        "top", F.slice(F.sort_array("supports"), 1, fx.SUPPORT_LIMIT)
-    ).drop("supports")
-    df = settle(df)
-    zero = F.lit(0).cast("long")
-    covered = F.bit_count(
-        F.aggregate("top", zero, lambda a, x: a.bitwiseOR(x["lo"]))
-    ) + F.bit_count(F.aggregate("top", zero, lambda a, x: a.bitwiseOR(x["hi"])))
-    n_top = F.size("top")
-    df = df.select(
-        "doc_id",
-        (F.col("claim") + 1).alias("ord"),
-        F.format_string("claim_%d", F.col("claim") + 1).alias("claim_id"),
-        "best_score",
-        F.when(n_top > 0, F.aggregate("top", F.lit(0.0), lambda a, x: a - x["neg"]) / n_top)
-        .otherwise(0.0)
-        .alias("avg_score"),
-        F.when(F.col("n") > 0, covered / F.col("n")).otherwise(0.0).alias("coverage"),
-        "strong_count",
-        "support_count",
-        F.transform("top", lambda x: tx.seq_id(para_prefix, x["para"] + 1)).alias("support_ids"),
-        F.transform("top", lambda x: -x["neg"]).alias("support_scores"),
-        "claim_q",
-        F.exists("top", lambda x: x["para_q"]).alias("para_q"),
-    )
-    code = finding_code(
-        F.col("best_score"),
-        F.col("coverage"),
-        F.col("strong_count"),
-        F.size("support_ids"),
-        F.col("claim_q"),
-        F.col("para_q"),
-    )
-    none = F.array().cast("array<string>")
-    df = settle(df.withColumn("code", code).drop("claim_q", "para_q"))
-    return df.withColumn("severity", code_severity(F.col("code"))).withColumn(
-        "para_ids", F.when(F.col("code") == "no_evidence", none).otherwise(F.col("support_ids"))
-    )
+def audit_documents(mined: DataFrame) -> DataFrame:
+    """One row per claim of its audit against the paragraphs of its own document."""
+    return audit_rows(mined.select("doc_id", "paragraphs", "claims")).select("doc_id", F.inline("audit"))
 
 
 def evidence_risks(claim_audit: DataFrame) -> DataFrame:
@@ -217,46 +180,30 @@ def evidence_risks(claim_audit: DataFrame) -> DataFrame:
 
 # ---- claims and paragraphs as tables -----------------------------------------------------
 
+PARA_KEY = ["doc_id", "ord", "para_id"]
+HOT_ROWS = 100_000  # paragraphs of a token beyond which they are spread over salts
+
 
 def claim_token_table(claims: DataFrame, key: str, by: list[str]) -> DataFrame:
     """(by, key, token, cnt, n): every distinct claim token with its repeats."""
     df = claims.withColumn("toks", tx.evidence_tokens(F.col("text")))
-    per_token = F.transform(
-        F.array_distinct("toks"),
-        lambda t: F.struct(
-            t.alias("token"), F.size(F.filter("toks", lambda x: x == t)).alias("cnt")
-        ),
-    )
-    return df.select(*by, key, F.size("toks").alias("n"), F.inline(per_token))
+    return df.select(*by, key, F.size("toks").alias("n"), F.explode("toks").alias("token")).groupBy(*by, key, "n", "token").agg(F.count("*").alias("cnt"))
 
 
-PARA_KEY = ["doc_id", "ord", "para_id"]
-
-
-def score_pairs(tokens: DataFrame, paragraphs: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Scores of all claim-paragraph pairs that share a token.
+def split_by_rarity(tokens: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``df``, ``needed`` and ``last``: the claim's most frequent tokens, which no candidate rests on.
 
-    Paragraphs are spread by their own id, not by document, so that one huge document is
-    split over many tasks; the pair aggregation keeps that partitioning and adds no shuffle
-    while the claim tokens are broadcast.
+    A supporting paragraph matches at least ``needed`` of a claim's ``n`` tokens. The most frequent
+    tokens that together make fewer than that can't carry one alone, so that every supporting
+    paragraph also holds one of the rarer tokens. A claim's tokens are bounded by its text.
     """
-    toks = paragraphs.select(
-        *PARA_KEY, F.explode(F.array_distinct(tx.evidence_tokens(F.col("text")))).alias("token")
-    )
-    hits = toks.join(tokens, [*by, "token"])
-    return hits.groupBy(*PARA_KEY, *[c for c in by if c not in PARA_KEY], key).agg(
-        (F.sum("cnt") / F.max("n")).alias("score")
-    )
-
-
-def top_support(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Up to three best paragraphs per claim, ties in paragraph order."""
-    w = Window.partitionBy(*key).orderBy(F.desc("score"), "doc_id", "ord")
-    return (
-        pairs.where(F.col("score") >= fx.SUPPORT_SCORE)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= fx.SUPPORT_LIMIT)
-    )
+    df = tokens.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # the least count whose share reaches the threshold, by the same division as the score
+    floor = F.ceil(F.col("n") * fx.SUPPORT_SCORE).cast("int")
+    needed = F.when((floor - 1) / F.col("n") >= fx.SUPPORT_SCORE, floor - 1).when(floor / F.col("n") >= fx.SUPPORT_SCORE, floor).otherwise(floor + 1)
+    common = Window.partitionBy(*keys).orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("needed", F.greatest(F.lit(1), needed)).withColumn("sum", F.sum("cnt").over(common))
+    return df.withColumn("last", F.col("sum") < F.col("needed")).drop("sum")
 
 
 def audit_tables(
@@ -265,54 +212,71 @@ def audit_tables(
     """Audit of a claim table against a paragraph table (doc_id, ord, para_id, text).
 
     ``by`` names columns that must agree (``["doc_id"]`` keeps matching inside documents).
-    Claims without any shared token stay in the result with score 0.
+    Claims without any shared token stay in the result with score 0. Candidates come from a
+    claim's rarer tokens alone; those that could still reach the threshold are completed by its
+    frequent ones. Only claims without any support, whose best score is all that counts, meet
+    the paragraphs of all their tokens. Texts are read once; only tokens travel.
     """
     by = by or []
     keys = [*by, key]
+    pair = [*PARA_KEY, *(c for c in keys if c not in PARA_KEY)]
     tokens = claim_token_table(claims, key, by)
-    # Claim tokens are broadcast only after counting them. Beyond that the joins shuffle, and
-    # adaptive execution splits hot tokens.
-    small = fits(tokens)
-    paras = cluster(paragraphs.select(*PARA_KEY, "text"), "doc_id", "ord")
-    pairs = score_pairs(F.broadcast(tokens) if small else tokens, paras, key, by)
-    totals = pairs.groupBy(*keys).agg(
+    held = F.array_distinct(tx.evidence_tokens(F.col("text"))).alias("held")
+    places = settle(paragraphs.select(*PARA_KEY, tx.has_quantity(F.col("text")).alias("para_q"), held))
+    places = places.select(*PARA_KEY, "para_q", F.explode("held").alias("token"))
+    places = stored(places.join(tokens.select("token").distinct(), "token", "left_semi"), "places")
+    ranked = stored(split_by_rarity(tokens, places.groupBy("token").agg(F.count("*").alias("df")), keys), "ranked")
+    hot = ranked.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("salts")).distinct()
+
+    def meet(some: DataFrame) -> DataFrame:
+        """Rows of paragraphs and claims that share a token; a hot one is met in several parts."""
+        left = some.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        right = places.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64(*PARA_KEY), F.coalesce("salts", F.lit(1))).cast("int"))
+        return right.drop("salts").join(left.drop("salts"), [*by, "token", "salt"])
+
+    common = ranked.where("last")
+    found = meet(ranked.where(~F.col("last"))).groupBy(*pair).agg(
+        F.sum("cnt").alias("got"), F.max("n").alias("n"), F.max("needed").alias("needed"), F.max("para_q").alias("para_q")
+    )
+    rest = common.groupBy(*keys).agg(F.sum("cnt").alias("most"), F.collect_list(F.struct("token", "cnt")).alias("rest"))
+    found = found.join(rest, keys, "left").where(F.col("got") + F.coalesce("most", F.lit(0)) >= F.col("needed"))
+    found = stored(found.drop("needed"), "found")
+    frequent = places.join(common.select("token").distinct(), "token", "left_semi").select(*PARA_KEY, "token")
+    more = found.where("rest IS NOT NULL").select(*pair, F.inline("rest")).join(frequent, [*PARA_KEY, "token"])
+    scored = found.drop("rest", "most").join(more.groupBy(*pair).agg(F.sum("cnt").alias("more")), pair, "left")
+    scored = scored.withColumn("score", (F.col("got") + F.coalesce("more", F.lit(0))) / F.col("n"))
+    scored = stored(scored.where(F.col("score") >= fx.SUPPORT_SCORE).select(*pair, "para_q", "score"), "scored")
+    totals = scored.groupBy(*keys).agg(
         F.max("score").alias("best_score"),
         F.count_if(F.col("score") >= fx.STRONG_SCORE).alias("strong_count"),
-        F.count_if(F.col("score") >= fx.SUPPORT_SCORE).alias("support_count"),
-    )
-    # At most three rows per claim meet the texts again. Null-safe keys add no filter, and the
-    # same columns are taken, below the shuffle of the texts: its output is read again instead
-    # of made again.
-    top = top_support(pairs, keys).alias("t")
-    again = paras.alias("p")
-    same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.ord").eqNullSafe(F.col("t.ord"))
-    top = again.join(F.broadcast(top) if small else top, same)
-    top = top.select("p.para_id", "p.text", *[f"t.{c}" for c in dict.fromkeys(["doc_id", "rank", "score", *keys])])
-    support = top.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct("rank", "score", "doc_id", "para_id", "text"))
-        ).alias("top")
+        F.count("*").alias("support_count"),
     )
-    df = claims.join(totals, keys, "left").join(support, keys, "left")
-    toks = tx.evidence_tokens(F.col("text"))
-    df = df.withColumn("toks", toks).withColumn(
+    poor = meet(ranked.join(totals.select(*keys), keys, "left_anti")).groupBy(*pair).agg((F.sum("cnt") / F.max("n")).alias("score"))
+    best = poor.groupBy(*keys).agg(F.max("score").alias("poor_score"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id", "ord")
+    top = stored(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= fx.SUPPORT_LIMIT), "top")
+    support = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "doc_id", "para_id", "para_q"))).alias("top"))
+    # A claim's tokens in any of its three best paragraphs, each counted once
+    seen = places.drop("para_q").join(top.select(*pair), PARA_KEY).select(*keys, "token").distinct()
+    covered = seen.join(ranked.select(*keys, "token", "cnt"), [*keys, "token"]).groupBy(*keys).agg(F.sum("cnt").alias("covered"))
+    df = claims
+    for part in (totals, best, support, covered):
+        df = df.join(part, keys, "left")
+    df = df.withColumn("n", F.size(tx.evidence_tokens(F.col("text")))).withColumn(
         "top", F.coalesce("top", F.array().cast(support.schema["top"].dataType))
     )
-    seen = F.flatten(F.transform("top", lambda x: tx.evidence_tokens(x["text"])))
-    df = df.withColumn("seen", seen)
-    covered = F.size(F.filter("toks", lambda t: F.array_contains("seen", t)))
     n_top = F.size("top")
     df = df.select(
         *claims.columns,
-        F.coalesce("best_score", F.lit(0.0)).alias("best_score"),
+        F.coalesce("best_score", "poor_score", F.lit(0.0)).alias("best_score"),
         F.when(
             n_top > 0, F.aggregate("top", F.lit(0.0), lambda a, x: a + x["score"]) / n_top
         ).otherwise(0.0).alias("avg_score"),
-        F.when(F.size("toks") > 0, covered / F.size("toks")).otherwise(0.0).alias("coverage"),
+        F.when(F.col("n") > 0, F.coalesce("covered", F.lit(0)) / F.col("n")).otherwise(0.0).alias("coverage"),
         F.coalesce("strong_count", F.lit(0)).alias("strong_count"),
         F.coalesce("support_count", F.lit(0)).alias("support_count"),
         F.transform("top", lambda x: F.struct(x["doc_id"], x["para_id"])).alias("support"),
-        F.exists("top", lambda x: tx.has_quantity(x["text"])).alias("para_q"),
+        F.exists("top", lambda x: x["para_q"]).alias("para_q"),
     )
     code = finding_code(
         F.col("best_score"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators.archive import safe_path
@@ -21,12 +23,19 @@ NUMBER_REF = tx.spark_regex(r"\b(?:Fig\.?|Figure)\s*(\d+)\b", True)
 # ---- archive members (archive_id, ordinal, path, text) ----------------------------------
 
 
+def safe_members(members: DataFrame) -> DataFrame:
+    """Members by their safe path. Of a repeated path the last one counts, at the place of the first."""
+    clean = members.withColumn("path", safe_path(F.col("path"))).where(F.col("path").isNotNull())
+    return clean.groupBy("archive_id", "path").agg(F.min("ordinal").alias("ordinal"), F.max_by("text", "ordinal").alias("text"))
+
+
 def main_tex(members: DataFrame) -> DataFrame:
-    """Main file per archive: first ``*/main.tex``, else ``main.tex``, else the first .tex."""
-    tex = members.where(F.lower("path").endswith(".tex"))
+    """Main file per archive: first ``*/main.tex``, else ``main.tex``, else the first .tex; null without any."""
+    rows = members.withColumn("path", safe_path(F.col("path")))
+    is_tex = F.lower("path").endswith(".tex")
     rank = F.when(F.col("path").endswith("/main.tex"), 0).when(F.col("path") == "main.tex", 1).otherwise(2)
-    return tex.groupBy("archive_id").agg(
-        F.min_by("path", F.struct(rank, F.col("ordinal"))).alias("main_path")
+    return rows.groupBy("archive_id").agg(
+        F.min_by(F.when(is_tex, F.col("path")), F.when(is_tex, F.struct(rank, F.col("ordinal")))).alias("main_path")
     )
 
 
@@ -50,11 +59,12 @@ def resolve_include(main_path: Column, target: Column) -> Column:
 def expand_includes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(archive_id, source) with one level of includes resolved, and a warning table.
 
-    Missing or unsafe targets leave a line end and a warning.
+    Missing or unsafe targets leave a line end and a warning, an archive without a .tex member an
+    empty source and a warning.
     """
-    main = members.join(
-        main_tex(members).withColumnRenamed("main_path", "path"), ["archive_id", "path"], "left_semi"
-    )
+    members, entry = safe_members(members), main_tex(members)
+    bare = entry.where(F.col("main_path").isNull()).select("archive_id")
+    main = members.join(entry.withColumnRenamed("main_path", "path"), ["archive_id", "path"], "left_semi")
     text = tx.newlines(F.col("text"))
     pieces = F.arrays_zip(
         F.split(text, INCLUDE, -1).alias("before"), tx.regexp_all(text, INCLUDE, 1).alias("target")
@@ -83,12 +93,14 @@ def expand_includes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         "archive_id", "pos",
         F.concat(F.lit("Included file not found: "), F.col("target")).alias("warning"),
     )
-    return source, warnings
+    source = source.unionByName(bare.select("archive_id", F.lit("").alias("source")))
+    empty = bare.select("archive_id", F.lit(0).alias("pos"), F.lit(fx.MSG["archive_no_tex"]).alias("warning"))
+    return source, warnings.unionByName(empty)
 
 
 def bib_keys(members: DataFrame) -> DataFrame:
     """Bibliography keys of the .bib members, first occurrence wins."""
-    bib = members.where(F.lower("path").endswith(".bib"))
+    bib = safe_members(members).where(F.lower("path").endswith(".bib"))
     keys = bib.select(
         "archive_id", "ordinal", F.posexplode(tx.regexp_all(F.col("text"), BIB_KEY, 1)).alias("pos", "key")
     )
@@ -103,13 +115,13 @@ def bib_keys(members: DataFrame) -> DataFrame:
 
 
 def starts(lengths: Column) -> Column:
-    """Running start offsets of consecutive pieces."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(
+    """Start offsets of consecutive pieces."""
+    return tx.let(
         lengths,
-        zero,
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
-        lambda s: s["out"],
+        lambda sizes: tx.let(
+            aa.running(sizes, lambda a, b: a + b, F.lit(0)),
+            lambda ends: F.transform(sizes, lambda n, i: F.get(ends, i) - n),
+        ),
     )
 
 
@@ -190,6 +202,29 @@ def number_refs(text: Column) -> Column:
     return F.array_distinct(tx.regexp_all(text, NUMBER_REF, 1))
 
 
+def _with_section(chunks: Column, sections: Column) -> Column:
+    """Chunks with the last section that starts at or before them: one pass over both, by offset."""
+    none = F.lit(None).cast("string")
+    event = lambda at, kind, id_, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), id_.alias("section_id"), text.alias("text"))
+    events = F.concat(
+        F.transform(sections, lambda s: event(s["start"], 0, s["section_id"], none)),
+        F.transform(chunks, lambda c: event(c["start"], 1, none, c["text"])),
+    )
+
+    def carried(rows: Column) -> Column:
+        ids = aa.running(F.transform(rows, lambda e: e["section_id"]), lambda a, b: F.coalesce(b, a), none)
+        merged = tx.let(ids, lambda x: F.transform(rows, lambda e, i: e.withField("section_id", F.get(x, i))))
+        return F.filter(merged, lambda e: e["kind"] == 1)
+
+    return tx.let(F.sort_array(events), carried)
+
+
+def paper_extract(docs: DataFrame) -> DataFrame:
+    """Expanded LaTeX sources (doc_id, text) without a bibliography -> extract rows."""
+    none = F.array().cast("array<string>")
+    return latex_extract(docs.select("doc_id", tx.strip_latex_comments(F.col("text")).alias("source"), none.alias("bib")))
+
+
 def latex_extract(sources: DataFrame) -> DataFrame:
     """(doc_id, source, bib) -> extract rows; map-only.
 
@@ -203,20 +238,14 @@ def latex_extract(sources: DataFrame) -> DataFrame:
     join_lines = f"{tx.WS}*\n{tx.WS}*"
     df = settle(df.drop("masked")).withColumn(
         "chunks",
-        tx.let(
-            F.col("sections"),
-            lambda secs: F.filter(
-                F.transform(
-                    "chunks",
-                    lambda c: F.struct(
-                        tx.spaces(F.regexp_replace(c["text"], join_lines, " ")).alias("text"),
-                        F.try_element_at(F.filter(secs, lambda s: s["start"] <= c["start"]), F.lit(-1))[
-                            "section_id"
-                        ].alias("section_id"),
-                    ),
+        F.filter(
+            F.transform(
+                _with_section(F.col("chunks"), F.col("sections")),
+                lambda c: F.struct(
+                    tx.spaces(F.regexp_replace(c["text"], join_lines, " ")).alias("text"), c["section_id"].alias("section_id")
                 ),
-                lambda c: c["text"] != "",
             ),
+            lambda c: c["text"] != "",
         ),
     )
     df = settle(df).withColumn(
@@ -249,28 +278,33 @@ def latex_extract(sources: DataFrame) -> DataFrame:
     )
     df = settle(df)
     blocks = tx.regexp_all(F.col("source"), FIGURE, 0)
+    said = F.flatten(
+        F.transform("refs", lambda r: F.transform(r["labels"], lambda x: F.struct(F.lower(x).alias("k"), r["para_id"].alias("v"))))
+    )
+    mentions = F.map_from_entries(
+        F.transform(
+            aa.groups(said, lambda x: x["k"]),
+            lambda g: F.struct(g["k"], F.array_distinct(F.transform(g["xs"], lambda x: x["v"]))),
+        )
+    )
 
-    def figure(refs: Column, block: Column, i: Column) -> Column:
+    def figure(by_label: Column, block: Column, i: Column) -> Column:
         label = F.nullif(tx.js_trim(F.regexp_extract(block, r"\\label\{([^}]*)\}", 1)), F.lit(""))
         caption = F.nullif(tx.spaces(F.regexp_extract(block, r"\\caption\{([^}]*)\}", 1)), F.lit(""))
-        by = F.filter(
-            refs, lambda r: F.exists(r["labels"], lambda x: F.lower(x) == F.lower(label))
-        )
         none = F.array().cast("array<string>")
+        by = F.coalesce(F.try_element_at(by_label, F.lower(label)), none)
         return F.struct(
             tx.seq_id("fig", i + 1).alias("figure_id"),
             label.alias("label"),
             caption.alias("caption"),
-            F.when(label.isNotNull(), F.transform(by, lambda r: r["para_id"])).otherwise(none).alias(
-                "mentioned_in"
-            ),
+            F.when(label.isNotNull(), by).otherwise(none).alias("mentioned_in"),
         )
 
     df = df.withColumn(
         "figures",
-        tx.let(F.col("refs"), lambda refs: F.transform(blocks, lambda b, i: figure(refs, b, i))),
+        tx.let(mentions, lambda by_label: F.transform(blocks, lambda b, i: figure(by_label, b, i))),
     )
-    df = df.withColumn("bib", tx.keep_first(F.col("bib"), lambda k: k))
+    df = df.withColumn("bib", F.array_distinct("bib"))
     df = df.withColumn("warnings", F.array().cast("array<string>")).withColumn("artifact_type", F.lit("PAPER"))
     return settle(df.drop("source"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
 from docaudit.functions import text as tx
+from docaudit.functions.plan import settle
 
 LOGIC_RULES = [
     ("absolute_without_condition", "HIGH"),
@@ -17,51 +18,96 @@ LOGIC_RULES = [
 ]
 
 
-def logic_flags(claims: DataFrame) -> DataFrame:
+def logic_flags(text: Column) -> Column:
     """The six word predicates of a claim."""
-    low = F.lower("text")
-    return claims.select(
-        "*",
-        tx.has_digit(F.col("text")).alias("has_number"),
-        tx.matches_any(low, fx.VAGUE).alias("is_vague"),
-        tx.matches_any(low, fx.ABSOLUTE).alias("is_absolute"),
-        tx.matches_any(low, fx.COMPARATIVE).alias("is_comparative"),
-        tx.matches_any(low, fx.COMPARATOR).alias("has_comparator"),
-        tx.matches_any(low, fx.CONDITION).alias("has_condition"),
+    return tx.let(
+        F.lower(text),
+        lambda low: F.struct(
+            tx.has_digit(text).alias("number"),
+            tx.matches_any(low, fx.VAGUE).alias("vague"),
+            tx.matches_any(low, fx.ABSOLUTE).alias("absolute"),
+            tx.matches_any(low, fx.COMPARATIVE).alias("comparative"),
+            tx.matches_any(low, fx.COMPARATOR).alias("comparator"),
+            tx.matches_any(low, fx.CONDITION).alias("condition"),
+            (F.length(tx.js_trim(text)) < fx.LOGIC_SHORT_CHARS).alias("short"),
+        ),
     )
 
 
+def logic_of(text: Column) -> Column:
+    """Rule names, reason and severity of the rules that a claim breaks; a null severity if none."""
+
+    def judged(f: Column) -> Column:
+        hits = F.array(
+            f["absolute"] & ~f["condition"],
+            f["vague"] & ~f["number"],
+            f["comparative"] & ~f["comparator"],
+            ~f["number"] & ~f["condition"] & ~f["comparator"],
+            f["short"] & ~f["number"],
+        )
+        names = [n for n, _ in LOGIC_RULES]
+        hit = lambda held, n: F.get(held, F.lit(n))
+
+        def told(held: Column) -> Column:
+            severity = F
+            for level in reversed(fx.SEVERITIES):
+                broken = [hit(held, n) for n, (_, s) in enumerate(LOGIC_RULES) if s == level]
+                test = broken[0]
+                for other in broken[1:]:
+                    test = test | other
+                severity = severity.when(test, level)
+            return F.struct(
+                F.concat_ws(",", *[F.when(hit(held, i), n) for i, n in enumerate(names)]).alias("rules"),
+                F.concat_ws("; ", *[F.when(hit(held, i), fx.MSG[n]) for i, n in enumerate(names)]).alias("reason"),
+                severity.alias("severity"),
+            )
+
+        return tx.let(hits, told)
+
+    return tx.let(logic_flags(text), judged)
+
+
 def inspect_logic(claims: DataFrame) -> DataFrame:
     """Claims (doc_id, ord, claim_id, text) that break a rule: rule names, severity, reason."""
-    number, condition, comparator = F.col("has_number"), F.col("has_condition"), F.col("has_comparator")
-    hit = {
-        "absolute_without_condition": F.col("is_absolute") & ~condition,
-        "vague_without_number": F.col("is_vague") & ~number,
-        "comparison_without_baseline": F.col("is_comparative") & ~comparator,
-        "no_number_condition_comparator": ~number & ~condition & ~comparator,
-        "short_without_number": (F.length(tx.js_trim(F.col("text"))) < fx.LOGIC_SHORT_CHARS) & ~number,
-    }
-    df = logic_flags(claims).select(
-        *claims.columns, *[test.alias(name) for name, test in hit.items()]
-    )
-    rank = {s: i + 1 for i, s in enumerate(fx.SEVERITIES)}
-    worst = F.greatest(
-        *[F.when(F.col(n), F.lit(rank[s])).otherwise(F.lit(0)) for n, s in LOGIC_RULES]
+    df = claims.withColumn("__logic", F.array(logic_of(F.col("text"))))
+    return df.select(*claims.columns, F.inline("__logic")).where(F.col("severity").isNotNull())
+
+
+def logic_rows(rows: DataFrame) -> DataFrame:
+    """Add ``logic``: (ord, claim_id, text, rules, reason, severity) of the claims that break a rule."""
+    every = F.transform(
+        "claims",
+        lambda c, i: tx.let(
+            logic_of(c["text"]),
+            lambda l: F.struct(
+                (i + 1).alias("ord"), c["claim_id"].alias("claim_id"), c["text"].alias("text"),
+                l["rules"].alias("rules"), l["reason"].alias("reason"), l["severity"].alias("severity"),
+            ),
+        ),
     )
-    return df.select(
-        *claims.columns,
-        F.concat_ws(",", *[F.when(F.col(n), n) for n, _ in LOGIC_RULES]).alias("rules"),
-        F.concat_ws("; ", *[F.when(F.col(n), fx.MSG[n]) for n, _ in LOGIC_RULES]).alias("reason"),
-        F.try_element_at(F.array(*[F.lit(s) for s in fx.SEVERITIES]), F.nullif(worst, F.lit(0))).alias(
-            "severity"
+    return settle(rows.withColumn("logic", F.filter(every, lambda l: l["severity"].isNotNull())))
+
+
+def query_of(text: Column, domain: Column | None = None, max_keywords: int | None = None) -> Column:
+    words = F.array_join(tx.keywords(text, max_keywords), " ")
+    return tx.js_trim(words if domain is None else F.concat_ws(" ", F.nullif(domain, F.lit("")), words))
+
+
+def prior_art_rows(rows: DataFrame, domain: str | None = None) -> DataFrame:
+    """Add ``prior_art``: (ord, claim_id, query, rationale) of every claim."""
+    tag = None if domain is None else F.col(domain)
+    found = F.transform(
+        "claims",
+        lambda c, i: F.struct(
+            (i + 1).alias("ord"), c["claim_id"].alias("claim_id"), query_of(c["text"], tag).alias("query"), F.lit(fx.MSG["prior_art"]).alias("rationale")
         ),
-    ).where(F.col("severity").isNotNull())
+    )
+    return settle(rows.withColumn("prior_art", found))
 
 
-def prior_art_queries(claims: DataFrame, domain: str | None = None) -> DataFrame:
-    """One search query per claim: optional domain column, then up to eight keywords."""
-    words = F.array_join(tx.keywords(F.col("text")), " ")
-    query = words if domain is None else F.concat_ws(" ", F.nullif(F.col(domain), F.lit("")), words)
-    return claims.withColumn("query", tx.js_trim(query)).withColumn(
+def prior_art_queries(claims: DataFrame, domain: str | None = None, max_keywords: int | None = None) -> DataFrame:
+    """One search query per claim: optional domain column, then the keywords."""
+    tag = None if domain is None else F.col(domain)
+    return claims.withColumn("query", query_of(F.col("text"), tag, max_keywords)).withColumn(
         "rationale", F.lit(fx.MSG["prior_art"])
     )

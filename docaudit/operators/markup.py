@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -76,7 +77,7 @@ def flat_paragraphs(texts: Column) -> Column:
 def dedupe_paragraphs(texts: Column) -> Column:
     """Spaces normalised, at least three characters, first of equal lower-case texts."""
     clean = F.filter(F.transform(texts, tx.spaces), lambda t: F.length(t) >= 3)
-    return tx.keep_first(clean, lambda t: F.lower(t))
+    return aa.first_of_each(clean, lambda t: F.lower(t))
 
 
 def _strings_of(v: Column, path: str) -> Column:

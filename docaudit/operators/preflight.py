@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 
@@ -25,79 +26,70 @@ def _finding(kind: str, value: Column, **refs: Column) -> Column:
     )
 
 
-def _paras_with(refs: Column, field: str, value: Column) -> Column:
-    hit = F.filter(refs, lambda r: F.array_contains(r[field], value))
-    return F.transform(hit, lambda r: r["para_id"])
+def _by_subject(refs: Column, field: str, keep) -> Column:
+    """(k, xs) of the references that ``keep`` accepts, with their paragraphs, in first-seen order."""
+    pairs = F.flatten(
+        F.transform(refs, lambda r: F.transform(F.array_distinct(r[field]), lambda x: F.struct(x.alias("k"), r["para_id"].alias("v"))))
+    )
+    return F.filter(aa.groups(pairs, lambda p: p["k"]), lambda g: keep(g["k"]))
+
+
+def _ids(group: Column) -> Column:
+    return F.transform(group["xs"], lambda p: p["v"])
+
+
+CHILDREN = ("figures", "refs", "cites", "bib")
 
 
 def preflight_rows(extracts: DataFrame) -> DataFrame:
     """Add ``findings`` to extract rows that carry figures, refs, cites and bib; map-only.
 
-    Only total functions are used (``try_cast``, array set operations), so an odd document
-    cannot fail the job; it simply has no finding of that kind.
+    Only total functions are used, so an odd document cannot fail the job. One whose lists are
+    missing has no findings, and ``preflight_warnings`` says which.
 
     Order: unmentioned figures, unknown labels, unknown numbers, missing bibliography
     entries, uncited entries; each in first-seen order.
     """
-    df = extracts
-    figures, refs, cites, bib = (F.col(c) for c in ("figures", "refs", "cites", "bib"))
-    labels = F.filter(F.transform(figures, lambda f: f["label"]), lambda x: x.isNotNull())
-    df = settle(
-        df.select(
-            *df.columns,
-            F.filter(
-                figures, lambda f: f["label"].isNotNull() & (F.size(f["mentioned_in"]) == 0)
-            ).alias("lonely"),
-            F.array_except(F.flatten(F.transform(refs, lambda r: r["labels"])), labels).alias("no_label"),
-            tx.let(
-                F.size(figures).cast("decimal(38,0)"),
-                lambda n: F.filter(
-                    F.array_distinct(F.flatten(F.transform(refs, lambda r: r["numbers"]))),
-                    lambda x: ~tx.let(
-                        x.try_cast("decimal(38,0)"),
-                        lambda v: F.coalesce((v >= 1) & (v <= n), F.lit(False)),
-                    ),
-                ),
-            ).alias("no_number"),
-            F.array_except(F.flatten(F.transform(cites, lambda c: c["keys"])), bib).alias("no_bib"),
-            F.array_except(bib, F.flatten(F.transform(cites, lambda c: c["keys"]))).alias("uncited"),
-        )
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in CHILDREN]))
+    failed = F.concat(F.lit("preflight failed: missing "), F.array_join(missing, ", "))
+    df = extracts.withColumn(
+        "preflight_warnings",
+        F.when(F.size(missing) > 0, F.array(failed)).otherwise(F.array().cast(NONE)),
     )
-    found = tx.let(
-        F.struct("refs", "cites"),
-        lambda o: F.concat(
-            F.transform(
-                "lonely",
-                lambda f: _finding(
-                    "MISSING_FIGURE_REFERENCE", f["label"], figure_ids=F.array(f["figure_id"])
-                ),
-            ),
-            F.transform(
-                "no_label",
-                lambda x: _finding(
-                    "UNKNOWN_FIGURE_REFERENCE", x, paragraph_ids=_paras_with(o["refs"], "labels", x)
-                ),
-            ),
-            F.transform(
-                "no_number",
-                lambda x: _finding(
-                    "UNKNOWN_FIGURE_NUMBER", x, paragraph_ids=_paras_with(o["refs"], "numbers", x)
-                ),
-            ),
-            F.transform(
-                "no_bib",
-                lambda x: _finding(
-                    "MISSING_BIB_ENTRY",
-                    x,
-                    paragraph_ids=_paras_with(o["cites"], "keys", x),
-                    citation_keys=F.array(x),
-                ),
-            ),
-            F.transform("uncited", lambda x: _finding("UNCITED_BIB_ENTRY", x, citation_keys=F.array(x))),
+    broken = F.size("preflight_warnings") > 0
+    df = settle(df.withColumns({c: F.when(broken, F.slice(F.col(c), 1, 0)).otherwise(F.col(c)) for c in CHILDREN}))
+    for c in CHILDREN:
+        df = df.withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    figures, refs, cites, bib = (F.col(c) for c in CHILDREN)
+    labels = F.filter(F.transform(figures, lambda f: f["label"]), lambda x: x.isNotNull())
+
+    def in_range(number: Column) -> Column:
+        value = number.try_cast("decimal(38,0)")
+        return tx.let(value, lambda v: F.coalesce((v >= 1) & (v <= F.size("figures")), F.lit(False)))
+
+    lonely = F.filter(figures, lambda f: f["label"].isNotNull() & (F.size(f["mentioned_in"]) == 0))
+    uncited = F.array_except(bib, F.flatten(F.transform(cites, lambda c: c["keys"])))
+    found = F.concat(
+        F.transform(
+            lonely,
+            lambda f: _finding("MISSING_FIGURE_REFERENCE", f["label"], figure_ids=F.array(f["figure_id"])),
+        ),
+        F.transform(
+            tx.let(labels, lambda known: _by_subject(refs, "labels", lambda x: ~F.array_contains(known, x))),
+            lambda g: _finding("UNKNOWN_FIGURE_REFERENCE", g["k"], paragraph_ids=_ids(g)),
+        ),
+        F.transform(
+            _by_subject(refs, "numbers", lambda x: ~in_range(x)),
+            lambda g: _finding("UNKNOWN_FIGURE_NUMBER", g["k"], paragraph_ids=_ids(g)),
+        ),
+        F.transform(
+            _by_subject(cites, "keys", lambda x: ~F.array_contains("bib", x)),
+            lambda g: _finding("MISSING_BIB_ENTRY", g["k"], paragraph_ids=_ids(g), citation_keys=F.array(g["k"])),
         ),
+        F.transform(uncited, lambda x: _finding("UNCITED_BIB_ENTRY", x, citation_keys=F.array(x))),
     )
     df = df.withColumn("findings", found)
-    return settle(df.drop("lonely", "no_label", "no_number", "no_bib", "uncited"))
+    return settle(df)
 
 
 def finding_table(checked: DataFrame) -> DataFrame:

@@ -2,137 +2,119 @@
 
 A key's window starts at its first request and lasts ``window_ms``; the first request after
 that opens the next window. Denied requests neither count nor extend, so the chain of window
-starts depends on the request times alone. That chain is sequential per key, but it can be
-cut: inside a block of time the last start depends only on where the chain enters the block.
-Blocks are worked out in parallel, a short fold over block summaries links them, and the
-requests then only look up their window. A key with a third of all requests is thereby
-spread over many tasks; no step holds all requests of a key.
+starts depends on the request times alone. That chain is sequential per key, but it can be cut
+into blocks of an hour: for each request of a block the last start follows that a chain entering
+there reaches inside the block, and from it the request that opens the next window in a later
+block. Which of these links the chain really takes is found by doubling: joins over steps of 1, 2,
+4, ... links. Every array is bounded by the milliseconds of a block, whatever the window and
+however hot the key; no step holds all requests of a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docaudit import fixed as fx
 from docaudit.functions.times import millis
+from docaudit.sources.storage import stored
 
-BLOCK_MS = 4_000_000
-
-
-def block_windows(window_ms: int) -> int:
-    """Windows per block: about an hour of milliseconds, at least 4 and at most 64 windows.
-
-    Times are distinct milliseconds, so a block array is bounded by the block's width.
-    """
-    return max(4, min(64, BLOCK_MS // window_ms))
-
+BLOCK_MS = 3_600_000
 
-RUNS = T.ArrayType(
-    T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "exit", "slope")])
-)
 
+def _last_starts(window_ms: int):
+    """UDF: sorted times of a block -> for each the last window start of a chain that enters there."""
 
-def _block_exits(window_ms: int):
-    """UDF: block times -> runs of entries with the last start the chain reaches from them.
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def exits(blocks: pa.Array) -> pa.Array:
+        out = []
+        for times in blocks:
+            at = times.values.to_numpy()
+            after = np.searchsorted(at, at + window_ms)
+            step = np.where(after < len(at), after, np.arange(len(at)))
+            while not np.array_equal(step, step[step]):
+                step = step[step]
+            out.append(at[step])
+        return pa.array(out, pa.list_(pa.int64()))
 
-    A run covers entries ``first..last``; the exit is the same for all (slope 0), or entries
-    and exits are consecutive milliseconds (slope 1). Sparse traffic merges into few exits
-    and dense traffic into long runs, so summaries stay short.
-    """
-    import pandas as pd
+    return exits
 
-    def exits(times: pd.Series, block_start: pd.Series) -> pd.Series:
-        import numpy as np
 
-        out = []
-        for at, begin in zip(times, block_start):
-            at = np.asarray(at, dtype="int64")
-            n = len(at)
-            after = np.searchsorted(at, at + window_ms)
-            reach = np.arange(n)
-            for i in range(n - 1, -1, -1):
-                if after[i] < n:
-                    reach[i] = reach[after[i]]
-            # The chain enters at the first request not before its threshold, and the
-            # threshold lies less than one window after the block start.
-            stop = min(n, int(np.searchsorted(at, begin + window_ms)) + 1)
-            entry, leave = at[:stop], at[reach[:stop]]
-            step, move = np.diff(entry), np.diff(leave)
-            kind = np.where(move == 0, 0, np.where((step == 1) & (move == 1), 1, 2))
-            fresh = (kind == 2) | np.append(False, kind[1:] != kind[:-1])
-            begins = np.append(0, np.nonzero(fresh)[0] + 1)
-            ends = np.append(begins[1:], stop) - 1
-            out.append(
-                [
-                    (int(entry[a]), int(entry[b]), int(leave[a]), int(kind[a]) if b > a else 0)
-                    for a, b in zip(begins, ends)
-                ]
-            )
-        return pd.Series(out)
-
-    exits.__annotations__ = {"times": pd.Series, "block_start": pd.Series, "return": pd.Series}
-    return F.pandas_udf(exits, RUNS)
-
-
-def _block_starts(window_ms: int):
-    """UDF: (block times, threshold) -> window start of every time; null before the first entry."""
-    import pandas as pd
-
-    def starts(times: pd.Series, threshold: pd.Series) -> pd.Series:
-        import numpy as np
+def _window_starts(window_ms: int):
+    """UDF: (sorted times of a block, entry) -> window start of every time; null before the entry."""
 
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def starts(blocks: pa.Array, entries: pa.Array) -> pa.Array:
         out = []
-        for at, limit in zip(times, threshold):
-            at = np.asarray(at, dtype="int64")
-            i = int(np.searchsorted(at, limit))
-            own: list = [None] * i
+        for times, entry in zip(blocks, entries):
+            at = times.values.to_numpy()
+            own: list = [None] * len(at)
+            i = len(at) if entry.as_py() is None else int(np.searchsorted(at, entry.as_py()))
             while i < len(at):
                 j = int(np.searchsorted(at, at[i] + window_ms))
-                own += [int(at[i])] * (j - i)
+                own[i:j] = [int(at[i])] * (j - i)
                 i = j
             out.append(own)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return starts
+
 
-    starts.__annotations__ = {"times": pd.Series, "threshold": pd.Series, "return": pd.Series}
-    return F.pandas_udf(starts, T.ArrayType(T.LongType()))
+def next_request(thresholds: DataFrame, instants: DataFrame) -> DataFrame:
+    """(key, at) -> adds ``next``, the key's first request at or after that time; null if none.
+
+    Inside a block a running window finds it; else it is the first request of the next block in use.
+    """
+    block = F.floor(F.col("at") / BLOCK_MS).alias("block")
+    none = F.lit(None).cast("long")
+    asked = thresholds.select("key", "at").distinct().select("key", block, "at", none.alias("ms"))
+    there = instants.select("key", F.floor(F.col("ms") / BLOCK_MS).alias("block"), F.col("ms").alias("at"), "ms")
+    backwards = Window.partitionBy("key", "block").orderBy(F.desc("at"), F.col("ms").desc_nulls_last())
+    rows = asked.unionByName(there).withColumn("inside", F.last("ms", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
+    used = rows.groupBy("key", "block").agg(F.min("ms").alias("first"))
+    later = Window.partitionBy("key").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    used = used.select("key", "block", F.last("first", ignorenulls=True).over(later).alias("beyond"))
+    found = rows.where("ms IS NULL").join(used, ["key", "block"])
+    return found.select("key", "at", F.coalesce("inside", "beyond").alias("next"))
+
+
+def chain(links: DataFrame, firsts: DataFrame, steps: int) -> DataFrame:
+    """(key, ms) of all requests that a chain of ``links`` (key, ms, next) from its first one reaches."""
+    jumps, reached = stored(links.where("next IS NOT NULL"), "jumps"), stored(firsts, "reached")
+    for _ in range(math.ceil(math.log2(steps + 1))):
+        further = reached.join(jumps, ["key", "ms"]).select("key", F.col("next").alias("ms"))
+        reached = stored(reached.unionByName(further).distinct(), "reached")
+        second = jumps.select("key", F.col("ms").alias("next"), F.col("next").alias("after"))
+        jumps = stored(jumps.join(second, ["key", "next"]).select("key", "ms", F.col("after").alias("next")), "jumps")
+        if jumps.isEmpty():
+            break
+    return reached
 
 
 def window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
     """(key, ms, n) distinct request times -> adds ``window_start``."""
-    width = window_ms * block_windows(window_ms)
-    blocks = instants.groupBy("key", F.floor(F.col("ms") / width).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("ms", "n"))).alias("times")
-    )
-    runs = _block_exits(window_ms)(F.col("times.ms"), F.col("block") * width)
-    # One short entry per block: bounded by the covered time span, not by the requests.
-    chained = blocks.select("key", "block", runs.alias("runs")).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("block", "runs"))).alias("bs")
-    )
-    none = F.struct(
-        F.lit(None).cast("long").alias("prev"),
-        F.array().cast("array<struct<block:bigint,prev:bigint>>").alias("out"),
-    )
-
-    def step(s: Column, b: Column) -> Column:
-        limit = F.coalesce(s["prev"] + window_ms, F.get(b["runs"], F.lit(0))["first"])
-        run = F.get(F.filter(b["runs"], lambda r: r["last"] >= limit), F.lit(0))
-        reached = run["exit"] + run["slope"] * (F.greatest(limit, run["first"]) - run["first"])
-        return F.struct(
-            F.coalesce(reached, s["prev"]).alias("prev"),
-            F.array_append(s["out"], F.struct(b["block"], s["prev"])).alias("out"),
-        )
-
-    entry = chained.select("key", F.inline(F.aggregate("bs", none, step, lambda s: s["out"])))
-    df = blocks.join(entry, ["key", "block"])
-    first = F.get(F.col("times.ms"), F.lit(0))
-    limit = F.coalesce(F.col("prev") + window_ms, first)
-    df = df.withColumn("own", _block_starts(window_ms)(F.col("times.ms"), limit))
+    block = F.floor(F.col("ms") / BLOCK_MS).alias("block")
+    blocks = stored(instants.groupBy("key", block).agg(F.sort_array(F.collect_list(F.struct("ms", "n"))).alias("times")), "blocks")
+    exits = _last_starts(window_ms)(F.col("times.ms"))
+    nodes = blocks.withColumn("exits", exits).select("key", F.inline(F.arrays_zip(F.col("times.ms").alias("ms"), F.col("exits").alias("exit"))))
+    nodes = stored(nodes.withColumn("at", F.col("exit") + window_ms), "nodes")
+    links = nodes.join(next_request(nodes, nodes), ["key", "at"]).select("key", "ms", "next")
+    span = nodes.agg(F.max("ms") - F.min("ms")).first()[0] or 0
+    # A chain takes a block once, and each link is at least a window long.
+    steps = min(span // BLOCK_MS, span // window_ms) + 1
+    entries = chain(links, nodes.groupBy("key").agg(F.min("ms").alias("ms")), steps)
+    entered = entries.join(nodes, ["key", "ms"]).select("key", block, F.col("ms").alias("entry"), "exit")
+    df = blocks.join(entered, ["key", "block"], "left")
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    previous = df.select("key", "block", F.last("exit", ignorenulls=True).over(before).alias("prev"))
+    df = df.join(previous, ["key", "block"]).withColumn("own", _window_starts(window_ms)(F.col("times.ms"), F.col("entry")))
     rows = df.select("key", "prev", F.inline(F.arrays_zip("times", "own")))
-    return rows.select(
-        "key", "times.ms", "times.n", F.coalesce("own", "prev").alias("window_start")
-    )
+    return rows.select("key", "times.ms", "times.n", F.coalesce("own", "prev").alias("window_start"))
 
 
 def rate_limit(

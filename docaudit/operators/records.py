@@ -149,12 +149,12 @@ def progress_message(error: Column, status: Column, step: Column) -> Column:
     )
 
 
-def trace_entries(stages: DataFrame) -> DataFrame:
+def trace_entries(stages: DataFrame, max_highlights: int | None = None) -> DataFrame:
     """Stage rows (doc_id, seq, agent_id, role, status, started_at, ended_at, summary, highlights)."""
     ms = millis(stages, "ended_at") - millis(stages, "started_at")
     return stages.withColumn("status", F.coalesce("status", F.lit("DONE"))).withColumn(
         "duration_ms", F.greatest(F.lit(1).cast("long"), ms)
-    ).withColumn("highlights", F.slice("highlights", 1, 6))
+    ).withColumn("highlights", tx.first_items("highlights", max_highlights))
 
 
 def trace_progress(trace: DataFrame, key: str = "doc_id") -> DataFrame:

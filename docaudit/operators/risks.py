@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
+from docaudit.functions.plan import settle
 from docaudit.operators.evidence import evidence_reason
 
-REFS = (
-    "struct<claim_ids:array<string>,paragraph_ids:array<string>,"
-    "figure_ids:array<string>,citation_keys:array<string>>"
-)
-
-
 def by_type(value_of, type_col: str = "artifact_type") -> Column:
     """Value per artifact type; unknown types count as PAPER."""
     out = F
@@ -55,102 +51,102 @@ def split_by_gate(extracts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return extracts.where(passed), rejects
 
 
-def signal_counts(evidence_risks: DataFrame, logic_risks: DataFrame) -> DataFrame:
-    """Counts of risk rows per document and kind (rows, not distinct claims)."""
-    no_paras = F.size("para_ids") == 0
-    ev = evidence_risks.select(
-        "doc_id", F.when(no_paras, "NO_EVIDENCE").otherwise("WEAK_EVIDENCE").alias("kind")
-    )
-    strong = F.col("severity").isin("HIGH", "MEDIUM")
-    lo = logic_risks.select(
-        "doc_id", F.when(strong, "SPECIFICITY_LACK").otherwise("WEAK_EVIDENCE").alias("kind")
-    )
-    kind = F.col("kind")
-    return ev.unionByName(lo).groupBy("doc_id").agg(
-        F.count_if(kind == "NO_EVIDENCE").alias("no_evidence_claims"),
-        F.count_if(kind == "WEAK_EVIDENCE").alias("weak_evidence_claims"),
-        F.count_if(kind == "SPECIFICITY_LACK").alias("specificity_lack"),
-    )
-
-
 def _refs(**arrays: Column) -> Column:
     names = ("claim_ids", "paragraph_ids", "figure_ids", "citation_keys")
     none = F.lit(None).cast("array<string>")
     return F.struct(*[arrays.get(n, none).alias(n) for n in names])
 
 
-def risk_candidates(
-    claims: DataFrame, evidence_risks: DataFrame, logic_risks: DataFrame, findings: DataFrame | None
-) -> DataFrame:
-    """All risks of the three sources with title, reason, refs and their place (src, pos)."""
-    texts = claims.select("doc_id", "claim_id", tx.headline(F.col("text")).alias("headline"))
+def ranked_risks(evidence: Column, logic: Column, findings: Column | None) -> Column:
+    """(rank, severity, title, reason, refs) of all risks of a document.
+
+    Severity first, then source order; equal (severity, title, reason) are kept once.
+    """
 
-    def titled(risks: DataFrame, prefix: str) -> DataFrame:
-        head = F.coalesce(F.nullif("headline", F.lit("")), F.col("claim_id"))
-        return risks.join(texts, ["doc_id", "claim_id"], "left").withColumn(
-            "title", F.concat(F.lit(prefix), head)
+    def risk(src: int, pos: Column, severity: Column, title: Column, reason: Column, refs: Column) -> Column:
+        return F.struct(
+            (-tx.severity_rank(severity)).alias("neg"), F.lit(src).alias("src"), pos.cast("int").alias("pos"), severity.alias("severity"),
+            title.alias("title"), reason.alias("reason"), refs.alias("refs"),
         )
 
-    code = F.col("code")
-    reason = evidence_reason(code, F.col("best_score"), F.col("avg_score"), F.col("coverage"))
+    def titled(prefix: str, r: Column) -> Column:
+        return F.concat(F.lit(fx.MSG[prefix]), F.coalesce(F.nullif(tx.headline(r["text"]), F.lit("")), r["claim_id"]))
+
     parts = [
-        titled(evidence_risks, fx.MSG["evidence_title"]).select(
-            "doc_id", F.lit(0).alias("src"), F.col("ord").alias("pos"), "severity", "title",
-            reason.alias("reason"),
-            _refs(claim_ids=F.array("claim_id"), paragraph_ids=F.col("para_ids")).alias("refs"),
+        F.transform(
+            evidence,
+            lambda r: risk(
+                0, r["ord"], r["severity"], titled("evidence_title", r),
+                evidence_reason(r["code"], r["best_score"], r["avg_score"], r["coverage"]),
+                _refs(claim_ids=F.array(r["claim_id"]), paragraph_ids=r["para_ids"]),
+            ),
         ),
-        titled(logic_risks, fx.MSG["logic_title"]).select(
-            "doc_id", F.lit(1).alias("src"), F.col("ord").alias("pos"), "severity", "title",
-            "reason", _refs(claim_ids=F.array("claim_id")).alias("refs"),
+        F.transform(
+            logic,
+            lambda r: risk(1, r["ord"], r["severity"], titled("logic_title", r), r["reason"], _refs(claim_ids=F.array(r["claim_id"]))),
         ),
     ]
     if findings is not None:
-        kind = F.col("kind")
         titles = {k: v[2] for k, v in fx.PREFLIGHT_KINDS.items() if k != "UNKNOWN_FIGURE_NUMBER"}
-        title = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), titles.items(), F).otherwise(kind)
-        level = F.when(F.col("severity") == "error", "HIGH").otherwise("MEDIUM")
-        parts.append(
-            findings.select(
-                "doc_id", F.lit(2).alias("src"), F.col("ord").alias("pos"), level.alias("severity"),
-                title.alias("title"), F.col("message").alias("reason"),
-                _refs(
-                    paragraph_ids=F.col("paragraph_ids"),
-                    figure_ids=F.col("figure_ids"),
-                    citation_keys=F.col("citation_keys"),
-                ).alias("refs"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts).where(~tx.is_blank(F.col("title")))
 
-
-def top_risks(candidates: DataFrame, limit: int = fx.TOP_RISKS) -> DataFrame:
-    """Severity first, then source order; equal (severity, title, reason) kept once; 50 per document."""
-    place = F.struct("src", "pos")
-    unique = candidates.groupBy("doc_id", "severity", "title", "reason").agg(
-        F.min(place).alias("place"), F.min_by("refs", place).alias("refs")
-    )
-    w = Window.partitionBy("doc_id").orderBy(F.desc(tx.severity_rank(F.col("severity"))), "place")
-    return (
-        unique.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= limit)
-        .select("doc_id", "rank", "severity", "title", "reason", "refs")
+        def found(f: Column, i: Column) -> Column:
+            title = reduce(lambda c, kv: c.when(f["kind"] == kv[0], kv[1]), titles.items(), F).otherwise(f["kind"])
+            level = F.when(f["severity"] == "error", "HIGH").otherwise("MEDIUM")
+            refs = _refs(paragraph_ids=f["paragraph_ids"], figure_ids=f["figure_ids"], citation_keys=f["citation_keys"])
+            return risk(2, i + 1, level, title, f["message"], refs)
+
+        parts.append(F.transform(findings, found))
+    some = F.sort_array(F.filter(F.concat(*parts), lambda r: ~tx.is_blank(r["title"])))
+    unique = aa.first_of_each(some, lambda r: F.struct(r["severity"], r["title"], r["reason"]))
+    return F.transform(
+        unique,
+        lambda r, i: F.struct((i + 1).alias("rank"), *[r[n].alias(n) for n in ("severity", "title", "reason", "refs")]),
     )
 
 
-def severity_histogram(risks: DataFrame) -> DataFrame:
-    """high / medium / low counts per document."""
-    sev = F.col("severity")
-    return risks.groupBy("doc_id").agg(
-        F.count_if(sev == "HIGH").alias("high"),
-        F.count_if(sev == "MEDIUM").alias("medium"),
-        F.count_if(~sev.isin("HIGH", "MEDIUM")).alias("low"),
+def signal_metrics(evidence: Column, logic: Column) -> Column:
+    """Counts of risk rows by kind (rows, not distinct claims)."""
+    none = F.size(F.filter(evidence, lambda r: F.size(r["para_ids"]) == 0))
+    lack = F.size(F.filter(logic, lambda r: r["severity"].isin("HIGH", "MEDIUM")))
+    return F.struct(
+        none.alias("no_evidence_claims"),
+        (F.size(evidence) - none + F.size(logic) - lack).alias("weak_evidence_claims"),
+        lack.alias("specificity_lack"),
     )
 
 
-def risk_split(risks: DataFrame) -> DataFrame:
+def risk_rows(rows: DataFrame, findings: bool = True) -> DataFrame:
+    """Add ``evidence`` (risks of the audit), ``risks`` (ranked) and ``metrics`` to audited rows; map-only."""
+    df = settle(rows.withColumn("evidence", F.filter("audit", lambda a: a["code"].isNotNull())))
+    found = F.col("findings") if findings else None
+    ranked = ranked_risks(F.col("evidence"), F.col("logic"), found)
+    return settle(df.withColumns({"risks": ranked, "metrics": signal_metrics(F.col("evidence"), F.col("logic"))}))
+
+
+def risk_table(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(doc_id, rank, severity, title, reason, refs); with ``limit`` only so many per document, and left_out."""
+    if limit is None:
+        return rows.select("doc_id", F.inline("risks"))
+    left = tx.left_out(F.size("risks"), limit).alias("left_out")
+    return rows.select("doc_id", left, F.inline(F.slice("risks", 1, limit)))
+
+
+def signal_counts(rows: DataFrame) -> DataFrame:
+    """Risk rows per document by kind, zero included."""
+    return rows.select("doc_id", "metrics.*")
+
+
+def severity_histogram(rows: DataFrame) -> DataFrame:
+    """high / medium / low counts of the ranked risks per document, zero included."""
+    count = lambda level: F.size(F.filter("risks", lambda r: r["severity"] == level))
+    high, medium = count("HIGH"), count("MEDIUM")
+    return rows.select("doc_id", high.alias("high"), medium.alias("medium"), (F.size("risks") - high - medium).alias("low"))
+
+
+def risk_split(risks: DataFrame, first: int = 3, following: int = 5) -> DataFrame:
     """Marks the first three risks and the next five of each document."""
-    return risks.where(F.col("rank") <= 8).withColumn(
-        "part", F.when(F.col("rank") <= 3, "top3").otherwise("next5")
+    return risks.where(F.col("rank") <= first + following).withColumn(
+        "part", F.when(F.col("rank") <= first, f"top{first}").otherwise(f"next{following}")
     )
 
 

@@ -2,8 +2,8 @@
 
 Every step is an array expression on the row that holds the text, so the whole
 decomposition is a map-only stage: no shuffle, and no group larger than one artifact.
-Line-oriented parsing is done by marking line starts and splitting on the marks, which
-stays linear in the text length.
+Line-oriented parsing splits before the lines that match, which stays linear in the text
+length and needs no mark that a text could hold itself.
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
+from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
 from docaudit.functions.json_text import pretty_json
 from docaudit.functions.plan import settle
 
-MARK, MARK2 = "\x01", "\x02"
 _LINE = "(?md)"  # multi-line, only \n ends a line
 MARKDOWN_HEADING = f"^#{{1,6}}{tx.WS_IN_LINE}+{tx.NOT_WS}.*$"
 LABEL_HEADING = f"^[A-Za-z][A-Za-z0-9 _\\-/]{{2,40}}:{tx.WS_IN_LINE}*$"
 NUMBER_HEADING = f"^\\d{{1,2}}(?:\\.\\d{{1,2}})*{tx.WS_IN_LINE}+.+$"
 
 
-def _split_before(c: Column, line_pattern: str, mark: str = MARK) -> Column:
-    """Split a text before every line that matches; the first piece precedes all matches."""
-    return F.split(F.regexp_replace(c, f"{_LINE}(?={line_pattern})", mark), mark, -1)
+def _split_before(c: Column, line_pattern: str) -> Column:
+    """Split a text before every line that matches; the first piece precedes all matches.
+
+    A line end in front of the text keeps that first piece, which a split at the very start
+    would not give; it is taken off again.
+    """
+    pieces = F.split(F.concat(F.lit("\n"), c), f"{_LINE}(?={line_pattern})", -1)
+    return F.transform(pieces, lambda p, i: F.when(i == 0, F.substring(p, 2, 1 << 30)).otherwise(p))
 
 
 def _first_line(piece: Column) -> Column:
@@ -63,14 +68,19 @@ def _strings(*items: Column) -> Column:
 # ---- SHEET -----------------------------------------------------------------------
 
 
-def sheet_blocks(docs: DataFrame) -> DataFrame:
-    """SHEET text: pretty-printed JSON, else the first 500 non-blank trimmed lines."""
+def sheet_blocks(docs: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """SHEET text: pretty-printed JSON, else the non-blank trimmed lines.
+
+    With ``max_rows`` the column ``rows_left_out`` counts the lines beyond it.
+    """
     norm = tx.js_trim(tx.newlines(F.col("text")))
     # Only text that starts like JSON reaches Python; the variant parser allows trailing text.
     maybe = F.when(F.try_parse_json(norm).isNotNull(), norm)
     df = docs.withColumn("lines", _lines(F.col("text"))).withColumn("pretty", pretty_json(maybe))
     df = settle(df.withColumn("is_json", F.col("pretty").isNotNull()))
-    rows = F.slice("lines", 1, fx.SHEET_MAX_ROWS)
+    rows = tx.first_items("lines", max_rows)
+    if max_rows is not None:
+        df = df.withColumn("rows_left_out", F.when(F.col("is_json"), 0).otherwise(tx.left_out(F.size("lines"), max_rows)))
     pretty = tx.paragraph_list(F.col("pretty"))
     body = F.when(F.col("is_json"), _paras(pretty, F.lit(fx.SHEET_JSON_TITLE))).otherwise(
         _paras(rows, F.lit(fx.SHEET_ROWS_TITLE))
@@ -120,9 +130,9 @@ def _append_signals(df: DataFrame, signals: Column, warnings: Column) -> DataFra
     )
 
 
-def sheet_extract(docs: DataFrame) -> DataFrame:
+def sheet_extract(docs: DataFrame, max_rows: int | None = None) -> DataFrame:
     """SHEET artifacts (doc_id, text) -> extract rows."""
-    df = sheet_signal_counts(settle(with_fallback_split(sheet_blocks(docs))))
+    df = sheet_signal_counts(settle(with_fallback_split(sheet_blocks(docs, max_rows))))
     df = settle(df.drop("text", "lines"))
     stat = F.format_string(
         "SHEET統計: rows=%d, paragraphs=%d, numeric_rows=%d", "n_rows", F.size("paras"), "n_numeric"
@@ -182,7 +192,7 @@ def doc_blocks(docs: DataFrame) -> DataFrame:
     )
 
     def blocks(body: Column) -> Column:
-        cut = F.split(F.regexp_replace(body, f"(?:^|\\n){tx.WS}*(?:\\n|\\z)", MARK), MARK, -1)
+        cut = F.split(body, f"(?:^|\\n){tx.WS}*(?:\\n|\\z)", -1)
         return F.filter(F.transform(cut, tx.js_trim), lambda b: b != "")
 
     paras = F.flatten(
@@ -192,7 +202,7 @@ def doc_blocks(docs: DataFrame) -> DataFrame:
         F.transform("pieces", lambda p: p["h"]), lambda h: h.isNotNull() & (h["title"] != "")
     )
     df = settle(df).withColumn("heads", heads).withColumn("paras", paras)
-    kept = tx.keep_first(F.col("heads"), lambda h: F.lower(tx.js_trim(h["title"])))
+    kept = aa.first_of_each(F.col("heads"), lambda h: F.lower(tx.js_trim(h["title"])))
     return df.withColumn("sections", kept).drop("pieces", "heads")
 
 
@@ -233,19 +243,22 @@ def finish_extract(df: DataFrame, artifact_type: str) -> DataFrame:
         ),
     )
 
-    def section_id(sections: Column, title: Column) -> Column:
-        same = F.filter(sections, lambda s: s["title"] == title)
-        return F.try_element_at(same, F.lit(-1))["section_id"]
-
+    # The last section of a title
+    by_title = F.map_from_entries(
+        F.transform(
+            aa.first_of_each(F.reverse("sections"), lambda s: s["title"]),
+            lambda s: F.struct(s["title"], s["section_id"]),
+        )
+    )
     df = settle(df).withColumn(
         "paragraphs",
         tx.let(
-            F.col("sections"),
-            lambda sections: F.transform(
+            by_title,
+            lambda ids: F.transform(
                 "paras",
                 lambda p, i: F.struct(
                     tx.seq_id("par", i + 1).alias("para_id"),
-                    section_id(sections, p["title"]).alias("section_id"),
+                    F.try_element_at(ids, p["title"]).alias("section_id"),
                     p["text"].alias("text"),
                 ),
             ),

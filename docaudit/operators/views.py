@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
 from docaudit.functions import text as tx
 from docaudit.operators.evidence import evidence_reason
+from docaudit.operators.logic import logic_of
+from docaudit.operators.risks import risk_table
 
 # ---- claims ------------------------------------------------------------------------------
 
 
-def claim_evidence_view(claims: DataFrame, evidence_risks: DataFrame) -> DataFrame:
-    """Every claim with its evidence risk, or the defaults of a claim without one."""
-    e = evidence_risks.select(
-        "doc_id",
-        "claim_id",
-        F.col("severity").alias("risk"),
-        F.col("para_ids").alias("risk_paras"),
-        evidence_reason(
-            F.col("code"), F.col("best_score"), F.col("avg_score"), F.col("coverage")
-        ).alias("risk_reason"),
-    )
-    df = claims.join(e, ["doc_id", "claim_id"], "left")
-    return df.select(
-        "doc_id",
-        "ord",
-        "claim_id",
-        "text",
-        F.coalesce("risk_paras", "para_ids").alias("para_ids"),
-        F.coalesce("risk", F.lit("LOW")).alias("severity"),
-        F.coalesce("risk_reason", F.lit(fx.MSG["no_evidence_risk"])).alias("reason"),
-    )
+def claim_evidence_view(rows: DataFrame) -> DataFrame:
+    """Every claim of audited rows with its evidence risk, or the defaults of a claim without one."""
+
+    def entry(a: Column, i: Column, claims: Column) -> Column:
+        risk = a["code"].isNotNull()
+        reason = evidence_reason(a["code"], a["best_score"], a["avg_score"], a["coverage"])
+        return F.struct(
+            a["ord"].alias("ord"), a["claim_id"].alias("claim_id"), a["text"].alias("text"),
+            F.when(risk, a["para_ids"]).otherwise(F.get(claims, i)["para_ids"]).alias("para_ids"),
+            F.coalesce(a["severity"], F.lit("LOW")).alias("severity"),
+            F.coalesce(reason, F.lit(fx.MSG["no_evidence_risk"])).alias("reason"),
+        )
+
+    view = tx.let(F.col("claims"), lambda claims: F.transform("audit", lambda a, i: entry(a, i, claims)))
+    return rows.select("doc_id", F.inline(view))
 
 
 def claim_strength(view: DataFrame) -> DataFrame:
@@ -57,34 +53,36 @@ def strength_from_risks(risks: DataFrame) -> DataFrame:
     )
 
 
-def claims_with_logic(claims: DataFrame, logic_risks: DataFrame) -> DataFrame:
-    """Claims with their logic risk, if any."""
-    lo = logic_risks.select(
-        "doc_id", "claim_id", F.col("severity").alias("logic_severity"), F.col("reason").alias("logic_reason")
-    )
-    return claims.join(lo, ["doc_id", "claim_id"], "left")
+def claims_with_logic(rows: DataFrame) -> DataFrame:
+    """Claims with the severity and reason of their logic risk, if any."""
+
+    def entry(c: Column, i: Column) -> Column:
+        told = lambda l: F.struct(
+            (i + 1).alias("ord"), c["claim_id"].alias("claim_id"), c["text"].alias("text"), c["para_ids"].alias("para_ids"),
+            l["severity"].alias("logic_severity"), F.when(l["severity"].isNotNull(), l["reason"]).alias("logic_reason"),
+        )
+        return tx.let(logic_of(c["text"]), told)
+
+    return rows.select("doc_id", F.inline(F.transform("claims", entry)))
 
 
-def vague_points(logic_risks: DataFrame, risks: DataFrame) -> DataFrame:
+def vague_points(rows: DataFrame) -> DataFrame:
     """Points to make concrete: from logic risks, else from the ranked risks of the document."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    a = logic_risks.withColumn("n", F.row_number().over(w)).select(
-        "doc_id",
-        "n",
-        F.format_string("logic_risk_%d", "n").alias("point_id"),
-        F.concat("claim_id", F.lit(": "), "reason").alias("text"),
-        F.lit(fx.MSG["vague_suggestion"]).alias("suggestion"),
+
+    def point(name: str, n: Column, text: Column, suggestion: str) -> Column:
+        return F.struct(
+            n.cast("int").alias("n"), F.format_string(name + "_%d", n).alias("point_id"), text.alias("text"), F.lit(fx.MSG[suggestion]).alias("suggestion")
+        )
+
+    logic = F.transform(
+        "logic", lambda l, i: point("logic_risk", i + 1, F.concat(l["claim_id"], F.lit(": "), l["reason"]), "vague_suggestion")
     )
-    rest = risks.join(logic_risks.select("doc_id").distinct(), "doc_id", "left_anti")
-    reason = F.coalesce(F.nullif("reason", F.lit("")), F.lit(fx.MSG["vague_default"]))
-    b = rest.select(
-        "doc_id",
-        F.col("rank").alias("n"),
-        F.format_string("risk_vague_%d", "rank").alias("point_id"),
-        F.concat("title", F.lit(": "), reason).alias("text"),
-        F.lit(fx.MSG["risk_vague_suggestion"]).alias("suggestion"),
+    reason = lambda r: F.coalesce(F.nullif(r["reason"], F.lit("")), F.lit(fx.MSG["vague_default"]))
+    risks = F.transform(
+        "risks", lambda r: point("risk_vague", r["rank"], F.concat(r["title"], F.lit(": "), reason(r)), "risk_vague_suggestion")
     )
-    return a.unionByName(b).withColumn("type", F.lit("no_condition"))
+    points = F.when(F.size("logic") > 0, logic).otherwise(risks)
+    return rows.select("doc_id", F.inline(points)).withColumn("type", F.lit("no_condition"))
 
 
 def vague_counts(points: DataFrame) -> DataFrame:
@@ -92,19 +90,22 @@ def vague_counts(points: DataFrame) -> DataFrame:
 
 
 def heatmap_text(claims: DataFrame) -> DataFrame:
-    """Claim texts of a document, one per line (at most 36 claims)."""
+    """Claim texts of a document, one per line."""
     return claims.groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"], "\n").alias("text")
     )
 
 
-def claim_context(claims: DataFrame, limit: int = 12) -> DataFrame:
-    """First twelve claims as prompt text, and the first claim as default focus."""
-    head = claims.where(F.col("ord") <= limit)
+def claim_context(claims: DataFrame, limit: int | None = None) -> DataFrame:
+    """Claims as prompt text, and the first claim as default focus; with ``limit`` also left_out."""
     line = F.concat(F.lit("["), "claim_id", F.lit("] "), "text")
-    return head.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))["line"], "\n").alias("context"),
+    entry = F.struct("ord", line.alias("line"))
+    held = entry if limit is None else F.when(F.col("ord") <= limit, entry)
+    counted = [] if limit is None else [F.count_if(F.col("ord") > limit).alias("left_out")]
+    return claims.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_list(held))["line"], "\n").alias("context"),
         F.min_by("text", "ord").alias("first_claim"),
+        *counted,
     )
 
 
@@ -144,10 +145,10 @@ def todos_from_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def todos_from_analysis(risks: DataFrame, view: DataFrame, fallback: int = 5) -> DataFrame:
-    """One todo per ranked risk; documents without risks get their first five claims."""
+def todos_from_analysis(rows: DataFrame, fallback: int | None = None) -> DataFrame:
+    """One todo per ranked risk; documents without risks get their claims, or the first ``fallback``."""
     default = F.lit(fx.MSG["todo_risk_default"])
-    a = risks.select(
+    a = risk_table(rows).select(
         "doc_id",
         F.col("rank").alias("ord"),
         *_todo(
@@ -158,9 +159,9 @@ def todos_from_analysis(risks: DataFrame, view: DataFrame, fallback: int = 5) ->
             "evidence",
         ),
     )
-    rest = view.where(F.col("ord") <= fallback).join(
-        risks.select("doc_id").distinct(), "doc_id", "left_anti"
-    )
+    rest = claim_evidence_view(rows.where(F.size("risks") == 0))
+    if fallback is not None:
+        rest = rest.where(F.col("ord") <= fallback)
     b = rest.select(
         "doc_id",
         "ord",
@@ -193,7 +194,7 @@ def todo_counts(todos: DataFrame) -> DataFrame:
     )
 
 
-def oral_draft_todos(drafts: DataFrame, key: str = "analysis_id") -> DataFrame:
+def oral_draft_todos(drafts: DataFrame, key: str = "analysis_id", title_chars: int | None = None) -> DataFrame:
     """Drafts (key, seq, sentence, auto_accept) -> todos by text hash, newest first.
 
     A repeated sentence updates its todo in place; once accepted it stays accepted.
@@ -202,7 +203,7 @@ def oral_draft_todos(drafts: DataFrame, key: str = "analysis_id") -> DataFrame:
     df = drafts.withColumn("sentence", sentence).where(F.col("sentence") != "")
     df = df.withColumn("todo_id", F.concat(F.lit("todo_oral_"), tx.rolling_hash(F.col("sentence"))))
     merged = df.groupBy(key, "todo_id").agg(
-        F.min_by(F.substring("sentence", 1, 60), "seq").alias("title"),
+        F.min_by(tx.first_chars(F.col("sentence"), title_chars), "seq").alias("title"),
         F.max_by("sentence", "seq").alias("description"),
         F.max("auto_accept").alias("accepted"),
         F.max("seq").alias("last_seq"),

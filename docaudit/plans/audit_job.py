@@ -21,16 +21,16 @@ from docaudit.operators import logic as lo
 from docaudit.operators import preflight as pf
 from docaudit.operators import risks as rk
 from docaudit.operators import structure as st
-from docaudit.sources.storage import checkpointed
 
 # An adapter turns (doc_id, text) rows of one artifact type into extract rows.
 Adapter = Callable[[DataFrame], DataFrame]
 ADAPTERS: dict[str, Adapter] = {
+    "PAPER": lx.paper_extract,
     "SHEET": st.sheet_extract,
     "DOC": st.doc_extract,
     "PR": dd.pr_extract,
 }
-INPUT_TYPES = {"PR": "PR_TEXT", "DOC": "DOC_TEXT", "SHEET": "SHEET_TEXT"}
+INPUT_TYPES = {"PAPER": "LATEX_ZIP", "PR": "PR_TEXT", "DOC": "DOC_TEXT", "SHEET": "SHEET_TEXT"}
 
 FIGURES = "array<struct<figure_id:string,label:string,caption:string,mentioned_in:array<string>>>"
 CITES = "array<struct<para_id:string,keys:array<string>>>"
@@ -41,7 +41,7 @@ def register_adapter(artifact_type: str, adapter: Adapter) -> None:
     ADAPTERS[artifact_type] = adapter
 
 
-def common_rows(extracts: DataFrame) -> DataFrame:
+def common_rows(extracts: DataFrame, *more: str) -> DataFrame:
     """The shared extract shape: missing child lists are empty, references read from the text."""
     df = extracts
     for name, kind in (("figures", FIGURES), ("cites", CITES), ("bib", "array<string>")):
@@ -63,7 +63,7 @@ def common_rows(extracts: DataFrame) -> DataFrame:
         "sections",
         lambda s: F.struct(s["section_id"].alias("section_id"), s["title"].alias("title"), s["level"].alias("level")),
     )
-    return settle(df.withColumn("sections", sections).select(*COMMON))
+    return settle(df.withColumn("sections", sections).select(*COMMON, *more))
 
 
 def resolved_type(c: Column) -> Column:
@@ -74,122 +74,201 @@ def resolved_type(c: Column) -> Column:
 def route(artifacts: DataFrame, papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Artifacts (doc_id, artifact_type, input_type, text) -> (extract rows, rejects).
 
-    Papers arrive as extract rows of their own (LaTeX or source ensemble). Blank texts and
-    mismatched input types become rejects, not failures.
+    Every artifact ends in one of the two. A paper is extracted from its expanded LaTeX source in
+    ``text``, or has an extract row of its own in ``papers`` (of the source ensemble, say). Unknown
+    types count as papers. Blank texts and mismatched input types become rejects, not failures.
     """
     kind = resolved_type(F.col("artifact_type"))
     wanted = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), INPUT_TYPES.items(), F)
-    reason = F.when(kind.isin(list(ADAPTERS)) & ~F.coalesce(F.col("input_type") == wanted, F.lit(False)),
-                    "inputType does not match artifactType").when(
-        tx.is_blank(F.coalesce("text", F.lit(""))), "artifact text is empty"
+    df = artifacts.withColumn("kind", kind).withColumn("own", F.lit(False))
+    if papers is not None:
+        given = papers.select("doc_id", F.lit(True).alias("given")).distinct()
+        df = df.drop("own").join(given, "doc_id", "left").withColumn("own", F.coalesce("given", F.lit(False)) & (F.col("kind") == "PAPER")).drop("given")
+    matches = F.coalesce(F.col("input_type") == wanted, F.lit(False))
+    reason = (
+        F.when(F.col("own"), F.lit(None).cast("string"))
+        .when((kind == "PAPER") & F.coalesce(F.col("input_type") == "PDF", F.lit(False)), "no extract row for the paper")
+        .when(~matches, "inputType does not match artifactType")
+        .when(tx.is_blank(F.coalesce("text", F.lit(""))), "artifact text is empty")
     )
-    df = artifacts.withColumn("kind", kind).withColumn("reason", reason)
+    df = df.withColumn("reason", reason)
     rejects = df.where(F.col("reason").isNotNull()).select(
         "doc_id", F.col("kind").alias("artifact_type"), "reason"
     )
-    good = df.where(F.col("reason").isNull())
+    good = df.where(F.col("reason").isNull() & ~F.col("own"))
     parts = [
         common_rows(adapter(good.where(F.col("kind") == name).select("doc_id", "text")))
         for name, adapter in ADAPTERS.items()
     ]
     if papers is not None:
-        parts.append(common_rows(papers))
+        used = df.where("own").select("doc_id")
+        parts.append(common_rows(papers.join(used, "doc_id", "left_semi")))
     return reduce(DataFrame.unionByName, parts), rejects
 
 
 @dataclass
 class Audit:
-    """Result tables of one run, all keyed by document."""
-
-    claims: DataFrame
-    evidence: DataFrame
-    logic: DataFrame
-    prior_art: DataFrame
-    findings: DataFrame
-    top_risks: DataFrame
-    metrics: DataFrame
-    result: DataFrame
+    """Rows of one run, one per document, and what was rejected; the child tables are cut from the rows."""
+
+    rows: DataFrame
     rejects: DataFrame
-    warnings: DataFrame
-
-
-def analyse(
-    extracts: DataFrame, model_outputs: DataFrame | None = None, refine: bool = False, domain: str | None = None
-) -> Audit:
-    """Gate, mine claims, check them, rank the risks and assemble one result row per document."""
-    passed, rejects = rk.split_by_gate(common_rows(extracts))
-    checked = pf.preflight_rows(cl.mine_claims(passed))
-    # Claims and findings feed every later step: store them once.
-    rows = checkpointed(checked)
-    prefix = F.when(F.col("artifact_type") == "PAPER", "p").otherwise("par")
-    warnings = st.warning_table(rows)
-    if refine or model_outputs is not None:
-        claims, model_warnings = cd.mine_with_model(rows, model_outputs)
-        claims = claims.select(
-            "doc_id", "ord", F.format_string("claim_%d", "ord").alias("claim_id"), "text", "para_ids"
-        )
-        claims = checkpointed(claims)
-        if model_warnings is not None:
-            warnings = warnings.unionByName(
-                model_warnings.select("doc_id", F.col("segment").cast("int").alias("ord"), "warning")
-            )
-        listed = claims.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "claim_id", "text", "para_ids"))).alias("claims")
-        )
-        none = F.array().cast("array<struct<claim_id:string,text:string,para_ids:array<string>>>")
-        picked = F.transform("claims", lambda c: F.struct(c["claim_id"], c["text"], c["para_ids"]))
-        rows = rows.drop("claims").join(listed, "doc_id", "left").withColumn(
-            "claims", F.coalesce(picked, none)
+
+    @property
+    def result(self) -> DataFrame:
+        """One nested result row per document."""
+        return result_rows(self.rows)
+
+    @property
+    def claims(self) -> DataFrame:
+        return cl.claim_table(self.rows)
+
+    @property
+    def evidence(self) -> DataFrame:
+        return self.rows.select("doc_id", F.inline("evidence"))
+
+    @property
+    def logic(self) -> DataFrame:
+        return self.rows.select("doc_id", F.inline("logic"))
+
+    @property
+    def prior_art(self) -> DataFrame:
+        return self.rows.select("doc_id", F.inline("prior_art"))
+
+    @property
+    def findings(self) -> DataFrame:
+        return pf.finding_table(self.rows)
+
+    @property
+    def top_risks(self) -> DataFrame:
+        return rk.risk_table(self.rows)
+
+    @property
+    def metrics(self) -> DataFrame:
+        return rk.signal_counts(self.rows)
+
+    @property
+    def warnings(self) -> DataFrame:
+        """Warnings of the claims and the integrity check, as the result row has them."""
+        listed = self.rows.select("doc_id", F.posexplode(pipeline_warnings()).alias("pos", "warning"))
+        return listed.select("doc_id", (F.col("pos") + 1).alias("ord"), "warning")
+
+    @property
+    def trace(self) -> DataFrame:
+        return trace_table(self.rows)
+
+
+def analyse(extracts: DataFrame, model_outputs: DataFrame | None = None, domain: str | None = None) -> Audit:
+    """Gate, mine and refine claims, check them, rank the risks.
+
+    Everything happens in the row of a document: without model answers nothing is shuffled, with
+    them they are grouped by document and joined once. ``domain`` names a column with a domain tag.
+    """
+    passed, rejects = rk.split_by_gate(common_rows(extracts, *([] if domain is None else [domain])))
+    rows = cd.mine_with_model(cl.mine_claims(passed), model_outputs)
+    rows = lo.prior_art_rows(lo.logic_rows(ev.audit_rows(pf.preflight_rows(rows))), domain)
+    return Audit(rk.risk_rows(rows), rejects)
+
+
+def pipeline_warnings() -> Column:
+    return F.concat("claim_warnings", "preflight_warnings")
+
+
+def _errors() -> Column:
+    return F.size(F.filter("findings", lambda f: f["severity"] == "error"))
+
+
+def trace_of_rows() -> Column:
+    """Trace entries (agent_id, role, status, summary, highlights) of a document's steps."""
+    minimum = [rk.by_type(lambda k, i=i: F.lit(fx.QUALITY_GATE[k][i])) for i in (0, 1)]
+    size, text = F.size, lambda c: c.cast("string")
+    n_warnings = size("claim_warnings")
+    errors = _errors()
+    high = lambda name: size(F.filter(name, lambda r: r["severity"] == "HIGH"))
+    some = lambda name, of: F.slice(F.transform(name, of), 1, 3)
+
+    def entry(role: str, warn: Column | None, summary: Column, highlights: Column) -> Column:
+        status = F.lit("DONE") if warn is None else F.when(warn, "WARN").otherwise("DONE")
+        return F.struct(
+            F.lit(role.lower()).alias("agent_id"), F.lit(role).alias("role"), status.alias("status"),
+            summary.alias("summary"), highlights.alias("highlights"),
         )
-    claims = cl.claim_table(rows)
-    audit = ev.audit_documents(rows, "par")
-    # Paper paragraphs are numbered p_0001, all others par_0001.
-    papers = rows.where(F.col("artifact_type") == "PAPER").select("doc_id").distinct()
-    audit = audit.join(papers.withColumn("paper", F.lit(True)), "doc_id", "left")
-    rename = F.transform("para_ids", lambda i: F.regexp_replace(i, "^par_", "p_"))
-    audit = audit.withColumn("para_ids", F.when(F.col("paper"), rename).otherwise(F.col("para_ids"))).drop("paper")
-    evidence = checkpointed(ev.evidence_risks(audit))
-    logic = lo.inspect_logic(claims)
-    prior = lo.prior_art_queries(claims, domain)
-    findings = pf.finding_table(rows)
-    top = rk.top_risks(rk.risk_candidates(claims, evidence, logic, findings))
-    metrics = rk.signal_counts(evidence, logic)
-    result = result_rows(rows, evidence, logic, prior, top, metrics)
-    return Audit(claims, evidence, logic, prior, findings, top, metrics, result, rejects, warnings)
-
-
-def _per_document(rows: DataFrame, order: str, fields: list[str], name: str) -> DataFrame:
-    """Child rows of a document as one ordered array (bounded by the claim and risk limits)."""
-    entry = F.struct(order, *fields)
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
-    cut = F.transform(name, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return listed.select("doc_id", cut.alias(name))
-
-
-def result_rows(
-    rows: DataFrame, evidence: DataFrame, logic: DataFrame, prior: DataFrame, top: DataFrame, metrics: DataFrame
-) -> DataFrame:
-    """One nested result row per document."""
-    reason = ev.evidence_reason(F.col("code"), F.col("best_score"), F.col("avg_score"), F.col("coverage"))
-    parts = [
-        _per_document(
-            evidence.withColumn("reason", reason), "ord", ["claim_id", "severity", "para_ids", "reason"], "evidence_risks"
+
+    parts = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else text(x) for x in xs])
+    none = F.array().cast("array<string>")
+    cited = size("cites")
+    kept = F.array(parts("refinedReplacements=", F.col("refine.replacements")), parts("weakAfterRefine=", F.col("refine.weak_claims")))
+    return F.array(
+        entry("PLANNER", None, parts("artifact=", F.col("artifact_type"), ", thresholds=", minimum[0], "/", minimum[1]), none),
+        entry(
+            "EXTRACTOR", size("warnings") > 0, parts("paragraphs=", size("paragraphs"), ", sections=", size("sections")),
+            F.array(parts("figures=", size("figures")), parts("citations=", cited, "/", size("bib"))),
         ),
-        _per_document(logic, "ord", ["claim_id", "severity", "reason"], "logic_risks"),
-        _per_document(prior, "ord", ["claim_id", "query", "rationale"], "prior_art_queries"),
-        _per_document(top, "rank", ["severity", "title", "reason", "refs"], "top_risks"),
-        metrics,
-    ]
-    base = rows.select("doc_id", F.lit("v1").alias("schema_version"), "claims", "findings", "warnings")
-    df = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, base)
-    errors = F.size(F.filter("findings", lambda f: f["severity"] == "error"))
-    for p in parts[:-1]:
-        name = p.columns[1]
-        df = df.withColumn(name, F.coalesce(name, F.array().cast(p.schema[name].dataType)))
-    for name in ("no_evidence_claims", "weak_evidence_claims", "specificity_lack"):
-        df = df.withColumn(name, F.coalesce(name, F.lit(0)))
-    return df.withColumn("error_count", errors).withColumn(
-        "warning_count", F.size("findings") - errors
+        entry(
+            "CLAIM_MINER", n_warnings > 0,
+            parts("claims=", size("claims"), ", llmWarnings=", n_warnings, ", refineIter=", F.col("refine.iterations")),
+            F.when(n_warnings > 0, F.slice("claim_warnings", 1, 3)).otherwise(kept),
+        ),
+        entry(
+            "PREFLIGHT_GUARDIAN", (size("preflight_warnings") > 0) | (errors > 0),
+            parts("errors=", errors, ", warnings=", size("findings") - errors), F.slice("preflight_warnings", 1, 3),
+        ),
+        entry(
+            "EVIDENCE_AUDITOR", high("evidence") > 0, parts("risks=", size("evidence"), ", high=", high("evidence")),
+            some("evidence", lambda r: F.concat(r["claim_id"], F.lit(":"), r["severity"])),
+        ),
+        entry(
+            "LOGIC_SENTINEL", high("logic") > 0, parts("logicRisks=", size("logic"), ", high=", high("logic")),
+            some("logic", lambda r: F.concat(r["claim_id"], F.lit(":"), r["severity"])),
+        ),
+        entry("PRIOR_ART_COACH", size("prior_art") == 0, parts("queries=", size("prior_art")), some("prior_art", lambda r: r["query"])),
+        entry(
+            "SYNTHESIZER", size(pipeline_warnings()) > 0, parts("topRisks=", size("risks"), ", warnings=", size(pipeline_warnings())),
+            F.array(
+                parts("noEvidence=", F.col("metrics.no_evidence_claims")), parts("weakEvidence=", F.col("metrics.weak_evidence_claims")),
+                parts("specificityLack=", F.col("metrics.specificity_lack")),
+            ),
+        ),
+    )
+
+
+def trace_table(rows: DataFrame) -> DataFrame:
+    """(doc_id, seq, agent_id, role, status, summary, highlights), one row per step."""
+    df = rows.select("doc_id", F.posexplode(trace_of_rows()).alias("pos", "t"))
+    return df.select("doc_id", (F.col("pos") + 1).alias("seq"), "t.*")
+
+
+def result_rows(rows: DataFrame, extract_path: str | None = None) -> DataFrame:
+    """One nested result row per document.
+
+    ``extract_path`` is the folder that holds the extracts; the steps have no time of their own in
+    a job over many documents, so only ``generated_at`` is stated.
+    """
+    path = F.lit(None).cast("string") if extract_path is None else F.concat(F.lit(extract_path.rstrip("/") + "/"), F.col("doc_id").cast("string"))
+    cut = lambda name, fields: F.transform(name, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias
+
+    reason = lambda r: ev.evidence_reason(r["code"], r["best_score"], r["avg_score"], r["coverage"])
+    evidence = F.transform(
+        "evidence",
+        lambda r: F.struct(
+            r["claim_id"].alias("claim_id"), r["severity"].alias("severity"), r["para_ids"].alias("para_ids"), reason(r).alias("reason")
+        ),
+    )
+    return rows.select(
+        "doc_id",
+        F.lit("v1").alias("schema_version"),
+        cut("claims", ["claim_id", "text", "para_ids"])("claims"),
+        evidence.alias("evidence_risks"),
+        cut("logic", ["claim_id", "severity", "reason"])("logic_risks"),
+        cut("prior_art", ["claim_id", "query", "rationale"])("prior_art_queries"),
+        cut("risks", ["severity", "title", "reason", "refs"])("top_risks"),
+        "metrics.*",
+        "findings",
+        _errors().alias("error_count"),
+        (F.size("findings") - _errors()).alias("warning_count"),
+        pipeline_warnings().alias("warnings"),
+        trace_of_rows().alias("agent_trace"),
+        path.alias("extract_path"),
+        F.current_timestamp().alias("generated_at"),
     )
 
 

@@ -54,7 +54,7 @@ def spaces(x):
 def claim_text(x):
     c = collapse(x)
     first = f"list_filter(string_split_regex({c}, '[。.!?]'), lambda s: trim(s) <> '')[1]"
-    return f"left(coalesce(trim({first}), {c}), {fx.CLAIM_MAX_CHARS})"
+    return f"coalesce(trim({first}), {c})"
 
 
 def tokens(x, stop=()):
@@ -80,8 +80,7 @@ def seq(prefix, n):
 
 
 def headline(x):
-    t = claim_text(x)
-    return f"case when len({t}) <= 64 then {t} else left({t}, 61) || '...' end"
+    return claim_text(x)
 
 
 def paragraphs_of(x):
@@ -107,9 +106,9 @@ counted as (
     {match('text', fx.SHEET_SOURCE_WORD)} as has_source
   from lines),
 sheet as (
-  select doc_id, n_rows, ls[1:500] as body,
+  select doc_id, n_rows, ls as body,
     list_filter([
-      'SHEET統計: rows=' || n_rows || ', paragraphs=' || len(ls[1:500]) || ', numeric_rows=' || n_numeric,
+      'SHEET統計: rows=' || n_rows || ', paragraphs=' || len(ls) || ', numeric_rows=' || n_numeric,
       case when n_formula = 0 then {M['sheet_no_formula']} end,
       case when n_numeric = 0 then {M['sheet_no_numbers']} end,
       case when not has_source then {M['sheet_no_source']} end], lambda x: x is not null) as sig
@@ -124,10 +123,10 @@ cand as (select doc_id, ord, {claim_text('text')} as ct, len({trim('text')}) as
 good as (select *, {match_any('ct', fx.CLAIM_PATTERNS)} as likely from cand where chars >= 12 and len(ct) >= 12),
 c as (
   select doc_id, row_number() over (partition by doc_id order by likely desc, ord) as n, ct as text, ord as para, likely
-  from good qualify n <= 36
+  from good
   union all
   select doc_id, row_number() over (partition by doc_id order by ord) as n, ct, ord, false
-  from cand where len(ct) > 0 and doc_id not in (select doc_id from good) qualify n <= 12)"""
+  from cand where len(ct) > 0 and doc_id not in (select doc_id from good))"""
 
 AUDIT = CLAIMS + f""",
 ct as (select doc_id, n, text, {tokens('text', fx.EVIDENCE_STOP_WORDS)} as toks from c),
@@ -200,15 +199,15 @@ lr as (
 RISKS = AUDIT + LOGIC + f""",
 allr as (
   select doc_id, 0 as src, n as pos, severity, {M['evidence_title']} || {headline('text')} as title, reason,
-    'claim_' || n as cid, len(para_ids) as n_paras from ev
+    'claim_' || n as cid, len(para_ids) as n_paras, array_to_string(para_ids, '+') as pids from ev
   union all
-  select doc_id, 1, n, severity, {M['logic_title']} || {headline('text')}, reason, 'claim_' || n, 0 from lr),
+  select doc_id, 1, n, severity, {M['logic_title']} || {headline('text')}, reason, 'claim_' || n, 0, '' from lr),
 firsts as (
   select *, row_number() over (partition by doc_id, severity, title, reason order by src, pos) as dup
   from allr qualify dup = 1),
 top as (
   select *, row_number() over (partition by doc_id order by case severity when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end, src, pos) as rank
-  from firsts qualify rank <= 50)"""
+  from firsts)"""
 
 query("evidence_audit", f"with {AUDIT} select doc_id, 'claim_' || n as claim_id, severity, code, best as best_score, cov as coverage, array_to_string(para_ids, ',') as para_ids from ev")
 query("evidence_scores", f"with {AUDIT} select doc_id, 'claim_' || n as claim_id, best as best_score, avg as avg_score, strong as strong_count, support as support_count from audit")
@@ -255,22 +254,22 @@ best as (
   from keyed group by all),
 ranked as (
   select doc_id, row_number() over (partition by doc_id order by b[3] desc, place) as ord, b[1] as text, b[3] as score
-  from best qualify ord <= 36)"""
+  from best)"""
 query("claim_scores", f"with {CAND} select doc_id, ord, text, array_to_string(ids, ',') as para_ids, score from sc")
 query("claim_dedupe_best", f"with {CAND} select doc_id, ord, text, score from ranked")
 query("claim_merge_fallback", f"""
 with {CAND}, {CLAIMS[len(SHEET) + 1:]},
 u as (
-  select doc_id, ord, text, 0 as src from ranked where ord <= 10
+  select doc_id, ord, text, 0 as src from ranked
   union all select doc_id, n, text, 1 from c),
 k as (select *, lower({collapse('lower(text)')}) as tk from u),
 d as (select *, row_number() over (partition by doc_id, tk order by src, ord) as dup from k),
 f as (select doc_id, text, src, ord as o from d where src = 0 or dup = 1)
-select doc_id, row_number() over (partition by doc_id order by src, o) as ord, text from f qualify ord <= 36""")
+select doc_id, row_number() over (partition by doc_id order by src, o) as ord, text from f""")
 
 QUALITY = f""",
 qc as (
-  select c.doc_id, c.n, c.text, {claim_text('c.text')} as norm, {tokens(claim_text('c.text'))} as lt, {tokens('p.text')} as rt
+  select c.doc_id, c.n, c.text, c.para, {claim_text('c.text')} as norm, {tokens(claim_text('c.text'))} as lt, {tokens('p.text')} as rt
   from c join p on p.doc_id = c.doc_id and p.ord = c.para),
 qf as (
   select *, len(norm) >= 20 as f1, {match_any('norm', fx.CLAIM_PATTERNS)} as f2, regexp_matches(norm, '[0-9]') as f3,
@@ -278,7 +277,7 @@ qf as (
     case when len(lt) = 0 then false else cast(len(list_filter(lt, lambda t: list_contains(rt, t))) as double) / len(lt) >= 0.3 end as f5
   from qc),
 qs as (
-  select doc_id, n, text, {claim_key('text')} as key,
+  select doc_id, n, text, para, {claim_key('text')} as key,
     (60 + f1::int * 100 + f2::int * 100 + f3::int * 80 + f4::int * 70 + f5::int * 100) / 100.0::double as quality,
     list_filter([case when not f1 then 'too_short' end, case when not f2 then 'not_claim_like' end, case when not f3 then 'no_number' end,
       case when not f4 then 'no_condition_or_comparator' end, case when not f5 then 'low_source_overlap' end], lambda x: x is not null) as issues
@@ -301,18 +300,28 @@ av{i} as (
 tk{i} as (select av{i}.* from av{i} join need{i} using (doc_id) where rk <= need),
 has{i} as (select distinct doc_id from tk{i}),
 {b} as (
-  select doc_id, place, text, quality, n_issues, key from w{i} where not repl or doc_id not in (select doc_id from has{i})
-  union all select doc_id, {i * 1000} + rk, text, quality, n_issues, key from tk{i})"""
+  select doc_id, place, text, para, quality, n_issues, key from w{i} where not repl or doc_id not in (select doc_id from has{i})
+  union all select doc_id, {i * 100000} + rk, text, para, quality, n_issues, key from tk{i})"""
 
 
-query("claim_refine", f"""
-with {CLAIMS}{QUALITY},
+REFINED = CLAIMS.replace("\nc as (", "\nc0 as (") + QUALITY.replace("from c join p", "from c0 c join p") + f""",
 pool as (
   select *, n as pord, len(issues) as n_issues from qs where key <> ''
   qualify row_number() over (partition by doc_id, key order by n) = 1),
-cur0 as (select doc_id, n as place, text, quality, len(issues) as n_issues, key from qs)
-{refine_round(1)}{refine_round(2)}
-select doc_id, row_number() over (partition by doc_id order by place) as ord, text, quality, n_issues as issues from cur2""")
+cur0 as (select doc_id, n as place, text, para, quality, len(issues) as n_issues, key from qs)
+{refine_round(1)}{refine_round(2)},
+c as (select doc_id, row_number() over (partition by doc_id order by place) as n, text, para, quality, n_issues from cur2)"""
+REPORT = f""",
+rounds as (
+  select doc_id, need1.need as n1, need2.need as n2, (select count(*) from tk1 where tk1.doc_id = need1.doc_id) as t1,
+    (select count(*) from tk2 where tk2.doc_id = need1.doc_id) as t2 from need1 join need2 using (doc_id)),
+report as (
+  select doc_id, case when n1 = 0 or t1 = 0 then 1 else 2 end as iterations, t1 + case when n1 = 0 or t1 = 0 then 0 else t2 end as replacements,
+    (select count(*) from cur2 where cur2.doc_id = rounds.doc_id and (quality < 2.2 or n_issues >= 2)) as weak_claims,
+    case when n1 > 0 and t1 = 0 then {q(fx.MSG['refiner_empty'].replace('{n}', '1'))} when n1 > 0 and n2 > 0 and t2 = 0 then {q(fx.MSG['refiner_empty'].replace('{n}', '2'))} else '' end as warnings
+  from rounds)"""
+query("claim_refine", f"with {REFINED} select doc_id, n as ord, text, quality, n_issues as issues from c")
+query("refine_report", f"with {REFINED}{REPORT} select * from report")
 
 SEGMENTS = SHEET + f""",
 sp as (
@@ -328,21 +337,17 @@ chunk as (
   select doc_id, sig, ord, ptext, k from sp, lateral (select unnest(range(0, greatest(0, cast(ceil((cnt - {size}) / {step}.0) as bigint)) + 1)) as k) x
   where i >= k * {step} and i < k * {step} + {size}),
 numbered as (select *, dense_rank() over (partition by doc_id order by sig, k) - 1 as basis from chunk),
-total as (select *, max(basis) over (partition by doc_id) + 1 as nb from numbered),
-merged as (
-  select doc_id, ord, ptext, nb, case when nb <= 6 then basis else basis // cast(ceil(nb / 6.0) as bigint) end as seg, basis from total),
-once as (select *, row_number() over (partition by doc_id, seg, ord order by basis) as dup from merged qualify dup = 1),
-placed as (select *, row_number() over (partition by doc_id, seg order by basis, ord) as o from once qualify o <= {size})"""
+placed as (select doc_id, ord, ptext, basis as seg, row_number() over (partition by doc_id, basis order by ord) as o from numbered)"""
 
 
-query("segments_overlap", f"with {segments(12, 3)} select doc_id, seg + 1 as segment, o as ord, {seq('par', 'ord')} as para_id from placed where seg < 6")
+query("segments_overlap", f"with {segments(12, 3)} select doc_id, seg + 1 as segment, o as ord, {seq('par', 'ord')} as para_id from placed")
 PROMPT_HEAD = "\n".join(
     ["タスク: 文書から主要な主張(claim)を抽出する。", *fx.COMMON_PROMPT_RULES, "出力スキーマ:",
      '{ "claims": [{ "claimId": "...", "text": "...", "paragraphIds": ["..."], "confidence": "low|medium|high" }] }', "最大件数: "]
 )
 query("claim_prompts", f"""
 with {segments(120, 24)},
-segs as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || left(ptext, 1200), chr(10) order by o) as body from placed where seg < 6 group by all),
+segs as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || ptext, chr(10) order by o) as body from placed group by all),
 n as (select *, greatest(4, least(14, cast(ceil(36.0 / count(*) over (partition by doc_id)) as bigint) + 2)) as m from segs),
 t as (select *, {q(PROMPT_HEAD)} || m || chr(10) || '注意: claim.text は元文の意味を維持し、冗長にしない。' || chr(10) || '入力文書:' || chr(10) || body as prompt from n)
 select doc_id, seg + 1 as segment, m as max_claims, len(prompt) as chars, md5(prompt) as digest from t""")
@@ -355,7 +360,7 @@ with {CLAIMS},
 k as (
   select doc_id, n, u.t as t, min(u.i) as i from c, lateral (
     select unnest({tokens('text', fx.KEYWORD_STOP_WORDS)}) as t, generate_subscripts({tokens('text', fx.KEYWORD_STOP_WORDS)}, 1) as i) u group by all),
-r as (select *, row_number() over (partition by doc_id, n order by i) as rk from k qualify rk <= 8)
+r as (select *, row_number() over (partition by doc_id, n order by i) as rk from k)
 select c.doc_id, 'claim_' || c.n as claim_id, coalesce(string_agg(t, ' ' order by rk), '{' '.join(fx.DEFAULT_KEYWORDS)}') as query
 from c left join r on c.doc_id = r.doc_id and c.n = r.n group by c.doc_id, c.n""")
 query("quality_gate", f"""
@@ -367,10 +372,10 @@ with {AUDIT}{LOGIC},
 s as (
   select doc_id, case when len(para_ids) = 0 then 'N' else 'W' end as k from ev
   union all select doc_id, case when severity in ('HIGH', 'MEDIUM') then 'S' else 'W' end from lr)
-select doc_id, count(*) filter (k = 'N') as no_evidence_claims, count(*) filter (k = 'W') as weak_evidence_claims, count(*) filter (k = 'S') as specificity_lack
-from s group by all""")
+select d.doc_id, count(*) filter (k = 'N') as no_evidence_claims, count(*) filter (k = 'W') as weak_evidence_claims, count(*) filter (k = 'S') as specificity_lack
+from documents d left join s using (doc_id) group by all""")
 query("top_risks", f"with {RISKS} select doc_id, rank, severity, title, reason, cid as claim_ids from top")
-query("severity_histogram", f"with {RISKS} select doc_id, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low from top group by all")
+query("severity_histogram", f"with {RISKS} select d.doc_id, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low from documents d left join top using (doc_id) group by all")
 query("risk_split", f"with {RISKS} select doc_id, rank, case when rank <= 3 then 'top3' else 'next5' end as part, 1 as n_claims, n_paras as n_paragraphs, 0 as n_citations from top where rank <= 8")
 query("claim_evidence_view", f"""
 with {AUDIT}
@@ -391,9 +396,9 @@ union all select doc_id, 'risk_vague_' || rank, title || ': ' || reason, 'no_con
 query("todos", f"""
 with {RISKS}
 select doc_id, 'todo_risk_' || rank as todo_id, title, case severity when 'HIGH' then 5 when 'MEDIUM' then 4 else 3 end as impact, 2 as effort, 'pending' as status from top
-union all select c.doc_id, 'todo_claim_' || c.n, 'Claim ' || c.n || ' の根拠を補強', 3, 2, 'pending' from c where c.n <= 5 and c.doc_id not in (select doc_id from top)""")
+union all select c.doc_id, 'todo_claim_' || c.n, 'Claim ' || c.n || ' の根拠を補強', 3, 2, 'pending' from c where c.doc_id not in (select doc_id from top)""")
 query("heatmap_text", f"with {CLAIMS} select doc_id, string_agg(text, chr(10) order by n) as text from c group by all")
-query("claim_context", f"with {CLAIMS} select doc_id, string_agg('[claim_' || n || '] ' || text, chr(10) order by n) as context, min(text) filter (n = 1) as first_claim from c where n <= 12 group by all")
+query("claim_context", f"with {CLAIMS} select doc_id, string_agg('[claim_' || n || '] ' || text, chr(10) order by n) as context, min(text) filter (n = 1) as first_claim from c group by all")
 query("sheet_paragraphs", f"with {SHEET} select doc_id, ord, {seq('par', 'ord')} as para_id, case when ord > n_body then 'sec_0002' else 'sec_0001' end as section_id, text from p")
 query("sheet_signals", f"with {SHEET} select doc_id, n_rows, n_numeric, n_formula, has_source from counted")
 
@@ -476,6 +481,10 @@ seco as (select *, row_number() over (partition by doc_id order by start) as ord
 {pieces('t', 'source', chr(10) + '{2,}', 'cx')},
 chunk as (
   select doc_id, i, {trim('piece')} as text, off + len(piece) - len(ltrim(piece, {WS})) as start from cx where {trim('piece')} <> '')"""
+LREF = f"""lref as (
+  select distinct doc_id, ord, para_id, {trim('r')} as label from (
+    select doc_id, ord, para_id, unnest(regexp_extract_all(text, '\\\\(?:ref|autoref|eqref)\\{{([^}}]*)\\}}', 1)) as r from paras) where {trim('r')} <> '')"""
+NREF = f"""nref as (select distinct doc_id, ord, para_id, unnest(regexp_extract_all(text, {q(duck_regex(chr(92) + 'b(?:Fig' + chr(92) + '.?|Figure)' + chr(92) + 's*(' + chr(92) + 'd+)' + chr(92) + 'b', True))}, 1)) as num from paras)"""
 PAPER = LATEX + f""",
 {pieces('t', 'source', FIG, 'fx')},
 m1 as (select doc_id, string_agg(piece || repeat(chr(10), len(m)), '' order by i) as source from fx group by all),
@@ -495,10 +504,8 @@ figs as (
 fig as (
   select doc_id, ord, {seq('fig', 'ord')} as figure_id, {trim("regexp_extract(block, '\\\\label\\{([^}]*)\\}', 1)")} as label,
     {spaces("regexp_extract(block, '\\\\caption\\{([^}]*)\\}', 1)")} as caption from figs),
-lref as (
-  select distinct doc_id, ord, para_id, {trim('r')} as label from (
-    select doc_id, ord, para_id, unnest(regexp_extract_all(text, '\\\\(?:ref|autoref|eqref)\\{{([^}}]*)\\}}', 1)) as r from paras) where {trim('r')} <> ''),
-nref as (select distinct doc_id, ord, para_id, unnest(regexp_extract_all(text, {q(duck_regex(chr(92) + 'b(?:Fig' + chr(92) + '.?|Figure)' + chr(92) + 's*(' + chr(92) + 'd+)' + chr(92) + 'b', True))}, 1)) as num from paras),
+{LREF},
+{NREF},
 cite as (
   select distinct doc_id, ord, para_id, {trim('k')} as key from (
     select doc_id, ord, para_id, unnest(string_split(array_to_string(regexp_extract_all(text, '\\\\cite[a-zA-Z*]*\\{{([^}}]*)\\}}', 1), ','), ',')) as k from paras) where {trim('k')} <> ''),
@@ -575,7 +582,7 @@ hunk as (
 
 def preview(x):
     clean = f"list_filter(list_transform({x}, lambda v: {spaces('v')}), lambda v: v <> '')"
-    return f"case when len({clean}) = 0 then '(none)' else left(array_to_string({clean}[1:3], ' ; '), 260) end"
+    return f"case when len({clean}) = 0 then '(none)' else array_to_string({clean}, ' ; ') end"
 
 
 SUMMARY = (
@@ -594,8 +601,8 @@ def distinct_in_order(x):
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
-def listed(x, n):
-    return f"array_to_string({x}[1:{n}], ', ')"
+def listed(x):
+    return f"array_to_string({x}, ', ')"
 
 
 PRSIG = PR + f""",
@@ -614,12 +621,12 @@ sg as (
   select doc_id, list_filter([
     {{'text': 'PR統計: files=' || len(files) || ', hunks=' || n_hunks || ', added=' || len(adds) || ', removed=' || len(rems), 'warning': ''}},
     {{'text': 'テスト信号: code_files=' || len(code) || ', test_files=' || len(tests), 'warning': case when len(code) > 0 and len(tests) = 0 then {M['pr_no_tests']} else '' end}},
-    {{'text': case when len(secu) > 0 then 'セキュリティ関連ファイル変更: ' || {listed('secu', 5)} end, 'warning': {M['pr_security']}}},
-    {{'text': case when len(mig) > 0 then 'スキーマ変更ファイル: ' || {listed('mig', 5)} end, 'warning': case when {match('text', fx.MIGRATION_WORD)} then '' else {M['pr_migration']} end}},
+    {{'text': case when len(secu) > 0 then 'セキュリティ関連ファイル変更: ' || {listed('secu')} end, 'warning': {M['pr_security']}}},
+    {{'text': case when len(mig) > 0 then 'スキーマ変更ファイル: ' || {listed('mig')} end, 'warning': case when {match('text', fx.MIGRATION_WORD)} then '' else {M['pr_migration']} end}},
     {{'text': case when len(adds) + len(rems) >= 1200 then '大規模差分: total_lines=' || (len(adds) + len(rems)) end, 'warning': {M['pr_large']}}},
     {', '.join("{'text': case when n_%s > 0 then 'リスク信号(%s): %s (count=' || n_%s || ')' end, 'warning': %s}" % (i, i, r[1], i, q(r[1] + fx.MSG['pr_risk_suffix'])) for i, r in RULES.items())},
     {{'text': case when n_assert > 0 then '検証削除信号: assertion-like lines removed count=' || n_assert end, 'warning': {M['pr_assertions']}}},
-    {{'text': case when len(names) > 0 then '変更関数候補: ' || {listed('names', 8)} end, 'warning': ''}}
+    {{'text': case when len(names) > 0 then '変更関数候補: ' || {listed('names')} end, 'warning': ''}}
     ], lambda s: s['text'] is not null) as s from x)"""
 query("pr_signals", f"with {PRSIG}, o as (select doc_id, unnest(s) as s, generate_subscripts(s, 1) as ord from sg) select doc_id, ord, s['text'] as text, s['warning'] as warning from o")
 
@@ -704,7 +711,7 @@ ps as (select doc_id, o, count(*) as n, sum(len(t))::bigint as chars, count(*) f
 hs as (
   select doc_id, count(distinct lower(title)) as n from (
     select doc_id, {trim(f"regexp_replace({spaces('x')}, {q(CLEAN)}, '')")} as title from (
-      select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda v: '1. ' || left(v, 12))) as x from base))
+      select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda v: '1. ' || v)) as x from base))
   where len(title) >= 2 group by all),
 st as (
   select r.doc_id, r.o, r.source, coalesce(ps.n, 0) as n, coalesce(ps.chars, 0) as chars, coalesce(ps.cited, 0) as cited,
@@ -907,18 +914,18 @@ def rolling(x):
 
 
 query("oral_todos", f"""
-with d as (select conv_id * 1000 + turn as seq, {trim("left(lower(text), 2)")} as s, role = 'assistant' as auto from conversations),
+with d as (select conv_id * 1000 + turn as seq, {trim("lower(text)")} as s, role = 'assistant' as auto from conversations),
 h as (select *, {rolling('s')} as h from d where s <> '')
 select 'todo_oral_' || h as todo_id, arg_min(s, seq) as title, case when bool_or(auto) then 'accepted' else 'pending' end as status, max(seq) as last_seq from h group by h""")
-query("text_hash", f"select conv_id, turn, {rolling('role')} as hash, sha256(coalesce(nullif({trim('text')}, ''), 'anonymous')) as sha from conversations")
+query("text_hash", f"select conv_id, turn, {rolling('text')} as hash, sha256(coalesce(nullif({trim('text')}, ''), 'anonymous')) as sha from conversations")
 query("patch_text", f"""
-with t as (select conv_id, turn, {trim('left(text, 30)')} as title, role = 'assistant' and len(text) > 400 as ok from conversations),
+with t as (select conv_id, turn, {collapse('text')} as title, role = 'assistant' and len(text) > 400 as ok from conversations),
 b as (select conv_id, count(*) filter (ok and title <> '') as n, string_agg('+- [ ] ' || title, chr(10) order by turn) filter (ok and title <> '') as lines from t group by all),
 f as (select conv_id, 'docs/analysis_' || conv_id || '.md' as p, greatest(n, 1) as n, coalesce(lines, '+<!-- no accepted todos -->') as lines from b),
 d as (select conv_id, 'diff --git a/' || p || ' b/' || p || chr(10) || 'index 0000000..1111111 100644' || chr(10) || '--- a/' || p || chr(10) || '+++ b/' || p || chr(10) || '@@ -0,0 +1,' || n || ' @@' || chr(10) || lines || chr(10) as diff_text from f)
 select cast(conv_id as varchar) as analysis_id, diff_text, 1 as files, 1 as hunks from d""")
 query("todo_overlay", """
-with c as (select conv_id, 't' || left(text, 1) as id, turn, role from conversations),
+with c as (select conv_id, 't' || text as id, turn, role from conversations),
 u as (select distinct conv_id, id from c),
 o as (select conv_id, id from c where role = 'user' group by all having count(*) > 1)
 select u.conv_id as doc_id, count(o.id) as accepted, count(*) - count(o.id) as pending from u left join o on o.conv_id = u.conv_id and o.id = u.id group by u.conv_id""")
@@ -930,59 +937,117 @@ query("report_html", "with e as (select o_orderkey as id, '&lt;s&amp;' || o_cust
   + ", ".join(ROW.format(a, b) for a, b in (("analysisId", "id"), ("sessionId", "s"), ("submissionId", "b"), ("status", "st"), ("progress", "'100'"), ("step", "step")))
   + ", '  </table>', '</body>', '</html>', ''], chr(10))) as digest from e")
 query("pr_composed", f"""
-with p as (select doc_id, source, lang, {trim('left(text, 40)')} as ch, {trim('substr(text, 5, 50)')} as df from documents)
+with p as (select doc_id, source, lang, {trim('text')} as ch, {trim('source || chr(10) || text')} as df from documents)
 select doc_id, array_to_string(list_filter(['# Summary', source, '## Background', '## Changes', ch, '## Test Plan', lang, '## Risks', '## Rollback', 'revert', '## Diff', df], lambda x: x <> ''), chr(10)) as body from p""")
 
-NUMBERED = r"\b(?:Fig\.?|Figure)\s*(\d+)\b"
-LABELLED = r"\\(?:ref|autoref|eqref)\{([^}]*)\}"
-
 # ---- the whole job ------------------------------------------------------------------------------------------
 
-query("artifact_rejects", "select doc_id, case lang when 'fr' then 'DOC' when 'de' then 'PR' else 'SHEET' end as artifact_type, 'inputType does not match artifactType' as reason from documents where source = 'src13'")
-query("analysis_result", f"""
-with {RISKS},
-gate as (select doc_id from p group by doc_id having count(*) >= 6 and sum(len(text)) >= 700),
-nums as (select distinct doc_id, unnest(regexp_extract_all(text, {q(duck_regex(NUMBERED, True))}, 1)) as x from p),
-labels as (select distinct doc_id, unnest(regexp_extract_all(text, {q(LABELLED)}, 1)) as x from p),
-wr as (select doc_id, count(*) as n from nums group by all),
-er as (select doc_id, count(*) as n from labels where trim(x) <> '' group by all),
-findings as (select doc_id, 'warning' as s from nums union all select doc_id, 'error' from labels where trim(x) <> ''),
-cc as (select doc_id, count(*) as n from c group by all),
-ec as (select doc_id, count(*) as n, count(*) filter (len(para_ids) = 0) as none, count(*) filter (len(para_ids) > 0) as weak from ev group by all),
-lc as (select doc_id, count(*) as n, count(*) filter (severity in ('HIGH', 'MEDIUM')) as spec, count(*) filter (severity = 'LOW') as low from lr group by all),
-tc as (select doc_id, count(*) as n from (
-  select doc_id, src, pos, dup from firsts union all select doc_id, 2, 0, 1 from findings) group by all)
-select gate.doc_id, cc.n as claims, coalesce(ec.n, 0) as evidence_risks, coalesce(lc.n, 0) as logic_risks, cc.n as prior_art_queries,
-  least(50, coalesce(tc.n, 0)) as top_risks, coalesce(none, 0) as no_evidence_claims, coalesce(weak, 0) + coalesce(low, 0) as weak_evidence_claims, coalesce(spec, 0) as specificity_lack,
-  coalesce(er.n, 0) as error_count, coalesce(wr.n, 0) as warning_count
-from gate join cc using (doc_id) left join ec using (doc_id) left join lc using (doc_id) left join tc using (doc_id) left join wr using (doc_id) left join er using (doc_id)""")
+query("artifact_rejects", """
+select doc_id, case lang when 'fr' then 'DOC' when 'de' then 'PR' when 'es' then 'PAPER' else 'SHEET' end as artifact_type,
+  case lang when 'es' then 'no extract row for the paper' else 'inputType does not match artifactType' end as reason from documents where source = 'src13'""")
+DIGEST = "md5(string_agg({0} || '|' || text, chr(10) order by ord)) as digest"
 query("routed_artifacts", f"""
 with lang as (select doc_id, lang from documents where source <> 'src13'),
-s as (select doc_id, count(*) as n from (with {SHEET} select doc_id from p) group by all),
-d as (select doc_id, n from (with {DOC} select doc_id, n_paras + len(s) as n from sigp)),
-r as (select doc_id, count(*) as n from (with {PRTEXT} select doc_id from up) group by all)
-select doc_id, 'DOC' as artifact_type, d.n as paragraphs from lang join d using (doc_id) where lang = 'fr'
-union all select doc_id, 'PR', r.n from lang join r using (doc_id) where lang = 'de'
-union all select doc_id, 'SHEET', s.n from lang join s using (doc_id) where lang not in ('fr', 'de')""")
+s as (select doc_id, count(*) as n, {DIGEST.format(seq('par', 'ord'))} from (with {SHEET} select doc_id, ord, text from p) group by all),
+d as (
+  select doc_id, count(*) as n, {DIGEST.format(seq('par', 'ord'))} from (
+    with {DOC} select doc_id, ord, text from numbered union all select doc_id, n_paras + generate_subscripts(s, 1) as ord, unnest(s) as text from sigp) group by all),
+r as (
+  select doc_id, count(*) as n, {DIGEST.format(seq('par', 'ord'))} from (
+    with {PRTEXT} select doc_id, row_number() over (partition by doc_id order by k, b, j) as ord, tt as text from up) group by all),
+a as (select doc_id, count(*) as n, {DIGEST.format(seq('p', 'ord'))} from (with {PAPER} select doc_id, ord, text from paras) group by all)
+select doc_id, 'DOC' as artifact_type, n as paragraphs, digest from lang join d using (doc_id) where lang = 'fr'
+union all select doc_id, 'PR', n, digest from lang join r using (doc_id) where lang = 'de'
+union all select doc_id, 'PAPER', n, digest from lang join a using (doc_id) where lang = 'es'
+union all select doc_id, 'SHEET', n, digest from lang join s using (doc_id) where lang not in ('fr', 'de', 'es')""")
 KIND_TITLE = " ".join(f"when '{k}' then {q(v[2])}" for k, v in K.items() if k != "UNKNOWN_FIGURE_NUMBER")
-PAPER_AUDIT = (AUDIT + LOGIC + RISKS[len(AUDIT + LOGIC):]).replace(
-    SHEET, FINDINGS + ",\np as (select doc_id, text, ord, 0 as n_body from paras)"
-).replace(
+RISKS_REFINED = REFINED + RISKS[len(CLAIMS):]
+WITH_FINDINGS = (
     "firsts as (",
     f"""allf as (
   select * from allr
-  union all select doc_id, 2, n, case severity when 'error' then 'HIGH' else 'MEDIUM' end, case kind {KIND_TITLE} end, message, '', 0 from fo),
+  union all select doc_id, 2, n, case severity when 'error' then 'HIGH' else 'MEDIUM' end, case kind {KIND_TITLE} end, message, '', 0, replace(paragraph_ids, ',', '+') from fo),
 firsts as (""",
-).replace("from allr qualify dup = 1", "from allf qualify dup = 1")
+)
+PAPER_AUDIT = (RISKS_REFINED + REPORT).replace(
+    SHEET, FINDINGS + ",\np as (select doc_id, text, ord, 0 as n_body from paras)"
+).replace(*WITH_FINDINGS).replace("from allr qualify dup = 1", "from allf qualify dup = 1")
 query("analysis_summary", f"""
 with {PAPER_AUDIT},
 gate as (select doc_id from p group by doc_id having count(*) >= 8 and sum(len(text)) >= 2500),
 t3 as (select doc_id, string_agg(title, '|' order by rank) as top3 from top where rank <= 3 group by all),
 cl as (
-  select c.doc_id, count(*) as claims, string_agg(case when ev.code is null then {seq('p', 'c.para')} else array_to_string(list_transform(para_ids, lambda x: replace(x, 'par_', 'p_')), '+') end, ',' order by c.n) as paragraphs
+  select c.doc_id, string_agg('claim_' || c.n || '|' || c.text || '|' || coalesce(severity, 'LOW') || '|' || coalesce(reason, {M['no_evidence_risk']}) || '|' ||
+    case when ev.code is null then {seq('p', 'c.para')} else array_to_string(list_transform(para_ids, lambda x: replace(x, 'par_', 'p_')), '+') end, chr(10) order by c.n) as claims
   from c left join ev on c.doc_id = ev.doc_id and c.n = ev.n group by c.doc_id),
 er as (select doc_id, count(*) filter (severity = 'error') as e from fo group by all)
-select gate.doc_id, coalesce(top3, '') as top3, claims, paragraphs, coalesce(e, 0) as error_count from gate join cl using (doc_id) left join t3 using (doc_id) left join er using (doc_id)""")
+select gate.doc_id, coalesce(top3, '') as top3, claims, coalesce(e, 0) as error_count from gate join cl using (doc_id) left join t3 using (doc_id) left join er using (doc_id)""")
+
+# SHEET texts have no figures or citations: all references to them are findings.
+SHEET_FINDINGS = f""",
+paras as (select doc_id, ord, {seq('par', 'ord')} as para_id, text from p),
+{LREF},
+{NREF},
+found as (
+  select r.doc_id, 2 as k, min(r.ord) as a, r.label as b, 'UNKNOWN_FIGURE_REFERENCE' as kind, 'error' as severity, {message('UNKNOWN_FIGURE_REFERENCE', 'r.label')} as message, string_agg(para_id, ',' order by r.ord) as paragraph_ids
+  from lref r group by r.doc_id, r.label
+  union all
+  select r.doc_id, 3, min(r.ord), r.num, 'UNKNOWN_FIGURE_REFERENCE', 'warning', {message('UNKNOWN_FIGURE_NUMBER', 'r.num')}, string_agg(para_id, ',' order by r.ord) from nref r group by r.doc_id, r.num),
+fo as (select *, row_number() over (partition by doc_id order by k, a, b) as n from found)"""
+JOB = (
+    (RISKS_REFINED + REPORT).replace(LOGIC, SHEET_FINDINGS + LOGIC).replace(*WITH_FINDINGS).replace("from allr qualify dup = 1", "from allf qualify dup = 1")
+    + f""",
+gate as (select doc_id from p group by doc_id having count(*) >= 6 and sum(len(text)) >= 700),
+pq as (
+  select c.doc_id, c.n, coalesce((select string_agg(t, ' ' order by i) from (
+    select t, min(i) as i from (select unnest(ks) as t, generate_subscripts(ks, 1) as i) group by t)), '{' '.join(fx.DEFAULT_KEYWORDS)}') as query
+  from (select doc_id, n, {tokens('text', fx.KEYWORD_STOP_WORDS)} as ks from c) c),
+jc as (select doc_id, count(*) as nc, string_agg('claim_' || n || '|' || text || '|' || {seq('par', 'para')}, chr(10) order by n) as claims from c group by all),
+je as (
+  select doc_id, count(*) as ne, count(*) filter (severity = 'HIGH') as eh, string_agg('claim_' || n || '|' || severity || '|' || reason || '|' || array_to_string(para_ids, '+'), chr(10) order by n) as evidence,
+    count(*) filter (len(para_ids) = 0) as none, count(*) filter (len(para_ids) > 0) as weak, string_agg('claim_' || n || ':' || severity, '|' order by n) filter (rn <= 3) as ehl
+  from (select *, row_number() over (partition by doc_id order by n) as rn from ev) group by all),
+jl as (
+  select doc_id, count(*) as nl, count(*) filter (severity = 'HIGH') as lh, count(*) filter (severity in ('HIGH', 'MEDIUM')) as spec, count(*) filter (severity = 'LOW') as low,
+    string_agg('claim_' || n || '|' || severity || '|' || reason, chr(10) order by n) as logic, string_agg('claim_' || n || ':' || severity, '|' order by n) filter (rn <= 3) as lhl
+  from (select *, row_number() over (partition by doc_id order by n) as rn from lr) group by all),
+jq as (select doc_id, string_agg('claim_' || n || '|' || query, chr(10) order by n) as queries, string_agg(query, '|' order by n) filter (n <= 3) as qhl from pq group by all),
+jt as (select doc_id, count(*) as nt, string_agg(severity || '|' || title || '|' || reason || '|' || cid || '|' || pids, chr(10) order by rank) as risks from top group by all),
+jf as (select doc_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warns from fo group by all),
+job as (
+  select gate.doc_id, nc, claims, coalesce(ne, 0) as ne, coalesce(eh, 0) as eh, coalesce(evidence, '') as evidence, coalesce(ehl, '') as ehl, coalesce(nl, 0) as nl, coalesce(lh, 0) as lh,
+    coalesce(logic, '') as logic, coalesce(lhl, '') as lhl, queries, qhl, coalesce(nt, 0) as nt, coalesce(risks, '') as risks, coalesce(none, 0) as none, coalesce(weak, 0) + coalesce(low, 0) as weak,
+    coalesce(spec, 0) as spec, coalesce(errors, 0) as errors, coalesce(warns, 0) as warns, iterations, replacements, weak_claims, warnings
+  from gate join jc using (doc_id) join report using (doc_id) join jq using (doc_id) left join je using (doc_id) left join jl using (doc_id) left join jt using (doc_id) left join jf using (doc_id))"""
+)
+query("analysis_result", f"""
+with {JOB}
+select doc_id, claims, evidence as evidence_risks, logic as logic_risks, queries as prior_art_queries, risks as top_risks, none as no_evidence_claims, weak as weak_evidence_claims,
+  spec as specificity_lack, errors as error_count, warns as warning_count, warnings from job""")
+STEP = "select doc_id, {0} as seq, lower('{1}') as agent_id, '{1}' as role, {2} as status, {3} as summary, {4} as highlights from job"
+WARN = "case when {0} then 'WARN' else 'DONE' end"
+TRACE_STEPS = " union all ".join(
+    STEP.format(n, *x)
+    for n, x in enumerate(
+        [
+            ("PLANNER", "'DONE'", "'artifact=SHEET, thresholds=6/700'", "''"),
+            ("EXTRACTOR", WARN.format("n_numeric = 0"), "'paragraphs=' || np || ', sections=2'", "'figures=0|citations=0/0'"),
+            ("CLAIM_MINER", WARN.format("warnings <> ''"), "'claims=' || nc || ', llmWarnings=' || (warnings <> '')::int || ', refineIter=' || iterations",
+             "case when warnings <> '' then warnings else 'refinedReplacements=' || replacements || '|weakAfterRefine=' || weak_claims end"),
+            ("PREFLIGHT_GUARDIAN", WARN.format("errors > 0"), "'errors=' || errors || ', warnings=' || warns", "''"),
+            ("EVIDENCE_AUDITOR", WARN.format("eh > 0"), "'risks=' || ne || ', high=' || eh", "ehl"),
+            ("LOGIC_SENTINEL", WARN.format("lh > 0"), "'logicRisks=' || nl || ', high=' || lh", "lhl"),
+            ("PRIOR_ART_COACH", "'DONE'", "'queries=' || nc", "qhl"),
+            ("SYNTHESIZER", WARN.format("warnings <> ''"), "'topRisks=' || nt || ', warnings=' || (warnings <> '')::int",
+             "'noEvidence=' || none || '|weakEvidence=' || weak || '|specificityLack=' || spec"),
+        ],
+        1,
+    )
+)
+query("job_trace", f"""
+with {JOB.replace("job as (", "base as (")},
+job as (select base.*, n_numeric, np from base join counted using (doc_id) join (select doc_id, count(*) as np from p group by all) using (doc_id))
+{TRACE_STEPS}""")
 
 query("vague_counts", f"with {RISKS} select 'no_condition' as type, (select count(*) from lr) + (select count(*) from top where doc_id not in (select doc_id from lr)) as n")
 query("strength_from_risks", f"with {RISKS} select doc_id, cid as claim_id, title as text, case when n_paras > 0 then 'moderate' else 'none' end as strength from top")
@@ -997,7 +1062,7 @@ ORAL_HEAD = "\n".join(
 )
 query("oral_prompts", f"""
 with {CLAIMS},
-x as (select doc_id, string_agg('[claim_' || n || '] ' || text, chr(10) order by n) as ctx, min(text) filter (n = 1) as f from c where n <= 12 group by all)
+x as (select doc_id, string_agg('[claim_' || n || '] ' || text, chr(10) order by n) as ctx, min(text) filter (n = 1) as f from c group by all)
 select doc_id, md5({q(ORAL_HEAD)} || f || chr(10) || '入力文書:' || chr(10) || ctx) as digest from x""")
 EVIDENCE_HEAD = "\n".join(
     ["タスク: 各claimに対応する根拠段落・図・引用を対応づける。", *fx.COMMON_PROMPT_RULES, "出力スキーマ:",
@@ -1005,9 +1070,9 @@ EVIDENCE_HEAD = "\n".join(
 )
 query("evidence_prompts", f"""
 with {CLAIMS}, {segments(120, 24)[len(SHEET) + 1:]},
-body as (select doc_id, string_agg('[' || {seq('par', 'ord')} || '] ' || left(ptext, 1200), chr(10) order by o) as body from placed where seg = 0 group by all),
+body as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || ptext, chr(10) order by o) as body from placed group by all),
 cs as (select doc_id, string_agg('- claim_' || n || ': ' || text, chr(10) order by n) as cs from c group by all)
-select doc_id, md5({q(EVIDENCE_HEAD)} || cs || chr(10) || '入力文書:' || chr(10) || body) as digest from body join cs using (doc_id)""")
+select doc_id, seg + 1 as segment, md5({q(EVIDENCE_HEAD)} || cs || chr(10) || '入力文書:' || chr(10) || body) as digest from body join cs using (doc_id)""")
 query("figure_mentions_joined", f"""
 with {PAPER}
 select f.doc_id, f.figure_id, coalesce(string_agg(r.para_id, ',' order by r.ord), '') as mentioned_in
@@ -1018,22 +1083,22 @@ query("claims_with_model", f"""
 with {CLAIMS},
 raw as (
   select doc_id, ord, {claim_text('text')} as text from p
-  where ord <= n_body and ord <= 14 and doc_id in (select doc_id from p group by doc_id having count(*) >= 4)),
+  where doc_id in (select doc_id from p group by doc_id having count(*) >= 4)),
 sc as (
   select *, {claim_key('text')} as key, {cents(f"(case when {match_any('text', fx.CLAIM_PATTERNS)} then 2.0 else 0.0 end) + (case when regexp_matches(text, '[0-9]') then 1.0 else 0.0 end) + (case when {match('text', fx.CANDIDATE_CUE)} then 1.0 else 0.0 end) + 0.5::double + least(2.0::double, cast(len(text) as double) / 120)")} as score
   from raw where len(text) >= 12),
 best as (select doc_id, key, min(ord) as place, arg_max((text, ord, score), (score, -ord)) as b from sc group by all),
 ranked as (
-  select doc_id, row_number() over (partition by doc_id order by b[3] desc, place) as n, b[1] as text, b[2] as para from best qualify n <= 36),
+  select doc_id, row_number() over (partition by doc_id order by b[3] desc, place) as n, b[1] as text, b[2] as para from best),
 u as (select doc_id, n, text, para, 0 as src from ranked union all select doc_id, n, text, para, 1 from c),
 ud as (select *, row_number() over (partition by doc_id, lower({collapse('lower(text)')}) order by src, n) as dup from u),
 merged as (
-  select doc_id, row_number() over (partition by doc_id order by src, n) as n, text, para from ud where src = 0 or dup = 1 qualify row_number() over (partition by doc_id order by src, n) <= 36),
+  select doc_id, row_number() over (partition by doc_id order by src, n) as n, text, para from ud where src = 0 or dup = 1),
 allc as (select doc_id, 0 as src, n, text, para from merged union all select doc_id, 1, n, text, para from c)
-{QUALITY.replace("from c join p", "from allc c join p").replace("select c.doc_id, c.n,", "select c.doc_id, c.src, c.n,").replace("select doc_id, n, text,", "select doc_id, src, n, text,")},
+{QUALITY.replace("from c join p", "from allc c join p").replace("select c.doc_id, c.n,", "select c.doc_id, c.src, c.n,").replace("select doc_id, n, text, para,", "select doc_id, src, n, text, para,")},
 pool as (
   select *, row_number() over (partition by doc_id order by src, n) as pord, len(issues) as n_issues from (
     select * from qs where key <> '' qualify row_number() over (partition by doc_id, key order by src, n) = 1)),
-cur0 as (select doc_id, n as place, text, quality, len(issues) as n_issues, key from qs where src = 0)
+cur0 as (select doc_id, n as place, text, para, quality, len(issues) as n_issues, key from qs where src = 0)
 {refine_round(1)}{refine_round(2)}
 select doc_id, row_number() over (partition by doc_id order by place) as ord, text, quality from cur2""")

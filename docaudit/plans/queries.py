@@ -28,7 +28,6 @@ from docaudit.operators import structure as st
 from docaudit.operators import views as vw
 from docaudit.plans import inputs as src
 from docaudit.plans.audit_job import analyse, route, summary_view
-from docaudit.sources.storage import checkpointed
 from docaudit.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,55 +110,51 @@ def claim_headlines(spark, sf):
 
 
 def _mined(spark, sf):
-    """Claims and paragraphs that feed several operators: stored once instead of mined again."""
-    return checkpointed(src.mined_sheets(spark, sf).select("doc_id", "paragraphs", "claims"))
+    """Rows with the claims and paragraphs of each document."""
+    return src.mined_sheets(spark, sf).select("doc_id", "paragraphs", "claims")
 
 
-def _raw_candidates(extracts):
+def _resolved(spark, sf):
     """Paragraphs as stand-in model candidates; every second reference does not exist."""
-    paras = st.paragraph_table(extracts)
-    own = F.when(F.col("text").rlike("[0-9]"), F.lit("par_none")).otherwise(F.col("para_id"))
-    return paras.select(
-        "doc_id",
-        (F.floor((F.col("ord") - 1) / 100) + 1).cast("int").alias("segment"),
-        "ord",
-        "text",
-        F.array(own, F.lit("par_missing"), F.lit("par_0001")).alias("para_ids"),
+    own = lambda p: F.when(p["text"].rlike("[0-9]"), F.lit("par_none")).otherwise(p["para_id"])
+    stand_ins = F.transform(
+        "paragraphs",
+        lambda p, i: F.struct(
+            (F.floor(i / 100) + 1).cast("int").alias("segment"), (i + 1).alias("ord"), p["text"].alias("text"),
+            F.array(own(p), F.lit("par_missing"), F.lit("par_0001")).alias("para_ids"), F.lit(None).cast("string").alias("first_para"),
+        ),
     )
-
-
-def _resolved(extracts):
-    return cd.resolve_candidates(_raw_candidates(extracts), extracts)
+    return cd.resolve_candidates(_mined(spark, sf).withColumn("candidates", stand_ins))
 
 
 @query
 def claim_scores(spark, sf):
     """Candidate score after dropping unknown paragraph references."""
-    return _resolved(_mined(spark, sf)).select("doc_id", "ord", "text", joined("para_ids").alias("para_ids"), "score")
+    rows = _resolved(spark, sf).select("doc_id", F.inline("candidates"))
+    return rows.select("doc_id", "ord", "text", joined("para_ids").alias("para_ids"), "score")
 
 
 @query
 def claim_dedupe_best(spark, sf):
-    """Best candidate per normalised text, ranked, at most 36."""
-    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(_mined(spark, sf))))
-    return ranked.select("doc_id", "ord", "text", "score")
+    """Best candidate per normalised text, ranked."""
+    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(spark, sf)))
+    rows = ranked.select("doc_id", F.posexplode("candidates").alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("ord"), "c.text", "c.score")
 
 
 @query
 def claim_merge_fallback(spark, sf):
-    """The ten best candidates per document, completed with rule-based claims."""
-    mined = _mined(spark, sf)
-    ranked = cd.rank_candidates(cd.dedupe_best(_resolved(mined)), 10)
-    merged = cd.merge_with_fallback(ranked, cl.claim_table(mined))
-    return merged.select("doc_id", "ord", "text")
+    """The candidates of each document, completed with rule-based claims."""
+    merged = cd.merge_with_fallback(cd.rank_candidates(cd.dedupe_best(_resolved(spark, sf))))
+    rows = merged.select("doc_id", F.posexplode("merged").alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("ord"), "c.text")
 
 
 @query
 def claim_quality(spark, sf):
     """Quality score and issue list."""
-    mined = _mined(spark, sf)
-    df = cd.with_quality(cl.claim_table(mined), mined)
-    return df.select("doc_id", "claim_id", "quality", joined("issues").alias("issues"))
+    judged = _mined(spark, sf).select("doc_id", F.posexplode(cd.quality_of(F.col("claims"), F.col("paragraphs"))).alias("pos", "c"))
+    return judged.select("doc_id", F.format_string("claim_%d", F.col("pos") + 1).alias("claim_id"), "c.quality", joined("c.issues").alias("issues"))
 
 
 @query
@@ -173,15 +168,20 @@ def claim_duplicates(spark, sf):
 @query
 def claim_refine(spark, sf):
     """U15 with U13, U14: two rounds of replacing weak and duplicate claims."""
-    mined = _mined(spark, sf)
-    fallback = cl.claim_table(mined)
-    refined = cd.refine_claims(fallback, fallback, mined)
-    return refined.select("doc_id", "ord", "text", "quality", F.col("n_issues").alias("issues"))
+    rows = cd.refine_claims(_mined(spark, sf)).select("doc_id", F.posexplode("claims").alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("ord"), "c.text", "c.quality", F.size("c.issues").alias("issues"))
+
+
+@query
+def refine_report(spark, sf):
+    """Iterations, replacements, weak claims left and warnings of the refinement."""
+    rows = cd.refine_claims(_mined(spark, sf)).select("doc_id", "refine.*")
+    return rows.withColumn("warnings", joined("warnings", "|"))
 
 
 @query
 def segments_overlap(spark, sf):
-    """Overlapping paragraph segments (size 12, overlap 3, at most 6)."""
+    """Overlapping paragraph segments (size 12, overlap 3)."""
     df = cd.segments(src.sheet_rows(spark, sf), size=12, overlap=3)
     rows = cd.segment_table(df)
     return rows.select("doc_id", "segment", "ord", "para_id")
@@ -215,7 +215,7 @@ def model_output_check(spark, sf):
     raw = (
         F.when(F.col("lang") == "fr", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(F.col("lang") == "es", F.concat(F.lit("Answer: "), body, F.lit(" done")))
-        .when(F.col("source") == "src3", F.substring(body, 1, 20))
+        .when(F.col("source") == "src3", F.call_function("substring", body, F.lit(1), F.length(body) - 1))
         .otherwise(body)
     )
     outputs = docs.select(
@@ -232,7 +232,7 @@ def claims_with_model(spark, sf):
     """
     mined = _mined(spark, sf)
     items = F.transform(
-        F.filter("paragraphs", lambda p: p["section_id"] == "sec_0001"),
+        "paragraphs",
         lambda p: F.struct(
             p["para_id"].alias("claimId"), p["text"].alias("text"), F.array(p["para_id"]).alias("paragraphIds")
         ),
@@ -244,10 +244,10 @@ def claims_with_model(spark, sf):
         "doc_id",
         F.lit(1).alias("segment"),
         cd.claims_per_segment(F.lit(1)).alias("max_claims"),
-        F.when(broken, F.concat(F.lit("x"), F.substring(body, 2, 40))).otherwise(fenced).alias("raw_json"),
+        F.when(broken, F.concat(F.lit("x"), F.substring(body, 2, 1 << 30))).otherwise(fenced).alias("raw_json"),
     )
-    claims, _ = cd.mine_with_model(mined, outputs)
-    return claims.select("doc_id", "ord", "text", "quality")
+    rows = cd.mine_with_model(mined, outputs).select("doc_id", F.posexplode("claims").alias("pos", "c"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("ord"), "c.text", "c.quality")
 
 
 # ---- logic, prior art, risks ---------------------------------------------------------------
@@ -273,63 +273,55 @@ def quality_gate(spark, sf):
     )
 
 
-def _risk_parts(spark, sf):
-    mined = _mined(spark, sf)
-    claims = cl.claim_table(mined)
-    evidence = ev.evidence_risks(ev.audit_documents(mined))
-    return claims, evidence, lo.inspect_logic(claims)
+def _audited(spark, sf):
+    """Rows with evidence, logic and ranked risks."""
+    return rk.risk_rows(lo.logic_rows(ev.audit_rows(_mined(spark, sf))), findings=False)
 
 
 @query
 def signal_counts(spark, sf):
     """A4: risk rows per document by kind."""
-    _, evidence, logic = _risk_parts(spark, sf)
-    return rk.signal_counts(evidence, logic)
+    return rk.signal_counts(_audited(spark, sf))
 
 
 @query
 def top_risks(spark, sf):
     """U7 with J4, O4: ranked risks of evidence and logic."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
+    risks = rk.risk_table(_audited(spark, sf))
     return risks.select("doc_id", "rank", "severity", "title", "reason", joined("refs.claim_ids").alias("claim_ids"))
 
 
 @query
 def severity_histogram(spark, sf):
     """Risks per severity."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    return rk.severity_histogram(rk.top_risks(rk.risk_candidates(claims, evidence, logic, None)))
+    return rk.severity_histogram(_audited(spark, sf))
 
 
 @query
 def risk_split(spark, sf):
     """First three and next five risks with their reference counts."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.ref_counts(rk.risk_split(rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))))
+    risks = rk.ref_counts(rk.risk_split(rk.risk_table(_audited(spark, sf))))
     return risks.select("doc_id", "rank", "part", "n_claims", "n_paragraphs", "n_citations")
 
 
 @query
 def claim_evidence_view(spark, sf):
     """Each claim with its evidence risk, defaults and strength."""
-    claims, evidence, _ = _risk_parts(spark, sf)
-    view = vw.claim_strength(vw.claim_evidence_view(claims, evidence))
+    view = vw.claim_strength(vw.claim_evidence_view(ev.audit_rows(_mined(spark, sf))))
     return view.select("doc_id", "claim_id", "severity", "strength", joined("para_ids").alias("para_ids"), "reason")
 
 
 @query
 def claims_with_logic(spark, sf):
     """Claims with their logic severity."""
-    claims = cl.claim_table(_mined(spark, sf))
-    df = vw.claims_with_logic(claims, lo.inspect_logic(claims))
+    df = vw.claims_with_logic(_mined(spark, sf))
     return df.select("doc_id", "claim_id", F.coalesce("logic_severity", F.lit("NONE")).alias("logic_severity"))
 
 
 @query
 def audit_by_label(spark, sf):
     """Audit severities by quality label of the document."""
-    audit = ev.audit_documents(src.mined_sheets(spark, sf))
+    audit = ev.audit_documents(src.mined_sheets(spark, sf)).select("doc_id", "severity")
     labels = read_table(spark, sf, "labels")
     sev = F.coalesce("severity", F.lit("NONE"))
     return audit.join(labels, "doc_id").groupBy("quality", sev.alias("severity")).agg(F.count("*").alias("claims"))
@@ -338,17 +330,13 @@ def audit_by_label(spark, sf):
 @query
 def vague_points(spark, sf):
     """Points to make concrete."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
-    return vw.vague_points(logic, risks).select("doc_id", "point_id", "text", "type")
+    return vw.vague_points(_audited(spark, sf)).select("doc_id", "point_id", "text", "type")
 
 
 @query
 def todos(spark, sf):
-    """Todos from the ranked risks, else from the first five claims."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
-    rows = vw.todos_from_analysis(risks, vw.claim_evidence_view(claims, evidence))
+    """Todos from the ranked risks, else from the claims."""
+    rows = vw.todos_from_analysis(_audited(spark, sf))
     return rows.select("doc_id", "todo_id", "title", "impact", "effort", "status")
 
 
@@ -360,24 +348,20 @@ def heatmap_text(spark, sf):
 
 @query
 def claim_context(spark, sf):
-    """First twelve claims as context and the default focus claim."""
+    """Claims as context and the default focus claim."""
     return vw.claim_context(src.sheet_claims(spark, sf))
 
 
 @query
 def vague_counts(spark, sf):
     """Vague points per type."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
-    return vw.vague_counts(vw.vague_points(logic, risks)).withColumnRenamed("count", "n")
+    return vw.vague_counts(vw.vague_points(_audited(spark, sf))).withColumnRenamed("count", "n")
 
 
 @query
 def strength_from_risks(spark, sf):
     """Claim strength derived from ranked risks alone."""
-    claims, evidence, logic = _risk_parts(spark, sf)
-    risks = rk.top_risks(rk.risk_candidates(claims, evidence, logic, None))
-    return vw.strength_from_risks(risks).select("doc_id", "claim_id", "text", "strength")
+    return vw.strength_from_risks(rk.risk_table(_audited(spark, sf))).select("doc_id", "claim_id", "text", "strength")
 
 
 @query
@@ -399,10 +383,10 @@ def oral_prompts(spark, sf):
 
 @query
 def evidence_prompts(spark, sf):
-    """Evidence prompt per document from its first segment and all claims."""
-    df = cd.segments(src.mined_sheets(spark, sf))
-    prompt = cd.evidence_prompt(cd.segment_text(F.get("segments", F.lit(0))), F.col("claims"))
-    return df.where(F.size("segments") > 0).select("doc_id", F.md5(prompt).alias("digest"))
+    """Evidence prompt of each segment with all claims of its document."""
+    df = cd.segments(src.mined_sheets(spark, sf)).select("doc_id", "claims", F.posexplode("segments").alias("pos", "ps"))
+    prompt = cd.evidence_prompt(cd.segment_text(F.col("ps")), F.col("claims"))
+    return df.select("doc_id", (F.col("pos") + 1).alias("segment"), F.md5(prompt).alias("digest"))
 
 
 # ---- structure -------------------------------------------------------------------------------
@@ -484,7 +468,7 @@ def figure_mentions(spark, sf):
 @query
 def figure_mentions_joined(spark, sf):
     """Figure mentions by equi-join of labels and references."""
-    rows = checkpointed(src.latex_rows(spark, sf).select("doc_id", "figures", "paragraphs"))
+    rows = src.latex_rows(spark, sf).select("doc_id", "figures", "paragraphs")
     df = lx.attach_mentions(lx.figure_table(rows), st.paragraph_table(rows))
     return df.select("doc_id", "figure_id", joined("mentioned_in").alias("mentioned_in"))
 
@@ -516,8 +500,8 @@ def preflight_todos(spark, sf):
 
 
 def _paper_children(spark, sf):
-    """Child lists of the papers, stored once for the joins between them."""
-    return checkpointed(src.latex_rows(spark, sf).select("doc_id", "figures", "refs", "cites", "bib"))
+    """Child lists of the papers."""
+    return src.latex_rows(spark, sf).select("doc_id", "figures", "refs", "cites", "bib")
 
 
 @query
@@ -650,7 +634,7 @@ def _candidate_sources(spark, sf):
         F.lit(ord_).alias("ord"), F.lit(name).alias("source"), paras.alias("paragraphs"),
         secs.cast(sections).alias("sections"), bib.cast(bibs).alias("bib"), warn.cast(none).alias("warnings"),
     )
-    heads = F.transform(F.split(t, "\n"), lambda x: F.struct(F.concat(F.lit("1. "), F.substring(x, 1, 12)).alias("title"), F.lit(9).alias("level")))
+    heads = F.transform(F.split(t, "\n"), lambda x: F.struct(F.concat(F.lit("1. "), x).alias("title"), F.lit(9).alias("level")))
     keys = F.array(F.struct(F.col("lang").alias("key"), F.lit("raw").alias("raw")), F.struct(F.col("source").alias("key"), F.lit("").alias("raw")))
     rows = F.array(
         source(1, "local", F.array(cut), F.array(), F.array(), F.when(F.col("lang") == "en", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array())),
@@ -739,7 +723,7 @@ def upload_metadata(spark, sf):
     ev_ = read_table(spark, sf, "events")
     t = F.col("event_type")
     meta = (
-        F.when(t == "click", F.concat(F.substring("props", 1, 3), F.lit(",")))
+        F.when(t == "click", F.concat(F.lit(","), "props"))
         .when(t == "view", F.lit("[1]"))
         .when(t == "error", F.concat(F.lit('{"artifactType": "'), F.when(F.col("value") > 10, "PR").otherwise("X"), F.lit('"}')))
         .when(t == "purchase", F.concat(F.lit('{"language": '), F.when(F.col("value") > 20, F.lit('"en"')).otherwise(F.lit("5")), F.lit(', "retentionPolicy": {"mode": "SAVE", "ttlHours": "x"}}')))
@@ -977,7 +961,7 @@ def oral_todos(spark, sf):
     drafts = c.select(
         F.lit("a").alias("analysis_id"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.substring(F.lower("text"), 1, 2).alias("sentence"),
+        F.lower("text").alias("sentence"),
         (F.col("role") == "assistant").alias("auto_accept"),
     )
     df = vw.oral_draft_todos(drafts)
@@ -988,7 +972,7 @@ def oral_todos(spark, sf):
 def text_hash(spark, sf):
     """Rolling hash and SHA-256 of each turn."""
     c = read_table(spark, sf, "conversations", "conv_id")
-    return c.select("conv_id", "turn", tx.rolling_hash(F.col("role")).alias("hash"), rc.token_hash(F.col("text")).alias("sha"))
+    return c.select("conv_id", "turn", tx.rolling_hash(F.col("text")).alias("hash"), rc.token_hash(F.col("text")).alias("sha"))
 
 
 @query
@@ -997,7 +981,7 @@ def patch_text(spark, sf):
     c = read_table(spark, sf, "conversations")
     t = c.select(
         F.col("conv_id").alias("analysis_id"), F.col("turn").alias("ord"),
-        F.substring("text", 1, 30).alias("title"),
+        tx.collapse(F.col("text")).alias("title"),
         F.when((F.col("role") == "assistant") & (F.length("text") > 400), "accepted").otherwise("pending").alias("status"),
     )
     df = vw.patch_text(t)
@@ -1009,7 +993,7 @@ def patch_text(spark, sf):
 def todo_overlay(spark, sf):
     """Extra todos first, status overrides, counts by status."""
     c = read_table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), F.substring("text", 1, 1)).alias("todo_id"),
+        F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), "text").alias("todo_id"),
         F.col("turn").alias("ord"), F.lit("pending").alias("status"), F.col("role"),
     )
     extra = c.where("role = 'user'").drop("role")
@@ -1034,8 +1018,8 @@ def pr_composed(spark, sf):
     """One PR document from its parts."""
     t = F.col("text")
     parts = {
-        "summary": F.col("source"), "background": F.lit(" "), "changes": F.substring(t, 1, 40), "test_plan": F.col("lang"),
-        "risks": F.lit(""), "rollback": F.lit("revert"), "diff": F.substring(t, 5, 50),
+        "summary": F.col("source"), "background": F.lit(" "), "changes": t, "test_plan": F.col("lang"),
+        "risks": F.lit(""), "rollback": F.lit("revert"), "diff": F.concat("source", F.lit("\n"), t),
     }
     return src.documents(spark, sf).select("doc_id", vw.compose_pr(parts).alias("body"))
 
@@ -1044,15 +1028,15 @@ def pr_composed(spark, sf):
 
 
 def _mixed_artifacts(spark, sf):
-    """Documents as SHEET, DOC and PR artifacts by language, a few with a wrong input type."""
-    docs = src.documents(spark, sf).selectExpr(
+    """Documents as SHEET, DOC, PR and PAPER artifacts by language, some of an unknown type or with a wrong input type."""
+    return src.documents(spark, sf).selectExpr(
         "doc_id",
-        "case lang when 'fr' then 'DOC' when 'de' then 'PR' else 'SHEET' end as artifact_type",
-        "case when source = 'src13' then 'PDF' when lang = 'fr' then 'DOC_TEXT' when lang = 'de' then 'PR_TEXT' "
+        "case lang when 'fr' then 'DOC' when 'de' then 'PR' when 'es' then case when source = 'src14' then 'BOOK' when source <> 'src15' then 'PAPER' end "
+        "else 'SHEET' end as artifact_type",
+        "case when source = 'src13' then 'PDF' when lang = 'fr' then 'DOC_TEXT' when lang = 'de' then 'PR_TEXT' when lang = 'es' then 'LATEX_ZIP' "
         "else 'SHEET_TEXT' end as input_type",
-        f"case lang when 'fr' then {src.DOC_TEXT} when 'de' then {src.PR_TEXT} else text end as text",
+        f"case lang when 'fr' then {src.DOC_TEXT} when 'de' then {src.PR_TEXT} when 'es' then {src.LATEX_SOURCE} else text end as text",
     )
-    return docs
 
 
 @query
@@ -1066,38 +1050,52 @@ def artifact_rejects(spark, sf):
 def routed_artifacts(spark, sf):
     """Extract rows of all artifact types in one shape."""
     rows, _ = route(_mixed_artifacts(spark, sf))
-    return rows.select("doc_id", "artifact_type", F.size("paragraphs").alias("paragraphs"))
+    texts = F.transform("paragraphs", lambda p: F.concat_ws("|", p["para_id"], p["text"]))
+    return rows.select("doc_id", "artifact_type", F.size("paragraphs").alias("paragraphs"), F.md5(joined(texts, "\n")).alias("digest"))
+
+
+def _lines(name: str, *fields) -> Column:
+    """An array of structs as text: fields by a bar, entries by line."""
+    return joined(F.transform(name, lambda x: F.concat_ws("|", *[f(x) if callable(f) else x[f] for f in fields])), "\n")
 
 
 @query
 def analysis_result(spark, sf):
-    """Result row per gated SHEET document with its list sizes and counts."""
-    audit = analyse(src.sheet_rows(spark, sf))
-    view = audit.result
+    """Result row per gated SHEET document."""
+    view = analyse(src.sheet_rows(spark, sf)).result
+    ids = lambda name: lambda x: joined(F.coalesce(x["refs"][name], F.array().cast("array<string>")), "+")
+    paras = lambda x: joined(x["para_ids"], "+")
     return view.select(
         "doc_id",
-        F.size("claims").alias("claims"),
-        F.size("evidence_risks").alias("evidence_risks"),
-        F.size("logic_risks").alias("logic_risks"),
-        F.size("prior_art_queries").alias("prior_art_queries"),
-        F.size("top_risks").alias("top_risks"),
+        _lines("claims", "claim_id", "text", paras).alias("claims"),
+        _lines("evidence_risks", "claim_id", "severity", "reason", paras).alias("evidence_risks"),
+        _lines("logic_risks", "claim_id", "severity", "reason").alias("logic_risks"),
+        _lines("prior_art_queries", "claim_id", "query").alias("prior_art_queries"),
+        _lines("top_risks", "severity", "title", "reason", ids("claim_ids"), ids("paragraph_ids")).alias("top_risks"),
         "no_evidence_claims",
         "weak_evidence_claims",
         "specificity_lack",
         "error_count",
         "warning_count",
+        joined("warnings", "|").alias("warnings"),
     )
 
 
 @query
 def analysis_summary(spark, sf):
     """Summary view of the result rows of LaTeX papers."""
-    audit = analyse(src.latex_rows(spark, sf))
-    view = summary_view(audit.result)
+    view = summary_view(analyse(src.latex_rows(spark, sf)).result)
+    paras = lambda x: joined(x["paragraph_ids"], "+")
     return view.select(
         "doc_id",
         joined(F.transform("top3_risks", lambda r: r["title"]), "|").alias("top3"),
-        F.size("claim_evidence").alias("claims"),
-        joined(F.transform("claim_evidence", lambda c: joined(c["paragraph_ids"], "+")), ",").alias("paragraphs"),
+        _lines("claim_evidence", "claim_id", "claim_text", "severity", "reason", paras).alias("claims"),
         F.col("preflight_summary.error_count").alias("error_count"),
     )
+
+
+@query
+def job_trace(spark, sf):
+    """Trace rows of the job over SHEET documents, one per step."""
+    trace = analyse(src.sheet_rows(spark, sf)).trace
+    return trace.select("doc_id", "seq", "agent_id", "role", "status", "summary", joined("highlights", "|").alias("highlights"))

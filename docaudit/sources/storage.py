@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
@@ -26,12 +28,21 @@ def split_pdfs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(ok), files.where(~ok).select("path", F.lit("invalid pdf header").alias("reason"))
 
 
-def write_documents(df: DataFrame, path: str, partition_by: str | None = None, fmt: str = "json") -> None:
-    """Extract or result rows, one object per analysis (JSON lines) or Parquet."""
-    writer = df.write.mode("append").format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.save(path)
+BUCKETS = 64
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    """One of a bounded number of folders for a key."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_documents(df: DataFrame, path: str, key: str | None = None, fmt: str = "json", buckets: int = BUCKETS) -> None:
+    """Extract or result rows, one object per analysis (JSON lines) or Parquet.
+
+    With ``key`` the rows lie in a bounded number of buckets of it; the key stays a column.
+    """
+    writer = (df if key is None else df.withColumn("bucket", bucket_of(key, buckets))).write.mode("append").format(fmt)
+    (writer if key is None else writer.partitionBy("bucket")).save(path)
 
 
 def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,35 +50,52 @@ def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_texts(df: DataFrame, path: str, text: str, key: str) -> None:
-    """Raw files, diffs and HTML as text, with the id in the folder name."""
-    df.select(key, F.col(text).alias("value")).write.mode("append").partitionBy(key).text(path)
+def write_texts(df: DataFrame, path: str, text: str, key: str, buckets: int = BUCKETS) -> None:
+    """Raw files, diffs and HTML with their id, in a bounded number of buckets."""
+    write_documents(df.select(key, F.col(text).alias("text")), path, key, "parquet", buckets)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
 
 
 def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """Row with one id; the filter reaches the Parquet scan."""
-    return df.where(F.col(key) == F.lit(value))
+def lookup(df: DataFrame, key: str, value, buckets: int | None = None) -> DataFrame:
+    """Row with one id; the filter reaches the Parquet scan, and with ``buckets`` only one folder is read."""
+    found = df.where(F.col(key) == F.lit(value))
+    if buckets is None:
+        return found
+    bucket = df.sparkSession.range(1).select(F.pmod(F.xxhash64(F.lit(value).cast(df.schema[key].dataType)), F.lit(buckets))).first()[0]
+    return found.where(F.col("bucket") == bucket)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    Both are settings of the cluster; a folder of one machine is never used.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+ROWS_A_FILE = 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset on a local
-    master (tests) a folder under /tmp is used.
+    This cuts the lineage, survives lost executors, and tells the planner the size, so that the
+    table is broadcast only where it is small. ``rows``, a bound of their number, keeps a table of
+    few rows from being spread over many files.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="docaudit-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, name)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

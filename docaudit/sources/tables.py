@@ -1,11 +1,9 @@
-"""Reading tables and size checks."""
+"""Reading tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 200_000
-
 
 def read_table(
     spark: SparkSession, folder: str, name: str, spread_by: str | None = None
@@ -20,18 +18,3 @@ def read_table(
     if spread_by and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, spread_by)
     return df
-
-
-def cluster(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by keys; later groupings on the keys (and more) then stay local.
-
-    The explicit number keeps adaptive execution from merging CPU-heavy partitions by size.
-    """
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(shuffle, spark.sparkContext.defaultParallelism), *keys)
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Does the frame hold at most ``max_rows`` (short) rows? Reads one row more at most."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -4,55 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.operators.records import latest_status
+from docaudit.operators.records import latest_row, latest_status
 
 LIMIT_SCHEMA = "key string, request_id long, ts timestamp, allowed boolean, retry_after_ms long, window_start long"
 
 
-def rate_limit_stream(requests: DataFrame, max_requests: int, window_ms: int) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, max_requests: int, window_ms: int, drop_silent: bool = False) -> DataFrame:
     """Streaming limiter over requests (key, request_id, ts); state is (start, count) per key.
 
-    Requests of a key are handled in time order within a micro-batch. State of a key that
-    was silent for a window is dropped, because its next request opens a window anyway.
+    Every request is decided, also a late one, which counts in the window open at its arrival.
+    Requests of a key are handled in time order within a micro-batch. The state is two numbers per
+    key; with ``drop_silent``, for streams that run all the time, that of a key silent for two
+    windows of processing time is dropped, since its next request opens a window anyway.
     """
 
     def decide(key: tuple, frames: Iterator, state) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+        at = (rows["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[np.datetime_data(rows["ts"].dtype)[0]]).to_numpy()
         start, count = state.get if state.exists else (None, 0)
-        out = []
-        for rid, ts in zip(rows["request_id"], rows["ts"]):
-            now = ts.value // 1_000_000
-            if start is None or now - start >= window_ms:
-                start, count = now, 1
-                out.append((key[0], rid, ts, True, None, start))
-            elif count < max_requests:
-                count += 1
-                out.append((key[0], rid, ts, True, None, start))
-            else:
-                out.append((key[0], rid, ts, False, window_ms - (now - start), start))
+        allowed, starts, i = np.zeros(len(at), bool), np.zeros(len(at), "int64"), 0
+        while i < len(at):
+            if start is None or at[i] - start >= window_ms:
+                start, count = int(at[i]), 0
+            end = int(np.searchsorted(at, start + window_ms))
+            allowed[i : min(end, i + max_requests - count)] = True
+            count, starts[i:end] = min(max_requests, count + end - i), start
+            i = end
         state.update((start, count))
-        state.setTimeoutTimestamp(max(start + window_ms, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(
-            out, columns=["key", "request_id", "ts", "allowed", "retry_after_ms", "window_start"]
-        )
-        frame["retry_after_ms"] = frame["retry_after_ms"].astype("Int64")
-        yield frame
+        if drop_silent:
+            state.setTimeoutDuration(2 * window_ms)
+        retry = pd.Series(window_ms - (at - starts), dtype="Int64").where(~allowed)
+        yield pd.DataFrame(
+            {
+                "key": key[0], "request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(),
+                "allowed": allowed, "retry_after_ms": retry, "window_start": starts,
+            }
+        )
 
     req = requests.select(F.col("key").cast("string").alias("key"), "request_id", "ts")
-    return (
-        req.withWatermark("ts", f"{window_ms} milliseconds")
-        .groupBy("key")
-        .applyInPandasWithState(
-            decide, LIMIT_SCHEMA, "start long, count long", "append", "EventTimeTimeout"
-        )
+    return req.groupBy("key").applyInPandasWithState(
+        decide, LIMIT_SCHEMA, "start long, count long", "append", "ProcessingTimeTimeout" if drop_silent else "NoTimeout"
     )
 
 
@@ -61,28 +61,36 @@ def latest_status_stream(updates: DataFrame, key: str = "analysis_id") -> DataFr
     return latest_status(updates, key, ["seq"])
 
 
-def write_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "analysis_id"):
-    """Merge each batch of changed rows into a Parquet table of current rows.
+def write_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "analysis_id", buckets: int = 64):
+    """Append each batch of changed rows to a table of changes; ``read_latest`` gives the current rows.
 
-    Every batch writes a new version folder from the previous version and the changed rows,
-    so that a repeated batch gives the same result.
+    A batch writes its own rows only, into its own folder, so that its cost follows the batch and
+    a repeated batch gives the same result. Rows lie in a bounded number of buckets of the key.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changed = batch
-        if number > 0:
-            old = spark.read.parquet(f"{path}/version={number - 1}")
-            changed = batch.unionByName(old.join(batch.select(key), key, "left_anti"))
-        changed.write.mode("overwrite").parquet(f"{path}/version={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(merge)
+        .foreachBatch(write)
     )
 
 
+def read_latest(spark: SparkSession, path: str, key: str = "analysis_id") -> DataFrame:
+    """Current row of each key from the changes written so far."""
+    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("bucket")
+    return latest_row(changes, [key], ["batch"]).drop("batch")
+
+
+def compact_latest(spark: SparkSession, path: str, target: str, key: str = "analysis_id", buckets: int = 64) -> None:
+    """Write the current rows as the first batch of a new table, for readers to move over to."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    read_latest(spark, path, key).withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{target}/batch=0")
+
+
 def append_trace(stream: DataFrame, path: str, checkpoint: str):
     """Append trace entries as they arrive; a batch replaces its own folder when repeated."""
 

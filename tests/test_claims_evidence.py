@@ -154,7 +154,53 @@ def test_mining_order_and_caps(spark):
         ("claim_3", "y" * 12, ["par_0005"]),
     ]
     assert [t for _, t, _ in got[2]] == ["tiny", "a b"]
-    assert len(got[3]) == 36 and got[4][0][1] == "12" and got[5] == []
+    assert len(got[3]) == 50 and got[4][0][1] == "12" and got[5] == []
+    cut = cl.mine_claims(mined(spark, docs).drop("claims"), max_claims=36, min_claims=1).select("doc_id", F.size("claims"), "claims_left_out")
+    assert {r[0]: (r[1], r[2]) for r in cut.collect()} == {1: (3, 0), 2: (2, 0), 3: (36, 14), 4: (1, 0), 5: (0, 0)}
+
+
+def test_nothing_is_cut_by_default(spark):
+    """2000 lines, 200 claims and long sentences: every line is a paragraph, every sentence a claim, every pair scored."""
+    from docaudit.operators import structure as st
+
+    lines = [f"we show that method number {i} reaches {i} points on set {i % 7} " + "with many more words " * (40 if i == 9 else 1) for i in range(2000)]
+    text = "\n".join(lines)
+    rows = st.sheet_extract(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    mined_ = cl.mine_claims(rows)
+    row = mined_.first()
+    body = [p["text"] for p in row["paragraphs"] if p["section_id"] == "sec_0001"]
+    assert body == [x.strip() for x in lines] and len(row["claims"]) == len(row["paragraphs"])
+    assert max(len(c["text"]) for c in row["claims"]) > 280
+    audit = ev.audit_documents(mined_).where("ord <= 200").collect()
+    assert len(audit) == 200 and all(r["best_score"] == 1.0 for r in audit)
+    segments = cd.segments(rows, size=12, overlap=3).first()["segments"]
+    assert {p["para_id"] for s in segments for p in s} == {p["para_id"] for p in row["paragraphs"]}
+    merged = cd.segments(rows, size=12, overlap=3, limit=6).first()["segments"]
+    assert len(merged) <= 6 and {p["para_id"] for s in merged for p in s} == {p["para_id"] for p in row["paragraphs"]}
+    left = st.sheet_extract(spark.createDataFrame([(1, text)], "doc_id long, text string"), max_rows=500).first()
+    assert left["rows_left_out"] == 1500
+
+
+def test_claims_beyond_124_tokens(spark):
+    """A claim of 150 distinct tokens with an equal paragraph is fully supported."""
+    text = " ".join(f"token{i}" for i in range(150))
+    row = ev.audit_documents(rows(spark, {1: ([text], [text])})).first()
+    assert (row["best_score"], row["coverage"], row["avg_score"]) == (1.0, 1.0, 1.0)
+
+
+def test_one_token_in_every_paragraph(spark):
+    """A token that all paragraphs share carries no candidate where the claim has rarer ones."""
+    paras = spark.range(3000).select((F.col("id") % 50).alias("doc_id"), F.col("id").alias("ord"), F.concat(F.lit("p"), "id").alias("para_id"), F.concat(F.lit("common filler"), "id", F.lit(" word"), (F.col("id") % 9)).alias("text"))
+    claims = spark.createDataFrame([(1, "common filler7 alpha beta gamma delta"), (2, "common"), (3, "nothing shared here"), (4, "common alpha beta gamma delta epsilon zeta eta")], "claim_id long, text string")
+    tokens = ev.claim_token_table(claims, "claim_id", [])
+    places = paras.select(F.explode(F.split("text", " ")).alias("token"))
+    ranked = ev.split_by_rarity(tokens, places.groupBy("token").agg(F.count("*").alias("df")), ["claim_id"])
+    last = {(r["claim_id"], r["token"]) for r in ranked.where("last").collect()}
+    assert last == {(1, "common"), (4, "common")}
+    got = {r["claim_id"]: r for r in ev.audit_tables(claims, paras).collect()}
+    assert got[1]["best_score"] == 2 / 6 and got[1]["support_count"] == 1
+    assert got[2]["support_count"] == 3000 and got[2]["strong_count"] == 3000
+    assert got[3]["best_score"] == 0.0 and got[4]["best_score"] == 1 / 8 and got[4]["support_count"] == 0
 
 
 def test_logic_rules(spark):
@@ -179,33 +225,36 @@ def test_logic_rules(spark):
 
 
 def test_top_risks(spark):
-    claims = spark.createDataFrame(
-        [(1, i, f"claim_{i}", t, ["p"]) for i, t in ((1, "same text here"), (2, "same text here"), (3, ""))],
-        "doc_id int, ord int, claim_id string, text string, para_ids array<string>",
+    evidence = "array<struct<ord:int,claim_id:string,text:string,severity:string,code:string,best_score:double,avg_score:double,coverage:double,para_ids:array<string>>>"
+    logic = "array<struct<ord:int,claim_id:string,text:string,rules:string,reason:string,severity:string>>"
+    findings = "array<struct<kind:string,severity:string,message:string,figure_ids:array<string>,paragraph_ids:array<string>,citation_keys:array<string>>>"
+    rows_ = spark.createDataFrame(
+        [
+            (
+                1,
+                [(1, "claim_1", "same text here", "LOW", "thin_evidence", 0.5, 0.4, 0.9, ["p"]), (2, "claim_2", "same text here", "LOW", "thin_evidence", 0.5, 0.4, 0.9, ["q"]),
+                 (3, "claim_3", "", "HIGH", "no_evidence", 0.0, 0.0, 0.0, []), (4, "claim_4", "fine", None, None, 1.0, 1.0, 1.0, ["r"])],
+                [(2, "claim_2", "same text here", "x", "r", "MEDIUM")],
+                [("UNCITED_BIB_ENTRY", "warning", "m", None, None, ["k"]), ("MISSING_BIB_ENTRY", "error", "m2", None, ["p"], ["k"])],
+            ),
+            (2, [], [], []),
+        ],
+        f"doc_id int, audit {evidence}, logic {logic}, findings {findings}",
     )
-    evidence = spark.createDataFrame(
-        [(1, 1, "claim_1", "LOW", "thin_evidence", 0.5, 0.4, 0.9, ["p"]), (1, 2, "claim_2", "LOW", "thin_evidence", 0.5, 0.4, 0.9, ["q"]),
-         (1, 3, "claim_3", "HIGH", "no_evidence", 0.0, 0.0, 0.0, [])],
-        "doc_id int, ord int, claim_id string, severity string, code string, best_score double, avg_score double, coverage double, para_ids array<string>",
-    )
-    logic = spark.createDataFrame([(1, 2, "claim_2", "MEDIUM", "r")], "doc_id int, ord int, claim_id string, severity string, reason string")
-    findings = spark.createDataFrame(
-        [(1, 1, "UNCITED_BIB_ENTRY", "warning", "m", None, None, ["k"]), (1, 2, "MISSING_BIB_ENTRY", "error", "m2", ["p"], None, ["k"])],
-        "doc_id int, ord int, kind string, severity string, message string, paragraph_ids array<string>, figure_ids array<string>, citation_keys array<string>",
-    )
-    top = rk.top_risks(rk.risk_candidates(claims, evidence, logic, findings))
-    got = [(r["severity"], r["title"]) for r in top.orderBy("rank").collect()]
-    assert got == [
+    full = rk.risk_rows(rows_)
+    top = rk.risk_table(full)
+    assert [(r["severity"], r["title"]) for r in top.orderBy("rank").collect()] == [
         ("HIGH", "根拠不足: claim_3"), ("HIGH", "参考文献エントリ欠落"), ("MEDIUM", "論理の曖昧さ: same text here"),
         ("MEDIUM", "未引用の参考文献"), ("LOW", "根拠不足: same text here"),
     ]
-    assert rk.top_risks(rk.risk_candidates(claims, evidence, logic, findings), 2).count() == 2
+    assert [(r["rank"], r["left_out"]) for r in rk.risk_table(full, 2).collect()] == [(1, 3), (2, 3)]
     counts = rk.ref_counts(top).orderBy("rank").select("n_claims", "n_paragraphs", "n_citations").collect()
     assert [tuple(c) for c in counts][:2] == [(1, 0, 0), (0, 1, 1)]
-    assert tuple(rk.severity_histogram(top).first()) == (1, 2, 2, 1)
+    # Documents without any risk have zeros, not no row.
+    assert [tuple(r) for r in rk.severity_histogram(full).orderBy("doc_id").collect()] == [(1, 2, 2, 1), (2, 0, 0, 0)]
     # LOW logic risks count as weak evidence; rows are counted, not claims.
-    s = rk.signal_counts(evidence, logic.withColumn("severity", F.lit("LOW"))).first()
-    assert tuple(s) == (1, 1, 3, 0)
+    low = rows_.withColumn("logic", F.transform("logic", lambda x: x.withField("severity", F.lit("LOW"))))
+    assert [tuple(r) for r in rk.signal_counts(rk.risk_rows(low)).orderBy("doc_id").collect()] == [(1, 1, 3, 0), (2, 0, 0, 0)]
 
 
 def test_quality_gate_needs_both(spark):
@@ -236,7 +285,7 @@ def test_segments(spark):
     assert seg(120, 24) == [list(range(25)), list(range(25, 40))]
     assert seg(10, 2) == [list(range(0, 10)), list(range(8, 18)), list(range(16, 25)), list(range(25, 35)), list(range(33, 40))]
     merged = seg(10, 2, 2)
-    assert len(merged) == 2 and merged[0] == list(range(10)) and all(len(m) <= 10 for m in merged)
+    assert len(merged) == 2 and sorted({i for m in merged for i in m}) == list(range(40)) and merged[0] == list(range(25))
 
 
 def test_candidates(spark):
@@ -250,15 +299,23 @@ def test_candidates(spark):
         [(1, 1, 14, raw), (1, 2, 14, "broken")], "doc_id long, segment int, max_claims int, raw_json string"
     )
     rows_, warnings = cd.output_claims(outputs)
-    assert [r["warning"] for r in warnings.collect()] == ["claim extraction segment 2 failed"]
-    res = cd.resolve_candidates(rows_, base).orderBy("ord").collect()
-    assert [(r["text"], r["para_ids"], r["score"]) for r in res] == [
+    assert rows_.count() == 3 and [r["warning"] for r in warnings.collect()] == ["claim extraction segment 2 failed"]
+    resolved = cd.resolve_candidates(cd.with_answers(base, outputs))
+    assert [(r["text"], r["para_ids"], r["score"]) for r in resolved.first()["candidates"]] == [
         ("We show a 5 percent gain", ["par_0002"], 3.7), ("we show a 5 PERCENT gain", ["par_0001"], 3.7),
     ]
-    best = cd.rank_candidates(cd.dedupe_best(cd.resolve_candidates(rows_, base))).collect()
-    assert [(r["ord"], r["text"]) for r in best] == [(1, "We show a 5 percent gain")]
-    claims, _ = cd.mine_with_model(base, outputs)
-    assert claims.orderBy("ord").first()["text"] == "We show a 5 percent gain"
+    best = cd.rank_candidates(cd.dedupe_best(resolved)).first()["candidates"]
+    assert [r["text"] for r in best] == ["We show a 5 percent gain"]
+    row = cd.mine_with_model(base, outputs).first()
+    assert row["claims"][0]["text"] == "We show a 5 percent gain" and row["claim_warnings"][0] == "claim extraction segment 2 failed"
+    one = spark.createDataFrame([(1, 1, 1, raw)], outputs.schema)
+    assert cd.output_claims(one)[0].count() == 3 and cd.output_claims(one, enforce=True)[0].count() == 1
+    assert [r["warning"] for r in cd.output_claims(one, enforce=True)[1].collect()] == ["claim extraction segment 1: 2 claims left out"]
+    # a document without an answer keeps its rule-based claims
+    two = mined(spark, {1: ["first paragraph text"], 2: ["second paragraph text"], 3: []})
+    got = {r["doc_id"]: r for r in cd.mine_with_model(two, outputs).collect()}
+    assert [c["text"] for c in got[2]["claims"]] == ["second paragraph text"] and got[3]["claims"] == []
+    assert got[3]["claim_warnings"] == [fx.MSG["no_claims"]] and got[3]["refine"]["iterations"] == 0
 
 
 def brute_refine(initial, fallback, paras, quality):
@@ -269,8 +326,9 @@ def brute_refine(initial, fallback, paras, quality):
         if key(c) and key(c) not in seen:
             seen.add(key(c))
             pool.append(c)
-    now = list(initial)
-    for _ in range(2):
+    now, done, replaced, told = list(initial), 0, 0, []
+    for number in (1, 2):
+        done = number
         q = [quality(c) for c in now]
         bad = {i for i, (s, n) in enumerate(q) if s < 2.2 or n >= 2}
         groups = {}
@@ -284,9 +342,12 @@ def brute_refine(initial, fallback, paras, quality):
         used = {key(c) for c in kept}
         ranked = sorted((c for c in pool if key(c) not in used), key=lambda c: -quality(c)[0])[: len(bad)]
         if not ranked:
+            told.append(fx.MSG["refiner_empty"].replace("{n}", str(number)))
             break
+        replaced += len(ranked)
         now = kept + ranked
-    return [c[0] for c in now]
+    weak = sum(s < 2.2 or n >= 2 for s, n in map(quality, now))
+    return [c[0] for c in now], (done, replaced, weak, told)
 
 
 def test_refine_equals_loop(spark):
@@ -300,24 +361,31 @@ def test_refine_equals_loop(spark):
             t = rnd.choice(paras + ["own claim text 9 if better", "Own claim TEXT 9 if better", "!!"])
             init.append((d, i + 1, t, [f"par_{rnd.randint(1, 9):04d}"]))
     base = mined(spark, docs)
-    schema = "doc_id long, ord int, text string, para_ids array<string>"
-    initial = spark.createDataFrame(init, schema)
-    fallback = cl.claim_table(base)
+    entries = {}
+    for d, _, t, p in init:
+        entries.setdefault(d, []).append((t, p))
+    own = spark.createDataFrame(list(entries.items()), "doc_id long, initial array<struct<text:string,para_ids:array<string>>>")
+    rows_ = base.join(own, "doc_id")
     q = {}
-    both = initial.select("doc_id", "text", "para_ids").union(fallback.select("doc_id", "text", "para_ids"))
-    for r in cd.with_quality(both, base).collect():
-        q[(r["doc_id"], r["text"], tuple(r["para_ids"]))] = (r["quality"], len(r["issues"]))
-    got = {}
-    for r in cd.refine_claims(initial, fallback, base).orderBy("doc_id", "ord").collect():
-        got.setdefault(r["doc_id"], []).append(r["text"])
-    fb = {}
-    for r in fallback.orderBy("doc_id", "ord").collect():
-        fb.setdefault(r["doc_id"], []).append((r["text"], tuple(r["para_ids"])))
-    for d, paras in docs.items():
-        ini = [(t, tuple(p)) for dd, _, t, p in init if dd == d]
-        want = brute_refine(ini, fb[d], paras, lambda c, d=d: q[(d, c[0], c[1])])
-        assert got[d] == want, d
-        assert len(got[d]) <= len(ini)
+    for name in ("initial", "claims"):
+        for r in rows_.select("doc_id", F.inline(cd.quality_of(F.col(name), F.col("paragraphs")))).collect():
+            q[(r["doc_id"], r["text"], tuple(r["para_ids"]))] = (r["quality"], len(r["issues"]))
+    for r in cd.refine_claims(rows_, "initial").collect():
+        d = r["doc_id"]
+        fallback = [(c["text"], tuple(c["para_ids"])) for c in base.where(F.col("doc_id") == d).first()["claims"]]
+        want, report = brute_refine([(t, tuple(p)) for t, p in entries[d]], fallback, docs[d], lambda c, d=d: q[(d, c[0], c[1])])
+        assert [c["text"] for c in r["claims"]] == want, d
+        assert tuple(r["refine"]) == report, d
+
+
+def test_refinement_without_any_replacement(spark):
+    good = "we show that 5 of 7 methods are faster than others if tested"
+    base = mined(spark, {1: [good, good.upper()], 2: [good], 3: []})
+    got = {r["doc_id"]: (r["refine"], [c["text"] for c in r["claims"]]) for r in cd.refine_claims(base).collect()}
+    told = fx.MSG["refiner_empty"].replace("{n}", "1")
+    assert tuple(got[1][0])[:2] == (1, 0) and got[1][0]["warnings"] == [told] and len(got[1][1]) == 2
+    assert tuple(got[2][0]) == (1, 0, 0, []) and got[2][1] == [good]
+    assert tuple(got[3][0]) == (0, 0, 0, [fx.MSG["no_claims"]])
 
 
 def test_quality_points(spark):
@@ -326,8 +394,9 @@ def test_quality_points(spark):
         (1, "we show that 5 cars are faster if tested", ["par_0001"]), (1, "hm", []), (1, "cars and boats and trains go", ["par_0002"]),
         (1, "we show that 5 cars are", ["par_0099"]),
     ]
-    df = spark.createDataFrame(rows_, "doc_id long, text string, para_ids array<string>")
-    got = {r["text"]: (r["quality"], r["issues"]) for r in cd.with_quality(df, base).collect()}
+    given = spark.createDataFrame([(1, [r[1:] for r in rows_])], "doc_id long, given array<struct<text:string,para_ids:array<string>>>")
+    judged = base.join(given, "doc_id").select(F.inline(cd.quality_of(F.col("given"), F.col("paragraphs"))))
+    got = {r["text"]: (r["quality"], r["issues"]) for r in judged.collect()}
     assert got[rows_[0][1]] == (5.1, [])
     assert got["hm"] == (0.0, ["too_short", "not_claim_like", "no_number", "no_condition_or_comparator", "no_paragraph_ref"])
     assert got[rows_[2][1]] == (1.6, ["not_claim_like", "no_number", "no_condition_or_comparator", "low_source_overlap"])
@@ -342,5 +411,5 @@ def test_model_hook(spark):
     def transport(batch):
         return [answer if "[par_0001] first paragraph text" in p else None for p in batch]
 
-    claims, warnings = cd.mine_with_model(base, cd.run_model(prompts, transport))
-    assert claims.orderBy("ord").first()["text"] == "We show that it works" and warnings.count() == 0
+    row = cd.mine_with_model(base, cd.run_model(prompts, transport)).first()
+    assert row["claims"][0]["text"] == "We show that it works" and row["claim_warnings"] == []

@@ -159,3 +159,38 @@ def test_file_names(spark):
     assert got == [
         ("my_paper.v2.tex", "my_paper.v2"), ("uploaded-file", "uploaded-file"), ("plain", "plain"), (".pdf", "Untitled"),
     ]
+
+
+def test_repeated_and_odd_member_paths(spark):
+    rows = [
+        (1, 1, "main.tex", "A \\input{body} B \\input{sec/one} C"), (1, 2, "body.tex", "OLD"), (1, 3, "body.tex", "NEW"), (1, 4, "/sec\\one.tex", "ONE"),
+        (1, 5, "../x.tex", "never"), (2, 1, "a.bib", "@book{k,}"), (2, 2, "fig.png", None),
+        (3, 1, "\\paper\\main.tex", "\\input{two}"), (3, 2, "paper/two.tex", "TWO"),
+    ]
+    df = spark.createDataFrame(rows, "archive_id int, ordinal int, path string, text string")
+    source, warnings = lx.expand_includes(df)
+    assert {r["archive_id"]: r["source"].split() for r in source.collect()} == {1: ["A", "NEW", "B", "ONE", "C"], 2: [], 3: ["TWO"]}
+    assert [(r["archive_id"], r["warning"]) for r in warnings.collect()] == [(2, "No .tex file found in archive.")]
+    assert {r["archive_id"]: r["main_path"] for r in lx.main_tex(df).collect()} == {1: "main.tex", 2: None, 3: "paper/main.tex"}
+
+
+def test_twenty_thousand_paragraphs(spark):
+    """Offsets, sections, mentions and findings of one huge paper stay near linear."""
+    import time
+
+    parts = []
+    for i in range(20_000):
+        if i % 20 == 0:
+            parts.append(f"\\section{{S{i}}}")
+        parts.append(f"paragraph {i} \\ref{{fig:{i % 900}}} \\cite{{k{i % 700}}}")
+        if i % 100 == 0:
+            parts.append(f"\\begin{{figure}}\\label{{fig:{i // 100}}}\\end{{figure}}")
+    df = spark.createDataFrame([(1, "\n\n".join(parts), ["k1", "none"])], "doc_id int, source string, bib array<string>")
+    begin = time.time()
+    row = pf.preflight_rows(lx.latex_extract(df)).first()
+    assert time.time() - begin < 60
+    body = [p for p in row["paragraphs"] if p["text"].startswith("paragraph")]
+    assert len(body) == 20_000 and body[-1]["section_id"] == "sec_1000" and body[39]["section_id"] == "sec_0002"
+    assert len(row["figures"][0]["mentioned_in"]) == 23 and len(row["figures"]) == 200
+    kinds = [f["kind"] for f in row["findings"]]
+    assert kinds.count("UNKNOWN_FIGURE_REFERENCE") == 700 and kinds.count("MISSING_BIB_ENTRY") == 699 and kinds.count("UNCITED_BIB_ENTRY") == 1

@@ -229,5 +229,36 @@ def test_storage(spark, tmp_path):
     storage.append_records(df, str(tmp_path / "pq"))
     found = storage.lookup(spark.read.parquet(str(tmp_path / "pq")), "analysis_id", "x2")
     assert found.count() == 1 and "PushedFilters: [IsNotNull(analysis_id), EqualTo(analysis_id,x2)]" in found._jdf.queryExecution().toString()
-    storage.write_texts(df.select("analysis_id", F.lit("body").alias("t")), str(tmp_path / "txt"), "t", "analysis_id")
-    assert spark.read.text(str(tmp_path / "txt")).count() == 2
+    bodies = "line one\nline two"
+    many = spark.range(500).select(F.concat(F.lit("x"), "id").alias("analysis_id"), F.lit(bodies).alias("t"))
+    storage.write_texts(many, str(tmp_path / "txt"), "t", "analysis_id")
+    back = storage.read_texts(spark, str(tmp_path / "txt"))
+    assert back.count() == 500 and back.where("analysis_id = 'x7'").first()["text"] == bodies
+    folders = [p for p in (tmp_path / "txt").iterdir() if p.name.startswith("bucket=")]
+    assert len(folders) <= storage.BUCKETS
+    one = storage.lookup(spark.read.parquet(str(tmp_path / "txt")), "analysis_id", "x7", storage.BUCKETS)
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_is_spread_or_read_as_it_is(spark, tmp_path):
+    """Few and many splits give the same rows."""
+    from docaudit.sources.tables import read_table
+
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    df.coalesce(1).write.parquet(str(tmp_path / "few.parquet"))
+    df.repartition(40).write.parquet(str(tmp_path / "many.parquet"))
+    rows = [sorted(map(tuple, read_table(spark, str(tmp_path), n, "id").collect())) for n in ("few", "many")]
+    assert rows[0] == rows[1] == sorted(map(tuple, df.collect()))
+
+
+def test_limiter_over_long_windows_and_sparse_keys(spark):
+    """Windows far wider than a block, blocks without any request, and one key with most requests."""
+    import random
+
+    rnd = random.Random(9)
+    data = [("hot", i, rnd.randrange(40 * 3_600_000)) for i in range(1500)] + [("few", 5000 + i, ms) for i, ms in enumerate([0, 7 * 3_600_000, 30 * 3_600_000])]
+    for limit, window in ((3, 12 * 3_600_000), (2, 3_600_000), (5, 90_000)):
+        got = limited(spark, data, limit, window)
+        for key in ("hot", "few"):
+            want = brute_limit(sorted((ms, i) for k, i, ms in data if k == key), limit, window)
+            assert {i: got[(k, i)] for k, i, _ in data if k == key} == want

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from docaudit import fixed as fx
 from docaudit.operators import ensemble as en
 from docaudit.operators import layout as ly
 from docaudit.operators import markup as mk
@@ -124,12 +125,45 @@ def test_status_stream_equals_batch(spark, tmp_path):
     q = live.write_latest(live.latest_status_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    last = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))[-1]
-    got = {tuple(r) for r in spark.read.parquet(str(last)).select("analysis_id", "status", "progress", "step", "error", "terminal").collect()}
+    got = {tuple(r) for r in live.read_latest(spark, str(tmp_path / "out")).select("analysis_id", "status", "progress", "step", "error", "terminal").collect()}
     want = {tuple(r) for r in rc.latest_status(df, "analysis_id", ["seq"]).select("analysis_id", "status", "progress", "step", "error", "terminal").collect()}
     assert got == want
 
 
+def test_late_requests_are_decided(spark, tmp_path):
+    """A request of an hour ago in the third batch gets a decision like any other."""
+    batches = [[("k", 1, 10_000_000), ("k", 2, 10_001_000)], [("k", 3, 20_000_000)], [("k", 4, 6_400_000), ("j", 5, 1), ("k", 6, 20_000_001)]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "key string, request_id long, ms long").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    stream = spark.readStream.schema("key string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = live.rate_limit_stream(stream, 2, 5000).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["request_id"]: (r["allowed"], r["window_start"]) for r in spark.table("late").collect()}
+    assert got == {1: (True, 10_000_000), 2: (True, 10_000_000), 3: (True, 20_000_000), 4: (True, 20_000_000), 5: (True, 1), 6: (False, 20_000_000)}
+
+
+def test_repeated_batches_give_the_same_table(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "QUEUED"), ("b", 1, "READY")], "analysis_id string, seq int, status string")
+    more = spark.createDataFrame([("a", 2, "READY")], df.schema)
+
+    class Sink:
+        def __getattr__(self, name):
+            return lambda *args: setattr(self, "write", args[0]) or self if name == "foreachBatch" else self
+
+    class Stream:
+        writeStream = Sink()
+
+    write = live.write_latest(Stream(), str(tmp_path / "out"), str(tmp_path / "cp")).write
+    for batch, number in ((df, 0), (more, 1), (more, 1)):
+        write(batch, number)
+    want = {("a", 2, "READY"), ("b", 1, "READY")}
+    assert {tuple(r) for r in live.read_latest(spark, str(tmp_path / "out")).select("analysis_id", "seq", "status").collect()} == want
+    live.compact_latest(spark, str(tmp_path / "out"), str(tmp_path / "base"))
+    assert {tuple(r) for r in live.read_latest(spark, str(tmp_path / "base")).select("analysis_id", "seq", "status").collect()} == want
+
+
 def test_trace_append(spark, tmp_path):
     schema = "analysis_id string, seq int, role string, status string"
     for n in range(2):
@@ -154,6 +188,7 @@ def test_job(spark):
     arts = spark.createDataFrame(rows, "doc_id long, artifact_type string, input_type string, text string")
     extracts, rejects = job.route(arts)
     assert {r["doc_id"]: r["reason"] for r in rejects.collect()} == {2: "inputType does not match artifactType", 3: "artifact text is empty"}
+    assert extracts.count() + rejects.count() == len(rows)
     audit = job.analyse(extracts)
     assert {r["doc_id"] for r in audit.rejects.collect()} == {4}
     result = {r["doc_id"]: r for r in audit.result.collect()}
@@ -162,12 +197,46 @@ def test_job(spark):
     assert [c["claim_id"] for c in one["claims"]] == [f"claim_{i + 1}" for i in range(len(one["claims"]))]
     # No artifact but a paper has figures, so the numbered reference is a warning.
     assert (one["error_count"], one["warning_count"]) == (0, 1)
-    assert one["top_risks"][0]["severity"] in ("HIGH", "MEDIUM") and len(one["top_risks"]) <= 50
+    assert one["top_risks"][0]["severity"] in ("HIGH", "MEDIUM")
+    assert one["warnings"] == [w["warning"] for w in audit.warnings.where("doc_id = 1").orderBy("ord").collect()]
+    trace = audit.trace.where("doc_id = 1").orderBy("seq").collect()
+    assert [t["role"] for t in trace] == fx.AGENT_ROLES and [t["role"] for t in one["agent_trace"]] == fx.AGENT_ROLES
+    assert trace[2]["summary"].startswith(f"claims={len(one['claims'])}, llmWarnings={len(one['warnings'])}, refineIter=")
+    assert one["generated_at"] is not None and one["extract_path"] is None
     view = {r["doc_id"]: r for r in job.summary_view(audit.result).collect()}
     assert len(view[1]["top3_risks"]) == 3 and len(view[1]["claim_evidence"]) == len(one["claims"])
-    refined = job.analyse(extracts, refine=True)
-    assert refined.claims.groupBy("doc_id").count().where("count > 36").count() == 0
-    assert refined.result.count() == 2
+    # Without model answers the job is map-only; with them rows and answers are shuffled once each.
+    assert "Exchange" not in audit.result._jdf.queryExecution().executedPlan().toString()
+    answer = '{"claims":[{"claimId":"a","text":"We show that 7 methods are better than 5 others if tested","paragraphIds":["par_0002"]}]}'
+    outputs = spark.createDataFrame([(1, 1, 14, answer), (5, 1, 14, "no")], "doc_id int, segment int, max_claims int, raw_json string")
+    asked = {r["doc_id"]: r for r in job.analyse(extracts, outputs).result.collect()}
+    assert any(c["text"].startswith("We show that 7 methods") for c in asked[1]["claims"])
+    assert asked[5]["warnings"][0] == "claim extraction segment 1 failed"
+
+
+def test_every_artifact_is_extracted_or_rejected(spark):
+    tex = "\\section{One}\nwords of a paper " + "and more " * 30
+    rows = [
+        (1, "PAPER", "LATEX_ZIP", tex), (2, "BOOK", "LATEX_ZIP", tex), (3, None, "LATEX_ZIP", tex), (4, "SHEET", "SHEET_TEXT", "a,1"),
+        (5, "PAPER", "PDF", None), (6, "PAPER", "PDF", None), (7, None, None, None), (8, "PAPER", "LATEX_ZIP", " "),
+    ]
+    arts = spark.createDataFrame(rows, "doc_id int, artifact_type string, input_type string, text string")
+    papers = job.lx.paper_extract(spark.createDataFrame([(6, tex), (99, tex)], "doc_id int, text string"))
+    for given in (None, papers):
+        extracts, rejects = job.route(arts, given)
+        got = {r["doc_id"]: r["artifact_type"] for r in extracts.collect()}
+        out = {r["doc_id"]: r["reason"] for r in rejects.collect()}
+        assert sorted([*got, *out]) == [r[0] for r in rows]
+        assert got[1] == got[2] == got[3] == "PAPER" and got[4] == "SHEET"
+        assert out[5] == "no extract row for the paper" and out[7] == "inputType does not match artifactType" and out[8] == "artifact text is empty"
+        assert (6 in got) == (given is not None)
+
+
+def test_missing_lists_are_told(spark):
+    base = job.common_rows(job.lx.paper_extract(spark.createDataFrame([(1, "\\section{A}\ntext"), (2, "\\section{A}\ntext")], "doc_id int, text string")))
+    broken = base.withColumn("bib", F.when(F.col("doc_id") == 1, F.col("bib")))
+    got = {r["doc_id"]: r["preflight_warnings"] for r in job.pf.preflight_rows(broken).collect()}
+    assert got == {1: [], 2: ["preflight failed: missing bib"]}
 
 
 def test_adapter_hook(spark):

@@ -26,8 +26,8 @@ def test_sheet_rows_and_json(spark):
     assert by_doc[1] == ["a,1", "=SUM(A1)", "source x", "SHEET統計: rows=3, paragraphs=3, numeric_rows=1"]
     assert by_doc[2][0] == '{\n  "b": [\n    1,\n    2\n  ],\n  "a": {}\n}'
     assert by_doc[3][0] == "0" and by_doc[4][0] == '["x"] tail'
-    assert len([t for t in by_doc[5] if t.startswith("row ")]) == 500
-    assert by_doc[5][500].startswith("SHEET統計: rows=501, paragraphs=500, numeric_rows=501")
+    assert len([t for t in by_doc[5] if t.startswith("row ")]) == 501
+    assert by_doc[5][501].startswith("SHEET統計: rows=501, paragraphs=501, numeric_rows=501")
     first = {d: s for d, s, _ in reversed(got)}
     assert set(first.values()) == {"sec_0001"}
     titles = {(r["doc_id"], r["title"]) for r in st.section_table(df).collect()}
@@ -134,3 +134,36 @@ def test_risk_rules_need_ascii_boundaries(spark):
             "skip_test": ["it.skip(1)"], "secret": ["AKIA" + "A" * 16],
         }[rid]
         assert got == want, rid
+
+
+def test_control_characters_are_plain_text(spark):
+    text = "# Head\nfirst \x01 part\nsecond \x02 line\n\nother\x01block"
+    row = st.doc_extract(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert [s["title"] for s in row["sections"]][0] == "Head" and len(row["sections"]) == 2
+    assert [p["text"] for p in row["paragraphs"]][:2] == ["first \x01 part\nsecond \x02 line", "other\x01block"]
+    diff = "diff --git a/x b/x\n@@ -1 +1 @@\n+a\x02b\n-c\x01d\n"
+    hunks = dd.hunk_table(spark.createDataFrame([(1, diff)], "doc_id int, text string")).collect()
+    assert [(h["added"], h["removed"]) for h in hunks] == [(["a\x02b"], ["c\x01d"])]
+
+
+def test_a_heading_at_the_very_start(spark):
+    texts = {1: "# A\nx", 2: "x\n# A", 3: "1.2 Num\n\ntext", 4: ""}
+    got = {}
+    for r in st.doc_blocks(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect():
+        got[r["doc_id"]] = ([s["title"] for s in r["sections"]], [p["text"] for p in r["paras"]])
+    assert got == {1: (["A"], ["x"]), 2: (["A"], ["x"]), 3: (["Num"], ["text"]), 4: ([], [])}
+
+
+def test_groups_and_running(spark):
+    import random
+
+    from docaudit.functions import arrays as aa
+
+    pick = random.Random(3)
+    rows = [(i, [pick.choice(["a", "b", None, "dd"]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 7, 101])]
+    df = spark.createDataFrame(rows, "i int, a array<string>")
+    sums = aa.running(F.transform("a", lambda x, i: i + 1), lambda p, q: p + q, F.lit(0))
+    for r in df.select("a", aa.groups(F.col("a"), lambda x: x).alias("g"), aa.first_of_each(F.col("a"), lambda x: x).alias("f"), sums.alias("s")).collect():
+        assert [g["k"] for g in r["g"]] == r["f"] == list(dict.fromkeys(r["a"]))
+        assert [len(g["xs"]) for g in r["g"]] == [r["a"].count(k) for k in r["f"]]
+        assert r["s"] == [sum(range(i + 2)) for i in range(len(r["a"]))]
