@@ -1,46 +1,12 @@
-"""Shared folder, stored intermediate tables and table reading for the operators of this subpackage."""
+"""Table reading for the operators of this subpackage, and the helpers for stored intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Where it is unset, a session inside one machine gets a folder of its own; any other session
-    is refused, since executors would not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docaudit-shared-")
-    return _OWN[context.applicationId]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back.
+from docaudit.sources.storage import new_folder, shared_folder, stored
 
-    This cuts the lineage, survives lost executors, and lets the planner know the size, so that
-    it broadcasts the table only where that is small.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_folder", "shared_folder", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -127,11 +127,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     columns = [F.col(f"`{c}`") for c in df.columns]
     marked = df.select(F.col(key).alias("key"), F.xxhash64(*columns).alias("row_hash"), F.col(text).alias("text"))
     prints = stored(fingerprinted(marked, "text", size).drop("text"), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    roots = stored(components(stored(links(nodes, limit), "links")).select(F.col("node").alias("fp"), "root"), "roots")
+    rows = prints.count()
+    nodes = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes", rows)
+    linked = stored(links(nodes, limit), "links")
+    roots = stored(components(linked, linked.count()).select(F.col("node").alias("fp"), "root"), "roots", rows)
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "smallest")
-    found = stored(placed.join(smallest, "root").select("fp", "root", "component"), "found")
+    smallest = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "smallest", rows)
+    found = stored(placed.join(smallest, "root").select("fp", "root", "component"), "found", rows)
     return prints.join(found, "fp").select("key", "row_hash", "fp", "root", "component")
 
 

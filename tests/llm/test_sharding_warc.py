@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docaudit.llm import warc
-from docaudit.llm.common import new_folder, shared_dir
+from docaudit.llm.common import new_folder, shared_folder
 from docaudit.llm.sharding import shard, write_shards
 
 
@@ -48,16 +48,15 @@ def test_write_shards(spark, documents):
     assert spark.read.parquet(path).count() == documents.count()
 
 
-def test_shared_dir_is_needed_on_a_cluster(spark):
-    class Context:
-        master, applicationId = "spark://host:7077", "other"
-
+def test_shared_folder_is_a_setting_of_the_cluster():
     class Session:
-        sparkContext = Context()
-        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})()
+        def __init__(self, **settings):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})()
 
-    with pytest.raises(ValueError):
-        shared_dir(Session())
+    both = {"spark.checkpoint.dir": "hdfs://a/b/", "spark.sql.warehouse.dir": "hdfs://w/"}
+    assert shared_folder(Session(**both)) == "hdfs://a/b"
+    del both["spark.checkpoint.dir"]
+    assert shared_folder(Session(**both)) == "hdfs://w/intermediate"
 
 
 PAGES = "page_id long, url string, html string, extra string"
