@@ -1102,3 +1102,50 @@ pool as (
 cur0 as (select doc_id, n as place, text, para, quality, len(issues) as n_issues, key from qs where src = 0)
 {refine_round(1)}{refine_round(2)}
 select doc_id, row_number() over (partition by doc_id order by place) as ord, text, quality from cur2""")
+
+# ---- storage and streams ---------------------------------------------------------------------------------
+
+query("stored_artifacts", "select doc_id, strlen(text) as bytes, md5(text) as digest, starts_with(text, '%PDF-') as is_pdf from documents")
+query("pdf_headers", """
+select doc_id, source = 'src3' or starts_with(text, '%PDF-') as is_pdf, md5(case source when 'src3' then '%PDF-1.4 ' || text else text end) as digest from documents""")
+query("artifact_files", "select page_id, md5(html) as digest from pages")
+query("stored_results", f"with {CLAIMS} select d.doc_id, count(n) as claims, md5(coalesce(string_agg(c.text, chr(10) order by n), '')) as digest from documents d left join c using (doc_id) group by d.doc_id")
+query("new_records", """
+select 'sub' || o_orderkey as submission_id, case o_orderpriority when '1-URGENT' then 'PR' when '2-HIGH' then 'DOC' else 'PAPER' end as artifact_type,
+  case when o_orderkey % 3 = 0 then 'READY' else 'UPLOADED' end as status, o_custkey = 1 as of_first_session from orders""")
+query("latest_trace", f"""
+with {TRACE},
+d as (select *, ts::date as day, max(ts::date) over (partition by user_id) as last from tr)
+select user_id as analysis_id, count(*) as entries, string_agg(event_id || ':' || role || ':' || status, '|' order by event_id) as trace from d where day = last group by all""")
+query("sparse_sources", f"select doc_id, len({paragraphs_of('text')}) < 4 or len(string_split(text, ' ')) < 40 as sparse from documents")
+query("tei_bibliography", f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+select doc_id, i as ord, case when i % 2 = 1 then 'k' || (i - 1) else 'bib_' || i end as key, {spaces("regexp_replace(x, '[<>&]', ' ', 'g')")} as raw from l""")
+query("model_answers", f"""
+with {segments(120, 24)},
+segs as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || ptext, chr(10) order by o) as body from placed group by all),
+n as (select *, greatest(4, least(14, cast(ceil(36.0 / count(*) over (partition by doc_id)) as bigint) + 2)) as m from segs),
+t as (select *, {q(PROMPT_HEAD)} || m || chr(10) || '注意: claim.text は元文の意味を維持し、冗長にしない。' || chr(10) || '入力文書:' || chr(10) || body as prompt from n)
+select doc_id, seg + 1 as segment, len(prompt) || ' ' || (len(prompt) - len(replace(prompt, chr(10), ''))) as raw_json from t""")
+query("model_paragraphs", f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+t as (select doc_id, i, {spaces('x')} as t from l),
+u as (select * from t where len(t) >= 3 qualify row_number() over (partition by doc_id, lower(t) order by i) = 1)
+select doc_id, row_number() over (partition by doc_id order by i) as ord, t as text from u""")
+query("status_stream", f"""
+with u as (select user_id, event_id, event_type, value, props, {STATUS} as status, row_number() over (partition by user_id order by event_id desc) as rk from events),
+st as (select user_id, case event_type when 'view' then 'extract' else 'evidence' end as step from events where event_type in ('view', 'click')
+  qualify row_number() over (partition by user_id order by event_id desc) = 1)
+select user_id as analysis_id, status, value as progress, coalesce(step, '') as step, case event_type when 'error' then 'failed with ' || props else '' end as error
+from u left join st using (user_id) where rk = 1""")
+query("trace_stream", f"with {TRACE} select user_id as analysis_id, event_id as seq, role, status from tr")
+query("limit_stream", "select cast(user_id as varchar) as key, count(*) as decided, count(*) as rows from events group by all")
+query("ensemble_extract", f"""
+with {ENSEMBLE},
+u as (select * from scored where o = 1 or n > 0),
+pr as (select doc_id, o as po from u qualify row_number() over (partition by doc_id order by score desc, o) = 1),
+sd as (select doc_id, secs from u where secs > 0 qualify row_number() over (partition by doc_id order by secs desc, o) = 1),
+bd as (select doc_id, o as bo from u where bibs > 0 qualify row_number() over (partition by doc_id order by bibs desc, o) = 1),
+pt as (select pp.doc_id, count(*) as n, md5(string_agg(t, chr(10) order by i, j)) as digest from pp join pr on pp.doc_id = pr.doc_id and pp.o = pr.po group by all)
+select base.doc_id, coalesce(pt.n, 0) as paragraphs, coalesce(secs, 0) as sections, case when bo is null then '' else lang || '|' || src_name end as bib, coalesce(digest, md5('')) as digest
+from base left join pt using (doc_id) left join sd using (doc_id) left join bd using (doc_id)""")

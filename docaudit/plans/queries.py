@@ -28,6 +28,8 @@ from docaudit.operators import structure as st
 from docaudit.operators import views as vw
 from docaudit.plans import inputs as src
 from docaudit.plans.audit_job import analyse, route, summary_view
+from docaudit.sources import storage as so
+from docaudit.streaming import live
 from docaudit.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1099,3 +1101,160 @@ def job_trace(spark, sf):
     """Trace rows of the job over SHEET documents, one per step."""
     trace = analyse(src.sheet_rows(spark, sf)).trace
     return trace.select("doc_id", "seq", "agent_id", "role", "status", "summary", joined("highlights", "|").alias("highlights"))
+
+
+# ---- storage and streams: written to the shared folder and read back ----------------------------------
+
+
+@query
+def stored_artifacts(spark, sf):
+    """Artifacts by id written as objects, read back as bytes and decoded."""
+    folder = so.new_folder(spark, "artifacts")
+    so.write_texts(src.documents(spark, sf), folder, "text", "doc_id")
+    files = so.read_texts(spark, folder).withColumn("content", F.encode("text", "UTF-8"))
+    return files.select(
+        "doc_id", F.length("content").alias("bytes"), F.md5(tx.decode_bytes(F.col("content"))).alias("digest"),
+        ar.is_pdf(F.col("content")).alias("is_pdf"),
+    )
+
+
+@query
+def pdf_headers(spark, sf):
+    """Magic bytes and decoding of raw objects, some with a PDF header."""
+    head = F.when(F.col("source") == "src3", F.lit("%PDF-1.4 ")).otherwise("")
+    raw = src.documents(spark, sf).select("doc_id", F.encode(F.concat(head, "text"), "UTF-8").alias("content"))
+    return raw.select("doc_id", ar.is_pdf(F.col("content")).alias("is_pdf"), F.md5(tx.decode_bytes(F.col("content"))).alias("digest"))
+
+
+@query
+def artifact_files(spark, sf):
+    """Raw files of a folder with their sizes; the pages of each site are written as files first."""
+    folder = so.new_folder(spark, "pages")
+    pages = read_table(spark, sf, "pages").select("page_id", F.base64(F.encode("html", "UTF-8")).alias("line"))
+    pages.select(F.concat_ws(" ", F.col("page_id").cast("string"), F.regexp_replace("line", "\\s", "")).alias("value")).write.text(folder)
+    files = so.decode_artifacts(so.read_artifacts(spark, folder, "part-*"))
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    html = F.decode(F.unbase64(F.substring_index("line", " ", -1)), "UTF-8")
+    return lines.select(F.substring_index("line", " ", 1).cast("long").alias("page_id"), F.md5(html).alias("digest"))
+
+
+@query
+def stored_results(spark, sf):
+    """Claims of each document written as JSON, one object per document, and read back."""
+    folder = so.new_folder(spark, "results")
+    rows = _mined(spark, sf).select("doc_id", F.transform("claims", lambda c: c["text"]).alias("claims"))
+    so.write_documents(rows, folder, "doc_id")
+    back = so.read_documents(spark, folder, "doc_id long, claims array<string>")
+    return back.select("doc_id", F.size("claims").alias("claims"), F.md5(joined("claims", "\n")).alias("digest"))
+
+
+@query
+def new_records(spark, sf):
+    """Records appended with their defaults and read back, those of one session by id."""
+    folder = so.new_folder(spark, "records")
+    given = src.submissions(spark, sf).select("session_id", "submission_id", "artifact_type", F.when(F.col("ord") % 3 == 0, "READY").alias("status"))
+    so.append_records(rc.with_defaults(given, "submission"), folder)
+    back = spark.read.parquet(folder)
+    one = so.lookup(back, "session_id", "s1").select("submission_id", F.lit(True).alias("first"))
+    found = back.join(one, "submission_id", "left")
+    return found.select("submission_id", "artifact_type", "status", F.coalesce("first", F.lit(False)).alias("of_first_session"))
+
+
+@query
+def latest_trace(spark, sf):
+    """The whole trace array of each user, the last snapshot wins."""
+    t = _trace(spark, sf).select("analysis_id", "day", F.struct("seq", "role", "status").alias("entry"))
+    snapshots = t.groupBy("analysis_id", "day").agg(F.array_sort(F.collect_list("entry")).alias("trace"))
+    df = rc.latest_row(snapshots, ["analysis_id"], ["day"])
+    entries = F.transform("trace", lambda e: F.concat_ws(":", e["seq"].cast("string"), e["role"], e["status"]))
+    return df.select("analysis_id", F.size("trace").alias("entries"), joined(entries, "|").alias("trace"))
+
+
+@query
+def sparse_sources(spark, sf):
+    """extractions so thin that another source should be tried."""
+    paras = F.size(tx.paragraph_list(F.col("text")))
+    words = F.size(F.split("text", " "))
+    return src.documents(spark, sf).select("doc_id", en.is_sparse(paras, words).alias("sparse"))
+
+
+@query
+def tei_bibliography(spark, sf):
+    """biblStruct entries of tagged markup, one per line of a document."""
+    lines = F.split("text", "\n")
+    entry = lambda x, i: F.concat(
+        F.when(i % 2 == 0, F.concat(F.lit('<biblStruct xml:id="k'), i.cast("string"), F.lit('">'))).otherwise("<biblStruct>"),
+        F.lit("<title>"), F.regexp_replace(x, "[<>&]", " "), F.lit("</title></biblStruct>"),
+    )
+    docs = src.documents(spark, sf).select("doc_id", joined(F.transform(lines, entry), "").alias("xml"))
+    df = docs.select("doc_id", F.posexplode(mk.bibliography(F.col("xml"))).alias("pos", "b"))
+    return df.select("doc_id", (F.col("pos") + 1).alias("ord"), "b.key", F.coalesce("b.raw", F.lit("")).alias("raw"))
+
+
+@query
+def model_answers(spark, sf):
+    """H1: prompts of all segments through a user function that answers from the prompt."""
+    prompts = cd.claim_prompts(cd.segments(src.sheet_rows(spark, sf))).select("doc_id", "segment", "prompt")
+
+    def transport(batch):
+        return [f"{len(p)} {p.count(chr(10))}" for p in batch]
+
+    return cd.run_model(prompts, transport).select("doc_id", "segment", "raw_json")
+
+
+@query
+def ensemble_extract(spark, sf):
+    """K9: assembled extract of each document from its sources."""
+    rows = en.ensemble_extract(_candidate_sources(spark, sf))
+    return rows.select(
+        "doc_id", F.size("paragraphs").alias("paragraphs"), F.size("sections").alias("sections"), joined("bib", "|").alias("bib"),
+        F.md5(joined(F.transform("paragraphs", lambda p: p["text"]), "\n")).alias("digest"),
+    )
+
+
+@query
+def model_paragraphs(spark, sf):
+    """Deduped paragraphs of model payloads."""
+    docs = src.documents(spark, sf)
+    raw = F.to_json(F.struct(F.split("text", "\n").alias("paragraphs")))
+    df = docs.select("doc_id", F.posexplode(mk.model_paragraphs(raw)).alias("pos", "text"))
+    return df.select("doc_id", (F.col("pos") + 1).alias("ord"), "text")
+
+
+def _streamed(spark, rows: DataFrame, parts: int, order: str):
+    """Rows as a stream of a few files, in the order of a column."""
+    folder = so.new_folder(spark, "stream")
+    rows.withColumn("part", F.pmod(F.col(order), F.lit(parts))).write.partitionBy("part").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(folder)
+
+
+@query
+def status_stream(spark, sf):
+    """Current status of each user from a stream of updates, written and read back."""
+    updates = src.status_updates(spark, sf).select("analysis_id", "seq", "status", "progress", "step", "error")
+    out = so.new_folder(spark, "status")
+    stream = live.latest_status_stream(_streamed(spark, updates, 4, "seq"))
+    live.write_latest(stream, out, so.new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    df = live.read_latest(spark, out)
+    return df.select("analysis_id", "status", "progress", F.coalesce("step", F.lit("")).alias("step"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def trace_stream(spark, sf):
+    """Q4: trace entries appended from a stream, read back."""
+    out = so.new_folder(spark, "trace")
+    entries = _trace(spark, sf).select("analysis_id", "seq", "role", "status")
+    live.append_trace(_streamed(spark, entries, 4, "seq"), out, so.new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return back.select("analysis_id", "seq", "role", "status")
+
+
+@query
+def limit_stream(spark, sf):
+    """Q1 as a stream: every request gets one decision, whatever the order of arrival."""
+    req = read_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    out = so.new_folder(spark, "limits")
+    decided = live.rate_limit_stream(_streamed(spark, req, 3, "request_id"), 2, 12 * 3600 * 1000)
+    writer = decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", so.new_folder(spark, "progress"))
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("key").agg(F.countDistinct("request_id").alias("decided"), F.count("*").alias("rows"))
