@@ -9,13 +9,13 @@ trigram search every document. All positions are code points.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions.arrays import running
 from docaudit.functions.text import let
 from docaudit.llm.common import stored
 
@@ -119,21 +119,6 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> D
     return together.select("row", bits.alias("rules")).where("rules <> 0")
 
 
-def running(values: Column, join: Callable[[Column, Column], Column], first: Column) -> Column:
-    """Running results of a fold. Blocks of about the root of the length keep the copying small."""
-
-    def fold(items: Column, start: Column) -> Column:
-        grown = F.aggregate(items, F.array(start), lambda done, x: F.concat(done, F.array(join(F.element_at(done, -1), x))))
-        return F.slice(grown, 2, F.size(items))
-
-    def blocked(size: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
-        inside = F.transform(parts, lambda part: fold(part, first))
-        return let(inside, lambda done: let(fold(F.transform(done, lambda d: F.element_at(d, -1)), first), lambda ends: F.flatten(F.transform(done, lambda d, n: F.transform(d, lambda x: F.when(n == 0, x).otherwise(join(F.get(ends, n - 1), x)))))))
-
-    return F.when(F.size(values) > 0, let(F.ceil(F.sqrt(F.size(values))).cast("int"), blocked)).otherwise(F.slice(F.array(first), 1, 0))
-
-
 def _span(kind: int, start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
 
