@@ -83,16 +83,20 @@ def next_request(thresholds: DataFrame, instants: DataFrame) -> DataFrame:
     return found.select("key", "at", F.coalesce("inside", "beyond").alias("next"))
 
 
-def chain(links: DataFrame, firsts: DataFrame, steps: int) -> DataFrame:
-    """(key, ms) of all requests that a chain of ``links`` (key, ms, next) from its first one reaches."""
-    jumps, reached = stored(links.where("next IS NOT NULL"), "jumps"), stored(firsts, "reached")
-    for _ in range(math.ceil(math.log2(steps + 1))):
+def chain(links: DataFrame, firsts: DataFrame, steps: int, rows: int) -> DataFrame:
+    """(key, ms) of all requests that a chain of ``links`` (key, ms, next) from its first one reaches.
+
+    ``steps`` bounds the links of a chain, ``rows`` their number in all. After n rounds the reached
+    requests are those of 2**n - 1 links, and the jumps go over 2**n.
+    """
+    jumps, reached = stored(links.where("next IS NOT NULL"), "jumps", rows), firsts
+    rounds = math.ceil(math.log2(steps + 1))
+    for number in range(rounds):
         further = reached.join(jumps, ["key", "ms"]).select("key", F.col("next").alias("ms"))
-        reached = stored(reached.unionByName(further).distinct(), "reached")
-        second = jumps.select("key", F.col("ms").alias("next"), F.col("next").alias("after"))
-        jumps = stored(jumps.join(second, ["key", "next"]).select("key", "ms", F.col("after").alias("next")), "jumps")
-        if jumps.isEmpty():
-            break
+        reached = stored(reached.unionByName(further).distinct(), "reached", rows)
+        if number + 1 < rounds:
+            second = jumps.select("key", F.col("ms").alias("next"), F.col("next").alias("after"))
+            jumps = stored(jumps.join(second, ["key", "next"]).select("key", "ms", F.col("after").alias("next")), "jumps", rows)
     return reached
 
 
@@ -104,10 +108,11 @@ def window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
     nodes = blocks.withColumn("exits", exits).select("key", F.inline(F.arrays_zip(F.col("times.ms").alias("ms"), F.col("exits").alias("exit"))))
     nodes = stored(nodes.withColumn("at", F.col("exit") + window_ms), "nodes")
     links = nodes.join(next_request(nodes, nodes), ["key", "at"]).select("key", "ms", "next")
-    span = nodes.agg(F.max("ms") - F.min("ms")).first()[0] or 0
+    count, low, high = nodes.agg(F.count("*"), F.min("ms"), F.max("ms")).first()
+    span = high - low if count else 0
     # A chain takes a block once, and each link is at least a window long.
     steps = min(span // BLOCK_MS, span // window_ms) + 1
-    entries = chain(links, nodes.groupBy("key").agg(F.min("ms").alias("ms")), steps)
+    entries = chain(links, nodes.groupBy("key").agg(F.min("ms").alias("ms")), steps, count)
     entered = entries.join(nodes, ["key", "ms"]).select("key", block, F.col("ms").alias("entry"), "exit")
     df = blocks.join(entered, ["key", "block"], "left")
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
