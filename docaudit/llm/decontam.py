@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,13 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros usd eur percent mph kmh kph degree degrees watt watts volt volts joule joules newton newtons hz khz mhz ghz b kb mb gb tb".split()
 )
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:]|\n\s*\n|[$€£%]")
+# words, numbers, ends of sentences, signs of units; the second for ASCII texts, where it finds the same
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:]|\n[ \t\r]*\n|[$€£%]")
+ASCII_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,][0-9]+)*|[.!?:]|\n[ \t\r]*\n|[$%]")
 PLAIN, NAME, NUMBER, UNIT, LETTER, STOP = range(6)
 KIND = 7  # the low bits of a token's code hold its kind
 HOLES = {NAME: 8 * 1, NUMBER: 8 * 2, UNIT: 8 * 3}  # codes of the placeholders
+LAST_HOLE = max(HOLES.values())
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -59,31 +63,47 @@ class Templates:
             kind = NAME if len(token) > 1 and token.istitle() else PLAIN
         return xxhash.xxh64_intdigest(lower) & ~KIND | kind
 
-    def of(self, text: str) -> tuple[list[str], list[np.ndarray]]:
-        """The words of a text and their template codes: with names as placeholders, and, if that differs, without."""
-        tokens = TOKEN.findall(text)
-        if not tokens:
-            return [], []
+    def of(self, text: str) -> Parsed:
+        """The words of a text with their template codes."""
+        tokens = (ASCII_TOKEN if text.isascii() else TOKEN).findall(text)
         if len(self.codes) > self.held:
             self.codes = {}
-        got = list(map(self.codes.get, tokens))
-        if None in got:
-            for token in {t for t, c in zip(tokens, got) if c is None}:
+        try:
+            codes = np.fromiter(map(self.codes.__getitem__, tokens), "u8", len(tokens))
+        except KeyError:
+            for token in set(tokens).difference(self.codes):
                 self.codes[token] = self._code(token)
-            got = list(map(self.codes.__getitem__, tokens))
-        codes = np.array(got, "u8")
+            codes = np.fromiter(map(self.codes.__getitem__, tokens), "u8", len(tokens))
         kinds = (codes & np.uint64(KIND)).astype("u1")
         words = kinds != STOP
-        first = np.append(True, ~words[:-1])[words]  # of a sentence
-        plain, kinds = (codes & ~np.uint64(KIND))[words], kinds[words]
+        at = np.flatnonzero(words)
+        first = np.append(True, ~words[:-1])[at]  # of a sentence
+        plain, kinds = (codes & ~np.uint64(KIND))[at], kinds[at]
         number = kinds == NUMBER
-        beside = np.append(False, number[:-1]) | np.append(number[1:], False) if len(number) else number
-        plain[number] = HOLES[NUMBER]
-        plain[(kinds == UNIT) | (kinds == LETTER) & beside] = HOLES[UNIT]
+        if number.any():
+            beside = np.append(False, number[:-1]) | np.append(number[1:], False)
+            plain[number] = HOLES[NUMBER]
+            plain[(kinds == LETTER) & beside] = HOLES[UNIT]
+        plain[kinds == UNIT] = HOLES[UNIT]
+        names = (kinds == NAME) & ~first
+        if not names.any():
+            return Parsed(tokens, at, [plain])
         named = plain.copy()
-        named[(kinds == NAME) & ~first] = HOLES[NAME]
-        kept = [t for t, w in zip(tokens, words.tolist()) if w]
-        return kept, [named] if np.array_equal(named, plain) else [named, plain]
+        named[names] = HOLES[NAME]
+        return Parsed(tokens, at, [named, plain])
+
+
+@dataclass(frozen=True)
+class Parsed:
+    """The tokens of a text, the places of its words, and their codes: with names as placeholders, and, if that differs, without."""
+
+    tokens: list[str]
+    at: np.ndarray
+    views: list[np.ndarray]
+
+    def slots(self, codes: np.ndarray, start: int) -> list[str]:
+        """Lower-case values behind the placeholders of a window, each after its kind."""
+        return [f"{int(codes[n])}:{self.tokens[self.at[n]].lower()}" for n in range(start, start + WORDS) if codes[n] <= LAST_HOLE]
 
 
 def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +111,16 @@ def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = len(codes) - WORDS + 1
     if count < 1:
         return np.zeros(0, "u8"), np.zeros(0, bool)
-    hashes, literal = np.zeros(count, "u8"), np.zeros(count, "i8")
-    for n in range(WORDS):
-        part = codes[n : n + count]
-        hashes = hashes * np.uint64(FACTOR) + part
-        literal += part > max(HOLES.values())
+    hashes = codes[:count].copy()
+    for n in range(1, WORDS):
+        hashes *= np.uint64(FACTOR)
+        hashes += codes[n : n + count]
     hashes ^= hashes >> np.uint64(29)
-    return hashes, literal >= LITERAL
-
-
-def slots(words: list[str], codes: np.ndarray, start: int) -> list[str]:
-    """Lower-case values behind the placeholders of a window, each after its kind."""
-    return [f"{int(codes[n])}:{words[n].lower()}" for n in range(start, start + WORDS) if codes[n] <= max(HOLES.values())]
+    holes = codes <= LAST_HOLE
+    if not holes.any():
+        return hashes, np.ones(count, bool)
+    sums = np.append(0, np.cumsum(holes))
+    return hashes, sums[WORDS:] - sums[:-WORDS] <= WORDS - LITERAL
 
 
 ITEM = "hash long, item long, place int, windows int, held array<string>"
@@ -119,10 +137,10 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
         for batch in batches:
             rows = []
             for item, text_of in zip(batch["item"], batch["text"]):
-                words, views = templates.of(text_of.as_py() or "")
-                for codes in views:
+                parsed = templates.of(text_of.as_py() or "")
+                for codes in parsed.views:
                     hashes, fit = windows(codes)
-                    rows += [(int(hashes[n].view("i8")), item.as_py(), int(n), int(fit.sum()), slots(words, codes, n)) for n in np.flatnonzero(fit)]
+                    rows += [(int(hashes[n].view("i8")), item.as_py(), int(n), int(fit.sum()), parsed.slots(codes, n)) for n in np.flatnonzero(fit)]
             yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "place", "windows", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()), ("held", pa.list_(pa.string()))]))
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
@@ -174,13 +192,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         for batch in batches:
             rows: list[tuple] = []
             for row, text_of in zip(batch["row_hash"], batch["text"]):
-                words, views = templates.of(text_of.as_py() or "")
+                parsed = templates.of(text_of.as_py() or "")
                 seen = set()
-                for codes in views:
+                for codes in parsed.views:
                     hashes, fit = windows(codes)
                     low = hashes & mask
                     hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-                    seen |= {(int(hashes[n].view("i8")), tuple(slots(words, codes, n))) for n in np.flatnonzero(hit)}
+                    seen |= {(int(hashes[n].view("i8")), tuple(parsed.slots(codes, n))) for n in np.flatnonzero(hit)}
                 rows += [(row.as_py(), h, list(s)) for h, s in sorted(seen)]
             columns = list(zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string())))], ["row_hash", "hash", "seen"])
