@@ -30,11 +30,14 @@ def test_claim_text(value):
         tx.claim_text,
         ["Speed is 3.5 times. More", " . ! 。 next one? x", "...", "a" * 300, "線。次", ""],
     )
-    assert got == ["Speed is 3", "next one", "...", "a" * 280, "線", ""]
+    assert got == ["Speed is 3", "next one", "...", "a" * 300, "線", ""]
+    assert value(lambda c: tx.claim_text(c, fx.CLAIM_MAX_CHARS), ["a" * 300]) == ["a" * 280]
 
 
 def test_headline(value):
-    assert value(tx.headline, ["x" * 64, "x" * 65]) == ["x" * 64, "x" * 61 + "..."]
+    assert value(tx.headline, ["x" * 64, "x" * 65]) == ["x" * 64, "x" * 65]
+    cut = lambda c: tx.headline(c, fx.HEADLINE_CHARS)
+    assert value(cut, ["x" * 64, "x" * 65]) == ["x" * 64, "x" * 61 + "..."]
 
 
 def test_boundaries_are_ascii(value):
