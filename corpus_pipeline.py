@@ -32,7 +32,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(own)
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row_hash"))
     kept = found.groupBy("root").agg(F.min(order).alias("first"))
-    kept = stored(kept.select(F.col("first.row_hash").alias("__row")).distinct(), "kept")
+    kept = stored(kept.select(F.col("first.row_hash").alias("__row")).distinct(), "kept", own.count())
     left = own.withColumn("__row", F.xxhash64(*COLUMNS)).join(kept, "__row")
     single = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     return left.withColumn("__n", single).where("__n = 1").select(*COLUMNS)
@@ -41,7 +41,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     own = docs.select(*COLUMNS)
-    leaks = stored(contaminated(own, table(spark, sf_dir, "benchmark")).select(F.col("row_hash").alias("__row")).distinct(), "leaks")
+    leaks = stored(contaminated(own, table(spark, sf_dir, "benchmark")).select(F.col("row_hash").alias("__row")).distinct(), "leaks", own.count())
     return own.withColumn("__row", F.xxhash64(*COLUMNS)).join(leaks, "__row", "left_anti").select(*COLUMNS)
 
 

@@ -24,6 +24,7 @@ from docaudit.llm.common import stored
 WORDS = 5
 LITERAL = 2  # words of a window that aren't placeholders
 SIMILARITY = 0.8
+ROWS_OF_ITEM = 1000  # windows of an item, for the number of files they are stored in
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that workers get
 
 # fixed values
@@ -182,7 +183,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     of all columns, tells rows with equal keys apart. Documents aren't shuffled, only the few windows
     that pass a filter of fixed size built from the benchmark.
     """
-    items = stored(benchmark_windows(benchmark, item_key, item_text), "windows")
+    items = stored(benchmark_windows(benchmark, item_key, item_text), "windows", ROWS_OF_ITEM * benchmark.count())
     shared = documents.sparkSession.sparkContext.broadcast(_filter(items))
     columns = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(text).alias("text"))
@@ -206,6 +207,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     hits = rows.mapInArrow(look, "row_hash long, hash long, seen array<string>")
     pairs = hits.join(items, "hash").groupBy("row_hash", "item").agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "held", "seen")).alias("found"))
     scored = pairs.select("row_hash", "item", agreeing("found").alias("matched"), "windows").withColumn("similarity", F.col("matched") / F.col("windows"))
-    kept = stored(scored.where(F.col("similarity") >= similarity), "contaminated")
+    kept = stored(scored.where(F.col("similarity") >= similarity), "contaminated", documents.count())
     keys = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(key).alias("key"))
     return keys.join(kept, "row_hash").distinct().select("key", "row_hash", F.col("item").alias(item_key), "matched", "windows", "similarity")

@@ -170,11 +170,11 @@ def score_quality(documents: DataFrame, classifier: Classifier, host: Column, pa
             yield pa.array(shared.value.probabilities(shapes), pa.float64())
 
     placed = documents.withColumns({"doc_score": probability(F.col(text)), "__host": F.coalesce(host.cast("string"), F.lit("")), "__path": F.coalesce(path.cast("string"), F.lit(""))})
-    p = F.col("doc_score")
-    sites = stored(placed.groupBy("__host", "__path").agg(F.count("*").alias("__n"), F.sum(p).alias("__sum"), F.sum(p * p).alias("__squares")), "sites")
+    p, rows = F.col("doc_score"), documents.count()
+    sites = stored(placed.groupBy("__host", "__path").agg(F.count("*").alias("__n"), F.sum(p).alias("__sum"), F.sum(p * p).alias("__squares")), "sites", rows)
     prior = estimate(sites)
     hosts = sites.groupBy("__host").agg(F.sum("__n").alias("__host_n"), F.sum("__sum").alias("__host_sum"))
-    known = stored(sites.join(hosts, "__host").drop("__squares"), "posteriors")
+    known = stored(sites.join(hosts, "__host").drop("__squares"), "posteriors", rows)
     joined = placed.join(known, ["__host", "__path"])
     of_host = (F.col("__host_sum") - p + prior.hosts * prior.mean) / (F.col("__host_n") - 1 + prior.hosts)
     of_path = (F.col("__sum") - p + prior.paths * F.col("host_score")) / (F.col("__n") - 1 + prior.paths)

@@ -155,7 +155,7 @@ def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.drop("spans")
     if grams:
-        left = stored(candidates(postings(rows, grams, text), rules, grams), "candidates").withColumnsRenamed({"row": "__row", "rules": "__rules"})
+        left = stored(candidates(postings(rows, grams, text), rules, grams), "candidates", rows.count()).withColumnsRenamed({"row": "__row", "rules": "__rules"})
         rows = rows.withColumn("__row", row_key(rows)).join(left, "__row", "left")
     else:
         rows = rows.withColumns({"__row": F.lit(0), "__rules": F.lit(None).cast("long")})

@@ -137,7 +137,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], key: str =
     bucketed = vectors.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("norm"))))
     block_rows = min(16_384, max(512, count // 1024))
     sizes = bucketed.groupBy("dim", "bucket").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    sizes = stored(sizes, "buckets")
+    sizes = stored(sizes, "buckets", count)
 
     top = vectors.orderBy(F.desc("norm"), "id").limit(SEEDS).toArrow()
     by_dim: dict[int, tuple] = {}
