@@ -312,3 +312,27 @@ ORAL_PROMPT = {
     "claim": "対象claim: ",
     "input": ["入力文書:"],
 }
+
+# ---- fixed values: LaTeX commands and citation marks --------------------------------------
+LATEX_SECTION = r"\\(subsubsection|subsection|section)\{([^}]*)\}"
+LATEX_FIGURE = r"(?s)\\begin\{figure\}.*?\\end\{figure\}"
+LATEX_INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
+LATEX_CITE = r"\\cite[a-zA-Z*]*\{([^}]*)\}"
+LATEX_REF = r"\\(?:ref|autoref|eqref)\{([^}]*)\}"
+FIGURE_NUMBER = r"\b(?:Fig\.?|Figure)\s*(\d+)\b"
+NUMERIC_CITE = r"\[\d+(?:\s*,\s*\d+)*\]"
+NUMERIC_CITE_KEYS = r"\[(\d+(?:\s*,\s*\d+)*)\]"
+AUTHOR_YEAR = r"\([A-Z][A-Za-z-]+(?: et al\.)?,\s*\d{4}[a-z]?\)"
+AUTHOR_YEAR_KEY = r"\(([A-Z][A-Za-z-]+(?: et al\.)?,\s*\d{4}[a-z]?)\)"
+
+# ---- fixed values: score of an extraction source (cap, points per unit) -------------------
+SOURCE_SCORE = {
+    "paragraphs": (60, 1.6),
+    "chars_divided_by": (45, 240),
+    "sections": (18, 3.0),
+    "bib": (14, 0.8),
+    "cited_share": (16, 32),
+    "warning": 1.2,
+}
+# points for a mean paragraph length in the first range, from the second bound on, else
+SOURCE_MEAN_CHARS = ((60, 1000, 12.0), (30, 5.0), -8.0)

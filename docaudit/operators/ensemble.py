@@ -11,10 +11,8 @@ from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators import markup as mk
 
-NUMERIC_CITE = tx.spark_regex(r"\[\d+(?:\s*,\s*\d+)*\]")
-NUMERIC_CITE_KEYS = tx.spark_regex(r"\[(\d+(?:\s*,\s*\d+)*)\]")
-AUTHOR_YEAR = tx.spark_regex(r"\([A-Z][A-Za-z-]+(?: et al\.)?,\s*\d{4}[a-z]?\)")
-AUTHOR_YEAR_KEY = tx.spark_regex(r"\(([A-Z][A-Za-z-]+(?: et al\.)?,\s*\d{4}[a-z]?)\)")
+NUMERIC_CITE, NUMERIC_CITE_KEYS = tx.spark_regex(fx.NUMERIC_CITE), tx.spark_regex(fx.NUMERIC_CITE_KEYS)
+AUTHOR_YEAR, AUTHOR_YEAR_KEY = tx.spark_regex(fx.AUTHOR_YEAR), tx.spark_regex(fx.AUTHOR_YEAR_KEY)
 
 
 def clean_title(c: Column) -> Column:
@@ -86,17 +84,20 @@ def candidate_score(df: DataFrame) -> DataFrame:
     mean = F.when(n > 0, c("n_chars") / n).otherwise(0.0)
     density = F.when(n > 0, c("n_cited") / n).otherwise(0.0)
 
-    def capped(limit: float, value: Column) -> Column:
-        return F.least(F.lit(float(limit)), value)
+    points = fx.SOURCE_SCORE
+    (low, high, best), (least, some), none = fx.SOURCE_MEAN_CHARS
+
+    def capped(name: str, value: Column) -> Column:
+        return F.least(F.lit(float(points[name][0])), value)
 
     score = (
-        capped(60, n * 1.6)
-        + capped(45, c("n_chars") / 240)
-        + F.when((mean >= 60) & (mean <= 1000), 12.0).when(mean >= 30, 5.0).otherwise(-8.0)
-        + capped(18, c("n_sections") * 3.0)
-        + capped(14, c("n_bib") * 0.8)
-        + capped(16, density * 32)
-        - c("n_warnings") * 1.2
+        capped("paragraphs", n * points["paragraphs"][1])
+        + capped("chars_divided_by", c("n_chars") / points["chars_divided_by"][1])
+        + F.when((mean >= low) & (mean <= high), best).when(mean >= least, some).otherwise(none)
+        + capped("sections", c("n_sections") * points["sections"][1])
+        + capped("bib", c("n_bib") * points["bib"][1])
+        + capped("cited_share", density * points["cited_share"][1])
+        - c("n_warnings") * points["warning"]
     )
     return df.withColumn("score", tx.two_decimals(score))
 

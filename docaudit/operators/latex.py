@@ -11,13 +11,10 @@ from docaudit.functions import text as tx
 from docaudit.functions.plan import settle
 from docaudit.operators.archive import safe_path
 
-SECTION = r"\\(subsubsection|subsection|section)\{([^}]*)\}"
-FIGURE = r"(?s)\\begin\{figure\}.*?\\end\{figure\}"
-INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
-CITE = r"\\cite[a-zA-Z*]*\{([^}]*)\}"
+SECTION, FIGURE, INCLUDE, CITE = fx.LATEX_SECTION, fx.LATEX_FIGURE, fx.LATEX_INCLUDE, fx.LATEX_CITE
 BIB_KEY = r"@\w+" + tx.WS + r"*\{" + tx.WS + r"*([^," + tx.WS[1:-1] + "]+)" + tx.WS + "*,"
-LABEL_REF = r"\\(?:ref|autoref|eqref)\{([^}]*)\}"
-NUMBER_REF = tx.spark_regex(r"\b(?:Fig\.?|Figure)\s*(\d+)\b", True)
+LABEL_REF = fx.LATEX_REF
+NUMBER_REF = tx.spark_regex(fx.FIGURE_NUMBER, True)
 
 
 # ---- archive members (archive_id, ordinal, path, text) ----------------------------------
