@@ -2,13 +2,15 @@
 
 Numbers, units and names within a sentence become typed placeholders, so a question with other
 values has the same template. Windows of template words are hash-joined with those of
-the benchmark. The values behind the placeholders must then agree: within a document and item, each
-value of the benchmark stands for one value of the document throughout.
+the benchmark. The values behind the placeholders must then agree: within an occurrence of an item,
+each value of the benchmark stands for one value of the document throughout. A document may hold an
+item more than once, with other values each time; its best occurrence counts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,7 @@ from docaudit.llm.common import stored
 WORDS = 5
 LITERAL = 2  # words of a window that aren't placeholders
 SIMILARITY = 0.8
+BLOCK = 2  # block of a document, in lengths of the item: an occurrence spreads over at most one
 ROWS_OF_ITEM = 1000  # windows of an item, for the number of files they are stored in
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that workers get
 
@@ -124,11 +127,11 @@ def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, sums[WORDS:] - sums[:-WORDS] <= WORDS - LITERAL
 
 
-ITEM = "hash long, item long, place int, windows int, held array<string>"
+ITEM = "hash long, item long, place int, windows int, words int, held array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """hash, item, view and place of each window of the benchmark, how many the item has, and the values in it.
+    """hash, item and place of each window of the benchmark, how many windows and words the item has, and the values in it.
 
     Windows almost wholly of placeholders are left out; items without any window match nothing.
     """
@@ -141,8 +144,8 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
                 parsed = templates.of(text_of.as_py() or "")
                 for codes in parsed.views:
                     hashes, fit = windows(codes)
-                    rows += [(int(hashes[n].view("i8")), item.as_py(), int(n), int(fit.sum()), parsed.slots(codes, n)) for n in np.flatnonzero(fit)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "place", "windows", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()), ("held", pa.list_(pa.string()))]))
+                    rows += [(int(hashes[n].view("i8")), item.as_py(), int(n), int(fit.sum()), len(parsed.at), parsed.slots(codes, n)) for n in np.flatnonzero(fit)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "place", "windows", "words", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()), ("words", pa.int32()), ("held", pa.list_(pa.string()))]))
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, ITEM).distinct()
@@ -160,8 +163,36 @@ def _filter(items: DataFrame) -> np.ndarray:
 
 @F.arrow_udf(T.IntegerType())
 def agreeing(found: pa.Array) -> pa.Array:
-    """Places of an item that are found with values that agree throughout."""
-    return pa.array([_agreeing(windows_.as_py()) for windows_ in found], pa.int32())
+    """Places of an item that are found with values that agree throughout, in the best occurrence where positions are given."""
+    return pa.array([_best(windows_.as_py()) for windows_ in found], pa.int32())
+
+
+def _best(found: list[dict]) -> int:
+    """The most agreeing places of an occurrence.
+
+    An occurrence lies at each distance of a position in the document from its place in the item. It
+    has, of each place, the windows nearest to that distance, so that words put in or left out don't end it.
+    """
+    lines: dict[int, dict[int, list[dict]]] = {}
+    for window in found:
+        if window["at"] is not None:
+            lines.setdefault(window["place"], {}).setdefault(window["at"] - window["place"], []).append(window)
+    shifts = sorted({shift for near in lines.values() for shift in near})
+    if len(shifts) < 2:
+        return _agreeing(found)
+    of_place = {place: sorted(near) for place, near in lines.items()}
+    best, tried = 0, set()
+    for shift in shifts:
+        chosen = []
+        for place, held in of_place.items():
+            n = bisect_left(held, shift)
+            chosen.append((place, min(held[max(0, n - 1) : n + 1], key=lambda s: abs(s - shift))))
+        if (key := tuple(chosen)) not in tried:
+            tried.add(key)
+            best = max(best, _agreeing([w for place, s in chosen for w in lines[place][s]]))
+        if best == len(lines):
+            break
+    return best
 
 
 def _agreeing(found: list[dict]) -> int:
@@ -178,7 +209,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """key, row_hash, item, matched, windows and similarity for each document and benchmark item it holds.
 
     A document holds an item if it has at least the share `similarity` of the item's windows, with
-    values that agree. Null and empty texts hold nothing, and items of fewer than five words match
+    values that agree, in an occurrence or anywhere in the document. An occurrence spreads over at
+    most BLOCK times the item's words; one with more words put in is only found if the values of the
+    whole document agree. Null and empty texts hold nothing, and items of fewer than five words match
     nothing; a null key stays null; equal rows give one pair; null item keys don't count. row_hash,
     of all columns, tells rows with equal keys apart. Documents aren't shuffled, only the few windows
     that pass a filter of fixed size built from the benchmark.
@@ -199,14 +232,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
                     hashes, fit = windows(codes)
                     low = hashes & mask
                     hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-                    seen |= {(int(hashes[n].view("i8")), tuple(parsed.slots(codes, n))) for n in np.flatnonzero(hit)}
-                rows += [(row.as_py(), h, list(s)) for h, s in sorted(seen)]
-            columns = list(zip(*rows)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string())))], ["row_hash", "hash", "seen"])
-
-    hits = rows.mapInArrow(look, "row_hash long, hash long, seen array<string>")
-    pairs = hits.join(items, "hash").groupBy("row_hash", "item").agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "held", "seen")).alias("found"))
-    scored = pairs.select("row_hash", "item", agreeing("found").alias("matched"), "windows").withColumn("similarity", F.col("matched") / F.col("windows"))
-    kept = stored(scored.where(F.col("similarity") >= similarity), "contaminated", documents.count())
+                    seen |= {(int(hashes[n].view("i8")), int(n), tuple(parsed.slots(codes, n))) for n in np.flatnonzero(hit)}
+                rows += [(row.as_py(), h, n, list(s)) for h, n, s in sorted(seen)]
+            columns = list(zip(*rows)) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["row_hash", "hash", "at", "seen"])
+
+    hits = rows.mapInArrow(look, "row_hash long, hash long, at int, seen array<string>")
+    # each window counts for the whole document, without its position, and for the two blocks that overlap there
+    block = F.floor(F.col("at") / (BLOCK * F.col("words")))
+    sides = [F.struct(F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("at")), *(F.struct((block - n).alias("block"), F.col("at")) for n in (0, 1))]
+    spread = hits.join(items, "hash").select("row_hash", "item", "windows", "place", "held", "seen", F.inline(F.array(*sides)))
+    groups = spread.groupBy("row_hash", "item", "block").agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "held", "seen", "at")).alias("found"))
+    enough = groups.where(F.size("found") / F.col("windows") >= similarity)
+    scored = enough.select("row_hash", "item", agreeing("found").alias("matched"), "windows")
+    pairs = scored.groupBy("row_hash", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows")).withColumn("similarity", F.col("matched") / F.col("windows"))
+    kept = stored(pairs.where(F.col("similarity") >= similarity), "contaminated", documents.count())
     keys = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(key).alias("key"))
     return keys.join(kept, "row_hash").distinct().select("key", "row_hash", F.col("item").alias(item_key), "matched", "windows", "similarity")

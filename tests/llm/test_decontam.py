@@ -85,3 +85,29 @@ def test_query_against_plain_windows(spark):
         want |= {(r["doc_id"], item) for item, n in counts.items() if n >= 0.8 * len(items[item])}
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontamination"](spark, folder).collect()}
     assert want and got == want
+
+
+WALLS = "If {} workers build {} walls in {} shifts, how many walls do {} workers build in {} shifts when {} helps {}?"
+
+
+def test_each_occurrence_has_its_own_values(spark):
+    item = WALLS.format(12, 30, 5, 44, 18, "Anna", "Paul")
+    variants = [WALLS.format(31, 21, 9, 20, 62, "Rosa", "Kurt"), WALLS.format(3, 77, 15, 8, 12, "Emma", "Otto")]
+    crossed = WALLS.replace("workers build {} shifts", "workers build in {} shifts").format(12, 30, 5, 44, 18, "Anna", "Paul")
+    texts = [
+        f"{item} {variants[0]}",  # an exact copy and a variant
+        f"{variants[0]} {FILLER * 2} {item}",
+        f"{variants[0]} {variants[1]}",
+        FILLER * 40 + f"{variants[0]} {variants[1]} {item} " + FILLER * 40,
+        f"{variants[0]} {item.replace(' when ', ' in the same old town when ')}",  # words put in
+        crossed,
+        "If 3 workers build 4 walls in 5 shifts. How many walls do some people raise in 6 shifts? Then Rosa helps Kurt.",  # a part only
+    ]
+    assert run(spark, texts, [(0, item)]) == [(n, 0) for n in range(6)]
+
+
+def test_best_occurrence_of_scattered_values(spark):
+    """Two occurrences of which neither has values that agree."""
+    item = [(0, "There are 5 red boxes and 5 blue boxes with 5 green balls in each of the 5 large bags")]
+    mixed = "There are {} red boxes and {} blue boxes with {} green balls in each of the {} large bags. "
+    assert run(spark, [mixed.format(1, 2, 3, 4) + mixed.format(6, 7, 8, 9), mixed.format(1, 2, 3, 4) + mixed.format(6, 6, 6, 6)], item) == [(1, 0)]
