@@ -1,7 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units and names within a sentence become typed placeholders, so a question with other
-values has the same template. Windows of template words are hash-joined with those of
+Numbers, units and names become typed placeholders, so a question with other values has the same
+template. Whether the capitalised first word of a sentence is a name can't be told, so a text has
+several views: with no names, with those within sentences, with every capitalised word; in the last
+and in further ones a run of names or of number words is one placeholder ("Ann Lee", "twenty five"). Windows of template words are hash-joined with those of
 the benchmark. The values behind the placeholders must then agree: within an occurrence of an item,
 each value of the benchmark stands for one value of the document throughout. A document may hold an
 item more than once, with other values each time; its best occurrence counts.
@@ -89,25 +91,68 @@ class Templates:
             plain[number] = HOLES[NUMBER]
             plain[(kinds == LETTER) & beside] = HOLES[UNIT]
         plain[kinds == UNIT] = HOLES[UNIT]
-        names = (kinds == NAME) & ~first
-        if not names.any():
-            return Parsed(tokens, at, [plain])
-        named = plain.copy()
-        named[names] = HOLES[NAME]
-        return Parsed(tokens, at, [named, plain])
+        named = kinds == NAME
+        if not named.any():
+            return Parsed(tokens, at, [View(plain)]).merged(first)
+        views = [plain]
+        for names in (named & ~first, named):
+            views.append(plain.copy())
+            views[-1][names] = HOLES[NAME]
+        if (named & ~first).any():
+            return Parsed(tokens, at, [View(views[1]), View(plain)]).merged(first, views[2])
+        return Parsed(tokens, at, [View(plain)]).merged(first, views[2])
+
+
+@dataclass(frozen=True)
+class View:
+    """Template codes of a text; `starts` and `ends` are the places of their words, if runs are merged."""
+
+    codes: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+
+def _merged(codes: np.ndarray, first: np.ndarray) -> View | None:
+    """The codes with each run of names or of numbers within a sentence as one, if there is any."""
+    again = np.append(False, codes[1:] == codes[:-1]) & ((codes == HOLES[NAME]) | (codes == HOLES[NUMBER])) & ~first
+    if not again.any():
+        return None
+    starts = np.flatnonzero(~again)
+    return View(codes[starts], starts, np.append(starts[1:], len(codes)))
 
 
 @dataclass(frozen=True)
 class Parsed:
-    """The tokens of a text, the places of its words, and their codes: with names as placeholders, and, if that differs, without."""
+    """The tokens of a text, the places of its words, and their codes in each view.
+
+    The first `word` views have a code for each word: with names within sentences as placeholders,
+    if there are any, and without names.
+    """
 
     tokens: list[str]
     at: np.ndarray
-    views: list[np.ndarray]
+    views: list[View]
+    word: int = 0
+
+    def merged(self, first: np.ndarray, capitals: np.ndarray | None = None) -> Parsed:
+        """With the views of merged runs, and that of every capitalised word as a placeholder."""
+        more = [v for view in self.views if (v := _merged(view.codes, first))]
+        if capitals is not None:
+            more.append(_merged(capitals, first) or View(capitals))
+        return Parsed(self.tokens, self.at, self.views + more, len(self.views))
+
+    def place(self, view: View, n: int) -> int:
+        """Place of the first word of a window."""
+        return int(n if view.starts is None else view.starts[n])
 
-    def slots(self, codes: np.ndarray, start: int) -> list[str]:
+    def slots(self, view: View, start: int) -> list[str]:
         """Lower-case values behind the placeholders of a window, each after its kind."""
-        return [f"{int(codes[n])}:{self.tokens[self.at[n]].lower()}" for n in range(start, start + WORDS) if codes[n] <= LAST_HOLE]
+        out = []
+        for n in range(start, start + WORDS):
+            if view.codes[n] <= LAST_HOLE:
+                words = (n,) if view.starts is None else range(view.starts[n], view.ends[n])
+                out.append(f"{int(view.codes[n])}:{' '.join(self.tokens[self.at[w]] for w in words).lower()}")
+        return out
 
 
 def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +172,13 @@ def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, sums[WORDS:] - sums[:-WORDS] <= WORDS - LITERAL
 
 
-ITEM = "hash long, item long, place int, windows int, words int, held array<string>"
+ITEM = "hash long, item long, view int, place int, windows int, words int, held array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """hash, item and place of each window of the benchmark, how many windows and words the item has, and the values in it.
+    """hash, item, view and place of each window of the benchmark, how many windows and words the item has, and the values in it.
 
+    The views with a code for each word count as one, that of the most windows; each further one for itself.
     Windows almost wholly of placeholders are left out; items without any window match nothing.
     """
 
@@ -142,10 +188,11 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
             rows = []
             for item, text_of in zip(batch["item"], batch["text"]):
                 parsed = templates.of(text_of.as_py() or "")
-                for codes in parsed.views:
-                    hashes, fit = windows(codes)
-                    rows += [(int(hashes[n].view("i8")), item.as_py(), int(n), int(fit.sum()), len(parsed.at), parsed.slots(codes, n)) for n in np.flatnonzero(fit)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "place", "windows", "words", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()), ("words", pa.int32()), ("held", pa.list_(pa.string()))]))
+                for n_view, view in enumerate(parsed.views):
+                    hashes, fit = windows(view.codes)
+                    own = max(0, n_view - parsed.word + 1)
+                    rows += [(int(hashes[n].view("i8")), item.as_py(), own, parsed.place(view, n), int(fit.sum()), len(parsed.at), parsed.slots(view, n)) for n in np.flatnonzero(fit)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "view", "place", "windows", "words", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("view", pa.int32()), ("place", pa.int32()), ("windows", pa.int32()), ("words", pa.int32()), ("held", pa.list_(pa.string()))]))
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, ITEM).distinct()
@@ -209,7 +256,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """key, row_hash, item, matched, windows and similarity for each document and benchmark item it holds.
 
     A document holds an item if it has at least the share `similarity` of the item's windows, with
-    values that agree, in an occurrence or anywhere in the document. An occurrence spreads over at
+    values that agree, in an occurrence or anywhere in the document; matched and windows are those of
+    the view that shares most. An occurrence spreads over at
     most BLOCK times the item's words; one with more words put in is only found if the values of the
     whole document agree. Null and empty texts hold nothing, and items of fewer than five words match
     nothing; a null key stays null; equal rows give one pair; null item keys don't count. row_hash,
@@ -228,11 +276,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
             for row, text_of in zip(batch["row_hash"], batch["text"]):
                 parsed = templates.of(text_of.as_py() or "")
                 seen = set()
-                for codes in parsed.views:
-                    hashes, fit = windows(codes)
+                for view in parsed.views:
+                    hashes, fit = windows(view.codes)
                     low = hashes & mask
                     hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-                    seen |= {(int(hashes[n].view("i8")), int(n), tuple(parsed.slots(codes, n))) for n in np.flatnonzero(hit)}
+                    seen |= {(int(hashes[n].view("i8")), parsed.place(view, n), tuple(parsed.slots(view, n))) for n in np.flatnonzero(hit)}
                 rows += [(row.as_py(), h, n, list(s)) for h, n, s in sorted(seen)]
             columns = list(zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["row_hash", "hash", "at", "seen"])
@@ -241,11 +289,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     # each window counts for the whole document, without its position, and for the two blocks that overlap there
     block = F.floor(F.col("at") / (BLOCK * F.col("words")))
     sides = [F.struct(F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("at")), *(F.struct((block - n).alias("block"), F.col("at")) for n in (0, 1))]
-    spread = hits.join(items, "hash").select("row_hash", "item", "windows", "place", "held", "seen", F.inline(F.array(*sides)))
-    groups = spread.groupBy("row_hash", "item", "block").agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "held", "seen", "at")).alias("found"))
+    spread = hits.join(items, "hash").select("row_hash", "item", "view", "windows", "place", "held", "seen", F.inline(F.array(*sides)))
+    groups = spread.groupBy("row_hash", "item", "view", "block").agg(F.max("windows").alias("windows"), F.collect_set(F.struct("place", "held", "seen", "at")).alias("found"))
     enough = groups.where(F.size("found") / F.col("windows") >= similarity)
-    scored = enough.select("row_hash", "item", agreeing("found").alias("matched"), "windows")
-    pairs = scored.groupBy("row_hash", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows")).withColumn("similarity", F.col("matched") / F.col("windows"))
+    scored = enough.select("row_hash", "item", agreeing("found").alias("matched"), "windows").withColumn("similarity", F.col("matched") / F.col("windows"))
+    best = scored.groupBy("row_hash", "item").agg(F.max(F.struct("similarity", "windows", "matched")).alias("best"))
+    pairs = best.select("row_hash", "item", "best.matched", "best.windows", "best.similarity")
     kept = stored(pairs.where(F.col("similarity") >= similarity), "contaminated", documents.count())
     keys = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(key).alias("key"))
     return keys.join(kept, "row_hash").distinct().select("key", "row_hash", F.col("item").alias(item_key), "matched", "windows", "similarity")

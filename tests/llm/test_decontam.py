@@ -111,3 +111,21 @@ def test_best_occurrence_of_scattered_values(spark):
     item = [(0, "There are 5 red boxes and 5 blue boxes with 5 green balls in each of the 5 large bags")]
     mixed = "There are {} red boxes and {} blue boxes with {} green balls in each of the {} large bags. "
     assert run(spark, [mixed.format(1, 2, 3, 4) + mixed.format(6, 7, 8, 9), mixed.format(1, 2, 3, 4) + mixed.format(6, 6, 6, 6)], item) == [(1, 0)]
+
+
+def test_names_at_starts_and_runs_of_other_length(spark):
+    items = [
+        (0, "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. Natalia gave 5 clips to her sister."),
+        (1, "Last week Bob bought 7 apples and gave Bob's mother 3 of them. How many apples does Bob still have if 7 were bought?"),
+        (2, "a shop sells 7 pens and 30 books on each day, so how many pens and how many books are sold in 7 days of work there"),
+    ]
+    texts = [
+        items[0][1].replace("Natalia", "Brenda"),
+        items[0][1].replace("Natalia", "Brenda", 1).replace("Natalia", "Carla", 1).replace("Natalia", "Doris"),  # three names for one
+        items[0][1].replace("Natalia", "Ann Lee").replace("48", "seventy two"),
+        FILLER + items[1][1].replace("Bob", "Ann Lee").replace("7", "twenty five") + FILLER,
+        items[2][1].replace("7", "twenty-five").upper(),
+        f"{items[0][1].replace('Natalia', 'Ann Lee')} {items[0][1].replace('Natalia', 'Brenda')}",
+    ]
+    found = run(spark, texts, items)
+    assert found == [(0, 0), (2, 0), (3, 1), (4, 2), (5, 0)]
