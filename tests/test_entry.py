@@ -9,7 +9,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def run(folder, code):
-    return subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, timeout=120)
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # only the copy can be imported
+    return subprocess.run([sys.executable, "-c", code], cwd=folder, env=own, capture_output=True, text=True, timeout=120)
 
 
 def test_the_rest_works_alone(tmp_path):
