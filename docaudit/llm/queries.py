@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import quality, toxicity
+from docaudit.llm.alignment import cross_alignment
 from docaudit.llm.common import new_folder, table
 from docaudit.llm.decontam import contaminated
 from docaudit.llm.packing import pack_texts
@@ -77,6 +78,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", checksum, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -88,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_alignment": op13_alignment,
 }
