@@ -27,4 +27,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN k.kept <> p.page_id THEN k.kept END AS refers_to
         FROM p LEFT JOIN k ON p.digest = k.digest AND p.n = k.n
     """,
+    "op12_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(plain) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY plain ORDER BY chars DESC, doc_id NULLS LAST)
+    """,
 }

@@ -12,6 +12,7 @@ from docaudit.llm import quality, toxicity
 from docaudit.llm.alignment import cross_alignment
 from docaudit.llm.common import new_folder, table
 from docaudit.llm.decontam import contaminated
+from docaudit.llm.naming import exact_duplicates
 from docaudit.llm.packing import pack_texts
 from docaudit.llm.secrets import BASE, described, find_secrets, of_kind
 from docaudit.llm.sharding import shard
@@ -78,6 +79,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", checksum, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_alignment(table(spark, sf_dir, "documents"))
 
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_exact_dedup": op12_exact_dedup,
     "op13_alignment": op13_alignment,
 }
