@@ -12,6 +12,7 @@ from docaudit.llm import quality, toxicity
 from docaudit.llm.alignment import cross_alignment
 from docaudit.llm.common import new_folder, table
 from docaudit.llm.decontam import contaminated
+from docaudit.llm.merkle import manifest
 from docaudit.llm.naming import exact_duplicates
 from docaudit.llm.packing import pack_texts
 from docaudit.llm.secrets import BASE, described, find_secrets, of_kind
@@ -79,6 +80,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", checksum, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without_lines = F.replace("text", F.lit("\n"), F.lit(""))
+    return manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", (tampered, {"text": without_lines}))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_alignment": op13_alignment,
 }
