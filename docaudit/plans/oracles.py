@@ -1139,7 +1139,17 @@ st as (select user_id, case event_type when 'view' then 'extract' else 'evidence
 select user_id as analysis_id, status, value as progress, coalesce(step, '') as step, case event_type when 'error' then 'failed with ' || props else '' end as error
 from u left join st using (user_id) where rk = 1""")
 query("trace_stream", f"with {TRACE} select user_id as analysis_id, event_id as seq, role, status from tr")
-query("limit_stream", "select cast(user_id as varchar) as key, count(*) as decided, count(*) as rows from events group by all")
+query("limit_stream", """
+with recursive e as (
+  select cast(user_id as varchar) as key, event_id, epoch_us(ts) // 1000 as ms, cast(event_id % 3 as integer) as batch,
+         row_number() over (partition by user_id order by event_id % 3, epoch_us(ts) // 1000, event_id) as rn from events),
+walk as (
+  select key, event_id, batch, ms, rn, ms as start, 1 as used, true as allowed from e where rn = 1
+  union all
+  select e.key, e.event_id, e.batch, e.ms, e.rn, case when e.ms - start >= 43200000 then e.ms else start end,
+         case when e.ms - start >= 43200000 then 1 else least(2, used + 1) end, e.ms - start >= 43200000 or used < 2
+  from walk join e on e.key = walk.key and e.rn = walk.rn + 1)
+select key, event_id as request_id, batch, allowed, case when allowed then 0 else 43200000 - (ms - start) end as retry_after_ms, start as window_start from walk""")
 query("ensemble_extract", f"""
 with {ENSEMBLE},
 u as (select * from scored where o = 1 or n > 0),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +78,8 @@ def lookup(df: DataFrame, key: str, value, buckets: int | None = None) -> DataFr
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
 
-    Both are settings of the cluster; a folder of one machine is never used.
+    Both are settings of the cluster. Where neither is set, the warehouse is Spark's default below
+    the driver's working folder, which fits local mode alone: a cluster has to set one of them.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     return found.rstrip("/")
@@ -83,7 +87,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_SCRATCH, "made", [])[-1:]:
+        made.append(path)
+    return path
+
+
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the folders that were made within it: for jobs whose result is written by then."""
+    held = getattr(_SCRATCH, "made", [])
+    _SCRATCH.made = [*held, []]
+    try:
+        yield
+    finally:
+        paths, _SCRATCH.made = _SCRATCH.made[-1], held
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 ROWS_A_FILE = 500_000

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.operators.ratelimit import open_windows, rate_limit
 from docaudit.operators.records import latest_row, latest_status
+from docaudit.sources.storage import scratch, stored
 
 LIMIT_SCHEMA = "key string, request_id long, ts timestamp, allowed boolean, retry_after_ms long, window_start long"
 
@@ -15,10 +18,12 @@ LIMIT_SCHEMA = "key string, request_id long, ts timestamp, allowed boolean, retr
 def rate_limit_stream(requests: DataFrame, max_requests: int, window_ms: int, drop_silent: bool = False) -> DataFrame:
     """Streaming limiter over requests (key, request_id, ts); state is (start, count) per key.
 
-    Every request is decided, also a late one, which counts in the window open at its arrival.
-    Requests of a key are handled in time order within a micro-batch. The state is two numbers per
-    key; with ``drop_silent``, for streams that run all the time, that of a key silent for two
-    windows of processing time is dropped, since its next request opens a window anyway.
+    Every request is decided, also a late one, which counts in the window open at its arrival. The
+    requests of a key are handled as they come, in time order within an Arrow batch, so that a key
+    with very many of them is never in one frame; ``write_limited`` decides in time order throughout.
+    The state is two numbers per key; with ``drop_silent``, for streams that run all the time, that
+    of a key silent for two windows of processing time is dropped, since its next request opens a
+    window anyway.
     """
 
     def decide(key: tuple, frames: Iterator, state) -> Iterator:
@@ -28,27 +33,29 @@ def rate_limit_stream(requests: DataFrame, max_requests: int, window_ms: int, dr
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        at = (rows["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[np.datetime_data(rows["ts"].dtype)[0]]).to_numpy()
         start, count = state.get if state.exists else (None, 0)
-        allowed, starts, i = np.zeros(len(at), bool), np.zeros(len(at), "int64"), 0
-        while i < len(at):
-            if start is None or at[i] - start >= window_ms:
-                start, count = int(at[i]), 0
-            end = int(np.searchsorted(at, start + window_ms))
-            allowed[i : min(end, i + max_requests - count)] = True
-            count, starts[i:end] = min(max_requests, count + end - i), start
-            i = end
-        state.update((start, count))
+        for rows in frames:
+            rows = rows.sort_values(["ts", "request_id"])
+            at = (rows["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[np.datetime_data(rows["ts"].dtype)[0]]).to_numpy()
+            allowed, starts, i = np.zeros(len(at), bool), np.zeros(len(at), "int64"), 0
+            while i < len(at):
+                if start is None or at[i] - start >= window_ms:
+                    start, count = int(at[i]), 0
+                end = int(np.searchsorted(at, start + window_ms))
+                allowed[i : min(end, i + max_requests - count)] = True
+                count, starts[i:end] = min(max_requests, count + end - i), start
+                i = end
+            retry = pd.Series(window_ms - (at - starts), dtype="Int64").where(~allowed)
+            yield pd.DataFrame(
+                {
+                    "key": key[0], "request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(),
+                    "allowed": allowed, "retry_after_ms": retry, "window_start": starts,
+                }
+            )
+        if start is not None:
+            state.update((start, count))
         if drop_silent:
             state.setTimeoutDuration(2 * window_ms)
-        retry = pd.Series(window_ms - (at - starts), dtype="Int64").where(~allowed)
-        yield pd.DataFrame(
-            {
-                "key": key[0], "request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(),
-                "allowed": allowed, "retry_after_ms": retry, "window_start": starts,
-            }
-        )
 
     req = requests.select(F.col("key").cast("string").alias("key"), "request_id", "ts")
     return req.groupBy("key").applyInPandasWithState(
@@ -56,6 +63,49 @@ def rate_limit_stream(requests: DataFrame, max_requests: int, window_ms: int, dr
     )
 
 
+FOLD_EVERY = 16  # batches after which the open windows are written as a whole
+
+
+def open_windows_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """(key, start, count) as a batch finds them: the last whole state and the changes since."""
+    whole = (number - 1) // FOLD_EVERY * FOLD_EVERY
+    folders = ([f"{path}/open/whole={whole}"] if whole > 0 else []) + [f"{path}/open/batch={n}" for n in range(max(0, whole), number)]
+    if not folders:
+        return None
+    parts = [spark.read.schema("key string, start long, count long").parquet(f).withColumn("n", F.lit(n)) for n, f in enumerate(folders)]
+    return latest_row(reduce(DataFrame.unionAll, parts), ["key"], ["n"]).drop("n")
+
+
+def write_limited(requests: DataFrame, path: str, checkpoint: str, max_requests: int, window_ms: int):
+    """Decide the requests (key, request_id, ts) of each micro-batch in time order and append the decisions.
+
+    A batch goes through the limiter for tables, with the windows that earlier batches left open, so
+    that a key of any size is spread over tasks; a late request counts in the window open at its
+    batch. Decisions and changed windows lie in a folder of the batch, which a repeated batch
+    replaces; a batch reads at most FOLD_EVERY folders of changes. ``read_limited`` gives the decisions.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            opened = open_windows_before(spark, path, number)
+            if opened is not None and number % FOLD_EVERY == 0:
+                opened.write.mode("overwrite").parquet(f"{path}/open/whole={number}")
+            opened = opened and stored(opened, "open")
+            given = stored(batch.select(F.col("key").cast("string").alias("key"), "request_id", "ts"), "requests")
+            folder = f"{path}/decided/batch={number}"
+            rate_limit(given, max_requests, window_ms, opened).write.mode("overwrite").parquet(folder)
+            changed = open_windows(spark.read.schema(LIMIT_SCHEMA).parquet(folder), max_requests, opened)
+            changed.write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+
+    return requests.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_limited(spark: SparkSession, path: str) -> DataFrame:
+    """The decisions written so far, with their batch."""
+    return spark.read.schema(LIMIT_SCHEMA + ", batch int").option("basePath", f"{path}/decided").parquet(f"{path}/decided/batch=*")
+
+
 def latest_status_stream(updates: DataFrame, key: str = "analysis_id") -> DataFrame:
     """Streaming form of ``latest_status`` (update mode); state is one row per analysis."""
     return latest_status(updates, key, ["seq"])

@@ -262,3 +262,43 @@ def test_limiter_over_long_windows_and_sparse_keys(spark):
         for key in ("hot", "few"):
             want = brute_limit(sorted((ms, i) for k, i, ms in data if k == key), limit, window)
             assert {i: got[(k, i)] for k, i, _ in data if k == key} == want
+
+
+def test_limiter_keeps_null_keys_and_times(spark):
+    data = [(None, i, ms) for i, ms in enumerate([0, 5, 9, 10, 11, 19, 40])] + [("a", 100, 3), ("a", 101, None), (None, 102, None)]
+    got = limited(spark, data, 2, 10)
+    assert len(got) == len(data)
+    want = brute_limit([(ms, i) for k, i, ms in data if k is None and ms is not None], 2, 10)
+    assert {i: got[(None, i)] for i in want} == want
+    assert got[("a", 101)] == got[(None, 102)] == (None, None, None) and got[("a", 100)][0]
+
+
+def test_limiter_tree(spark, monkeypatch):
+    """Every key through hours, days and months."""
+    monkeypatch.setattr(rl, "FEW", 5)
+    rnd = random.Random(3)
+    hour = rl.HOUR_MS
+    data = [("long", i, rnd.randrange(400 * 24 * hour)) for i in range(900)] + [("near", 2000 + i, 10 * hour + rnd.randrange(3 * hour)) for i in range(500)]
+    data += [(None, 4000 + i, -5 * hour + rnd.randrange(10 * hour)) for i in range(200)] + [("even", 5000 + i, i * hour // 4) for i in range(400)]
+    for limit, window in ((2, 5 * 24 * hour), (3, 90 * 60_000), (2, hour), (7, 45 * 24 * hour)):
+        got = limited(spark, data, limit, window)
+        for key in ("long", "near", None, "even"):
+            want = brute_limit(sorted((ms, i) for k, i, ms in data if k == key), limit, window)
+            assert {i: got[(key, i)] for i in want} == want, (key, limit, window)
+
+
+def test_exit_functions_compose():
+    import numpy as np
+
+    rnd = random.Random(5)
+    for _ in range(50):
+        window = rnd.randrange(1, 60)
+        at = np.array(sorted(rnd.sample(range(300), 40)))
+        cuts = [at[at // 60 == n] for n in range(5) if (at // 60 == n).any()]
+        whole = rl.composed([rl.exit_of(part, window) for part in cuts])
+        for entry in (rl.FIRST, -1, *range(0, 320, 7)):
+            opens = entry
+            for ms in at.tolist():
+                if ms >= opens:
+                    opens = ms + window
+            assert rl.through(whole, np.array([entry]))[0] == opens

@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from docaudit.operators import layout as ly
 from docaudit.operators import markup as mk
 from docaudit.operators import records as rc
 from docaudit.plans import audit_job as job
+from docaudit.sources import storage
 from docaudit.streaming import live
 from test_records_views import brute_limit
 
@@ -249,3 +252,34 @@ def test_adapter_hook(spark):
     finally:
         job.ADAPTERS.clear()
         job.ADAPTERS.update(base)
+
+
+def test_limited_stream_decides_in_time_order(spark, tmp_path, monkeypatch):
+    """Late requests, null keys, a key with most requests, and more batches than are kept as changes."""
+    monkeypatch.setattr(live, "FOLD_EVERY", 2)
+    rnd = random.Random(4)
+    data = [(rnd.choice(["hot", "hot", "hot", "b", None]), i, 1_700_000_000_000 + rnd.randrange(60_000)) for i in range(400)]
+    df = spark.createDataFrame(data, "key string, request_id long, ms long").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    for part in range(5):
+        df.where(F.pmod("request_id", F.lit(5)) == part).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        live.write_limited(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 3, 5000).trigger(availableNow=True).start().awaitTermination()
+    got = {r["request_id"]: (r["allowed"], r["window_start"]) for r in live.read_limited(spark, str(tmp_path / "out")).collect()}
+    want, state = {}, {}
+    for part in range(5):
+        for key, i, ms in sorted((d for d in data if d[1] % 5 == part), key=lambda d: (d[2], d[1])):
+            start, count = state.get(key, (None, 0))
+            if start is None or ms - start >= 5000:
+                start, count = ms, 0
+            want[i] = (count < 3, start)
+            state[key] = (start, min(3, count + 1))
+    assert got == want
+    assert not list(tmp_path.glob("requests-*"))
+
+
+def test_scratch_folders_go(spark):
+    with storage.scratch(spark):
+        kept = storage.stored(spark.range(3), "numbers")
+        path = kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path) and kept.count() == 3
+    assert not os.path.exists(path)
