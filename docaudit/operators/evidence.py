@@ -10,8 +10,12 @@ Two forms share one severity ladder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,67 +75,91 @@ SCORES = T.StructType(
 )
 
 
-def score_claims(claims: list[list[str]], paragraphs: list[list[str]]) -> list[dict]:
-    """Scores of each claim (tokens, repeats counted) against the paragraphs (tokens) of its document.
+PAIRS_AT_ONCE = 2_000_000  # meetings of a claim's token and a paragraph that holds it, worked on together
+
+
+def _starts(lists: pa.ListArray) -> np.ndarray:
+    """Where the items of each list begin in the flattened array, and their end; a null list is empty."""
+    return np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+
 
-    An inverted index gives the paragraphs of each token; a claim adds up its tokens' lists.
+def score_batch(claims: pa.ListArray, paragraphs: pa.ListArray) -> pa.ListArray:
+    """Scores of the claims of each row (tokens, repeats counted) against its paragraphs (distinct tokens).
+
+    Tokens become numbers once for the whole batch. A claim's token meets the paragraphs of its row
+    that hold it by search in their sorted numbers; all meetings of many rows are counted together.
     """
-    number: dict[str, int] = {}
-    holders: list[list[int]] = []
-    for place, tokens in enumerate(paragraphs):
-        for token in set(tokens):
-            at = number.setdefault(token, len(holders))
-            if at == len(holders):
-                holders.append([])
-            holders[at].append(place)
-    lists = [np.array(h, "i4") for h in holders]
-    out = []
-    for tokens in claims:
-        counts: dict[int, int] = {}
-        for token in tokens:
-            at = number.get(token)
-            if at is not None:
-                counts[at] = counts.get(at, 0) + 1
-        best, strong, support, top, top_scores = 0.0, 0, 0, [], []
-        if counts:
-            matched = np.zeros(len(paragraphs), "i8")
-            for at, n in counts.items():
-                matched[lists[at]] += n
-            scores = matched / len(tokens)
-            best, strong = float(scores.max()), int((scores >= fx.STRONG_SCORE).sum())
-            near = np.flatnonzero(scores >= fx.SUPPORT_SCORE)
-            support = len(near)
-            top = near[np.argsort(-scores[near], kind="stable")[: fx.SUPPORT_LIMIT]].tolist()
-            top_scores = scores[top].tolist()
-        total = 0.0
-        for score in top_scores:  # plain additions in order; sum() would compensate for rounding
-            total += score
-        held = set().union(*(paragraphs[place] for place in top))
-        covered = sum(token in held for token in tokens)
-        out.append(
-            {
-                "best_score": best,
-                "avg_score": total / len(top) if top else 0.0,
-                "coverage": covered / len(tokens) if top else 0.0,
-                "strong_count": strong,
-                "support_count": support,
-                "places": top,
-                "support_scores": top_scores,
-            }
-        )
-    return out
+    claim_at, para_at = _starts(claims), _starts(paragraphs)
+    claim_lists, para_lists = claims.flatten(), paragraphs.flatten()
+    token_at, held_at = _starts(claim_lists), _starts(para_lists)
+    coded = pa.chunked_array([claim_lists.flatten(), para_lists.flatten()]).combine_chunks().dictionary_encode()
+    codes, kinds = coded.indices.to_numpy(zero_copy_only=False).astype("i8"), max(1, len(coded.dictionary))
+    n_claims, n_tokens = len(claim_at) and int(claim_at[-1]), int(token_at[-1])
+    row_of_claim = np.repeat(np.arange(len(claims)), np.diff(claim_at))
+    claim_of = np.repeat(np.arange(n_claims), np.diff(token_at))
+    asked = row_of_claim[claim_of] * kinds + codes[:n_tokens]
+    para_of = np.repeat(np.arange(len(para_lists)), np.diff(held_at))
+    row_of_para = np.repeat(np.arange(len(paragraphs)), np.diff(para_at))
+    held = row_of_para[para_of] * kinds + codes[n_tokens:]
+    order = np.argsort(held, kind="stable")
+    held, para_of = held[order], para_of[order]
+    low, high = np.searchsorted(held, asked), np.searchsorted(held, asked, side="right")
+    found = [_meetings(claim_of, para_of, low, high, np.diff(token_at), part) for part in _parts(claim_of, high - low, n_claims)]
+    totals = [np.concatenate(parts) if parts else np.zeros(0) for parts in (zip(*(f[:5] for f in found)) if found else [()] * 5)]
+    top_claim, top_para, top_score = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, "i8") for n in (5, 6, 7))
+    places = (top_para - para_at[row_of_claim[top_claim]]).astype("i4") if len(top_claim) else np.zeros(0, "i4")
+    ends = pa.array(np.searchsorted(top_claim, np.arange(n_claims + 1)).astype("i4"))
+    listed = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((places, pa.int32()), (top_score, pa.float64()))]
+    kind = [pa.float64()] * 3 + [pa.int64()] * 2
+    scores = pa.StructArray.from_arrays([*(pa.array(v.astype("f8" if t == pa.float64() else "i8"), t) for v, t in zip(totals, kind)), *listed], [f.name for f in SCORES])
+    return pa.ListArray.from_arrays(pa.array(claim_at.astype("i4")), scores)
+
+
+def _parts(claim_of: np.ndarray, sizes: np.ndarray, n_claims: int) -> Iterator[tuple[int, int]]:
+    """Runs of claims with a bounded number of meetings together (or one claim)."""
+    meetings = np.append(0, np.cumsum(np.bincount(claim_of, sizes, n_claims)))
+    start = 0
+    while start < n_claims:
+        end = max(start + 1, int(np.searchsorted(meetings, meetings[start] + PAIRS_AT_ONCE, side="right")) - 1)
+        yield start, end
+        start = end
+
+
+def _meetings(claim_of: np.ndarray, para_of: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, part: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Best, average, coverage, strong and support counts of a run of claims; claim, paragraph and score of the best paragraphs."""
+    first, last = part
+    own = slice(*np.searchsorted(claim_of, [first, last]))
+    sizes = (high - low)[own]
+    token = np.repeat(np.arange(own.start, own.stop), sizes)
+    at = np.arange(sizes.sum()) + np.repeat(low[own] - np.cumsum(sizes) + sizes, sizes)
+    paras = max(1, int(para_of.max(initial=0)) + 1)
+    meeting = claim_of[token] * paras + para_of[at]
+    pair, matched = np.unique(meeting, return_counts=True)
+    claim, para = pair // paras, pair % paras
+    score, count = matched / n[claim], last - first
+    best = np.zeros(count)
+    np.maximum.at(best, claim - first, score)
+    strong = np.bincount(claim[score >= fx.STRONG_SCORE] - first, minlength=count)
+    near = np.flatnonzero(score >= fx.SUPPORT_SCORE)
+    support = np.bincount(claim[near] - first, minlength=count)
+    near = near[np.lexsort((para[near], -score[near], claim[near]))]
+    rank = np.arange(len(near)) - np.searchsorted(claim[near], claim[near])
+    near = near[rank < fx.SUPPORT_LIMIT]
+    total, kept = np.zeros(count), np.bincount(claim[near] - first, minlength=count)
+    rank = rank[rank < fx.SUPPORT_LIMIT]
+    for place in range(fx.SUPPORT_LIMIT):  # plain additions in order
+        some = near[rank == place]
+        total[claim[some] - first] += score[some]
+    covered = np.unique(token[np.isin(meeting, pair[near])])
+    covering = np.bincount(claim_of[covered] - first, minlength=count)
+    average = np.divide(total, kept, out=np.zeros(count), where=kept > 0)
+    coverage = np.divide(covering, n[first:last], out=np.zeros(count), where=kept > 0)
+    return best, average, coverage, strong, support, claim[near], para[near], score[near]
 
 
 @F.arrow_udf(T.ArrayType(SCORES))
 def _scores(claims: pa.Array, paragraphs: pa.Array) -> pa.Array:
-    rows = [score_claims(c.as_py() or [], p.as_py() or []) for c, p in zip(claims, paragraphs)]
-    kind = pa.struct(
-        [
-            ("best_score", pa.float64()), ("avg_score", pa.float64()), ("coverage", pa.float64()), ("strong_count", pa.int64()),
-            ("support_count", pa.int64()), ("places", pa.list_(pa.int32())), ("support_scores", pa.list_(pa.float64())),
-        ]
-    )
-    return pa.array(rows, pa.list_(kind))
+    return score_batch(claims, paragraphs)
 
 
 def audit_rows(mined: DataFrame) -> DataFrame:
@@ -182,6 +210,7 @@ def evidence_risks(claim_audit: DataFrame) -> DataFrame:
 
 PARA_KEY = ["doc_id", "ord", "para_id"]
 HOT_ROWS = 100_000  # paragraphs of a token beyond which they are spread over salts
+UNROLLED = 3  # frequent tokens of a claim that are looked at without a lambda, which is slow
 
 
 def claim_token_table(claims: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -191,7 +220,9 @@ def claim_token_table(claims: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 
 def split_by_rarity(tokens: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``df``, ``needed`` and ``last``: the claim's most frequent tokens, which no candidate rests on.
+    """Adds ``df``, ``needed``, ``sum`` (counts down to a token, from the most frequent) and ``last``.
+
+    ``last`` marks a claim's most frequent tokens, which no candidate rests on.
 
     A supporting paragraph matches at least ``needed`` of a claim's ``n`` tokens. The most frequent
     tokens that together make fewer than that can't carry one alone, so that every supporting
@@ -203,7 +234,16 @@ def split_by_rarity(tokens: DataFrame, frequency: DataFrame, keys: list[str]) ->
     needed = F.when((floor - 1) / F.col("n") >= fx.SUPPORT_SCORE, floor - 1).when(floor / F.col("n") >= fx.SUPPORT_SCORE, floor).otherwise(floor + 1)
     common = Window.partitionBy(*keys).orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("needed", F.greatest(F.lit(1), needed)).withColumn("sum", F.sum("cnt").over(common))
-    return df.withColumn("last", F.col("sum") < F.col("needed")).drop("sum")
+    return df.withColumn("last", F.col("sum") < F.col("needed"))
+
+
+def unbeaten(ranked: DataFrame, low: DataFrame, keys: list[str]) -> DataFrame:
+    """The frequent tokens that a better paragraph than the best so far may rest on, with ``low``, its count.
+
+    A claim without support has less than ``needed``. What holds none of its rarer tokens can beat
+    ``low`` only with a frequent token beyond the most frequent ones whose counts together don't exceed it.
+    """
+    return ranked.where("last").join(low, keys).where((F.col("low") < F.col("needed") - 1) & (F.col("sum") > F.col("low")))
 
 
 def audit_tables(
@@ -214,50 +254,66 @@ def audit_tables(
     ``by`` names columns that must agree (``["doc_id"]`` keeps matching inside documents).
     Claims without any shared token stay in the result with score 0. Candidates come from a
     claim's rarer tokens alone; those that could still reach the threshold are completed by its
-    frequent ones. Only claims without any support, whose best score is all that counts, meet
-    the paragraphs of all their tokens. Texts are read once; only tokens travel.
+    frequent ones. Of claims without any support the best score is all that counts: they meet
+    the paragraphs of a frequent token only if these could still beat the best one known. Texts are
+    read once; only tokens travel.
     """
     by = by or []
     keys = [*by, key]
-    pair = [*PARA_KEY, *(c for c in keys if c not in PARA_KEY)]
+    pair = ["place", *keys]
     tokens = claim_token_table(claims, key, by)
     held = F.array_distinct(tx.evidence_tokens(F.col("text"))).alias("held")
-    places = settle(paragraphs.select(*PARA_KEY, tx.has_quantity(F.col("text")).alias("para_q"), held))
-    places = places.select(*PARA_KEY, "para_q", F.explode("held").alias("token"))
+    places = settle(paragraphs.select(*PARA_KEY, tx.has_quantity(F.col("text")).alias("para_q"), held)).withColumn("place", F.monotonically_increasing_id())
+    places = places.select("place", *PARA_KEY, "para_q", F.explode("held").alias("token"))
     places = stored(places.join(tokens.select("token").distinct(), "token", "left_semi"), "places")
     ranked = stored(split_by_rarity(tokens, places.groupBy("token").agg(F.count("*").alias("df")), keys), "ranked")
     hot = ranked.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("salts")).distinct()
+    common = ranked.where("last")
+    frequent = places.join(common.select("token").distinct(), "token", "left_semi").groupBy("place").agg(F.collect_list("token").alias("frequent"))
+    rest = common.groupBy(*keys).agg(F.collect_list(F.struct("token", "cnt", "sum")).alias("rest"))
+    where = [F.max(c).alias(c) for c in (*PARA_KEY[:2], "para_q") if c not in keys]
 
-    def meet(some: DataFrame) -> DataFrame:
-        """Rows of paragraphs and claims that share a token; a hot one is met in several parts."""
-        left = some.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        right = places.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64(*PARA_KEY), F.coalesce("salts", F.lit(1))).cast("int"))
-        return right.drop("salts").join(left.drop("salts"), [*by, "token", "salt"])
+    def meet(some: DataFrame, *more: Column) -> DataFrame:
+        """Pairs of paragraphs and claims that share a token, with the counts met; a hot token is met in several parts.
 
-    common = ranked.where("last")
-    found = meet(ranked.where(~F.col("last"))).groupBy(*pair).agg(
-        F.sum("cnt").alias("got"), F.max("n").alias("n"), F.max("needed").alias("needed"), F.max("para_q").alias("para_q")
-    )
-    rest = common.groupBy(*keys).agg(F.sum("cnt").alias("most"), F.collect_list(F.struct("token", "cnt")).alias("rest"))
-    found = found.join(rest, keys, "left").where(F.col("got") + F.coalesce("most", F.lit(0)) >= F.col("needed"))
-    found = stored(found.drop("needed"), "found")
-    frequent = places.join(common.select("token").distinct(), "token", "left_semi").select(*PARA_KEY, "token")
-    more = found.where("rest IS NOT NULL").select(*pair, F.inline("rest")).join(frequent, [*PARA_KEY, "token"])
-    scored = found.drop("rest", "most").join(more.groupBy(*pair).agg(F.sum("cnt").alias("more")), pair, "left")
-    scored = scored.withColumn("score", (F.col("got") + F.coalesce("more", F.lit(0))) / F.col("n"))
-    scored = stored(scored.where(F.col("score") >= fx.SUPPORT_SCORE).select(*pair, "para_q", "score"), "scored")
+        Paragraphs are dealt by place first: where the claims are few, all up to the scores stays within a task.
+        """
+        left = some.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        right = places.drop("para_id").repartition("place").join(hot, "token", "left").withColumn("salt", F.pmod("place", F.coalesce("salts", F.lit(1))).cast("int"))
+        met = right.drop("salts").join(left.drop("salts"), [*by, "token", "salt"]).groupBy(*pair).agg(F.sum("cnt").alias("got"), F.max("n").alias("n"), *more)
+        return met.join(frequent, "place", "left").join(rest, keys, "left")
+
+    def completed(within: Column) -> Column:
+        """The counts met and those of the claim's frequent tokens in the paragraph, none of them met before."""
+        in_it = lambda t: (t["sum"] <= within) & F.array_contains("frequent", t["token"])
+        tail = F.filter(F.slice("rest", UNROLLED + 1, 1 << 30), in_it)
+        parts = [F.when(in_it(F.get("rest", F.lit(n))), F.get("rest", F.lit(n))["cnt"]) for n in range(UNROLLED)]
+        parts.append(F.when(F.size("rest") > UNROLLED, F.aggregate(tail, F.lit(0).cast("long"), lambda s, t: s + t["cnt"])))
+        return reduce(Column.__add__, (F.coalesce(p, F.lit(0)) for p in parts), F.col("got"))
+
+    scored = meet(ranked.where(~F.col("last")), *where)
+    scored = scored.withColumn("got", completed(F.lit(1 << 60))).withColumn("score", F.col("got") / F.col("n"))
+    scored = stored(scored.drop("n", "frequent", "rest"), "scored")
+    single = ranked.where("df > 0").groupBy(*keys).agg(F.max("cnt").alias("low"))
+    low = single.unionByName(scored.groupBy(*keys).agg(F.max("got").alias("low"))).groupBy(*keys).agg(F.max("low").alias("low"))
+    low, scored = stored(low, "low"), scored.where(F.col("score") >= fx.SUPPORT_SCORE)
     totals = scored.groupBy(*keys).agg(
         F.max("score").alias("best_score"),
         F.count_if(F.col("score") >= fx.STRONG_SCORE).alias("strong_count"),
         F.count("*").alias("support_count"),
     )
-    poor = meet(ranked.join(totals.select(*keys), keys, "left_anti")).groupBy(*pair).agg((F.sum("cnt") / F.max("n")).alias("score"))
-    best = poor.groupBy(*keys).agg(F.max("score").alias("poor_score"))
+    best, poor = low, unbeaten(ranked, low, keys)
+    if not poor.isEmpty():
+        again = meet(poor.drop("df", "needed", "sum", "last"), F.max("low").alias("low")).select(*keys, completed(F.col("low")).alias("low"))
+        best = low.unionByName(again).groupBy(*keys).agg(F.max("low").alias("low"))
+    best = best.withColumnRenamed("low", "poor_count")
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id", "ord")
-    top = stored(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= fx.SUPPORT_LIMIT), "top")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= fx.SUPPORT_LIMIT)
+    names = places.join(top.select("place").distinct(), "place", "left_semi").groupBy("place").agg(F.first("para_id").alias("para_id"))
+    top = stored(top.join(names, "place"), "top")
     support = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "doc_id", "para_id", "para_q"))).alias("top"))
     # A claim's tokens in any of its three best paragraphs, each counted once
-    seen = places.drop("para_q").join(top.select(*pair), PARA_KEY).select(*keys, "token").distinct()
+    seen = places.select("place", "token").join(top.select(*pair), "place").select(*keys, "token").distinct()
     covered = seen.join(ranked.select(*keys, "token", "cnt"), [*keys, "token"]).groupBy(*keys).agg(F.sum("cnt").alias("covered"))
     df = claims
     for part in (totals, best, support, covered):
@@ -268,7 +324,7 @@ def audit_tables(
     n_top = F.size("top")
     df = df.select(
         *claims.columns,
-        F.coalesce("best_score", "poor_score", F.lit(0.0)).alias("best_score"),
+        F.coalesce("best_score", F.col("poor_count") / F.col("n"), F.lit(0.0)).alias("best_score"),
         F.when(
             n_top > 0, F.aggregate("top", F.lit(0.0), lambda a, x: a + x["score"]) / n_top
         ).otherwise(0.0).alias("avg_score"),

@@ -413,3 +413,60 @@ def test_model_hook(spark):
 
     row = cd.mine_with_model(base, cd.run_model(prompts, transport)).first()
     assert row["claims"][0]["text"] == "We show that it works" and row["claim_warnings"] == []
+
+
+def test_best_of_claims_without_support(spark):
+    """Long claims of which no paragraph holds enough: the best count is exact, hot tokens aren't met in vain."""
+    import random
+
+    rnd = random.Random(8)
+    common = [f"common{i}" for i in range(6)]
+    paras = [(n % 40, n, f"p{n}", " ".join(["everywhere"] + rnd.sample(common, 3) + rnd.sample([f"rare{i}" for i in range(300)], 3))) for n in range(600)]
+    claims = [(n, " ".join(["everywhere"] + rnd.sample(common, 4) + rnd.sample([f"rare{i}" for i in range(300)], 2) + [f"own{n}x{i}" for i in range(40)])) for n in range(30)]
+    claims += [(100, "everywhere " + " ".join(f"absent{i}" for i in range(20))), (101, " ".join(common + [f"none{i}" for i in range(60)])), (102, "everywhere everywhere everywhere " + " ".join(f"gone{i}" for i in range(30)))]
+    table = spark.createDataFrame(paras, "doc_id long, ord long, para_id string, text string")
+    asked = spark.createDataFrame(claims, "claim_id long, text string")
+    got = {r["claim_id"]: r for r in ev.audit_tables(asked, table).collect()}
+    held = [set(t.split()) for *_, t in paras]
+    for claim, text in claims:
+        tokens = text.split()
+        counts = [sum(t in h for t in tokens) for h in held]
+        assert got[claim]["best_score"] == max(counts) / len(tokens), claim
+        assert got[claim]["support_count"] == sum(c / len(tokens) >= 0.18 for c in counts)
+
+
+def test_unbeaten_leaves_out_what_cannot_beat(spark):
+    columns = "claim_id long, token string, cnt long, n int, df long, needed int, sum long, last boolean"
+    rows = [(1, "every", 1, 20, 900, 4, 1, True), (1, "many", 1, 20, 500, 4, 2, True), (1, "some", 1, 20, 90, 4, 3, True), (1, "rare", 1, 20, 2, 4, 4, False)]
+    ranked = spark.createDataFrame(rows, columns)
+    for low, want in ((0, {"every", "many", "some"}), (1, {"many", "some"}), (2, {"some"}), (3, set())):
+        known = spark.createDataFrame([(1, low)], "claim_id long, low long")
+        assert {r["token"] for r in ev.unbeaten(ranked, known, ["claim_id"]).collect()} == want
+
+
+def test_score_batch_equals_loop(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    rows = [([[rnd.choice(words) for _ in range(rnd.randrange(9))] for _ in range(rnd.randrange(5))], [list({rnd.choice(words) for _ in range(rnd.randrange(6))}) for _ in range(rnd.randrange(6))]) for _ in range(60)]
+    rows += [(None, [["w1"]]), ([["w1"]], None), ([], []), ([["w1", "none"]], [["w1"], ["w1"], ["w2"], ["w1"], ["w1"]])]
+    kind = pa.list_(pa.list_(pa.string()))
+    for at_once in (1, 50, 10**6):
+        monkeypatch.setattr(ev, "PAIRS_AT_ONCE", at_once)
+        found = ev.score_batch(pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)).to_pylist()
+        for (claims, paras), scores in zip(rows, found):
+            assert len(scores) == len(claims or [])
+            for tokens, got in zip(claims or [], scores):
+                each = [sum(t in p for t in tokens) / len(tokens) if tokens else 0.0 for p in paras or []]
+                top = sorted((i for i, x in enumerate(each) if x >= 0.18), key=lambda i: -each[i])
+                assert got["places"] == top[:3] and got["support_scores"] == [each[i] for i in top[:3]]
+                total = 0.0
+                for i in top[:3]:
+                    total += each[i]
+                held = set().union(*((paras or [])[i] for i in top[:3]))
+                cover = sum(t in held for t in tokens) / len(tokens) if top else 0.0
+                assert (got["best_score"], got["support_count"], got["strong_count"]) == (max(each, default=0.0), len(top), sum(x >= 0.35 for x in each))
+                assert (got["avg_score"], got["coverage"]) == (total / len(top[:3]) if top else 0.0, cover)
