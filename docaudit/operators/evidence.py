@@ -294,7 +294,8 @@ def audit_tables(
     scored = meet(ranked.where(~F.col("last")), *where)
     scored = scored.withColumn("got", completed(F.lit(1 << 60))).withColumn("score", F.col("got") / F.col("n"))
     scored = stored(scored.drop("n", "frequent", "rest"), "scored")
-    single = ranked.where("df > 0").groupBy(*keys).agg(F.max("cnt").alias("low"))
+    # a token that occurs gives its count; whether it does within the columns of ``by`` is only known once met
+    single = ranked.groupBy(*keys).agg(F.max(F.when(F.col("df") > 0, F.col("cnt") if not by else 0).otherwise(0)).cast("long").alias("low"))
     low = single.unionByName(scored.groupBy(*keys).agg(F.max("got").alias("low"))).groupBy(*keys).agg(F.max("low").alias("low"))
     low, scored = stored(low, "low"), scored.where(F.col("score") >= fx.SUPPORT_SCORE)
     totals = scored.groupBy(*keys).agg(
