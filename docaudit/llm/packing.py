@@ -74,7 +74,7 @@ class Packer:
         if tokens > start:
             self.window.put(row, start, tokens - start, bears)
         while len(self.window) > self.held:
-            yield from self.fill()
+            yield from self.closed(self.fill())
 
     def fill(self) -> list[tuple]:
         """Fills the next sequence from the window."""
@@ -98,23 +98,26 @@ class Packer:
         self.sequence += 1
         return placed
 
+    def closed(self, placed: list[tuple]) -> Iterator[tuple]:
+        """A filled sequence; with `cut` one that is short becomes sequences of powers of two, which need no padding."""
+        short = sum(n for _, _, n, _, _ in placed)
+        if not self.cut or short == self.limits.tokens:
+            yield from placed
+            return
+        room, offset, sequence = 1 << (short.bit_length() - 1), 0, placed[0][3]
+        for row, start, n, _, _ in placed:
+            while n:
+                part = min(n, room - offset)
+                yield row, start, part, sequence, offset
+                row, start, n, offset, short = row, start + part, n - part, offset + part, short - part
+                if offset == room:
+                    room, offset, sequence = 1 << max(0, short.bit_length() - 1), 0, sequence + 1
+        self.sequence = sequence + 1
+
     def finish(self) -> Iterator[tuple]:
-        """Packs all that waits. A last unfilled sequence is cut into powers of two, which need no padding."""
+        """Packs all that waits."""
         while len(self.window):
-            placed = self.fill()
-            short = sum(n for _, _, n, _, _ in placed)
-            if len(self.window) or not self.cut or short == self.limits.tokens:
-                yield from placed
-                continue
-            room, offset, sequence = 1 << (short.bit_length() - 1), 0, placed[0][3]
-            for row, start, n, _, _ in placed:
-                while n:
-                    part = min(n, room - offset)
-                    yield row, start, part, sequence, offset
-                    row, start, n, offset, short = row, start + part, n - part, offset + part, short - part
-                    if offset == room:
-                        room, offset, sequence = 1 << max(0, short.bit_length() - 1), 0, sequence + 1
-            self.sequence = sequence + 1
+            yield from self.closed(self.fill())
 
 
 COLUMNS = "start long, length long, loss_tokens long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -121,6 +121,7 @@ class Prior:
 
 
 MOST = 1e9  # weight where sites don't differ beyond chance
+LEAST = 1e-6  # weight where documents of a site don't differ: one alone still has the mean above it
 
 
 def estimate(sites: DataFrame) -> Prior:
@@ -140,7 +141,7 @@ def estimate(sites: DataFrame) -> Prior:
 
     def weight(spread: float, groups: float, room: float) -> float:
         between = (spread - groups * within) / room if groups > 0 and room > 0 else 0.0
-        return min(MOST, within / between) if between > 0 else MOST
+        return max(LEAST, min(MOST, within / between)) if between > 0 else MOST
 
     hosts_weight = weight(row["host_fit"] - row["s"] ** 2 / row["n"], row["hosts"] - 1, row["n"] - row["host_nn"] / row["n"])
     return Prior(float(mean), hosts_weight, weight(row["path_fit"] - row["host_fit"], row["paths"] - row["hosts"], row["n"] - row["path_nn"]))

@@ -124,3 +124,16 @@ def test_quality_on_held_out_rows(spark):
     rows = quality.score_quality(documents, classifier, F.col("source"), F.col("lang")).join(labels.where(out), "doc_id").collect()
     good, bad = [r for r in rows if r["quality"] == 1], [r for r in rows if r["quality"] == 0]
     assert sum(r["keep"] for r in good) >= 0.98 * len(good) and sum(r["keep"] for r in bad) <= 0.15 * len(bad)
+
+
+def test_quality_where_sites_hold_one_document(spark):
+    """One document a site, one site in all, two documents on two hosts, null sites: no division by nothing."""
+    texts = ["plain words in a line " * 9, "!!! ### $$$ " * 5, "another line of words " * 7, "| | # # !!", "short", "more words here for a line " * 4]
+    shapes = np.array([quality.shape(t) for t in texts * 4])
+    classifier = quality.fit(shapes, np.array([1, 0, 1, 0, 0, 1] * 4))
+    for places in ([(f"h{n}", f"p{n}") for n in range(6)], [("h", "p")] * 6, [("h0", "p"), ("h1", "p")], [(None, None)] * 3, [("h", f"p{n}") for n in range(4)]):
+        df = spark.createDataFrame([(n, t, *p) for n, (t, p) in enumerate(zip(texts, places))], "doc_id long, text string, host string, path string")
+        rows = quality.score_quality(df, classifier, F.col("host"), F.col("path")).collect()
+        assert len(rows) == len(places) and all(0 <= r["host_score"] <= 1 and 0 <= r["path_score"] <= 1 and 0 < r["score"] < 1 for r in rows)
+        if len({p[0] for p in places}) == len(places):  # nothing else is known of the host: the global mean
+            assert all(abs(r["host_score"] - sum(x["doc_score"] for x in rows) / len(rows)) < 1e-6 for r in rows)

@@ -147,3 +147,22 @@ def frequent_ids(text):
 def test_checksum_of_ids(spark, documents):
     row = pack_texts(documents.where("doc_id = 2"), "doc_id").withColumn("crc", F.crc32("ids")).first()
     assert row["crc"] == zlib.crc32(row["ids"])
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 7])
+def test_tiny_examples_need_little_padding(size):
+    """A sequence that the limit of segments closes short is cut into powers of two as well."""
+    sizes = [size] * 6000
+    packer = Packer(Limits(), True)
+    places = [p for n, tokens in enumerate(sizes) for p in packer.add(n, tokens, True)] + list(packer.finish())
+    lengths = check_places(places, sizes, Limits(), [True] * len(sizes))
+    assert all(n & (n - 1) == 0 for n in lengths)
+
+
+def test_a_binding_loss_limit_leaves_no_padding():
+    pick = random.Random(3)
+    sizes, limits = [pick.randrange(1, 90) for _ in range(800)], Limits(256, 16, 64)
+    bears = [pick.random() < 0.7 for _ in sizes]
+    packer = Packer(limits, True, waiting=64)
+    places = [p for n, tokens in enumerate(sizes) for p in packer.add(n, tokens, bears[n])] + list(packer.finish())
+    assert all(n & (n - 1) == 0 for n in check_places(places, sizes, limits, bears))
