@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docaudit.llm.common import stored
+from docaudit.llm.common import row_hash, stored
 
 WORDS = 5
 LITERAL = 2  # words of a window that aren't placeholders
@@ -266,8 +266,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """
     items = stored(benchmark_windows(benchmark, item_key, item_text), "windows", ROWS_OF_ITEM * benchmark.count())
     shared = documents.sparkSession.sparkContext.broadcast(_filter(items))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    rows = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(text).alias("text"))
+    rows = documents.select(row_hash(documents).alias("row_hash"), F.col(text).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, bits, mask = Templates(), shared.value, np.uint64(FILTER_WORDS * 64 - 1)
@@ -296,5 +295,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     best = scored.groupBy("row_hash", "item").agg(F.max(F.struct("similarity", "windows", "matched")).alias("best"))
     pairs = best.select("row_hash", "item", "best.matched", "best.windows", "best.similarity")
     kept = stored(pairs.where(F.col("similarity") >= similarity), "contaminated", documents.count())
-    keys = documents.select(F.xxhash64(*columns).alias("row_hash"), F.col(key).alias("key"))
+    keys = documents.select(row_hash(documents).alias("row_hash"), F.col(key).alias("key"))
     return keys.join(kept, "row_hash").distinct().select("key", "row_hash", F.col("item").alias(item_key), "matched", "windows", "similarity")

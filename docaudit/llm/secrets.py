@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.arrays import running
 from docaudit.functions.text import let
-from docaudit.llm.common import stored
+from docaudit.llm.common import row_hash, stored
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def indexed(rules: tuple[Rule, ...]) -> list[str]:
 
 def row_key(df: DataFrame) -> Column:
     """A key of the row. Equal rows share one, and so would a collision; candidates are verified in either case."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return row_hash(df)
 
 
 def postings(df: DataFrame, grams: list[str], text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Shards of near equal bytes by a histogram sort.
 
-Rows are ordered by a hash of their text, then of the whole row, so that copies of a text lie
-together and a group of any size can still be divided. Splitters are found on a narrow table of
+Rows are ordered by a hash of their text, then of the whole row, then by their number, so that copies
+of a text lie together and a group of any size can still be divided. Splitters are found on a narrow table of
 keys and sizes: each round counts exactly the bytes below candidate keys across all partitions and
 narrows the interval of every splitter, until the bytes below it meet the tolerance. Only then do
 the rows move, once.
@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import stored
+from docaudit.llm.common import as_json, stored
 
-TOP = 1 << 128  # above every key
+WIDE = 24  # bytes of a key: hash of the text, hash of the row, number of the row
+TOP = 1 << 8 * WIDE  # above every key
 SHIFT = 1 << 63
 EVEN = 8  # probes spaced evenly in the interval of a splitter
 KEPT = 256  # keys asked for from the interval of a splitter
@@ -38,14 +39,15 @@ class Point:
 
 
 def _packed(keys: list[int]) -> np.ndarray:
-    return np.array([k.to_bytes(16, "big") for k in keys], "S16")
+    return np.array([k.to_bytes(WIDE, "big") for k in keys], f"S{WIDE}")
 
 
-def _keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Two signed numbers of each row as 16 bytes that compare in their order."""
-    both = np.empty((len(first), 2), ">u8")
-    both[:, 0], both[:, 1] = first.view("u8") ^ np.uint64(SHIFT), second.view("u8") ^ np.uint64(SHIFT)
-    return both.reshape(-1).view("S16")
+def _keys(*parts: np.ndarray) -> np.ndarray:
+    """The signed numbers of each row as bytes that compare in their order."""
+    held = np.empty((len(parts[0]), len(parts)), ">u8")
+    for n, part in enumerate(parts):
+        held[:, n] = part.view("u8") ^ np.uint64(SHIFT)
+    return held.reshape(-1).view(f"S{WIDE}")
 
 
 def _round(sized: DataFrame, probes: list[int], rates: list[float], seed: int) -> list:
@@ -57,12 +59,12 @@ def _round(sized: DataFrame, probes: list[int], rates: list[float], seed: int) -
         total, rows, drawn = np.zeros(gaps, "i8"), np.zeros(gaps, "i8"), [[] for _ in range(gaps)]
         random = np.random.default_rng((seed, TaskContext.get().partitionId()))
         for batch in batches:
-            keys = _keys(batch["first"].to_numpy(), batch["second"].to_numpy())
+            keys = _keys(*(batch[c].to_numpy() for c in ("first", "second", "third")))
             gap = np.searchsorted(bounds, keys, side="right")
             np.add.at(total, gap, batch["size"].to_numpy())
             rows += np.bincount(gap, minlength=gaps)
             for at in np.flatnonzero(random.random(len(gap)) < chance[gap]):
-                drawn[gap[at]].append(bytes(keys[at]).ljust(16, b"\0"))
+                drawn[gap[at]].append(bytes(keys[at]).ljust(WIDE, b"\0"))
         full = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full]), pa.array(rows[full]), pa.array([drawn[g] for g in full], pa.list_(pa.binary()))], ["gap", "total", "rows", "keys"])
 
@@ -73,7 +75,7 @@ def _round(sized: DataFrame, probes: list[int], rates: list[float], seed: int) -
 def splitters(sized: DataFrame, targets: list[int], total: Point, tolerance: int) -> list[Point]:
     """For each target the point whose bytes below come closest to it, within the tolerance if any key is.
 
-    `sized` has first, second and size. What reaches the driver is bounded by the number of
+    `sized` has first, second, third and size. What reaches the driver is bounded by the number of
     targets: counts between probes, and some hundred keys for each open interval.
     """
     known = {0: Point(0, 0, 0), TOP: total}
@@ -117,38 +119,46 @@ def _named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
-def shard(df: DataFrame, n_shards: int = 24, text: str = "text", tolerance: float = 0.001, range_bytes: int = 64 << 20) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 24, text: str = "text", tolerance: float = 0.001, range_bytes: int = 32 << 20) -> DataFrame:
     """All rows with size, law, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     Law `bytes`: shards hold near equal sizes, apart by `tolerance` of a shard or else by the row
-    that lies on the border. A row's size is the UTF-8 bytes of its text (null: none) plus 8.
-    Shards are made of ranges of about `range_bytes`, each sorted in one task; the driver keeps a
-    key and two counts for each range. `df` is read twice and must give the same rows. Rows equal
-    in all columns share a key and so a border never parts them; their slots differ. Nulls order as
-    a value of their own. Columns named as the new ones are replaced. An empty table stays empty.
+    that lies on the border. A row's size is the UTF-8 bytes of its text (null: none) plus 8. The
+    driver looks for the borders of the shards alone. A shard is dealt to ranges of about
+    `range_bytes`, each put into one task by the exchange; how many rows lie before a range is summed
+    up from the narrow table and travels to it as a row of its own. `df` is read twice and must give
+    the same rows in the same partitions, as tables do: a row's number is the last part of its key,
+    so that rows equal in all columns are divided too. Nulls order as a value of their own. Columns
+    named as the new ones are replaced. An empty table stays empty.
     """
     columns = [c for c in df.columns if c not in ("size", "law", "shard", "slot")]
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + OVERHEAD
-    keyed = df.select(*_named(columns), F.xxhash64(text).alias("__first"), F.xxhash64(*_named(columns)).alias("__second"), size.alias("size"))
-    sized = stored(keyed.select(F.col("__first").alias("first"), F.col("__second").alias("second"), "size"), "sizes")
+    whole = [as_json(F.col(f"`{c}`"), t) for c, t in df.dtypes if c in columns]
+    keyed = df.select(*_named(columns), F.xxhash64(text).alias("__first"), F.xxhash64(*whole).alias("__second"), F.monotonically_increasing_id().alias("__third"), size.alias("size"))
+    sized = stored(keyed.select(F.col("__first").alias("first"), F.col("__second").alias("second"), F.col("__third").alias("third"), "size"), "sizes")
     row = sized.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     total = Point(TOP, row["bytes"] or 0, row["rows"])
-    parts = max(1, -(-total.bytes // (n_shards * range_bytes)))  # ranges of a shard
-    ranges = n_shards * parts
-    found = splitters(sized, [total.bytes * n // ranges for n in range(1, ranges)], total, int(total.bytes / n_shards * tolerance))
-    starts = [Point(0, 0, 0), *found]
+    found = splitters(sized, [total.bytes * n // n_shards for n in range(1, n_shards)], total, int(total.bytes / n_shards * tolerance))
     bounds = _packed([p.key if p.key < TOP else TOP - 1 for p in found])
-    firsts = [p.rows - starts[n - n % parts].rows for n, p in enumerate(starts)]
+    parts = max(1, -(-total.bytes // (n_shards * range_bytes)))  # ranges of a shard
 
     @F.arrow_udf("int")
-    def place(first: pa.Array, second: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds, _keys(first.to_numpy(), second.to_numpy()), side="right"), pa.int32())
-
-    first_slot = df.sparkSession.createDataFrame(list(enumerate(firsts)), "__range int, __from long")
-    ranked = keyed.withColumn("__range", place("__first", "__second"))
-    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy("__first", "__second")) - 1)
-    placed = ranked.join(F.broadcast(first_slot), "__range")
-    return placed.select(*_named(columns), "size", F.lit("bytes").alias("law"), F.floor(F.col("__range") / parts).cast("int").alias("shard"), (F.col("__from") + F.col("__rank")).alias("slot"))
+    def place(first: pa.Array, second: pa.Array, third: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, _keys(first.to_numpy(), second.to_numpy(), third.to_numpy()), side="right"), pa.int32())
+
+    def ranged(rows: DataFrame, first: str, second: str, third: str) -> DataFrame:
+        """Adds the shard, and the range within it by a hash of the key."""
+        return rows.withColumn("__shard", place(first, second, third)).withColumn("__part", F.pmod(F.xxhash64(first, second, third), F.lit(parts)))
+
+    counts = ranged(sized, "first", "second", "third").groupBy("__shard", "__part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select("__shard", "__part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__from"))
+    rows = ranged(keyed, "__first", "__second", "__third").withColumn("__from", F.lit(None).cast("long"))
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(n_shards * parts, "__shard", "__part")
+    own = Window.partitionBy("__shard", "__part").orderBy(F.col("__from").isNull(), "__first", "__second", "__third")
+    numbered = dealt.withColumn("__rank", F.row_number().over(own)).withColumn("__base", F.first("__from").over(own))
+    placed = numbered.where("__from IS NULL")
+    return placed.select(*_named(columns), "size", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), (F.col("__base") + F.col("__rank") - 2).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import stored
+from docaudit.llm.common import row_hash, stored
 from docaudit.llm.components import components
 
 BITS = 64
@@ -124,8 +124,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     all columns, for telling rows with equal keys apart. Null and empty texts share fingerprint zero; repeated rows stay repeated; an
     empty table gives no rows. Texts are read once and never shuffled.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    marked = df.select(F.col(key).alias("key"), F.xxhash64(*columns).alias("row_hash"), F.col(text).alias("text"))
+    marked = df.select(F.col(key).alias("key"), row_hash(df).alias("row_hash"), F.col(text).alias("text"))
     prints = stored(fingerprinted(marked, "text", size).drop("text"), "fingerprints")
     rows = prints.count()
     nodes = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes", rows)

@@ -134,3 +134,33 @@ def test_broken_records_are_told(spark):
 
 def test_unique_folders(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x") and uuid.UUID(new_folder(spark, "x").rsplit("-", 1)[1])
+
+
+def test_equal_rows_are_divided(spark):
+    rows = [(7, "one row that comes again and again")] * 2000 + [(100 + n, f"text {n} " * 4) for n in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = check_shards(shard(df, 24, range_bytes=3000).collect(), 24)
+    mean = sum(sizes.values()) / 24
+    assert len(sizes) == 24 and all(abs(s - mean) < 0.02 * mean for s in sizes.values())
+
+
+def test_the_driver_looks_for_borders_alone(spark, monkeypatch):
+    from docaudit.llm import sharding
+
+    asked, true = [], sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda sized, targets, *rest: asked.append(len(targets)) or true(sized, targets, *rest))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 9).alias("text"))
+    check_shards(shard(df, 24, range_bytes=100).collect(), 24)
+    assert asked == [23]
+
+
+def test_columns_with_maps(spark, documents):
+    """Spark doesn't hash maps: the operators that tell rows apart by all columns still take them."""
+    from docaudit.llm.decontam import contaminated
+    from docaudit.llm.secrets import find_secrets
+    from docaudit.llm.simhash import near_duplicates
+
+    df = documents.withColumn("extra", F.create_map(F.lit("a"), F.struct(F.lit(1), F.create_map(F.lit(2), F.lit(3)))))
+    benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog while seven wise owls look on")], "item_id long, text string")
+    assert shard(df, 3).count() == find_secrets(df).count() == near_duplicates(df).count() == df.count()
+    assert contaminated(df, benchmark).count() > 0
