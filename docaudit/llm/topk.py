@@ -25,22 +25,30 @@ COSINE = 0.7  # local threshold from which coordinates prune
 FOCUS = 3  # coordinates looked at
 QUERIES_A_GROUP = 16_384
 EXACT = 2.0**52  # products below this are exact as doubles
-LONGEST = 2.0**31  # norms from which products may not fit a long
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 SLACK = 1e-9  # rounding of norms and bounds
 
 
 def quantised(column: Column) -> Column:
-    """floor(256 x) of each component; null where the vector or any component is null or not finite."""
+    """floor(256 x) of each component as a double, which holds it exactly; null where the vector or any component is null or not finite."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(finite, F.transform(column, lambda x: F.floor(x.cast("double") * 256)))
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * 256
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond, doubles are integers
+
+    return F.when(finite, F.transform(column, whole))
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """id, vec, dim and norm of the vectors that take part, one for each id (the largest, where an id is repeated)."""
     rows = df.select(F.col(key).alias("id"), quantised(F.col(vector)).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     single = rows.groupBy("id").agg(F.max("vec").alias("vec"))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return single.select("id", "vec", F.size("vec").alias("dim"), F.sqrt(square).alias("norm")).where(F.col("norm") < LONGEST)
+    # by the largest component, so that no square overflows
+    largest = F.array_max(F.transform("vec", F.abs))
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("largest")) * (x / F.col("largest")))
+    norm = F.when(F.col("largest") > 0, F.least(F.col("largest") * F.sqrt(square), F.lit(1e308))).otherwise(0.0)
+    return single.withColumn("largest", largest).select("id", "vec", F.size("vec").alias("dim"), norm.alias("norm"))
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -50,15 +58,24 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows."""
-    reach = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
-    if reach < EXACT:
-        return np.rint(left.astype("f8") @ right.astype("f8").T).astype("i8")
-    return left @ right.T  # sums wrap, and the result fits as norms are below LONGEST
+    """Exact inner products of integer rows, as longs or, where any may not fit, as Python's integers."""
+    most = float(np.abs(left).max(initial=0)) * left.shape[1]
+    with np.errstate(over="ignore"):
+        wide = np.flatnonzero(most * np.abs(right).max(axis=1, initial=0) >= EXACT)
+    if not len(wide):
+        return np.rint(left @ right.T).astype("i8")
+    out = np.zeros((len(left), len(right)), object)
+    narrow = np.setdiff1d(np.arange(len(right)), wide)
+    out[:, narrow] = np.rint(left @ right[narrow].T).astype("i8").astype(object)
+    whole = np.vectorize(int, otypes=[object])
+    out[:, wide] = whole(left) @ whole(right[wide]).T if left.size else 0
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda n: (-scores[n], ids[n]))[:k], "i8")
     if len(scores) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= least)
@@ -67,6 +84,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
+def below(score: int) -> float:
+    """A double at most as large as an integer."""
+    if abs(score) < EXACT:
+        return float(score)
+    near = float(max(-(10**308), min(10**308, int(score))))
+    return near - abs(near) * SLACK
+
+
 def search_block(ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_norms: np.ndarray, floors: np.ndarray, k: int) -> list[tuple]:
     """(query, id, score) of the k best of a block for each query, but none below the query's floor."""
     order = np.lexsort((ids, -norms))
@@ -76,9 +101,10 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query_
     def keep(query: int, scores: np.ndarray, places: np.ndarray) -> None:
         fit = (scores >= floors[query]) & (ids[places] != query_ids[query])
         scores, places = scores[fit], places[fit]
-        out.extend((int(query_ids[query]), int(ids[places[n]]), int(scores[n])) for n in _best(scores, ids[places], k))
+        # the best of a block in full; a score that doesn't fit a long is only an error if it is returned
+        out.extend((int(query_ids[query]), int(ids[places[n]]), min(MOST_LONG, max(LEAST_LONG, int(scores[n])))) for n in _best(scores, ids[places], k))
 
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         # the least cosine with which the longest vector of the block still reaches the floor
         local = np.where((query_norms > 0) & (norms[0] > 0), floors / (query_norms * norms[0]), np.where(floors > 0, np.inf, -np.inf))
     alive = np.flatnonzero(local <= 1 + SLACK)
@@ -123,8 +149,9 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], key: str =
 
     Vectors count as floor(256 x). `is_query` tells from a key whether it is a query; every vector
     but a query's own is a candidate, and fewer than k give fewer rows. Ties go to the smaller key.
-    Null keys take no part, nor do vectors that are null, hold a null or non-finite component or are
-    so long that products may not fit a long (256 times the norm is 2**31 or more). A repeated key
+    Null keys take no part, nor do vectors that are null or hold a null or non-finite component. All
+    finite ones do; products are exact at any size, and the query fails if a score that it returns
+    doesn't fit a long. A repeated key
     counts once, with its largest vector; vectors only meet others of as many components. Extra
     columns play no part; an empty table gives no rows. Queries meet blocks of vectors: both sides
     of a group are bounded, and blocks that can't matter for a query never see it.
@@ -155,7 +182,8 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], key: str =
             for n in np.flatnonzero(size == dim):
                 scores = products(values[ends[n] - dim : ends[n]].reshape(1, -1), seed)[0][seed_ids != own[n]]
                 if len(scores) >= k:
-                    out[n] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    least = sorted(scores)[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
+                    out[n] = below(least)
         return pa.array(out)
 
     queries = vectors.where(is_query(F.col("id"))).withColumn("floor", floor_of("id", "vec", "dim"))
@@ -178,4 +206,7 @@ def top_products(df: DataFrame, is_query: Callable[[Column], Column], key: str =
     where = ["dim", "bucket", "block", "chunk"]
     met = dealt.groupBy(*where).cogroup(asked.groupBy(*where)).applyInArrow(search, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
+    beyond = F.col("score").isin(LEAST_LONG, MOST_LONG)
+    score = F.when(beyond, F.raise_error(F.lit("a score doesn't fit a long")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", F.col("id").alias(key), score.alias("score"))

@@ -140,9 +140,25 @@ def test_messy_vectors(spark):
     got = topk.top_products(df, lambda key: key % 50 == 0)
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 50)
     assert topk.top_products(df.where("false"), lambda key: key % 50 == 0).count() == 0
-    huge = [(n, [1e6 * (n + 1), 3.0]) for n in range(3)]
-    got = topk.top_products(spark.createDataFrame([*huge, (9, [1e9, 0.0])], "vec_id long, embedding array<float>"), lambda key: key % 50 == 0)
-    assert sorted(map(tuple, got.collect())) == plain_top(huge, 50)
+
+
+def test_vectors_of_any_length_take_part(spark):
+    unit = [(0, [1.0, 0.0]), (50, [0.5, -1.0])]
+    huge = [(n, [1e6 * n, 3.0]) for n in range(1, 4)] + [(9, [1e7, 0.25]), (10, [-1e13, 1e13]), (11, [3e13, 1.0]), (12, [3.0, -3e13])]
+    df = spark.createDataFrame(unit + huge, "vec_id long, embedding array<float>")
+    got = topk.top_products(df, lambda key: key % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == plain_top(unit + huge, 50)
+    beyond = topk.top_products(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<float>"), lambda key: key % 50 == 0)
+    with pytest.raises(Exception, match="fit a long"):
+        beyond.collect()
+
+
+def test_products_beyond_doubles():
+    left, right = np.array([[2.0**60, 3.0], [1.0, 2.0]]), np.array([[2.0**60, 1.0], [5.0, 7.0], [-(2.0**70), 2.0**62]])
+    want = [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in right] for a in left]
+    assert topk.products(left, right).tolist() == want
+    for score in (5, 2**53 + 1, -(2**90) - 1, 10**400, -(10**400)):
+        assert topk.below(score) <= score
 
 
 def test_a_block_prunes_and_keeps_exactness():
