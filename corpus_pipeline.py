@@ -6,7 +6,7 @@ rows that the next one gets. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import quality
@@ -34,8 +34,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.groupBy("root").agg(F.min(order).alias("first"))
     kept = stored(kept.select(F.col("first.row_hash").alias("__row")).distinct(), "kept", own.count())
     left = own.withColumn("__row", F.xxhash64(*COLUMNS)).join(kept, "__row")
-    single = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return left.withColumn("__n", single).where("__n = 1").select(*COLUMNS)
+    return left.dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
