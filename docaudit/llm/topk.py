@@ -88,7 +88,9 @@ def below(score: int) -> float:
     """A double at most as large as an integer."""
     if abs(score) < EXACT:
         return float(score)
-    near = float(max(-(10**308), min(10**308, int(score))))
+    if abs(score) > 10**308:
+        return 1e308 if score > 0 else -np.inf
+    near = float(int(score))
     return near - abs(near) * SLACK
 
 
