@@ -7,6 +7,9 @@ and in further ones a run of names or of number words is one placeholder ("Ann L
 the benchmark. The values behind the placeholders must then agree: within an occurrence of an item,
 each value of the benchmark stands for one value of the document throughout. A document may hold an
 item more than once, with other values each time; its best occurrence counts.
+
+An item that has no window, being too short or almost wholly of placeholders, is looked up whole: by its
+words, values included, where they stand between sentence ends.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ LITERAL = 2  # words of a window that aren't placeholders
 SIMILARITY = 0.8
 BLOCK = 2  # block of a document, in lengths of the item: an occurrence spreads over at most one
 ROWS_OF_ITEM = 1000  # windows of an item, for the number of files they are stored in
-FILTER_WORDS = 1 << 16  # 64-bit words of the filter that workers get
+FILTER_WORDS = 1 << 16, 1 << 23  # 64-bit words of the filter that workers get: least and most (64 MiB)
+BITS_A_WINDOW = 16  # of the filter, between these
+WHOLE = -1  # the view of an item that is looked up whole
 
 # fixed values
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -93,14 +98,18 @@ class Templates:
         plain[kinds == UNIT] = HOLES[UNIT]
         named = kinds == NAME
         if not named.any():
-            return Parsed(tokens, at, [View(plain)]).merged(first)
+            return Parsed(tokens, at, first, [View(plain)]).merged()
         views = [plain]
         for names in (named & ~first, named):
             views.append(plain.copy())
             views[-1][names] = HOLES[NAME]
         if (named & ~first).any():
-            return Parsed(tokens, at, [View(views[1]), View(plain)]).merged(first, views[2])
-        return Parsed(tokens, at, [View(plain)]).merged(first, views[2])
+            return Parsed(tokens, at, first, [View(views[1]), View(plain)]).merged(views[2])
+        return Parsed(tokens, at, first, [View(plain)]).merged(views[2])
+
+
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
 
 
 @dataclass(frozen=True)
@@ -131,15 +140,29 @@ class Parsed:
 
     tokens: list[str]
     at: np.ndarray
+    first: np.ndarray  # whether a word starts a sentence
     views: list[View]
     word: int = 0
 
-    def merged(self, first: np.ndarray, capitals: np.ndarray | None = None) -> Parsed:
+    def merged(self, capitals: np.ndarray | None = None) -> Parsed:
         """With the views of merged runs, and that of every capitalised word as a placeholder."""
-        more = [v for view in self.views if (v := _merged(view.codes, first))]
+        more = [v for view in self.views if (v := _merged(view.codes, self.first))]
         if capitals is not None:
-            more.append(_merged(capitals, first) or View(capitals))
-        return Parsed(self.tokens, self.at, self.views + more, len(self.views))
+            more.append(_merged(capitals, self.first) or View(capitals))
+        return Parsed(self.tokens, self.at, self.first, self.views + more, len(self.views))
+
+    def whole(self, start: int, words: int) -> int:
+        """Hash of a run of words as they are."""
+        return _signed(xxhash.xxh64_intdigest("\x1f".join(self.tokens[w] for w in self.at[start : start + words]).lower()))
+
+    def stretches(self, lengths: list[int]) -> Iterator[tuple[int, int]]:
+        """(hash, start) of the runs of whole sentences with one of some numbers of words."""
+        starts = np.flatnonzero(self.first)
+        ends = {*starts.tolist(), len(self.at)}
+        for start in starts.tolist():
+            for words in lengths:
+                if start + words in ends:
+                    yield self.whole(start, words), start
 
     def place(self, view: View, n: int) -> int:
         """Place of the first word of a window."""
@@ -179,7 +202,7 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     """hash, item, view and place of each window of the benchmark, how many windows and words the item has, and the values in it.
 
     The views with a code for each word count as one, that of the most windows; each further one for itself.
-    Windows almost wholly of placeholders are left out; items without any window match nothing.
+    Windows almost wholly of placeholders are left out; an item without any window has one of all its words.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +210,13 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
         for batch in batches:
             rows = []
             for item, text_of in zip(batch["item"], batch["text"]):
-                parsed = templates.of(text_of.as_py() or "")
+                parsed, before = templates.of(text_of.as_py() or ""), len(rows)
                 for n_view, view in enumerate(parsed.views):
                     hashes, fit = windows(view.codes)
                     own = max(0, n_view - parsed.word + 1)
                     rows += [(int(hashes[n].view("i8")), item.as_py(), own, parsed.place(view, n), int(fit.sum()), len(parsed.at), parsed.slots(view, n)) for n in np.flatnonzero(fit)]
+                if len(rows) == before and len(parsed.at):
+                    rows.append((parsed.whole(0, len(parsed.at)), item.as_py(), WHOLE, 0, 1, len(parsed.at), []))
             yield pa.RecordBatch.from_pylist([dict(zip(("hash", "item", "view", "place", "windows", "words", "held"), r)) for r in rows], pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("view", pa.int32()), ("place", pa.int32()), ("windows", pa.int32()), ("words", pa.int32()), ("held", pa.list_(pa.string()))]))
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
@@ -199,12 +224,13 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
 
 
 def _filter(items: DataFrame) -> np.ndarray:
-    """A bit for each window hash of the benchmark, modulo the filter's fixed size."""
-    place = F.pmod("hash", F.lit(FILTER_WORDS * 64))
-    parts = items.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).collect()
-    bits = np.zeros(FILTER_WORDS, "i8")
-    for row in parts:
-        bits[row["word"]] = row["bits"]
+    """A bit for each window hash of the benchmark, modulo the size of the filter, which follows their number up to a bound."""
+    least, most = FILTER_WORDS
+    size = min(most, max(least, 1 << (items.count() * BITS_A_WINDOW // 64).bit_length()))
+    place = F.pmod("hash", F.lit(size * 64))
+    parts = items.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(size, "i8")
+    bits[parts["word"].to_numpy()] = parts["bits"].to_numpy()
     return bits.view("u8")
 
 
@@ -259,17 +285,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     values that agree, in an occurrence or anywhere in the document; matched and windows are those of
     the view that shares most. An occurrence spreads over at
     most BLOCK times the item's words; one with more words put in is only found if the values of the
-    whole document agree. Null and empty texts hold nothing, and items of fewer than five words match
-    nothing; a null key stays null; equal rows give one pair; null item keys don't count. row_hash,
+    whole document agree. An item without a window, as of fewer than five words, is held where its words
+    stand as they are between sentence ends. Null and empty texts hold nothing, and an item without
+    words matches nothing; a null key stays null; equal rows give one pair; null item keys don't count. row_hash,
     of all columns, tells rows with equal keys apart. Documents aren't shuffled, only the few windows
-    that pass a filter of fixed size built from the benchmark.
+    that pass a filter built from the benchmark; beyond 64 MiB of filter more pass, to the same result.
     """
     items = stored(benchmark_windows(benchmark, item_key, item_text), "windows", ROWS_OF_ITEM * benchmark.count())
     shared = documents.sparkSession.sparkContext.broadcast(_filter(items))
+    lengths = sorted(r["words"] for r in items.where(F.col("view") == WHOLE).select("words").distinct().collect())
     rows = documents.select(row_hash(documents).alias("row_hash"), F.col(text).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, bits, mask = Templates(), shared.value, np.uint64(FILTER_WORDS * 64 - 1)
+        templates, bits = Templates(), shared.value
+        mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             rows: list[tuple] = []
             for row, text_of in zip(batch["row_hash"], batch["text"]):
@@ -280,6 +309,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
                     low = hashes & mask
                     hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
                     seen |= {(int(hashes[n].view("i8")), parsed.place(view, n), tuple(parsed.slots(view, n))) for n in np.flatnonzero(hit)}
+                for found, start in parsed.stretches(lengths) if lengths else ():
+                    low = found & int(mask)
+                    if int(bits[low >> 6]) >> (low & 63) & 1:
+                        seen.add((found, start, ()))
                 rows += [(row.as_py(), h, n, list(s)) for h, n, s in sorted(seen)]
             columns = list(zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["row_hash", "hash", "at", "seen"])

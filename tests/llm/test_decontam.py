@@ -39,7 +39,35 @@ def test_copies_and_other_parameters(spark):
         "too short",
         ITEMS[5][1],
     ]
-    assert run(spark, texts) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1)]
+    assert run(spark, texts) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (10, 4), (11, 2)]
+
+
+def test_items_without_a_window_are_looked_up_whole(spark):
+    items = [(0, "What is twelve?"), (1, "7 + 8 = 15"), (2, "Paris"), (3, "Why? Who knows."), (4, "..."), (5, "1 2 3 4 5 6 7")]
+    texts = [
+        FILLER + "What is twelve? " + FILLER,  # a sentence of its own
+        "so WHAT is twelve and more",  # within another sentence
+        FILLER + "7 + 8 = 15.\n\n" + FILLER,
+        "7 + 8 = 16",  # other values
+        "She went to Paris yesterday. It rained.",
+        "The capital of France:\n\nParis\n\nNext question.",
+        "He asked: why? Who knows. " + FILLER,
+        "... !!!",
+        "1 2 3 4 5 6 7",
+        "1 2 3 4 5 6 8",
+    ]
+    assert run(spark, texts, items) == [(0, 0), (2, 1), (5, 2), (6, 3), (8, 5)]
+
+
+def test_filter_follows_the_benchmark(spark, monkeypatch):
+    items = spark.range(5000).select(F.xxhash64("id").alias("hash"))
+    assert len(decontam._filter(items)) == 1 << 16
+    monkeypatch.setattr(decontam, "FILTER_WORDS", (64, 1024))
+    bits = decontam._filter(items)
+    assert len(bits) == 1024
+    for r in items.limit(50).collect():
+        low = r["hash"] % (1024 * 64)
+        assert int(bits[low >> 6]) >> (low & 63) & 1
 
 
 def test_values_must_agree():
