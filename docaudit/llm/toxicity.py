@@ -1,9 +1,10 @@
 """Toxicity scores by a counterfactually regularised classifier.
 
 A logistic model over the distinct words of a text and their first letters is fitted on a bounded
-sample of labelled rows. For every labelled text that mentions a group, its counterparts with the mention swapped for other
-groups of the same kind, and for a neutral word, should score alike: the fit penalises the squared
-change. So a group's name gains no weight of its own from the company it keeps in the labels.
+sample of labelled rows. Every labelled text that mentions groups has counterparts: the same text with
+all its mentions swapped, once for the next group of the same kind and once for a neutral word. They
+should score alike: the fit penalises the squared change of the text's score. So a group's name gains
+no weight of its own from the company it keeps in the labels.
 """
 
 from __future__ import annotations
@@ -19,18 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed values: names of groups by kind; the first of each kind is the neutral word
-IDENTITY = {
-    "gender": "person woman women man men girl girls boy boys female male nonbinary transgender trans",
-    "orientation": "person gay lesbian bisexual queer homosexual heterosexual straight",
-    "religion": "person muslim muslims christian christians jewish jew jews hindu hindus buddhist buddhists atheist atheists catholic catholics protestant sikh",
-    "origin": "person african asian european american arab latino latina hispanic mexican chinese indian black white immigrant immigrants refugee refugees foreigner foreigners",
-    "ability": "person disabled deaf blind autistic",
-    "age": "person old young elderly teenager teenagers",
-}
+# fixed values: names of groups by kind, in English, French, German and Spanish; the first of each line is the neutral word
+IDENTITY = (
+    "person woman women man men girl girls boy boys female male nonbinary transgender trans",
+    "person gay lesbian bisexual queer homosexual heterosexual straight",
+    "person muslim muslims christian christians jewish jew jews hindu hindus buddhist buddhists atheist atheists catholic catholics protestant sikh",
+    "person african asian european american arab latino latina hispanic mexican chinese indian black white immigrant immigrants refugee refugees foreigner foreigners",
+    "person disabled deaf blind autistic",
+    "person old young elderly teenager teenagers",
+    "personne femme femmes homme hommes fille filles garçon garçons",
+    "personne gai lesbienne bisexuel homosexuel homosexuelle hétérosexuel",
+    "personne musulman musulmane musulmans chrétien chrétienne chrétiens juif juive juifs hindou bouddhiste athée catholique protestant",
+    "personne africain africaine asiatique européen américain arabe mexicain chinois indien noir noire blanc blanche immigré immigrés réfugié réfugiés étranger étrangers",
+    "personne handicapé handicapée sourd aveugle autiste",
+    "personne vieux vieille jeune jeunes âgé adolescent",
+    "mensch frau frauen mann männer mädchen junge jungen",
+    "mensch schwul schwuler lesbisch lesbe bisexuell homosexuell heterosexuell",
+    "mensch muslim muslime muslimin christ christen jude juden jüdisch hindu buddhist atheist katholik protestant",
+    "mensch afrikaner asiate europäer amerikaner araber mexikaner chinese inder schwarzer weißer einwanderer flüchtling flüchtlinge ausländer",
+    "mensch behindert behinderter taub blinder autist",
+    "mensch alter alte junger jugendlicher",
+    "persona mujer mujeres hombre hombres chica chicas chico chicos",
+    "persona gay lesbiana bisexual homosexual heterosexual",
+    "persona musulmán musulmana musulmanes cristiano cristiana cristianos judío judía judíos hindú budista ateo católico protestante",
+    "persona africano africana asiático europeo americano árabe mexicano chino indio negro negra blanco blanca inmigrante inmigrantes refugiado refugiados extranjero extranjeros",
+    "persona discapacitado discapacitada sordo ciego autista",
+    "persona viejo vieja joven jóvenes anciano adolescente",
+)
 
 FIT_ROWS = 10_000
-VOCABULARY = 20_000
 STARTS = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,13 +66,26 @@ def features(text: str) -> set[str]:
     return {part for word in set(WORD.findall(text.lower())) for part in parts_of(word)}
 
 
-def swaps() -> Iterator[tuple[str, str]]:
-    """Each group's name with a word to put in its place: the next of its kind, and the neutral one."""
-    for line in IDENTITY.values():
+def swaps() -> tuple[dict[str, str], dict[str, str]]:
+    """What takes the place of each group's name: the next of its kind, and the neutral word. A name's first line counts."""
+    after, plain = {}, {}
+    for line in IDENTITY:
         neutral, *kind = line.split()
         for at, word in enumerate(kind):
-            yield word, kind[(at + 1) % len(kind)]
-            yield word, neutral
+            after.setdefault(word, kind[(at + 1) % len(kind)])
+            plain.setdefault(word, neutral)
+    return after, plain
+
+
+def counterparts(found: set[str]) -> Iterator[set[str]]:
+    """The features of a text's counterparts, from its own; none if it mentions no group.
+
+    Features hold every distinct word, so that they are those of the text with the mentions swapped.
+    """
+    words = {part for part in found if not part.endswith("-")}
+    for swap in swaps():
+        if not words.isdisjoint(swap):
+            yield {part for word in words for part in parts_of(swap.get(word, word))}
 
 
 @dataclass(frozen=True)
@@ -100,12 +131,51 @@ def surprise(both: np.ndarray, seen: np.ndarray, positive: int, rows: int) -> np
     return np.where(both * rows > seen * positive, 2 * total, 0.0)
 
 
-def fit(texts: pa.ListArray, labels: np.ndarray, least: float = 15.0, l2: float = 2e-5, swap: float = 1.0, rounds: int = 400) -> Model:
+class Sample:
+    """Labelled texts and their counterparts as numbers; the last weight is the bias."""
+
+    def __init__(self, texts: list[set[str]], labels: np.ndarray, names: list[str]):
+        self.labels, self.size = np.asarray(labels, float), len(names)
+        place = {name: n for n, name in enumerate(names)}
+        held = [sorted(place[part] for part in found if part in place) for found in texts]
+        self.row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        self.column = np.array([n for h in held for n in h], "i8")
+        self.of, moves = [], []  # the text of each counterpart; counterpart, feature and sign of each change
+        for at, found in enumerate(texts):
+            for other in counterparts(found):
+                number = len(self.of)
+                self.of.append(at)
+                moves += [(number, place[part], sign) for sign, parts in ((1, other - found), (-1, found - other)) for part in sorted(parts) if part in place]
+        self.of = np.array(self.of, "i8")
+        self.other, self.moved, self.sign = (np.array(x, "i8") for x in (zip(*moves) if moves else ([], [], [])))
+
+    def loss(self, weights: np.ndarray, l2: float, swap: float) -> tuple[float, np.ndarray]:
+        """Mean log loss, ridge and mean squared change of the score between texts and counterparts; with the slope."""
+        y, n, size = self.labels, len(self.labels), self.size
+        raw = np.bincount(self.row, weights[self.column], n) + weights[-1]
+        p = 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
+        each = (p - y) / n
+        total = float(np.mean(np.logaddexp(0, raw) - y * raw)) + l2 / 2 * float(weights[:-1] @ weights[:-1])
+        slope = np.append(np.bincount(self.column, each[self.row], size) + l2 * weights[:-1], each.sum())
+        if len(self.of) and swap:
+            changed = raw[self.of] + np.bincount(self.other, self.sign * weights[self.moved], len(self.of))
+            q = 1 / (1 + np.exp(-np.clip(changed, -35, 35)))
+            change = q - p[self.of]
+            total += swap * float(np.mean(change**2))
+            by_other = 2 * swap / len(self.of) * change * q * (1 - q)
+            by_text = np.bincount(self.of, by_other - 2 * swap / len(self.of) * change * (p * (1 - p))[self.of], n)
+            slope[:-1] += np.bincount(self.column, by_text[self.row], size) + np.bincount(self.moved, self.sign * by_other[self.other], size)
+            slope[-1] += by_text.sum()
+        return total, slope
+
+
+def fit(texts: pa.ListArray, labels: np.ndarray, least: float = 15.0, l2: float = 2e-5, swap: float = 20.0, rounds: int = 400) -> Model:
     """Fits the model on the features of labelled texts, by full-batch gradient steps of adaptive size.
 
-    Features are those tied to label 1 by a log-likelihood ratio of `least` or more; their weights
-    aren't negative, so that harmless text around an insult can't outweigh it. Without rows, or
-    with one label only, the model gives the smoothed rate of label 1 to any text.
+    Features are those tied to label 1 by a log-likelihood ratio of `least` or more, and those in
+    which texts and counterparts differ; their weights aren't negative, so that harmless text around
+    an insult can't outweigh it. Without rows, or with one label only, the model gives the smoothed
+    rate of label 1 to any text.
     """
     y = np.asarray(labels, float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -117,30 +187,18 @@ def fit(texts: pa.ListArray, labels: np.ndarray, least: float = 15.0, l2: float
     row = np.repeat(np.arange(len(y)), pc.list_value_length(texts).to_numpy(zero_copy_only=False))
     seen, toxic = np.bincount(column, minlength=len(names)), np.bincount(column, y[row], len(names))
     ratio = surprise(toxic, seen.astype(float), int(y.sum()), len(y))
-    kept = {names[n] for n in sorted(np.flatnonzero(ratio >= least), key=lambda n: (-ratio[n], names[n]))[:VOCABULARY]}
-    number = {name: n for n, name in enumerate(names)}
-    pairs = [(seen[number[a]], set(parts_of(a)), set(parts_of(b))) for a, b in swaps() if a in number]
-    place = {name: n for n, name in enumerate(sorted(kept.union(*(parts for _, a, b in pairs for parts in (a, b)))))}
-    size = len(place)
-    own = np.array([place.get(name, -1) for name in names], "i8")[column]
-    row, column = row[own >= 0], own[own >= 0]
-    moves = [(n, place[part], sign) for n, (_, a, b) in enumerate(pairs) for sign, parts in ((1, a - b), (-1, b - a)) for part in sorted(parts)]
-    pair, moved, sign = (np.array(x, "i8") for x in (zip(*moves) if moves else ([], [], [])))
-    often = np.array([n for n, _, _ in pairs], float)
-    # the last of the weights is the bias
-    weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    found = [set(parts) for parts in texts.to_pylist()]
+    kept = {names[n] for n in np.flatnonzero(ratio >= least)}
+    kept = sorted(kept.union(*(other ^ own for own in found for other in counterparts(own))))
+    sample = Sample(found, y, kept)
+    weights, first, second = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     weights[-1] = start
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[column], len(y)) + weights[-1], -35, 35)))
-        error = (p - y) / len(y)
-        slope = np.append(np.bincount(column, error[row], size) + l2 * weights[:-1], error.sum())
-        if pairs:
-            change = often / often.sum() * np.bincount(pair, sign * weights[moved], len(pairs))
-            slope[:-1] += 2 * swap * np.bincount(moved, sign * change[pair], size)
+        slope = sample.loss(weights, l2, swap)[1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights = weights - 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         weights[:-1] = np.maximum(weights[:-1], 0)
-    return Model(float(weights[-1]), {name: float(weights[n]) for name, n in place.items() if weights[n] > 1e-3})
+    return Model(float(weights[-1]), {name: float(w) for name, w in zip(kept, weights) if w > 1e-3})
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

@@ -34,6 +34,41 @@ def test_group_names_weigh_nothing_of_their_own():
     assert fair.score(mention) < 0.3
 
 
+def test_counterparts_are_the_swapped_texts():
+    """Every mention of a text swapped in the text itself, words that share a start and several groups included."""
+    after, plain = toxicity.swaps()
+    for text in ("The Muslim man and a manly woman", "ein Flüchtling, eine Frau", "une femme noire", "dos mujeres judías y un judío", "muslims muslim MUSLIM"):
+        swapped = [toxicity.features(toxicity.WORD.sub(lambda m: swap.get(m[0].lower(), m[0]), text)) for swap in (after, plain)]
+        assert list(toxicity.counterparts(toxicity.features(text))) == swapped
+    assert list(toxicity.counterparts(toxicity.features("no group in here"))) == []
+
+
+def test_slope_against_swapped_sentences():
+    """The fit's loss and slope, worked out from the swapped sentences one by one."""
+    texts = ["the muslim man is an idiot", "a woman and a manly muslim", "nothing of note", "jew jewish and muslims", "une femme idiot"]
+    labels, names = np.array([1, 0, 0, 1, 0.0]), ["man", "muslim", "musli-", "jew", "idiot", "woman", "person", "femme", "pers-", "women", "chri-"]
+    sample = toxicity.Sample([toxicity.features(t) for t in texts], labels, names)
+    pick = np.random.default_rng(4)
+    weights = pick.normal(size=len(names) + 1)
+
+    def plain(w):
+        score = lambda text: 1 / (1 + np.exp(-(w[-1] + sum(w[n] for n, name in enumerate(names) if name in toxicity.features(text)))))
+        out = -np.mean([np.log(score(t) if y else 1 - score(t)) for t, y in zip(texts, labels)]) + 0.05 * float(w[:-1] @ w[:-1])
+        changes = []
+        for text in texts:
+            for swap in toxicity.swaps():
+                other = toxicity.WORD.sub(lambda m: swap.get(m[0], m[0]), text)
+                if other != text:
+                    changes.append((score(other) - score(text)) ** 2)
+        return out + 3.0 * np.mean(changes)
+
+    total, slope = sample.loss(weights, 0.1, 3.0)
+    assert abs(total - plain(weights)) < 1e-9
+    for n in range(len(weights)):
+        step = np.eye(len(weights))[n] * 1e-5
+        assert abs((plain(weights + step) - plain(weights - step)) / 2e-5 - slope[n]) < 1e-6
+
+
 def test_fit_without_both_labels():
     assert toxicity.fit(columns([]), np.array([])).weights == {}
     assert 0 < toxicity.Scorer(toxicity.fit(columns(["a b"]), np.array([1]))).score("") < 1
