@@ -136,21 +136,61 @@ def claim_prompts(segmented: DataFrame) -> DataFrame:
 
 
 def run_model(prompts: DataFrame, transport: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """Send prompts through a user function, batch by batch; adds ``raw_json``.
+    """Send prompts through a user function, batch by batch; adds ``raw_json`` and ``model_error``.
 
     ``transport`` maps a list of prompts to raw answers (null for a failed call) and travels
-    to the executors with the plan.
+    to the executors with the plan. An exception doesn't end the job: the prompts of the batch are
+    sent one by one, and one that fails again has no answer and the exception's text as error. So
+    does a batch that comes back with another number of answers.
     """
-    schema = T.StructType([*prompts.schema.fields, T.StructField("raw_json", T.StringType())])
+    schema = T.StructType([*prompts.schema.fields, T.StructField("raw_json", T.StringType()), T.StructField("model_error", T.StringType())])
+
+    def ask(some: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = list(transport(some))
+            if len(answers) != len(some):
+                raise ValueError(f"{len(answers)} answers to {len(some)} prompts")
+            return [(answer, None) for answer in answers]
+        except Exception as failed:
+            if len(some) == 1:
+                return [(None, f"{type(failed).__name__}: {failed}")]
+        return [ask([prompt])[0] for prompt in some]
 
     def call(batches: Iterator) -> Iterator:
         for pdf in batches:
-            pdf["raw_json"] = transport(list(pdf["prompt"]))
+            answers = ask(list(pdf["prompt"])) if len(pdf) else []
+            pdf["raw_json"], pdf["model_error"] = [a for a, _ in answers], [e for _, e in answers]
             yield pdf
 
     return prompts.mapInPandas(call, schema)
 
 
+ANSWERS = "prompt_hash string, raw_json string, model_error string"
+
+
+def ask_once(prompts: DataFrame, transport: Callable[[list[str]], list[str | None]], path: str) -> DataFrame:
+    """``run_model`` that sends equal prompts once and keeps the answers under ``path``.
+
+    A later call with the same folder sends only prompts without an answer: those of failed calls
+    and new ones. Each call appends its answers and errors as a folder of its own; ``prompts`` gets
+    the answer of any call, or else the last error. Prompts meet their answers by hash.
+    """
+    spark = prompts.sparkSession
+    hashed = prompts.withColumn("prompt_hash", F.sha2(F.coalesce("prompt", F.lit("")), 256))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    calls = len(files.listStatus(root)) if files.exists(root) else 0
+    wanted = hashed.where("prompt IS NOT NULL").groupBy("prompt_hash").agg(F.any_value("prompt").alias("prompt"))
+    if calls:
+        known = spark.read.schema(ANSWERS).parquet(f"{path}/call=*").where("raw_json IS NOT NULL")
+        wanted = wanted.join(known.select("prompt_hash").distinct(), "prompt_hash", "left_anti")
+    run_model(wanted, transport).drop("prompt").write.mode("overwrite").parquet(f"{path}/call={calls}")
+    answers = spark.read.schema(ANSWERS + ", call int").option("basePath", path).parquet(f"{path}/call=*")
+    best = answers.groupBy("prompt_hash").agg(F.max_by("raw_json", F.when(F.col("raw_json").isNotNull(), F.col("call"))).alias("raw_json"), F.max_by("model_error", "call").alias("error"), F.count("*").alias("calls"))
+    found = hashed.join(best, "prompt_hash", "left").withColumn("model_error", F.when(F.col("raw_json").isNull(), F.col("error")))
+    return found.select(*prompts.columns, "raw_json", "model_error", "calls")
+
+
 # ---- model output ----------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from docaudit.operators import evidence as ev
 from docaudit.operators import latex as lx
 from docaudit.operators import logic as lo
 from docaudit.operators import preflight as pf
+from docaudit.operators import records as rc
 from docaudit.operators import risks as rk
 from docaudit.operators import structure as st
 
@@ -157,16 +158,32 @@ class Audit:
         return trace_table(self.rows)
 
 
-def analyse(extracts: DataFrame, model_outputs: DataFrame | None = None, domain: str | None = None) -> Audit:
+TIMES = "stamps"  # column of a timed run: when a row began, and when each step after the planner was through with it
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """Notes the time at which a row comes by, in milliseconds, once what was worked out before is there."""
+    now = F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long")
+    before = F.col(TIMES) if TIMES in rows.columns else F.array().cast("array<long>")
+    rest = [c for c in rows.columns if c != TIMES]
+    return settle(settle(rows).select(*rest, F.concat(before, F.array(now)).alias(TIMES)))
+
+
+def analyse(extracts: DataFrame, model_outputs: DataFrame | None = None, domain: str | None = None, timed: bool = False) -> Audit:
     """Gate, mine and refine claims, check them, rank the risks.
 
     Everything happens in the row of a document: without model answers nothing is shuffled, with
     them they are grouped by document and joined once. ``domain`` names a column with a domain tag.
+    ``timed`` notes when each step was through with a document, for the trace; the steps of a batch
+    that Python scores together include the wait for it.
     """
-    passed, rejects = rk.split_by_gate(common_rows(extracts, *([] if domain is None else [domain])))
-    rows = cd.mine_with_model(cl.mine_claims(passed), model_outputs)
-    rows = lo.prior_art_rows(lo.logic_rows(ev.audit_rows(pf.preflight_rows(rows))), domain)
-    return Audit(rk.risk_rows(rows), rejects)
+    note = stamped if timed else (lambda rows: rows)
+    more = ([] if domain is None else [domain]) + ([TIMES] if timed else [])
+    passed, rejects = rk.split_by_gate(note(common_rows(note(extracts), *more)))
+    rows = note(cd.mine_with_model(cl.mine_claims(passed), model_outputs))
+    rows = note(ev.audit_rows(note(pf.preflight_rows(rows))))
+    rows = note(lo.prior_art_rows(note(lo.logic_rows(rows)), domain))
+    return Audit(note(rk.risk_rows(rows)), rejects)
 
 
 def pipeline_warnings() -> Column:
@@ -232,8 +249,17 @@ def trace_of_rows() -> Column:
 
 
 def trace_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, seq, agent_id, role, status, summary, highlights), one row per step."""
-    df = rows.select("doc_id", F.posexplode(trace_of_rows()).alias("pos", "t"))
+    """(doc_id, seq, agent_id, role, status, summary, highlights), one row per step.
+
+    Rows of a timed run also have started_at, ended_at and duration_ms, at least 1. The planner, which
+    only looks up its thresholds, takes no time of its own; each other step starts where the one before ended.
+    """
+    held = [TIMES] if TIMES in rows.columns else []
+    df = rows.select("doc_id", *held, F.posexplode(trace_of_rows()).alias("pos", "t"))
+    if held:
+        start, end = (F.timestamp_millis(F.get(TIMES, at)) for at in (F.greatest(F.col("pos") - 1, F.lit(0)), F.col("pos")))
+        df = rc.trace_entries(df.select("doc_id", "pos", "t.*", start.alias("started_at"), end.alias("ended_at")))
+        return df.select("doc_id", (F.col("pos") + 1).alias("seq"), *[c for c in df.columns if c not in ("doc_id", "pos")])
     return df.select("doc_id", (F.col("pos") + 1).alias("seq"), "t.*")
 
 

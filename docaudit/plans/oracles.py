@@ -1047,7 +1047,7 @@ TRACE_STEPS = " union all ".join(
 query("job_trace", f"""
 with {JOB.replace("job as (", "base as (")},
 job as (select base.*, n_numeric, np from base join counted using (doc_id) join (select doc_id, count(*) as np from p group by all) using (doc_id))
-{TRACE_STEPS}""")
+select *, true as timed from ({TRACE_STEPS})""")
 
 query("vague_counts", f"with {RISKS} select 'no_condition' as type, (select count(*) from lr) + (select count(*) from top where doc_id not in (select doc_id from lr)) as n")
 query("strength_from_risks", f"with {RISKS} select doc_id, cid as claim_id, title as text, case when n_paras > 0 then 'moderate' else 'none' end as strength from top")
@@ -1127,6 +1127,14 @@ segs as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || pt
 n as (select *, greatest(4, least(14, cast(ceil(36.0 / count(*) over (partition by doc_id)) as bigint) + 2)) as m from segs),
 t as (select *, {q(PROMPT_HEAD)} || m || chr(10) || '注意: claim.text は元文の意味を維持し、冗長にしない。' || chr(10) || '入力文書:' || chr(10) || body as prompt from n)
 select doc_id, seg + 1 as segment, len(prompt) || ' ' || (len(prompt) - len(replace(prompt, chr(10), ''))) as raw_json from t""")
+query("model_once", f"""
+with {segments(120, 24)},
+segs as (select doc_id, seg, string_agg('[' || {seq('par', 'ord')} || '] ' || ptext, chr(10) order by o) as body from placed group by all),
+n as (select *, greatest(4, least(14, cast(ceil(36.0 / count(*) over (partition by doc_id)) as bigint) + 2)) as m from segs),
+t as (select *, {q(PROMPT_HEAD)} || m || chr(10) || '注意: claim.text は元文の意味を維持し、冗長にしない。' || chr(10) || '入力文書:' || chr(10) || body as prompt from n)
+select doc_id, seg + 1 as segment, case when len(prompt) % 7 = 0 then '' else a end as first, case when len(prompt) % 7 = 0 then 'RuntimeError: no answer' else '' end as model_error,
+  a as raw_json, case when len(prompt) % 7 = 0 then 2 else 1 end as calls
+from (select *, len(prompt) || ' ' || (len(prompt) - len(replace(prompt, chr(10), ''))) as a from t)""")
 query("model_paragraphs", f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 t as (select doc_id, i, {spaces('x')} as t from l),
@@ -1139,6 +1147,12 @@ st as (select user_id, case event_type when 'view' then 'extract' else 'evidence
 select user_id as analysis_id, status, value as progress, coalesce(step, '') as step, case event_type when 'error' then 'failed with ' || props else '' end as error
 from u left join st using (user_id) where rk = 1""")
 query("trace_stream", f"with {TRACE} select user_id as analysis_id, event_id as seq, role, status from tr")
+query("progress_stream", f"""
+with {TRACE},
+runs as (select distinct user_id || '|' || strftime(ts, '%Y-%m-%d') as run from tr),
+seen as (select distinct user_id || '|' || strftime(ts, '%Y-%m-%d') as run, role from tr),
+x as (select runs.run, steps.step, steps.role, seen.role is not null as done from runs cross join steps left join seen on seen.run = runs.run and seen.role = steps.role)
+select run, count(*) filter (done) as done, cast(floor(count(*) filter (done) * 100 / 8.0 + 0.5) as bigint) as percent, coalesce(arg_min(role, step) filter (not done), '') as first_missing from x group by run""")
 query("limit_stream", """
 with recursive e as (
   select cast(user_id as varchar) as key, event_id, epoch_us(ts) // 1000 as ms, cast(event_id % 3 as integer) as batch,

@@ -1098,9 +1098,10 @@ def analysis_summary(spark, sf):
 
 @query
 def job_trace(spark, sf):
-    """Trace rows of the job over SHEET documents, one per step."""
-    trace = analyse(src.sheet_rows(spark, sf)).trace
-    return trace.select("doc_id", "seq", "agent_id", "role", "status", "summary", joined("highlights", "|").alias("highlights"))
+    """Trace rows of the job over SHEET documents, one per step, each with its own time after the one before."""
+    trace = analyse(src.sheet_rows(spark, sf), timed=True).trace
+    timed = (F.col("duration_ms") >= 1) & (F.col("ended_at") >= F.col("started_at")) & (F.col("started_at") > "2020-01-01")
+    return trace.select("doc_id", "seq", "agent_id", "role", "status", "summary", joined("highlights", "|").alias("highlights"), timed.alias("timed"))
 
 
 # ---- storage and streams: written to the shared folder and read back ----------------------------------
@@ -1202,6 +1203,26 @@ def model_answers(spark, sf):
     return cd.run_model(prompts, transport).select("doc_id", "segment", "raw_json")
 
 
+@query
+def model_once(spark, sf):
+    """H1: repeated prompts are sent once, a failing call ends nothing, a second run sends what failed."""
+    prompts = cd.claim_prompts(cd.segments(src.sheet_rows(spark, sf))).select("doc_id", "segment", "prompt")
+    folder = so.new_folder(spark, "answers")
+
+    def transport(batch):
+        return [f"{len(p)} {p.count(chr(10))}" for p in batch]
+
+    def failing(batch):
+        if any(len(p) % 7 == 0 for p in batch):
+            raise RuntimeError("no answer")
+        return transport(batch)
+
+    first = so.stored(cd.ask_once(prompts, failing, folder).select("doc_id", "segment", F.col("raw_json").alias("first"), "model_error"), "first")
+    second = cd.ask_once(prompts, transport, folder).select("doc_id", "segment", "raw_json", "calls")
+    both = first.join(second, ["doc_id", "segment"])
+    return both.select("doc_id", "segment", *[F.coalesce(c, F.lit("")).alias(c) for c in ("first", "model_error")], "raw_json", "calls")
+
+
 @query
 def ensemble_extract(spark, sf):
     """K9: assembled extract of each document from its sources."""
@@ -1249,6 +1270,18 @@ def trace_stream(spark, sf):
     return back.select("analysis_id", "seq", "role", "status")
 
 
+@query
+def progress_stream(spark, sf):
+    """Roles seen of each run and its first missing step, from a stream of trace entries."""
+    run = F.concat_ws("|", "analysis_id", F.date_format("day", "yyyy-MM-dd")).alias("run")
+    entries = _trace(spark, sf).select(run, "seq", "role")
+    out = so.new_folder(spark, "progress-rows")
+    stream = live.trace_progress_stream(_streamed(spark, entries, 4, "seq"), "run")
+    live.write_latest(stream, out, so.new_folder(spark, "progress"), "run").trigger(availableNow=True).start().awaitTermination()
+    df = live.read_latest(spark, out, "run")
+    return df.select("run", "done", "percent", F.coalesce("first_missing", F.lit("")).alias("first_missing"))
+
+
 @query
 def limit_stream(spark, sf):
     """Q1 as a stream: three runs over requests in parts, so that many come late; each decision and its batch."""

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit import fixed as fx
 from docaudit.operators.ratelimit import open_windows, rate_limit
 from docaudit.operators.records import latest_row, latest_status
 from docaudit.sources.storage import scratch, stored
@@ -141,6 +142,20 @@ def compact_latest(spark: SparkSession, path: str, target: str, key: str = "anal
     read_latest(spark, path, key).withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{target}/batch=0")
 
 
+def trace_progress_stream(entries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Streaming form of ``trace_progress`` (update mode); state is one set of bits per run, a bit for each role.
+
+    ``write_latest`` writes it with the run as key.
+    """
+    bits = {role: 1 << n for n, role in enumerate(fx.AGENT_ROLES)}
+    bit = reduce(lambda c, kv: c.when(F.col("role") == kv[0], kv[1]), bits.items(), F).otherwise(0)
+    df = entries.groupBy(key).agg(F.bit_or(bit).alias("seen"))
+    missing = [F.when(F.col("seen").bitwiseAND(F.lit(b)) == 0, role) for role, b in bits.items()]
+    done = F.bit_count("seen")
+    percent = F.floor(done * 100 / len(bits) + 0.5).cast("int")
+    return df.select(key, done.alias("done"), percent.alias("percent"), F.coalesce(*missing).alias("first_missing"))
+
+
 def append_trace(stream: DataFrame, path: str, checkpoint: str):
     """Append trace entries as they arrive; a batch replaces its own folder when repeated."""
 

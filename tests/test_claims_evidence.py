@@ -470,3 +470,41 @@ def test_score_batch_equals_loop(monkeypatch):
                 cover = sum(t in held for t in tokens) / len(tokens) if top else 0.0
                 assert (got["best_score"], got["support_count"], got["strong_count"]) == (max(each, default=0.0), len(top), sum(x >= 0.35 for x in each))
                 assert (got["avg_score"], got["coverage"]) == (total / len(top[:3]) if top else 0.0, cover)
+
+
+def test_failing_calls_end_nothing(spark):
+    df = spark.createDataFrame([(n, f"prompt {n}") for n in range(9)], "doc_id long, prompt string")
+
+    def transport(batch):
+        if any(p.endswith(("3", "7")) for p in batch):
+            raise RuntimeError("down")
+        return [p.upper() for p in batch]
+
+    got = {r["doc_id"]: (r["raw_json"], r["model_error"]) for r in cd.run_model(df, transport).collect()}
+    assert got == {n: (None, "RuntimeError: down") if n in (3, 7) else (f"PROMPT {n}", None) for n in range(9)}
+    short = cd.run_model(df.coalesce(1), lambda batch: ["one"]).collect()
+    assert all(r["raw_json"] == "one" for r in short)  # sent one by one, each has its answer
+    warned = cd.run_model(df.coalesce(1), lambda batch: []).collect()
+    assert all(r["raw_json"] is None and r["model_error"].startswith("ValueError") for r in warned)
+
+
+def test_prompts_are_sent_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, None)], "doc_id long, prompt string")
+    path, log = str(tmp_path / "answers"), str(tmp_path / "log")
+
+    def noting(fail):
+        def transport(batch):
+            if fail and "bad" in batch:
+                raise OSError("no line")
+            with open(log, "a") as file:
+                file.writelines(p + "\n" for p in batch)
+            return [p * 2 for p in batch]
+
+        return transport
+
+    first = {r["doc_id"]: tuple(r)[2:] for r in cd.ask_once(df, noting(True), path).collect()}
+    assert first == {1: ("aa", None, 1), 2: ("bb", None, 1), 3: ("aa", None, 1), 4: (None, "OSError: no line", 1), 5: (None, None, None)}
+    more = df.union(spark.createDataFrame([(6, "new")], df.schema))
+    second = {r["doc_id"]: tuple(r)[2:] for r in cd.ask_once(more, noting(False), path).collect()}
+    assert second[4] == ("badbad", None, 2) and second[6] == ("newnew", None, 1) and second[1] == ("aa", None, 1)
+    assert sorted(open(log).read().split()) == ["a", "b", "bad", "new"]

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -283,3 +284,30 @@ def test_scratch_folders_go(spark):
         path = kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")
         assert os.path.exists(path) and kept.count() == 3
     assert not os.path.exists(path)
+
+
+def test_live_progress_equals_batch(spark, tmp_path):
+    roles = [*fx.AGENT_ROLES, "OTHER", None]
+    rows = [(f"r{i % 7}", i, roles[(i * i + i // 7) % len(roles)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, seq long, role string")
+    for part in range(3):
+        df.where(f"seq % 3 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{part}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    live.write_latest(live.trace_progress_stream(stream, "run"), str(tmp_path / "out"), str(tmp_path / "cp"), "run").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in live.read_latest(spark, str(tmp_path / "out"), "run").select("run", "done", "percent", "first_missing").collect())
+    assert got == sorted(tuple(r) for r in rc.trace_progress(df, "run").collect())
+
+
+def test_steps_have_times_in_order(spark):
+    from docaudit.operators.structure import sheet_extract
+
+    docs = spark.createDataFrame([(n, "The method always works better in 12 of 30 cases.\n\nIt is significant if tested on 40 inputs.\n\n" * 9) for n in range(5)], "doc_id long, text string")
+    before = time.time()
+    trace = job.analyse(sheet_extract(docs), timed=True).trace.orderBy("doc_id", "seq").collect()
+    assert len(trace) == 40
+    for doc in range(5):
+        steps = [r for r in trace if r["doc_id"] == doc]
+        assert [r["role"] for r in steps] == list(fx.AGENT_ROLES)
+        assert all(r["duration_ms"] >= 1 and r["ended_at"] >= r["started_at"] for r in steps)
+        assert all(b["started_at"] == a["ended_at"] for a, b in zip(steps, steps[1:]))
+        assert before - 1 < steps[0]["started_at"].timestamp() <= steps[-1]["ended_at"].timestamp() < time.time() + 1
