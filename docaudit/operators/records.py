@@ -46,6 +46,24 @@ def merge_updates(updates: DataFrame, key: str, fields: list[str], order: list[s
     return updates.groupBy(key).agg(*newest)
 
 
+def with_changes(snapshot: DataFrame, changes: DataFrame, key: str, buckets: int, kept: list[str] = ()) -> DataFrame:
+    """A snapshot's rows with the newer rows of ``changes`` (one for each key, the same columns) put over them.
+
+    A changed key takes the new row as a whole, except that fields in ``kept`` keep the older value
+    where the new one is null. The changes are exchanged to the buckets of the snapshot, which
+    itself (``storage.write_snapshot``) is read as it lies: no part of it travels. Keys aren't null.
+    """
+    rest = [c for c in snapshot.columns if c != key]
+    new = changes.repartition(buckets, key).select(F.col(key), F.struct(*rest).alias("new"))
+    both = snapshot.select(key, F.struct(*rest).alias("old")).join(new, key, "full")
+
+    def field(name: str) -> Column:
+        fresh, old = F.col("new")[name], F.col("old")[name]
+        return (F.coalesce(fresh, old) if name in kept else F.when(F.col("new").isNotNull(), fresh).otherwise(old)).alias(name)
+
+    return both.select(key, *map(field, rest))
+
+
 def latest_status(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Last status update as a whole: a missing error removes an older one; step is kept."""
     at = _order(order)

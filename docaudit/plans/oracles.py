@@ -1113,6 +1113,22 @@ query("stored_results", f"with {CLAIMS} select d.doc_id, count(n) as claims, md5
 query("new_records", """
 select 'sub' || o_orderkey as submission_id, case o_orderpriority when '1-URGENT' then 'PR' when '2-HIGH' then 'DOC' else 'PAPER' end as artifact_type,
   case when o_orderkey % 3 = 0 then 'READY' else 'UPLOADED' end as status, o_custkey = 1 as of_first_session from orders""")
+query("record_lookup", """
+select 's' || o_custkey as session_id, 'sub' || o_orderkey as submission_id,
+  case o_orderpriority when '1-URGENT' then 'PR' when '2-HIGH' then 'DOC' when '5-LOW' then '' else 'PAPER' end as artifact_type
+from orders where 's' || o_custkey = (select min('s' || o_custkey) from orders)""")
+query("repeated_writes", """
+select 'text' as kind, cast(doc_id as varchar) as id, md5(text) as digest, case when doc_id % 2 = 0 then 2 else 1 end as rows from documents
+union all select 'result', cast(doc_id as varchar), md5(text), case when doc_id % 2 = 0 then 2 else 1 end from documents
+union all select 'record', 'sub' || o_orderkey, md5('s' || o_custkey), 2 from orders""")
+query("snapshot_merge", f"""
+with {LATEST},
+m as (
+  select user_id, coalesce('x' || arg_max(event_id, (ts, event_id)) filter (event_type = 'signup'), '') as extract_pointer,
+    coalesce(cast(arg_max(event_id, (ts, event_id)) filter (event_type = 'purchase') as varchar), '') as report_pointer from events group by all),
+e as (select user_id, arg_max(value, (ts, event_id)) as progress from events group by all)
+select u.user_id as analysis_id, u.status, e.progress, coalesce(st.step, '') as step, case when u.event_type = 'error' then 'failed with ' || u.props else '' end as error, extract_pointer, report_pointer
+from u left join st using (user_id) join m using (user_id) join e using (user_id) where rk = 1""")
 query("latest_trace", f"""
 with {TRACE},
 d as (select *, ts::date as day, max(ts::date) over (partition by user_id) as last from tr)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
 from docaudit.functions import text as tx
+from docaudit.functions.times import millis
 from docaudit.operators import archive as ar
 from docaudit.operators import candidates as cd
 from docaudit.operators import claims as cl
@@ -1161,6 +1162,58 @@ def new_records(spark, sf):
     return found.select("submission_id", "artifact_type", "status", F.coalesce("first", F.lit(False)).alias("of_first_session"))
 
 
+@query
+def record_lookup(spark, sf):
+    """The submissions of one session from records indexed by it; one folder and file is read."""
+    given = src.submissions(spark, sf).select("session_id", "submission_id", "artifact_type")
+    folder = so.new_folder(spark, "indexed")
+    so.write_indexed(given, folder, "session_id")
+    wanted = given.agg(F.min("session_id")).first()[0]
+    found = so.lookup(spark.read.parquet(folder), "session_id", wanted, so.BUCKETS)
+    return found.select("session_id", "submission_id", F.coalesce("artifact_type", F.lit("")).alias("artifact_type"))
+
+
+@query
+def repeated_writes(spark, sf):
+    """Texts, results and records of a run written twice are there once; another run adds its own."""
+    folders = [so.new_folder(spark, n) for n in ("texts", "results", "records")]
+    docs = src.documents(spark, sf).select("doc_id", "text")
+    given = src.submissions(spark, sf).select("session_id", "submission_id")
+    for run, some in (("a", docs), ("a", docs), ("b", docs.where("doc_id % 2 = 0"))):
+        so.write_texts(some, folders[0], "text", "doc_id", run=run)
+        so.write_documents(some.select("doc_id", F.md5("text").alias("digest")), folders[1], "doc_id", run=run)
+        so.append_records(given, folders[2], run=run)
+    texts = so.read_texts(spark, folders[0]).select(F.lit("text").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("digest"))
+    results = so.read_documents(spark, folders[1], "doc_id long, digest string").select(F.lit("result"), F.col("doc_id").cast("string"), "digest")
+    records = spark.read.parquet(folders[2]).select(F.lit("record"), "submission_id", F.md5("session_id"))
+    return texts.union(results).union(records).groupBy("kind", "id", "digest").agg(F.count("*").alias("rows"))
+
+
+def _snapshot_and_log(spark, sf):
+    """Updates up to the middle of the time, and those after it."""
+    updates = src.status_updates(spark, sf)
+    at = millis(updates, "ts")
+    middle = updates.agg(F.percentile_approx(at, 0.5)).first()[0]
+    return updates.where(at <= middle), updates.where(at > middle)
+
+
+@query
+def snapshot_merge(spark, sf):
+    """Merged pointers and last status from a bucketed snapshot and the log since; only the log is exchanged."""
+    older, newer = _snapshot_and_log(spark, sf)
+
+    def current(updates):
+        pointers = rc.merge_updates(updates, "analysis_id", ["extract_pointer", "report_pointer"], ["ts", "seq"])
+        return rc.latest_status(updates, "analysis_id", ["ts", "seq"]).drop("terminal").join(pointers, "analysis_id")
+
+    folder = so.new_folder(spark, "snapshot")
+    snapshot = so.write_snapshot(current(older), folder, "snapshot_" + folder[-32:], "analysis_id")
+    kept = ["step", "extract_pointer", "report_pointer"]
+    df = rc.with_changes(snapshot, current(newer), "analysis_id", so.BUCKETS, kept)
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("step", "error", "extract_pointer", "report_pointer")]
+    return df.select("analysis_id", "status", "progress", *text)
+
+
 @query
 def latest_trace(spark, sf):
     """The whole trace array of each user, the last snapshot wins."""

@@ -39,13 +39,19 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_documents(df: DataFrame, path: str, key: str | None = None, fmt: str = "json", buckets: int = BUCKETS) -> None:
+def write_documents(df: DataFrame, path: str, key: str | None = None, fmt: str = "json", buckets: int = BUCKETS, run: str | None = None) -> None:
     """Extract or result rows, one object per analysis (JSON lines) or Parquet.
 
-    With ``key`` the rows lie in a bounded number of buckets of it; the key stays a column.
+    With ``key`` the rows lie in a bounded number of buckets of it; the key stays a column. With
+    ``run`` they lie in folders of that run too, which a repeated write replaces: a run that is done
+    again leaves the rows it left before. Without it each write appends.
     """
-    writer = (df if key is None else df.withColumn("bucket", bucket_of(key, buckets))).write.mode("append").format(fmt)
-    (writer if key is None else writer.partitionBy("bucket")).save(path)
+    folders = ([] if run is None else ["run"]) + ([] if key is None else ["bucket"])
+    rows = df if run is None else df.withColumn("run", F.lit(run))
+    writer = (rows if key is None else rows.withColumn("bucket", bucket_of(key, buckets))).write.format(fmt)
+    # only the folders that get rows are replaced; a run's rows keep their buckets, so that is all of them
+    writer = writer.mode("append") if run is None else writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*folders) if folders else writer).save(path)
 
 
 def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -53,17 +59,40 @@ def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_texts(df: DataFrame, path: str, text: str, key: str, buckets: int = BUCKETS) -> None:
+def write_texts(df: DataFrame, path: str, text: str, key: str, buckets: int = BUCKETS, run: str | None = None) -> None:
     """Raw files, diffs and HTML with their id, in a bounded number of buckets."""
-    write_documents(df.select(key, F.col(text).alias("text")), path, key, "parquet", buckets)
+    write_documents(df.select(key, F.col(text).alias("text")), path, key, "parquet", buckets, run)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path).drop("bucket", "run")
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_records(df: DataFrame, path: str, run: str | None = None) -> None:
+    """New records; with ``run`` a retried insert replaces what it wrote before."""
+    write_documents(df, path, fmt="parquet", run=run)
+
+
+def write_indexed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, run: str | None = None) -> None:
+    """Records that ``lookup`` finds without reading the others.
+
+    A bucket is one sorted file, so that the ranges of its row groups tell an id's place and their
+    Bloom filters that it isn't there; only one folder is looked at. Rows are exchanged once.
+    """
+    rows = df.withColumn("bucket", bucket_of(key, buckets))
+    folders = ["bucket"]
+    if run is not None:
+        rows, folders = rows.withColumn("run", F.lit(run)), ["run", "bucket"]
+    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", key)
+    writer = dealt.write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", 8 << 20)
+    writer = writer.mode("append") if run is None else writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*folders).parquet(path)
+
+
+def write_snapshot(df: DataFrame, path: str, table: str, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Current rows as a table bucketed and sorted by the key, for ``records.with_changes``."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def lookup(df: DataFrame, key: str, value, buckets: int | None = None) -> DataFrame:
