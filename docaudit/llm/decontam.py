@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ WORDS = 5
 LITERAL = 2  # words of a window that aren't placeholders
 SIMILARITY = 0.8
 BLOCK = 2  # block of a document, in lengths of the item: an occurrence spreads over at most one
+CHARS_AT_ONCE = 50_000  # of the texts that are looked through together
 ROWS_OF_ITEM = 1000  # windows of an item, for the number of files they are stored in
 FILTER_WORDS = 1 << 16, 1 << 23  # 64-bit words of the filter that workers get: least and most (64 MiB)
 BITS_A_WINDOW = 16  # of the filter, between these
@@ -74,9 +76,10 @@ class Templates:
             kind = NAME if len(token) > 1 and token.istitle() else PLAIN
         return xxhash.xxh64_intdigest(lower) & ~KIND | kind
 
-    def of(self, text: str) -> Parsed:
-        """The words of a text with their template codes."""
-        tokens = (ASCII_TOKEN if text.isascii() else TOKEN).findall(text)
+    def of(self, texts: list[str]) -> Parsed:
+        """The words of some texts, one after the other, with their template codes."""
+        each = [(ASCII_TOKEN if text.isascii() else TOKEN).findall(text) for text in texts]
+        tokens = list(chain.from_iterable(each))
         if len(self.codes) > self.held:
             self.codes = {}
         try:
@@ -88,24 +91,27 @@ class Templates:
         kinds = (codes & np.uint64(KIND)).astype("u1")
         words = kinds != STOP
         at = np.flatnonzero(words)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in each])[at]
         first = np.append(True, ~words[:-1])[at]  # of a sentence
+        first[1:] |= text[1:] != text[:-1]
         plain, kinds = (codes & ~np.uint64(KIND))[at], kinds[at]
         number = kinds == NUMBER
         if number.any():
-            beside = np.append(False, number[:-1]) | np.append(number[1:], False)
+            inside = text[1:] == text[:-1]
+            beside = np.append(False, number[:-1] & inside) | np.append(number[1:] & inside, False)
             plain[number] = HOLES[NUMBER]
             plain[(kinds == LETTER) & beside] = HOLES[UNIT]
         plain[kinds == UNIT] = HOLES[UNIT]
         named = kinds == NAME
         if not named.any():
-            return Parsed(tokens, at, first, [View(plain)]).merged()
+            return Parsed(tokens, at, first, text, [View(plain)]).merged()
         views = [plain]
         for names in (named & ~first, named):
             views.append(plain.copy())
             views[-1][names] = HOLES[NAME]
         if (named & ~first).any():
-            return Parsed(tokens, at, first, [View(views[1]), View(plain)]).merged(views[2])
-        return Parsed(tokens, at, first, [View(plain)]).merged(views[2])
+            return Parsed(tokens, at, first, text, [View(views[1]), View(plain)]).merged(views[2])
+        return Parsed(tokens, at, first, text, [View(plain)]).merged(views[2])
 
 
 def _signed(number: int) -> int:
@@ -132,7 +138,7 @@ def _merged(codes: np.ndarray, first: np.ndarray) -> View | None:
 
 @dataclass(frozen=True)
 class Parsed:
-    """The tokens of a text, the places of its words, and their codes in each view.
+    """The tokens of some texts, the places of the words, and their codes in each view.
 
     The first `word` views have a code for each word: with names within sentences as placeholders,
     if there are any, and without names.
@@ -141,6 +147,7 @@ class Parsed:
     tokens: list[str]
     at: np.ndarray
     first: np.ndarray  # whether a word starts a sentence
+    text: np.ndarray  # the text that a word is of
     views: list[View]
     word: int = 0
 
@@ -149,7 +156,7 @@ class Parsed:
         more = [v for view in self.views if (v := _merged(view.codes, self.first))]
         if capitals is not None:
             more.append(_merged(capitals, self.first) or View(capitals))
-        return Parsed(self.tokens, self.at, self.first, self.views + more, len(self.views))
+        return Parsed(self.tokens, self.at, self.first, self.text, self.views + more, len(self.views))
 
     def whole(self, start: int, words: int) -> int:
         """Hash of a run of words as they are."""
@@ -161,7 +168,7 @@ class Parsed:
         ends = {*starts.tolist(), len(self.at)}
         for start in starts.tolist():
             for words in lengths:
-                if start + words in ends:
+                if start + words in ends and self.text[start] == self.text[start + words - 1]:
                     yield self.whole(start, words), start
 
     def place(self, view: View, n: int) -> int:
@@ -178,8 +185,10 @@ class Parsed:
         return out
 
 
-def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of template codes, and whether it has enough words that aren't placeholders."""
+def windows(parsed: Parsed, view: View) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of template codes, and whether it lies in one text and has enough words that aren't placeholders."""
+    codes = view.codes
+    text = parsed.text if view.starts is None else parsed.text[view.starts]
     count = len(codes) - WORDS + 1
     if count < 1:
         return np.zeros(0, "u8"), np.zeros(0, bool)
@@ -188,11 +197,12 @@ def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes *= np.uint64(FACTOR)
         hashes += codes[n : n + count]
     hashes ^= hashes >> np.uint64(29)
+    inside = text[:count] == text[WORDS - 1 :]
     holes = codes <= LAST_HOLE
     if not holes.any():
-        return hashes, np.ones(count, bool)
+        return hashes, inside
     sums = np.append(0, np.cumsum(holes))
-    return hashes, sums[WORDS:] - sums[:-WORDS] <= WORDS - LITERAL
+    return hashes, inside & (sums[WORDS:] - sums[:-WORDS] <= WORDS - LITERAL)
 
 
 ITEM = "hash long, item long, view int, place int, windows int, words int, held array<string>"
@@ -210,9 +220,9 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
         for batch in batches:
             rows = []
             for item, text_of in zip(batch["item"], batch["text"]):
-                parsed, before = templates.of(text_of.as_py() or ""), len(rows)
+                parsed, before = templates.of([text_of.as_py() or ""]), len(rows)
                 for n_view, view in enumerate(parsed.views):
-                    hashes, fit = windows(view.codes)
+                    hashes, fit = windows(parsed, view)
                     own = max(0, n_view - parsed.word + 1)
                     rows += [(int(hashes[n].view("i8")), item.as_py(), own, parsed.place(view, n), int(fit.sum()), len(parsed.at), parsed.slots(view, n)) for n in np.flatnonzero(fit)]
                 if len(rows) == before and len(parsed.at):
@@ -234,6 +244,27 @@ def _filter(items: DataFrame) -> np.ndarray:
     return bits.view("u8")
 
 
+def _hits(parsed: Parsed, bits: np.ndarray, mask: np.uint64, lengths: list[int]) -> list[tuple]:
+    """(text, hash, place in it, values) of the windows of texts that pass the filter, each once, in order."""
+    seen, begins = set(), np.searchsorted(parsed.text, np.arange(int(parsed.text.max(initial=-1)) + 1))
+
+    def add(found: int, place: int, held: tuple) -> None:
+        text = int(parsed.text[place])
+        seen.add((text, found, place - int(begins[text]), held))
+
+    for view in parsed.views:
+        hashes, fit = windows(parsed, view)
+        low = hashes & mask
+        hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
+        for n in np.flatnonzero(hit).tolist():
+            add(int(hashes[n].view("i8")), parsed.place(view, n), tuple(parsed.slots(view, n)))
+    for found, start in parsed.stretches(lengths) if lengths else ():
+        low = found & int(mask)
+        if int(bits[low >> 6]) >> (low & 63) & 1:
+            add(found, start, ())
+    return sorted(seen)
+
+
 @F.arrow_udf(T.IntegerType())
 def agreeing(found: pa.Array) -> pa.Array:
     """Places of an item that are found with values that agree throughout, in the best occurrence where positions are given."""
@@ -300,20 +331,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         templates, bits = Templates(), shared.value
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            rows: list[tuple] = []
-            for row, text_of in zip(batch["row_hash"], batch["text"]):
-                parsed = templates.of(text_of.as_py() or "")
-                seen = set()
-                for view in parsed.views:
-                    hashes, fit = windows(view.codes)
-                    low = hashes & mask
-                    hit = fit & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-                    seen |= {(int(hashes[n].view("i8")), parsed.place(view, n), tuple(parsed.slots(view, n))) for n in np.flatnonzero(hit)}
-                for found, start in parsed.stretches(lengths) if lengths else ():
-                    low = found & int(mask)
-                    if int(bits[low >> 6]) >> (low & 63) & 1:
-                        seen.add((found, start, ()))
-                rows += [(row.as_py(), h, n, list(s)) for h, n, s in sorted(seen)]
+            rows, start = [], 0
+            while start < batch.num_rows:
+                texts, size = [], 0
+                while start + len(texts) < batch.num_rows and size < CHARS_AT_ONCE:
+                    texts.append(batch["text"][start + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                for n, found, at, held in _hits(templates.of(texts), bits, mask, lengths):
+                    rows.append((batch["row_hash"][start + n].as_py(), found, at, list(held)))
+                start += len(texts)
             columns = list(zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["row_hash", "hash", "at", "seen"])
 
