@@ -131,22 +131,35 @@ def surprise(both: np.ndarray, seen: np.ndarray, positive: int, rows: int) -> np
     return np.where(both * rows > seen * positive, 2 * total, 0.0)
 
 
+class Coded:
+    """The features of some texts as numbers: `names`, and the text (`row`) and name (`column`) of each feature."""
+
+    def __init__(self, texts: pa.ListArray):
+        coded = texts.flatten().dictionary_encode()
+        self.names, self.column = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        self.ends = np.append(0, np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False)))
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.ends))
+
+    def changes(self) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+        """For each counterpart its text and the features that come (1) and go (-1). Texts without a mention aren't looked at."""
+        terms = set().union(*swaps())
+        mentioned = np.array([name in terms for name in self.names], bool)[self.column] if self.names else np.zeros(0, bool)
+        for at in np.unique(self.row[mentioned]).tolist():
+            own = {self.names[n] for n in self.column[self.ends[at] : self.ends[at + 1]]}
+            for other in counterparts(own):
+                yield at, [(part, sign) for sign, parts in ((1, other - own), (-1, own - other)) for part in sorted(parts)]
+
+
 class Sample:
     """Labelled texts and their counterparts as numbers; the last weight is the bias."""
 
-    def __init__(self, texts: list[set[str]], labels: np.ndarray, names: list[str]):
+    def __init__(self, coded: Coded, labels: np.ndarray, names: list[str], changes: list[tuple[int, list[tuple[str, int]]]]):
         self.labels, self.size = np.asarray(labels, float), len(names)
         place = {name: n for n, name in enumerate(names)}
-        held = [sorted(place[part] for part in found if part in place) for found in texts]
-        self.row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        self.column = np.array([n for h in held for n in h], "i8")
-        self.of, moves = [], []  # the text of each counterpart; counterpart, feature and sign of each change
-        for at, found in enumerate(texts):
-            for other in counterparts(found):
-                number = len(self.of)
-                self.of.append(at)
-                moves += [(number, place[part], sign) for sign, parts in ((1, other - found), (-1, found - other)) for part in sorted(parts) if part in place]
-        self.of = np.array(self.of, "i8")
+        own = np.array([place.get(name, -1) for name in coded.names], "i8")[coded.column] if coded.names else np.zeros(0, "i8")
+        self.row, self.column = coded.row[own >= 0], own[own >= 0]
+        self.of = np.array([at for at, _ in changes], "i8")  # the text of each counterpart
+        moves = [(number, place[part], sign) for number, (_, parts) in enumerate(changes) for part, sign in parts if part in place]
         self.other, self.moved, self.sign = (np.array(x, "i8") for x in (zip(*moves) if moves else ([], [], [])))
 
     def loss(self, weights: np.ndarray, l2: float, swap: float) -> tuple[float, np.ndarray]:
@@ -182,15 +195,12 @@ def fit(texts: pa.ListArray, labels: np.ndarray, least: float = 15.0, l2: float
     start = float(np.log(rate / (1 - rate)))
     if len(set(y)) < 2:
         return Model(start, {})
-    coded = texts.flatten().dictionary_encode()
-    names, column = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(y)), pc.list_value_length(texts).to_numpy(zero_copy_only=False))
-    seen, toxic = np.bincount(column, minlength=len(names)), np.bincount(column, y[row], len(names))
+    coded = Coded(texts)
+    seen, toxic = np.bincount(coded.column, minlength=len(coded.names)), np.bincount(coded.column, y[coded.row], len(coded.names))
     ratio = surprise(toxic, seen.astype(float), int(y.sum()), len(y))
-    found = [set(parts) for parts in texts.to_pylist()]
-    kept = {names[n] for n in np.flatnonzero(ratio >= least)}
-    kept = sorted(kept.union(*(other ^ own for own in found for other in counterparts(own))))
-    sample = Sample(found, y, kept)
+    changes = list(coded.changes())
+    kept = sorted({coded.names[n] for n in np.flatnonzero(ratio >= least)}.union(part for _, parts in changes for part, _ in parts))
+    sample = Sample(coded, y, kept, changes)
     weights, first, second = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     weights[-1] = start
     for step in range(1, rounds + 1):

@@ -47,7 +47,8 @@ def test_slope_against_swapped_sentences():
     """The fit's loss and slope, worked out from the swapped sentences one by one."""
     texts = ["the muslim man is an idiot", "a woman and a manly muslim", "nothing of note", "jew jewish and muslims", "une femme idiot"]
     labels, names = np.array([1, 0, 0, 1, 0.0]), ["man", "muslim", "musli-", "jew", "idiot", "woman", "person", "femme", "pers-", "women", "chri-"]
-    sample = toxicity.Sample([toxicity.features(t) for t in texts], labels, names)
+    coded = toxicity.Coded(columns(texts))
+    sample = toxicity.Sample(coded, labels, names, list(coded.changes()))
     pick = np.random.default_rng(4)
     weights = pick.normal(size=len(names) + 1)
 
