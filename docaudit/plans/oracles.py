@@ -929,6 +929,12 @@ with c as (select conv_id, 't' || text as id, turn, role from conversations),
 u as (select distinct conv_id, id from c),
 o as (select conv_id, id from c where role = 'user' group by all having count(*) > 1)
 select u.conv_id as doc_id, count(o.id) as accepted, count(*) - count(o.id) as pending from u left join o on o.conv_id = u.conv_id and o.id = u.id group by u.conv_id""")
+query("todo_rows", """
+with c as (select conv_id, 't' || text as id, turn, case when role = 'user' then 0 else 1 end as src from conversations where role is not null),
+o as (select conv_id, id from c where src = 0 group by all having count(*) > 1)
+select c.conv_id as doc_id, md5(c.id) as todo, turn as ord, src, case when o.id is null then 'pending' else 'accepted' end as status
+from c left join o on o.conv_id = c.conv_id and o.id = c.id
+qualify row_number() over (partition by c.conv_id, c.id order by src, turn) = 1""")
 ROW = "'    <tr><th>{0}</th><td>' || {1} || '</td></tr>'"
 query("report_html", "with e as (select o_orderkey as id, '&lt;s&amp;' || o_custkey || '&gt;' as s, '&quot;' || o_orderpriority || '&#39;' as b, o_orderstatus as st, case when o_orderstatus = 'F' then 'finalize' else '-' end as step from orders) "
   "select id as analysis_id, md5(array_to_string(['<!doctype html>', '<html lang=\"en\">', '<head>', '  <meta charset=\"utf-8\" />', "

@@ -992,9 +992,8 @@ def patch_text(spark, sf):
     return df.select("analysis_id", "diff_text", files.alias("files"), hunks.alias("hunks"))
 
 
-@query
-def todo_overlay(spark, sf):
-    """Extra todos first, status overrides, counts by status."""
+def _overlaid(spark, sf):
+    """Todos of a conversation: those of users over those of others, with ids accepted that users gave twice."""
     c = read_table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), "text").alias("todo_id"),
         F.col("turn").alias("ord"), F.lit("pending").alias("status"), F.col("role"),
@@ -1002,7 +1001,19 @@ def todo_overlay(spark, sf):
     extra = c.where("role = 'user'").drop("role")
     computed = c.where("role <> 'user'").drop("role")
     over = extra.groupBy("doc_id", "todo_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "todo_id", F.lit("accepted").alias("status"))
-    return vw.todo_counts(vw.overlay_todos(extra, computed, over))
+    return vw.overlay_todos(extra, computed, over)
+
+
+@query
+def todo_overlay(spark, sf):
+    """Extra todos first, status overrides, counts by status."""
+    return vw.todo_counts(_overlaid(spark, sf))
+
+
+@query
+def todo_rows(spark, sf):
+    """Each todo with the source and place it is taken from, and its status."""
+    return _overlaid(spark, sf).select("doc_id", F.md5("todo_id").alias("todo"), "ord", "src", "status")
 
 
 @query
