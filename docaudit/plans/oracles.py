@@ -537,6 +537,7 @@ found as (
   from bib b where not exists (select 1 from cite c where b.doc_id = c.doc_id and b.key = c.key)),
 fo as (select *, row_number() over (partition by doc_id order by k, a, b) as n from found)"""
 query("paragraph_offsets", f"with {LATEX} select doc_id, row_number() over (partition by doc_id order by i) as ord, start, start + len(text) as \"end\", md5(text) as digest from chunk")
+query("block_paragraph_offsets", f"with {LATEX} select doc_id, row_number() over (partition by doc_id order by i) as ord, start, start + len(text) as \"end\", md5(text) as digest from chunk")
 query("latex_sections", f"with {LATEX} select doc_id, {seq('sec', 'ord')} as section_id, title, level, start from seco")
 query("section_asof", f"with {LATEX} select c.doc_id, c.start, case when s.ord is null then '-' else {seq('sec', 's.ord')} end as section_id from chunk c asof left join seco s on c.doc_id = s.doc_id and c.start >= s.start")
 query("latex_paragraphs", f"with {PAPER} select doc_id, para_id, section_id, text from paras")

@@ -17,6 +17,7 @@ from docaudit.operators import diffs as dd
 from docaudit.operators import ensemble as en
 from docaudit.operators import evidence as ev
 from docaudit.operators import ingest as ig
+from docaudit.operators import large as lg
 from docaudit.operators import latex as lx
 from docaudit.operators import layout as ly
 from docaudit.operators import logic as lo
@@ -439,6 +440,14 @@ def paragraph_offsets(spark, sf):
     )
 
 
+@query
+def block_paragraph_offsets(spark, sf):
+    """T4, T5 of texts larger than a row: the same paragraphs from blocks of eight lines."""
+    blocks = lg.line_blocks(src.latex_sources(spark, sf), "doc_id", "source", 8)
+    df = lg.chunk_table(blocks)
+    return df.select("doc_id", "ord", "start", (F.col("start") + F.length("text")).alias("end"), F.md5("text").alias("digest"))
+
+
 @query
 def latex_sections(spark, sf):
     """Sections of LaTeX sources with level and offset."""

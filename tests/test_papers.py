@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 
 from docaudit.operators import archive as ar
@@ -194,3 +195,19 @@ def test_twenty_thousand_paragraphs(spark):
     assert len(row["figures"][0]["mentioned_in"]) == 23 and len(row["figures"]) == 200
     kinds = [f["kind"] for f in row["findings"]]
     assert kinds.count("UNKNOWN_FIGURE_REFERENCE") == 700 and kinds.count("MISSING_BIB_ENTRY") == 699 and kinds.count("UNCITED_BIB_ENTRY") == 1
+
+
+def test_chunks_of_line_blocks_equal_those_of_rows(spark):
+    """A text in 1 000 blocks, blocks that end within and between paragraphs, white space in odd places."""
+    from docaudit.operators import large as lg
+
+    pick = random.Random(6)
+    texts = ["", "\n", "a", "\n\na\n\n\nb\n", "  \n x\n\n \t\n\ny  ", "a\n \nb\n\n\n\n  c"]
+    texts += ["\n".join(pick.choice(["", "", "word", "  two words ", " ", "\tx"]) for _ in range(pick.randrange(40))) for _ in range(40)]
+    texts.append("\n".join(pick.choice(["", "some line of a long text", "and more of it ", "  "]) for _ in range(3000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select("doc_id", F.posexplode(lx.chunk_list(F.col("text"))).alias("pos", "c")).select("doc_id", "pos", "c.start", "c.text")
+    want = sorted((r["doc_id"], r["pos"] + 1, r["start"], r["text"]) for r in rows.collect())
+    for lines in (1, 3):
+        got = lg.chunk_table(lg.line_blocks(df, "doc_id", "text", lines).repartition(5)).collect()
+        assert sorted((r["doc_id"], r["ord"], r["start"], r["text"]) for r in got) == want
