@@ -116,11 +116,16 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "anal
     """Append each batch of changed rows to a table of changes; ``read_latest`` gives the current rows.
 
     A batch writes its own rows only, into its own folder, so that its cost follows the batch and
-    a repeated batch gives the same result. Rows lie in a bounded number of buckets of the key.
+    a repeated batch gives the same result. Rows lie in a bounded number of buckets of the key. Every
+    FOLD_EVERY batches the rows current before the batch are written as a whole, so that readers fold
+    at most that many changes.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        if number and number % FOLD_EVERY == 0:
+            current = read_latest(batch.sparkSession, path, key, number)
+            current.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/whole={number}")
         batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return (
@@ -130,10 +135,28 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "anal
     )
 
 
-def read_latest(spark: SparkSession, path: str, key: str = "analysis_id") -> DataFrame:
-    """Current row of each key from the changes written so far."""
-    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("bucket")
-    return latest_row(changes, [key], ["batch"]).drop("batch")
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of a folder's parts `name=number`, once they are written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
+    done = [p for p in names if p.getName().startswith(f"{name}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def read_latest(spark: SparkSession, path: str, key: str = "analysis_id", before: int | None = None) -> DataFrame:
+    """Current row of each key from the last whole table and the changes written since.
+
+    ``before`` gives the rows as a batch of that number finds them.
+    """
+    there = lambda n: before is None or n < before
+    whole = max(filter(there, _numbers(spark, path, "whole")), default=0)
+    parts = [f"{path}/whole={whole}"] * (whole > 0) + [f"{path}/batch={n}" for n in _numbers(spark, path, "batch") if n >= whole and there(n)]
+    if not parts:  # nothing is marked as written: the changes alone tell it too
+        changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("bucket")
+        return latest_row(changes, [key], ["batch"]).drop("batch")
+    rows = [spark.read.parquet(p).drop("bucket").withColumn("batch", F.lit(n)) for n, p in enumerate(parts)]
+    return latest_row(reduce(DataFrame.unionByName, rows), [key], ["batch"]).drop("batch")
 
 
 def compact_latest(spark: SparkSession, path: str, target: str, key: str = "analysis_id", buckets: int = 64) -> None:

@@ -358,3 +358,19 @@ def test_snapshot_is_read_as_it_lies(spark, tmp_path):
         assert got[40] == (None, -1.0, None) and got[42] == ("new", -1.0, "fresh") and got[57] == ("new", -1.0, "fresh")
     finally:
         spark.sql("drop table snapshot_for_test")
+
+
+def test_readers_fold_a_bounded_number_of_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "FOLD_EVERY", 2)
+    schema = "analysis_id string, seq long, status string, progress double, step string, error string"
+    rows = [(f"a{i % 3}", i, f"S{i}", i / 10, None, None) for i in range(10)] + [("only once", 0, "FIRST", 0.0, "x", None)]
+    df = spark.createDataFrame(rows, schema)
+    for part in range(5):
+        df.where(f"seq div 2 = {part}").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.write_latest(live.latest_status_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["analysis_id"]: r["status"] for r in live.read_latest(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a0": "S9", "a1": "S7", "a2": "S8", "only once": "FIRST"}
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("whole")} == {"whole=2", "whole=4"}
+    read = live.read_latest(spark, str(tmp_path / "out")).inputFiles()
+    assert all("whole=4" in f or "batch=4" in f for f in read)
