@@ -26,6 +26,7 @@ TOP = 1 << 8 * WIDE  # above every key
 SHIFT = 1 << 63
 EVEN = 8  # probes spaced evenly in the interval of a splitter
 KEPT = 256  # keys asked for from the interval of a splitter
+RANGES = 200_000  # in all, as many tasks as the exchange gets at most
 OVERHEAD = 8  # bytes of a row besides its text
 
 
@@ -119,13 +120,13 @@ def _named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
-def shard(df: DataFrame, n_shards: int = 24, text: str = "text", tolerance: float = 0.001, range_bytes: int = 32 << 20) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 24, text: str = "text", tolerance: float = 0.001, range_bytes: int = 8 << 20) -> DataFrame:
     """All rows with size, law, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     Law `bytes`: shards hold near equal sizes, apart by `tolerance` of a shard or else by the row
     that lies on the border. A row's size is the UTF-8 bytes of its text (null: none) plus 8. The
     driver looks for the borders of the shards alone. A shard is dealt to ranges of about
-    `range_bytes`, each put into one task by the exchange; how many rows lie before a range is summed
+    `range_bytes` (more where that gave over RANGES ranges), each put into one task by the exchange; how many rows lie before a range is summed
     up from the narrow table and travels to it as a row of its own. `df` is read twice and must give
     the same rows in the same partitions, as tables do: a row's number is the last part of its key,
     so that rows equal in all columns are divided too. Nulls order as a value of their own. Columns
@@ -140,7 +141,7 @@ def shard(df: DataFrame, n_shards: int = 24, text: str = "text", tolerance: floa
     total = Point(TOP, row["bytes"] or 0, row["rows"])
     found = splitters(sized, [total.bytes * n // n_shards for n in range(1, n_shards)], total, int(total.bytes / n_shards * tolerance))
     bounds = _packed([p.key if p.key < TOP else TOP - 1 for p in found])
-    parts = max(1, -(-total.bytes // (n_shards * range_bytes)))  # ranges of a shard
+    parts = max(1, -(-total.bytes // (n_shards * max(range_bytes, total.bytes // RANGES))))  # ranges of a shard
 
     @F.arrow_udf("int")
     def place(first: pa.Array, second: pa.Array, third: pa.Array) -> pa.Array:
