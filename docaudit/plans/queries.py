@@ -1316,10 +1316,12 @@ def model_paragraphs(spark, sf):
 
 
 def _streamed(spark, rows: DataFrame, parts: int, order: str):
-    """Rows as a stream of a few files, in the order of a column."""
+    """Rows as a stream of files, dealt by a column and read in two batches, however many files there are."""
     folder = so.new_folder(spark, "stream")
     rows.withColumn("part", F.pmod(F.col(order), F.lit(parts))).write.partitionBy("part").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(folder)
+    files = len(spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(2, -(-files // 2)))
+    return stream.option("recursiveFileLookup", "true").parquet(folder)
 
 
 @query

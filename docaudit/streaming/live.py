@@ -116,17 +116,21 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "anal
     """Append each batch of changed rows to a table of changes; ``read_latest`` gives the current rows.
 
     A batch writes its own rows only, into its own folder, so that its cost follows the batch and
-    a repeated batch gives the same result. Rows lie in a bounded number of buckets of the key. Every
+    a repeated batch gives the same result. Rows lie in a bounded number of buckets of the key, each a
+    file a batch: they are dealt by bucket, or every task would open a file for every bucket. Every
     FOLD_EVERY batches the rows current before the batch are written as a whole, so that readers fold
     at most that many changes.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
+    def put(rows: DataFrame, folder: str) -> None:
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        dealt = rows.withColumn("bucket", bucket).repartition(buckets, "bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+    def write(batch: DataFrame, number: int) -> None:
         if number and number % FOLD_EVERY == 0:
-            current = read_latest(batch.sparkSession, path, key, number)
-            current.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/whole={number}")
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+            put(read_latest(batch.sparkSession, path, key, number), f"{path}/whole={number}")
+        put(batch, f"{path}/batch={number}")
 
     return (
         stream.writeStream.outputMode("update")

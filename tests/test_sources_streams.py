@@ -374,3 +374,17 @@ def test_readers_fold_a_bounded_number_of_changes(spark, tmp_path, monkeypatch):
     assert {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("whole")} == {"whole=2", "whole=4"}
     read = live.read_latest(spark, str(tmp_path / "out")).inputFiles()
     assert all("whole=4" in f or "batch=4" in f for f in read)
+
+
+def test_stream_of_many_files_takes_few_batches(spark, tmp_path):
+    """Files grow with the input; batches don't, and each batch has a file a bucket."""
+    from docaudit.plans import queries
+
+    rows = spark.range(0, 400, 1, 12).selectExpr("concat('a', id % 50) as analysis_id", "id as seq", "'READY' as status", "0.5D as progress", "cast(null as string) as step", "cast(null as string) as error")
+    out = tmp_path / "out"
+    stream = live.latest_status_stream(queries._streamed(spark, rows, 4, "seq"))
+    live.write_latest(stream, str(out), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batches = list(out.glob("batch=*"))
+    assert 1 <= len(batches) <= 2
+    assert all(len(list(b.glob("*.parquet"))) == 1 for folder in batches for b in folder.glob("bucket=*"))
+    assert live.read_latest(spark, str(out)).count() == 50
