@@ -34,15 +34,15 @@ def tag_contents(c: Column, tag: str) -> Column:
 def bibliography(c: Column) -> Column:
     """``biblStruct`` entries: key (``xml:id`` or ``bib_n``) and raw text."""
     pattern = f"(?is)<biblStruct{tx.BOUNDARY}([^>]*)>(.*?)</biblStruct>"
-    attrs, bodies = tx.regexp_all(c, pattern, 1), tx.regexp_all(c, pattern, 2)
+    found = F.struct(tx.regexp_all(c, pattern, 1).alias("attrs"), tx.regexp_all(c, pattern, 2).alias("bodies"))
     xml_id = f'(?i){tx.BOUNDARY}xml:id="([^"]+)"'
 
-    def entry(attr: Column, i: Column) -> Column:
+    def entry(attr: Column, body: Column, i: Column) -> Column:
         own = tx.js_trim(F.regexp_extract(attr, xml_id, 1))
         key = F.when(own != "", own).otherwise(F.format_string("bib_%d", i + 1))
-        return F.struct(key.alias("key"), F.nullif(strip_tags(F.get(bodies, i)), F.lit("")).alias("raw"))
+        return F.struct(key.alias("key"), F.nullif(strip_tags(body), F.lit("")).alias("raw"))
 
-    return F.transform(attrs, entry)
+    return tx.let(found, lambda f: F.transform(f["attrs"], lambda attr, i: entry(attr, F.get(f["bodies"], i), i)))
 
 
 def tag_table(pages: DataFrame, key: str, text: str, tag: str) -> DataFrame:

@@ -376,6 +376,16 @@ def test_readers_fold_a_bounded_number_of_changes(spark, tmp_path, monkeypatch):
     assert all("whole=4" in f or "batch=4" in f for f in read)
 
 
+def test_bibliography_of_many_entries_is_matched_once(spark):
+    """The bodies are found once a text, not again for each entry."""
+    text = "".join(f'<biblStruct xml:id="k{i}"><title>Title {i}</title></biblStruct>' for i in range(12_000))
+    df = spark.createDataFrame([(text,)], "t string").select(F.explode(mk.bibliography(F.col("t"))).alias("b")).select("b.*")
+    began = time.monotonic()
+    rows = df.collect()
+    assert time.monotonic() - began < 20
+    assert rows[0] == ("k0", "Title 0") and rows[-1] == ("k11999", "Title 11999") and len(rows) == 12_000
+
+
 def test_stream_of_many_files_takes_few_batches(spark, tmp_path):
     """Files grow with the input; batches don't, and each batch has a file a bucket."""
     from docaudit.plans import queries
