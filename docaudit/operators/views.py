@@ -14,8 +14,8 @@ from docaudit.operators.risks import risk_table
 # ---- claims ------------------------------------------------------------------------------
 
 
-def claim_evidence_view(rows: DataFrame) -> DataFrame:
-    """Every claim of audited rows with its evidence risk, or the defaults of a claim without one."""
+def claim_views() -> Column:
+    """Every claim of an audited row with its evidence risk, or the defaults of a claim without one."""
 
     def entry(a: Column, i: Column, claims: Column) -> Column:
         risk = a["code"].isNotNull()
@@ -27,8 +27,12 @@ def claim_evidence_view(rows: DataFrame) -> DataFrame:
             F.coalesce(reason, F.lit(fx.MSG["no_evidence_risk"])).alias("reason"),
         )
 
-    view = tx.let(F.col("claims"), lambda claims: F.transform("audit", lambda a, i: entry(a, i, claims)))
-    return rows.select("doc_id", F.inline(view))
+    return tx.let(F.col("claims"), lambda claims: F.transform("audit", lambda a, i: entry(a, i, claims)))
+
+
+def claim_evidence_view(rows: DataFrame) -> DataFrame:
+    """The claims of audited rows with their evidence risk, as a table."""
+    return rows.select("doc_id", F.inline(claim_views()))
 
 
 def claim_strength(view: DataFrame) -> DataFrame:
@@ -146,34 +150,24 @@ def todos_from_findings(findings: DataFrame) -> DataFrame:
 
 
 def todos_from_analysis(rows: DataFrame, fallback: int | None = None) -> DataFrame:
-    """One todo per ranked risk; documents without risks get their claims, or the first ``fallback``."""
+    """One todo per ranked risk; documents without risks get their claims, or the first ``fallback``.
+
+    Both are chosen in the row, so that the rows are worked out once.
+    """
     default = F.lit(fx.MSG["todo_risk_default"])
-    a = risk_table(rows).select(
-        "doc_id",
-        F.col("rank").alias("ord"),
-        *_todo(
-            F.format_string("todo_risk_%d", "rank"),
-            F.col("title"),
-            F.coalesce(F.nullif("reason", F.lit("")), default),
-            _impact(F.col("severity")),
-            "evidence",
-        ),
-    )
-    rest = claim_evidence_view(rows.where(F.size("risks") == 0))
-    if fallback is not None:
-        rest = rest.where(F.col("ord") <= fallback)
-    b = rest.select(
-        "doc_id",
-        "ord",
-        *_todo(
-            F.format_string("todo_claim_%d", "ord"),
-            F.format_string("Claim %d の根拠を補強", "ord"),
-            F.col("reason"),
-            _impact(F.col("severity")),
-            "evidence",
-        ),
-    )
-    return a.unionByName(b)
+
+    def of_risk(r: Column) -> Column:
+        text = F.coalesce(F.nullif(r["reason"], F.lit("")), default)
+        todo = _todo(F.format_string("todo_risk_%d", r["rank"]), r["title"], text, _impact(r["severity"]), "evidence")
+        return F.struct(r["rank"].alias("ord"), *todo)
+
+    def of_claim(c: Column) -> Column:
+        title = F.format_string("Claim %d の根拠を補強", c["ord"])
+        return F.struct(c["ord"].alias("ord"), *_todo(F.format_string("todo_claim_%d", c["ord"]), title, c["reason"], _impact(c["severity"]), "evidence"))
+
+    views = claim_views() if fallback is None else F.filter(claim_views(), lambda c: c["ord"] <= fallback)
+    todos = F.when(F.size("risks") == 0, F.transform(views, of_claim)).otherwise(F.transform("risks", of_risk))
+    return rows.select("doc_id", F.inline(todos))
 
 
 def overlay_todos(extra: DataFrame, computed: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -302,3 +302,24 @@ def test_exit_functions_compose():
                 if ms >= opens:
                     opens = ms + window
             assert rl.through(whole, np.array([entry]))[0] == opens
+
+
+def test_todos_are_chosen_in_the_row(spark):
+    """Risks, else claims, without working the rows out for either."""
+    risk = "struct<rank:int,severity:string,title:string,reason:string>"
+    audit = "struct<ord:int,claim_id:string,text:string,best_score:double,avg_score:double,coverage:double,severity:string,code:string,para_ids:array<string>>"
+    claim = "struct<claim_id:string,text:string,para_ids:array<string>>"
+    entry = lambda n: (n, f"claim_{n}", "t", 0.9, 0.9, 0.9, None, None, [])
+    data = [
+        (1, [(1, "HIGH", "T", ""), (2, "LOW", "U", "why")], [entry(1)], [("claim_1", "t", ["p"])]),
+        (2, [], [entry(1), entry(2)], [("claim_1", "t", ["p"]), ("claim_2", "t", ["p"])]),
+        (3, [], [], []),
+        (4, None, [entry(1)], [("claim_1", "t", ["p"])]),
+    ]
+    rows = spark.createDataFrame(data, f"doc_id long, risks array<{risk}>, audit array<{audit}>, claims array<{claim}>")
+    df = vw.todos_from_analysis(rows)
+    assert [(r["doc_id"], r["ord"], r["todo_id"], r["impact"]) for r in df.orderBy("doc_id", "ord").collect()] == [
+        (1, 1, "todo_risk_1", 5), (1, 2, "todo_risk_2", 3), (2, 1, "todo_claim_1", 3), (2, 2, "todo_claim_2", 3),
+    ]
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert vw.todos_from_analysis(rows, 1).where("doc_id = 2").count() == 1
