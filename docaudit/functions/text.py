@@ -48,7 +48,7 @@ def literal_cores(pattern: str) -> list[str] | None:
 
     Only for flat alternations such as ``\\b(a|b c)\\b``: the leading literal of each.
     """
-    body = re.fullmatch(r"(?:\\b)?\((?:\?:)?([^()]*)\)(?:\\b)?", pattern)
+    body = re.fullmatch(r"(?:\\b)?\((?:\?:)?((?:[^()\\]|\\.)*)\)(?:\\b)?", pattern)
     if not body:
         return None
     heads = [re.match(r"(?:[^\\\[.?*+{$^|]|\\[^A-Za-z])*", part)[0] for part in body[1].split("|")]

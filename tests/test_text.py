@@ -57,6 +57,9 @@ def test_prefilter_never_hides_a_match():
     assert tx.literal_cores(fx.COMPARATOR[0]) == ["than", "versus", "vs", "compared to", "baseline", "prior"]
     assert tx.literal_cores(fx.DOC_DECISION_WORD)[1] == "trade"
     assert tx.literal_cores(fx.QUANTITATIVE) is None
+    assert tx.literal_cores(r"\b(?:print\(|a\.b|should\b)\b") == ["print(", "a.b", "should"]
+    rules = {rid: tx.literal_cores(p) for rid, _, p, _ in fx.DIFF_RISK_RULES}
+    assert rules["debug"] == ["console.log", "print(", "fmt.print", "logger.debug", "system.out.println"]
 
 
 def test_quantity_equals_pattern(value):
