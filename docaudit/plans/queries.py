@@ -480,7 +480,7 @@ def figure_mentions(spark, sf):
 @query
 def figure_mentions_joined(spark, sf):
     """Figure mentions by equi-join of labels and references."""
-    rows = src.latex_rows(spark, sf).select("doc_id", "figures", "paragraphs")
+    rows = _paper_children(spark, sf, "figures", "paragraphs")
     df = lx.attach_mentions(lx.figure_table(rows), st.paragraph_table(rows))
     return df.select("doc_id", "figure_id", joined("mentioned_in").alias("mentioned_in"))
 
@@ -511,15 +511,15 @@ def preflight_todos(spark, sf):
     return rows.select("doc_id", "todo_id", "title", "description", "impact", "effort")
 
 
-def _paper_children(spark, sf):
-    """Child lists of the papers."""
-    return src.latex_rows(spark, sf).select("doc_id", "figures", "refs", "cites", "bib")
+def _paper_children(spark, sf, *names):
+    """Child lists of the papers, worked out once for all that is joined."""
+    return so.stored(src.latex_rows(spark, sf).select("doc_id", *names), "children")
 
 
 @query
 def missing_citations(spark, sf):
     """Cited keys without a bibliography entry (anti-join)."""
-    rows = _paper_children(spark, sf)
+    rows = _paper_children(spark, sf, "cites", "bib")
     df = pf.missing_citations(lx.cite_table(rows), lx.bib_table(rows))
     return df.select("doc_id", "key", joined("para_ids").alias("para_ids"))
 
@@ -527,7 +527,7 @@ def missing_citations(spark, sf):
 @query
 def uncited_bib(spark, sf):
     """Bibliography entries never cited (anti-join)."""
-    rows = _paper_children(spark, sf)
+    rows = _paper_children(spark, sf, "cites", "bib")
     return pf.uncited_entries(lx.cite_table(rows), lx.bib_table(rows)).select("doc_id", "ord", "key")
 
 
@@ -541,7 +541,7 @@ def _refs(rows: DataFrame, field: str, name: str) -> DataFrame:
 @query
 def unknown_figure_refs(spark, sf):
     """References to undefined labels and to numbers beyond the figure count."""
-    rows = _paper_children(spark, sf)
+    rows = _paper_children(spark, sf, "figures", "refs")
     figures = lx.figure_table(rows)
     a = pf.unknown_labels(_refs(rows, "labels", "label"), figures).select("doc_id", F.col("label").alias("ref"), "para_ids")
     b = pf.unknown_numbers(_refs(rows, "numbers", "number"), figures).select("doc_id", F.col("number").alias("ref"), "para_ids")

@@ -211,3 +211,15 @@ def test_chunks_of_line_blocks_equal_those_of_rows(spark):
     for lines in (1, 3):
         got = lg.chunk_table(lg.line_blocks(df, "doc_id", "text", lines).repartition(5)).collect()
         assert sorted((r["doc_id"], r["ord"], r["start"], r["text"]) for r in got) == want
+
+
+def test_paper_joins_work_out_the_papers_once(spark, tmp_path):
+    """The joins read the stored child lists; no paper is taken apart again for their other side."""
+    from docaudit.plans.queries import QUERIES
+
+    rows = [(1, "One line\nwith \\cite{x}", "en", "src1", 10), (2, None, "fr", "src2", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("missing_citations", "uncited_bib", "unknown_figure_refs", "figure_mentions_joined"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.count() > 0
+        assert all("children-" in path for path in df.inputFiles()), name
