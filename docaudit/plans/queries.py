@@ -234,7 +234,7 @@ def claims_with_model(spark, sf):
 
     The answers are made from the rows of each document, some fenced, some broken.
     """
-    mined = _mined(spark, sf)
+    mined = so.stored(_mined(spark, sf), "mined")
     items = F.transform(
         "paragraphs",
         lambda p: F.struct(

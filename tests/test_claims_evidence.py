@@ -508,3 +508,15 @@ def test_prompts_are_sent_once(spark, tmp_path):
     second = {r["doc_id"]: tuple(r)[2:] for r in cd.ask_once(more, noting(False), path).collect()}
     assert second[4] == ("badbad", None, 2) and second[6] == ("newnew", None, 1) and second[1] == ("aa", None, 1)
     assert sorted(open(log).read().split()) == ["a", "b", "bad", "new"]
+
+
+def test_model_claims_are_mined_once(spark, tmp_path):
+    """Answers and rule-based claims come from the same stored rows."""
+    from docaudit.plans.queries import QUERIES
+
+    lines = "\n".join(f"Our method improves accuracy by {n} percent on the benchmark" for n in range(6))
+    rows = [(1, lines, "en", "src1", 10), (2, None, "fr", "src2", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["claims_with_model"](spark, str(tmp_path))
+    assert df.where("doc_id = 1").count() >= 6
+    assert all("mined-" in path for path in df.inputFiles())
