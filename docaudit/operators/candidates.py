@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,15 +138,30 @@ def claim_prompts(segmented: DataFrame) -> DataFrame:
     )
 
 
-def run_model(prompts: DataFrame, transport: Callable[[list[str]], list[str | None]]) -> DataFrame:
+PROMPT_BYTES = 4 << 20  # of prompts that a transport gets at once (or one prompt)
+
+
+def _pieces(prompts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of prompts of bounded bytes together."""
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(prompts), 0).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(prompts):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + PROMPT_BYTES, side="right")) - 1)
+        yield start, end - start
+        start = end
+
+
+def run_model(prompts: DataFrame, transport: Callable[[list[str]], list[str | None]], keep: list[str] | None = None) -> DataFrame:
     """Send prompts through a user function, batch by batch; adds ``raw_json`` and ``model_error``.
 
     ``transport`` maps a list of prompts to raw answers (null for a failed call) and travels
     to the executors with the plan. An exception doesn't end the job: the prompts of the batch are
     sent one by one, and one that fails again has no answer and the exception's text as error. So
-    does a batch that comes back with another number of answers.
+    does a batch that comes back with another number of answers. A batch holds ``PROMPT_BYTES`` at
+    most, however many rows Spark hands over together. ``keep`` names the columns wanted back.
     """
-    schema = T.StructType([*prompts.schema.fields, T.StructField("raw_json", T.StringType()), T.StructField("model_error", T.StringType())])
+    keep = prompts.columns if keep is None else keep
+    schema = T.StructType([*prompts.select(*keep).schema.fields, T.StructField("raw_json", T.StringType()), T.StructField("model_error", T.StringType())])
 
     def ask(some: list[str]) -> list[tuple[str | None, str | None]]:
         try:
@@ -156,13 +174,16 @@ def run_model(prompts: DataFrame, transport: Callable[[list[str]], list[str | No
                 return [(None, f"{type(failed).__name__}: {failed}")]
         return [ask([prompt])[0] for prompt in some]
 
-    def call(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            answers = ask(list(pdf["prompt"])) if len(pdf) else []
-            pdf["raw_json"], pdf["model_error"] = [a for a, _ in answers], [e for _, e in answers]
-            yield pdf
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, size in _pieces(batch.column("prompt")):
+                piece = batch.slice(start, size)
+                told = zip(*ask(piece.column("prompt").to_pylist()))
+                kind = piece.column("prompt").type
+                more = [pa.array(list(values), kind, from_pandas=True) for values in told]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *more], schema.names)
 
-    return prompts.mapInPandas(call, schema)
+    return prompts.mapInArrow(call, schema)
 
 
 ANSWERS = "prompt_hash string, raw_json string, model_error string"
@@ -184,7 +205,7 @@ def ask_once(prompts: DataFrame, transport: Callable[[list[str]], list[str | Non
     if calls:
         known = spark.read.schema(ANSWERS).parquet(f"{path}/call=*").where("raw_json IS NOT NULL")
         wanted = wanted.join(known.select("prompt_hash").distinct(), "prompt_hash", "left_anti")
-    run_model(wanted, transport).drop("prompt").write.mode("overwrite").parquet(f"{path}/call={calls}")
+    run_model(wanted, transport, ["prompt_hash"]).write.mode("overwrite").parquet(f"{path}/call={calls}")
     answers = spark.read.schema(ANSWERS + ", call int").option("basePath", path).parquet(f"{path}/call=*")
     best = answers.groupBy("prompt_hash").agg(F.max_by("raw_json", F.when(F.col("raw_json").isNotNull(), F.col("call"))).alias("raw_json"), F.max_by("model_error", "call").alias("error"), F.count("*").alias("calls"))
     found = hashed.join(best, "prompt_hash", "left").withColumn("model_error", F.when(F.col("raw_json").isNull(), F.col("error")))

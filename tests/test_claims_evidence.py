@@ -488,6 +488,22 @@ def test_failing_calls_end_nothing(spark):
     assert all(r["raw_json"] is None and r["model_error"].startswith("ValueError") for r in warned)
 
 
+def test_prompts_go_in_bounded_batches(spark):
+    """Long prompts in one partition: each call gets a bounded number of bytes, a longer prompt goes alone."""
+    sizes = [100_000] * 120 + [5_000_000, 10, 0]
+    df = spark.createDataFrame([(n, "p" * size) for n, size in enumerate(sizes)] + [(-1, None)], "doc_id long, prompt string").coalesce(1)
+
+    def transport(batch):
+        return [f"{len(batch)} {sum(len(p or '') for p in batch)}" for _ in batch]
+
+    rows = cd.run_model(df, transport, ["doc_id"])
+    assert rows.columns == ["doc_id", "raw_json", "model_error"]
+    got = {r["doc_id"]: [int(n) for n in r["raw_json"].split()] for r in rows.collect()}
+    assert set(got) == {-1, *range(len(sizes))}
+    assert all(held <= cd.PROMPT_BYTES or count == 1 for count, held in got.values())
+    assert got[120] == [1, 5_000_000] and max(count for count, _ in got.values()) > 1
+
+
 def test_prompts_are_sent_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, None)], "doc_id long, prompt string")
     path, log = str(tmp_path / "answers"), str(tmp_path / "log")
