@@ -111,12 +111,12 @@ def is_blank(c: Column) -> Column:
 
 def newlines(c: Column) -> Column:
     """CRLF and lone CR become LF."""
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def spaces(c: Column) -> Column:
     """Runs of blanks and tabs become one blank; ends trimmed."""
-    return js_trim(F.regexp_replace(F.translate(c, "\t", " "), " {2,}", " "))
+    return js_trim(F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" ")), " {2,}", " "))
 
 
 def collapse(c: Column) -> Column:

@@ -102,18 +102,12 @@ def candidate_score(df: DataFrame) -> DataFrame:
     return df.withColumn("score", tx.two_decimals(score))
 
 
-def pick_sources(candidates: DataFrame, local_source: str = "local") -> DataFrame:
-    """Per document: primary source, section and bibliography donors, ranking summary.
-
-    The local source always takes part; other sources only with at least one paragraph.
-    Earlier candidates win ties.
-    """
-    df = candidate_score(candidate_stats(normalise_candidates(candidates)))
-    df = df.where((F.col("source") == local_source) | (F.col("n_paragraphs") > 0))
+def _choices(takes_part: Column) -> list[Column]:
+    """Aggregates over the scored candidates of a document: primary source, donors and ranking, of those that take part."""
     order = -F.col("ord")
 
     def most(name: str) -> Column:
-        some = F.when(F.col(name) > 0, F.struct(F.col(name), order))
+        some = F.when(takes_part & (F.col(name) > 0), F.struct(F.col(name), order))
         return F.max_by("source", some)
 
     line = F.concat(
@@ -121,31 +115,48 @@ def pick_sources(candidates: DataFrame, local_source: str = "local") -> DataFram
         F.format_string(",p=%d,sec=%d,bib=%d", "n_paragraphs", "n_sections", "n_bib"),
     )
     # Candidates per document are the handful of extraction sources.
-    picked = df.groupBy("doc_id").agg(
-        F.max_by("source", F.struct("score", order)).alias("primary"),
+    entry = F.struct((-F.col("score")).alias("neg"), "ord", line.alias("line"))
+    return [
+        F.max_by("source", F.when(takes_part, F.struct("score", order))).alias("primary"),
         most("n_sections").alias("section_donor"),
         most("n_bib").alias("bib_donor"),
-        F.array_sort(
-            F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", line.alias("line")))
-        ).alias("ranked"),
-    )
-    return picked.select(
-        "doc_id",
-        "primary",
+        F.array_sort(F.collect_list(F.when(takes_part, entry))).alias("ranked"),
+    ]
+
+
+def _chosen() -> list[Column]:
+    return [
+        F.col("primary"),
         F.coalesce("section_donor", "primary").alias("section_donor"),
         F.coalesce("bib_donor", "primary").alias("bib_donor"),
         F.array_join(F.col("ranked.line"), " | ").alias("ranking"),
-    )
+    ]
+
+
+def _takes_part(local_source: str) -> Column:
+    return (F.col("source") == local_source) | (F.col("n_paragraphs") > 0)
+
+
+def pick_sources(candidates: DataFrame, local_source: str = "local") -> DataFrame:
+    """Per document: primary source, section and bibliography donors, ranking summary.
+
+    The local source always takes part; other sources only with at least one paragraph.
+    Earlier candidates win ties.
+    """
+    df = candidate_score(candidate_stats(normalise_candidates(candidates))).where(_takes_part(local_source))
+    return df.groupBy("doc_id").agg(*_choices(F.lit(True))).select("doc_id", *_chosen())
 
 
 def pdf_citation_keys(c: Column) -> Column:
     """``num:n`` for bracketed numbers, ``ay:Name,_year`` for author-year citations; distinct."""
-    numbers = F.split(F.array_join(tx.regexp_all(c, NUMERIC_CITE_KEYS, 1), ","), ",")
+    none = F.array().cast("array<string>")
+    held = lambda mark, pattern: F.when(c.contains(mark), tx.regexp_all(c, pattern, 1)).when(c.isNotNull(), none)
+    numbers = F.split(F.array_join(held("[", NUMERIC_CITE_KEYS), ","), ",")
     nums = F.transform(
         F.filter(F.transform(numbers, tx.js_trim), lambda x: x != ""), lambda x: F.concat(F.lit("num:"), x)
     )
     years = F.transform(
-        tx.regexp_all(c, AUTHOR_YEAR_KEY, 1),
+        held("(", AUTHOR_YEAR_KEY),
         lambda x: F.concat(F.lit("ay:"), F.regexp_replace(x, f"{tx.WS}+", "_")),
     )
     return F.array_distinct(F.concat(nums, years))
@@ -153,19 +164,25 @@ def pdf_citation_keys(c: Column) -> Column:
 
 def ensemble_extract(candidates: DataFrame, local_source: str = "local") -> DataFrame:
     """Extract rows built from the primary source and the donors of each document."""
-    clean = normalise_candidates(candidates)
-    choice = pick_sources(candidates, local_source)
-    mine = clean.join(choice, "doc_id")
-    take = lambda name, by: F.max(F.when(F.col("source") == F.col(by), F.col(name)))
-    df = mine.groupBy("doc_id").agg(
-        take("paragraphs", "primary").alias("texts"),
-        take("sections", "section_donor").alias("secs"),
-        take("bib", "bib_donor").alias("bibs"),
-        F.flatten(F.collect_list("warnings")).alias("notes"),
-        F.first("primary").alias("primary"),
-        F.first("section_donor").alias("section_donor"),
-        F.first("bib_donor").alias("bib_donor"),
-        F.first("ranking").alias("ranking"),
+    takes_part = F.coalesce(_takes_part(local_source), F.lit(False))
+    scored = settle(candidate_score(candidate_stats(normalise_candidates(candidates.where(F.col("doc_id").isNotNull())))))
+    own = F.struct("source", "paragraphs", "sections", "bib", "warnings")
+    mine = scored.groupBy("doc_id").agg(*_choices(takes_part), F.collect_list(own).alias("own"), F.count_if(takes_part).alias("parts"))
+    mine = settle(mine.where("parts > 0").select("doc_id", "own", *_chosen()))
+
+    def take(name: str, by: str) -> Column:
+        """Of the candidates of that source."""
+        return tx.let(F.col(by), lambda source: F.array_max(F.transform(F.filter("own", lambda c: c["source"] == source), lambda c: c[name])))
+
+    df = settle(
+        mine.select(
+            "doc_id",
+            take("paragraphs", "primary").alias("texts"),
+            take("sections", "section_donor").alias("secs"),
+            take("bib", "bib_donor").alias("bibs"),
+            F.flatten(F.array_compact(F.transform("own", lambda c: c["warnings"]))).alias("notes"),
+            "primary", "section_donor", "bib_donor", "ranking",
+        )
     )
     paragraphs = F.transform(
         "texts",
