@@ -19,11 +19,16 @@ def is_cjk(char: Column) -> Column:
     return char.between("぀", "ヿ") | char.between("㐀", "鿿")
 
 
-def needs_space(before: Column, after: Column) -> Column:
-    """A blank joins two non-empty texts unless one side is CJK or punctuation binds them."""
-    last, first = F.right(before, F.lit(1)), F.left(after, F.lit(1))
-    bound = is_cjk(last) | is_cjk(first) | last.isin(NO_SPACE_AFTER) | first.isin(NO_SPACE_BEFORE)
-    return (before != "") & (after != "") & ~bound
+def binds_after(text: Column) -> Column:
+    """No blank follows a text that ends so."""
+    last = F.right(text, F.lit(1))
+    return is_cjk(last) | last.isin(NO_SPACE_AFTER)
+
+
+def binds_before(text: Column) -> Column:
+    """No blank precedes a text that begins so."""
+    first = F.left(text, F.lit(1))
+    return is_cjk(first) | first.isin(NO_SPACE_BEFORE)
 
 
 def _line_numbers():
@@ -44,30 +49,32 @@ def _line_numbers():
         out = []
         for y, x, h, eol in zip(ys, xs, hs, eols):
             y, x, h, eol = (np.asarray(v) for v in (y, x, h, eol))
-            group = np.zeros(len(y), dtype=int)
-            anchor, number = None, -1
-            for i, v in enumerate(y.tolist()):
+            group, anchor, number = [], None, -1
+            for v in y.tolist():
                 if anchor is None or abs(anchor - v) > tolerance:
                     anchor, number = v, number + 1
-                group[i] = number
-            member = [0] * len(y)
+                group.append(number)
+            order = np.lexsort((x, np.asarray(group, dtype=int)))
+            member, place_of = [], order.tolist()
             line_y, line_h, line_n = [], [], []
-            for i in np.lexsort((x, group)).tolist():
-                v, tall = float(y[i]), float(h[i])
-                if not line_y or abs(line_y[-1] - v) > tolerance:
+            top = None
+            for i, v, tall, ends in zip(place_of, y[order].tolist(), h[order].tolist(), eol[order].tolist()):
+                if top is None or abs(top - v) > tolerance:
+                    top = v
                     line_y.append(v), line_h.append(tall), line_n.append(1)
-                    member[i] = len(line_y) - 1
+                    member.append(len(line_y) - 1)
                     continue
                 before, n = line_h[-1], line_n[-1]
                 line_h[-1], line_n[-1] = (before * n + tall) / (n + 1), n + 1
-                member[i] = len(line_y) - 1
-                if eol[i]:
-                    line_y.append(v - before), line_h.append(tall), line_n.append(0)
+                member.append(len(line_y) - 1)
+                if ends:
+                    top = v - before
+                    line_y.append(top), line_h.append(tall), line_n.append(0)
             used = [k for k, n in enumerate(line_n) if n]
             place = {k: j for j, k in enumerate(used)}
             out.append(
                 (
-                    [place[m] for m in member],
+                    [m for _, m in sorted(zip(place_of, map(place.get, member)))],
                     [line_y[k] for k in used],
                     [line_h[k] for k in used],
                 )
@@ -95,7 +102,7 @@ def page_text(items: DataFrame) -> DataFrame:
 
     A page holds as many items as fit on paper, so collecting one page is bounded.
     """
-    clean = items.select(
+    clean = items.withColumn("text", tx.spaces(F.col("text"))).where(F.col("text") != "").select(
         "doc_id",
         "page",
         F.struct(
@@ -104,10 +111,12 @@ def page_text(items: DataFrame) -> DataFrame:
             F.col("seq").alias("seq"),
             F.col("y").alias("y"),
             F.greatest(F.lit(1.0), F.col("height")).alias("h"),
-            tx.spaces(F.col("text")).alias("text"),
+            "text",
             F.coalesce("has_eol", F.lit(False)).alias("eol"),
+            binds_after(F.col("text")).alias("tail"),
+            binds_before(F.col("text")).alias("head"),
         ).alias("it"),
-    ).where(F.col("it.text") != "")
+    )
     pages = clean.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("it")).alias("items"))
     placed = _line_numbers()(
         F.col("items.y"), F.col("items.x"), F.col("items.h"), F.col("items.eol")
@@ -117,7 +126,7 @@ def page_text(items: DataFrame) -> DataFrame:
         F.zip_with(
             "items",
             "at.line",
-            lambda it, n: F.struct(n.alias("line"), it["x"].alias("x"), it["seq"].alias("seq"), it["text"].alias("text")),
+            lambda it, n: F.struct(n.alias("line"), it["x"].alias("x"), it["seq"].alias("seq"), it["text"].alias("text"), it["tail"].alias("tail"), it["head"].alias("head")),
         )
     )
     pages = settle(pages.select("doc_id", "page", parts.alias("parts"), "at.y", "at.h"))
@@ -134,8 +143,8 @@ def page_text(items: DataFrame) -> DataFrame:
             glue = (
                 F.when(i == 0, "")
                 .when(prev["line"] != p["line"], F.when(gap(p["line"]), "\n\n").otherwise("\n"))
-                .when(needs_space(prev["text"], p["text"]), " ")
-                .otherwise("")
+                .when(prev["tail"] | p["head"], "")
+                .otherwise(" ")
             )
             return F.concat(glue, p["text"])
 

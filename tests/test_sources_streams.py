@@ -64,6 +64,21 @@ def test_ensemble(spark):
     assert row["warnings"][-2].startswith("extractor_selection primary=alpha") and "beta:score=" in row["warnings"][-1]
 
 
+def test_ensemble_cleans_each_candidate_once(spark):
+    """One pass over the candidates: no join of the cleaned candidates with a choice made from a second cleaning."""
+    schema = "doc_id long, ord int, source string, paragraphs array<string>, sections array<struct<title:string,level:int>>, bib array<struct<key:string,raw:string>>, warnings array<string>"
+    rows = [
+        (1, 1, "local", ["short one"], [], [], None), (1, 2, "a", ["x" * 70 + " [3]"], [], [("k", "")], ["w"]), (1, 3, None, ["y" * 70], [], [], []),
+        (2, 1, "other", [], [("Sec", 1)], [], []), (None, 1, "local", ["text " * 20], [], [], []),
+    ]
+    got = en.ensemble_extract(spark.createDataFrame(rows, schema))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    (row,) = got.collect()
+    assert (row["doc_id"], row["bib"], [p["text"] for p in row["paragraphs"]]) == (1, ["k"], ["x" * 70 + " [3]"])
+    assert row["warnings"][0] == "w" and row["cites"][0]["keys"] == ["num:3"]
+
+
 def test_citation_keys(value):
     got = value(en.pdf_citation_keys, ["x [1,  2] [2] (Lee-Ann et al., 2020a) (lee, 1999) (A, 99)"])
     assert got == [["num:1", "num:2", "ay:Lee-Ann_et_al.,_2020a"]]
@@ -90,6 +105,50 @@ def test_page_layout(spark):
     assert ly.page_text(items(spark, under)).first()["text"] == "a b\nd"
 
 
+def test_words_that_bind(value):
+    """What binds a word to its neighbours is worked out on the word's own row, before pages are gathered."""
+    words = ["a(", "b研", "c", "-", "。x", "):", "ぁ", "é,"]
+    assert value(ly.binds_after, words) == [True, True, False, True, False, False, True, False]
+    assert value(ly.binds_before, words) == [False, False, False, False, False, True, True, False]
+
+
+def test_page_layout_against_plain_python(spark):
+    """Random pages with close lines, ends of lines and repeated places, in the order of lines, then x, then seq."""
+    rng, pages, rows = random.Random(5), {}, []
+    for page in range(60):
+        some = [(n, f"w{n}", float(rng.randint(0, 9)), float(rng.randint(0, 40)) / 2, rng.choice([4.0, 10.0, 0.1]), rng.random() < 0.2) for n in range(rng.randint(1, 25))]
+        pages[page] = some
+        rows += [(1, page, *r) for r in some]
+    schema = "doc_id long, page int, seq int, text string, x double, y double, height double, has_eol boolean"
+    got = {r["page"]: r["text"] for r in ly.page_text(spark.createDataFrame(rows, schema)).collect()}
+    for page, some in pages.items():
+        placed = sorted((-y, x, seq, max(1.0, h), text, eol) for seq, text, x, y, h, eol in some)
+        group, anchor, number = [], None, -1
+        for down, *_ in placed:
+            if anchor is None or abs(anchor + down) > fx.LINE_MERGE_TOLERANCE:
+                anchor, number = -down, number + 1
+            group.append(number)
+        lines = []  # y, mean height, words
+        for i in sorted(range(len(placed)), key=lambda i: (group[i], placed[i][1])):
+            down, x, seq, h, text, eol = placed[i]
+            if not lines or abs(lines[-1][0] + down) > fx.LINE_MERGE_TOLERANCE:
+                lines.append([-down, h, [(x, seq, text)]])
+                continue
+            line = lines[-1]
+            before, n = line[1], len(line[2])
+            line[1] = (before * n + h) / (n + 1)
+            line[2].append((x, seq, text))
+            if eol:
+                lines.append([-down - before, h, []])
+        lines = [line for line in lines if line[2]]
+        want = ""
+        for n, (y, h, words) in enumerate(lines):
+            if n:
+                want += "\n\n" if lines[n - 1][0] - y > max(6.0, max(lines[n - 1][1], h) * 1.25) else "\n"
+            want += " ".join(t for _, _, t in sorted(words))
+        assert got[page] == want
+
+
 def test_sparse(spark):
     got = [spark.range(1).select(en.is_sparse(F.lit(p), F.lit(t))).first()[0] for p, t in ((0, 0), (3, 99), (4, 39), (4, 40))]
     assert got == [True, True, True, False]
