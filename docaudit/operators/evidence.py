@@ -210,6 +210,7 @@ def evidence_risks(claim_audit: DataFrame) -> DataFrame:
 
 PARA_KEY = ["doc_id", "ord", "para_id"]
 HOT_ROWS = 100_000  # paragraphs of a token beyond which they are spread over salts
+FEW_TOKENS = 200_000  # claim tokens that every task can hold; then no paragraph moves to meet them
 UNROLLED = 3  # frequent tokens of a claim that are looked at without a lambda, which is slow
 
 
@@ -268,6 +269,7 @@ def audit_tables(
     places = stored(places.join(tokens.select("token").distinct(), "token", "left_semi"), "places")
     ranked = stored(split_by_rarity(tokens, places.groupBy("token").agg(F.count("*").alias("df")), keys), "ranked")
     hot = ranked.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("salts")).distinct()
+    few = ranked.count() <= FEW_TOKENS
     common = ranked.where("last")
     frequent = places.join(common.select("token").distinct(), "token", "left_semi").groupBy("place").agg(F.collect_list("token").alias("frequent"))
     rest = common.groupBy(*keys).agg(F.collect_list(F.struct("token", "cnt", "sum")).alias("rest"))
@@ -276,11 +278,14 @@ def audit_tables(
     def meet(some: DataFrame, *more: Column) -> DataFrame:
         """Pairs of paragraphs and claims that share a token, with the counts met; a hot token is met in several parts.
 
-        Paragraphs are dealt by place first: where the claims are few, all up to the scores stays within a task.
+        Paragraphs are dealt by place first: where the claims are few, they are sent to every task, no token is
+        dealt in parts, and all up to the scores stays within a task.
         """
+        dealt = places.drop("para_id").repartition("place")
         left = some.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        right = places.drop("para_id").repartition("place").join(hot, "token", "left").withColumn("salt", F.pmod("place", F.coalesce("salts", F.lit(1))).cast("int"))
-        met = right.drop("salts").join(left.drop("salts"), [*by, "token", "salt"]).groupBy(*pair).agg(F.sum("cnt").alias("got"), F.max("n").alias("n"), *more)
+        right = dealt.join(hot, "token", "left").withColumn("salt", F.pmod("place", F.coalesce("salts", F.lit(1))).cast("int"))
+        pairs = dealt.join(F.broadcast(some), [*by, "token"]) if few else right.drop("salts").join(left.drop("salts"), [*by, "token", "salt"])
+        met = pairs.groupBy(*pair).agg(F.sum("cnt").alias("got"), F.max("n").alias("n"), *more)
         return met.join(frequent, "place", "left").join(rest, keys, "left")
 
     def completed(within: Column) -> Column:

@@ -488,6 +488,19 @@ def test_failing_calls_end_nothing(spark):
     assert all(r["raw_json"] is None and r["model_error"].startswith("ValueError") for r in warned)
 
 
+def test_few_claims_meet_hot_tokens_where_they_are(spark, monkeypatch):
+    """With few claim tokens none is dealt in parts; with many, hot ones are. Both give the same rows."""
+    claims = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "beta epsilon 5 ms"), (3, "nothing shared")], "item_id long, text string")
+    rows = [(d, 1, "par_0001", f"alpha beta {'gamma' if d % 2 else 'epsilon'} word{d}") for d in range(20)]
+    paras = spark.createDataFrame(rows, "doc_id long, ord int, para_id string, text string")
+    monkeypatch.setattr(ev, "HOT_ROWS", 3)
+    found = []
+    for few in (0, 1000):
+        monkeypatch.setattr(ev, "FEW_TOKENS", few)
+        found.append(sorted(map(tuple, ev.audit_tables(claims, paras, "item_id").collect())))
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
 def test_prompts_go_in_bounded_batches(spark):
     """Long prompts in one partition: each call gets a bounded number of bytes, a longer prompt goes alone."""
     sizes = [100_000] * 120 + [5_000_000, 10, 0]
