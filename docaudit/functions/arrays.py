@@ -71,10 +71,13 @@ def groups(arr: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def first_of_each(arr: Column, key: Callable[[Column], Column]) -> Column:
-    """First-wins dedupe by a key."""
+    """First-wins dedupe by a key.
+
+    Distinct hashes tell distinct keys; distinct structs would be found by comparing all pairs.
+    """
     return let(
         arr,
-        lambda a: F.when(F.size(F.array_distinct(F.transform(a, key))) == F.size(a), a).otherwise(
+        lambda a: F.when(F.size(F.array_distinct(F.transform(a, lambda x: F.xxhash64(key(x))))) == F.size(a), a).otherwise(
             F.transform(groups(a, key), lambda g: F.get(g["xs"], F.lit(0)))
         ),
     )

@@ -61,30 +61,55 @@ def literal_cores(pattern: str) -> list[str] | None:
     return cores if all(cores) else None
 
 
+# From rare to frequent; a byte search compares a word wherever its first letter occurs.
+_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
+
+
+def rare_tail(word: str) -> str:
+    """The end of a word, of four or more letters, that starts with its rarest letter."""
+    tails = [word[n:] for n in range(max(1, len(word) - 3))]
+    return min(tails, key=lambda t: _RARE_FIRST.find(t[0])) if word.isascii() else word
+
+
+def has_wide(c: Column) -> Column:
+    """Is there a character beyond ASCII?"""
+    return F.octet_length(c) > F.length(c)
+
+
 def _contains_any(lowered: Column, words: list[str]) -> Column:
-    out = lowered.contains(words[0])
-    for w in words[1:]:
-        out = out | lowered.contains(w)
-    return out
+    """Is any word in the text? Words beyond ASCII are looked for only in texts with such characters."""
+
+    def some(sought: list[str]) -> Column:
+        out = lowered.contains(sought[0])
+        for w in sought[1:]:
+            out = out | lowered.contains(w)
+        return out
+
+    narrow, wide = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    if not wide:
+        return some(narrow)
+    beyond = has_wide(lowered) & some(wide)
+    return some(narrow) | beyond if narrow else beyond
 
 
 def matches(c: Column, pattern: str, ignore_case: bool = True) -> Column:
     return matches_any(c, [pattern], ignore_case)
 
 
-def matches_any(c: Column, patterns: list[str], ignore_case: bool = True) -> Column:
+def matches_any(c: Column, patterns: list[str], ignore_case: bool = True, lowered: bool = False) -> Column:
     """Does any pattern occur? One alternation over the text, behind a substring test.
 
-    Byte search for the literals is far cheaper than a regex with boundary assertions at
-    every position, and most texts hold none of them.
+    Byte search for the literals (a rare part of each) is far cheaper than a regex with boundary
+    assertions at every position, and most texts hold none of them. ``lowered`` says that the text
+    is in lower case already.
     """
     regex = "|".join(spark_regex(p) for p in patterns)
     found = c.rlike(("(?i)" if ignore_case else "") + f"(?:{regex})")
     cores = [literal_cores(p) for p in patterns]
     if not all(cores):
         return found
-    words = list(dict.fromkeys(w for ws in cores for w in ws))
-    return let(F.lower(c), lambda low: _contains_any(low, words)) & found
+    words = list(dict.fromkeys(rare_tail(w) for ws in cores for w in ws))
+    return (_contains_any(c, words) if lowered else let(F.lower(c), lambda low: _contains_any(low, words))) & found
 
 
 def first_items(arr: Column | str, limit: int | None) -> Column:
@@ -102,7 +127,13 @@ def left_out(size: Column, limit: int) -> Column:
 
 
 def js_trim(c: Column) -> Column:
-    return F.btrim(c, F.lit(fx.WS_CHARS))
+    """White space taken off both ends.
+
+    Trimming a set of characters walks over the whole text, so texts whose first and last bytes are
+    visible ASCII are left as they are.
+    """
+    visible = lambda t, at: F.substring(t.cast("binary"), at, 1).between(F.lit(b"!"), F.lit(b"~"))
+    return let(c, lambda t: F.when(visible(t, 1) & visible(t, -1), t).otherwise(F.btrim(t, F.lit(fx.WS_CHARS))))
 
 
 def is_blank(c: Column) -> Column:
@@ -111,7 +142,8 @@ def is_blank(c: Column) -> Column:
 
 def newlines(c: Column) -> Column:
     """CRLF and lone CR become LF."""
-    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    plain = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when(c.contains("\r"), plain).otherwise(c)
 
 
 def spaces(c: Column) -> Column:
@@ -122,10 +154,12 @@ def spaces(c: Column) -> Column:
 def collapse(c: Column) -> Column:
     """Any run of white space becomes one blank; ends trimmed.
 
-    Mapping single characters first leaves only real runs to the regex.
+    Mapping single characters first leaves only real runs to the regex. Both are slow, and plain
+    text needs neither.
     """
-    blanks = F.translate(c, fx.WS_CHARS, " " * len(fx.WS_CHARS))
-    return F.btrim(F.regexp_replace(blanks, " {2,}", " "))
+    blanks = lambda t: F.when(t.rlike("[^ -~]"), F.translate(t, fx.WS_CHARS, " " * len(fx.WS_CHARS))).otherwise(t)
+    single = lambda b: F.when(b.contains("  "), F.regexp_replace(b, " {2,}", " ")).otherwise(b)
+    return let(c, lambda t: let(blanks(t), lambda b: F.btrim(single(b))))
 
 
 def extracted_text(c: Column) -> Column:
@@ -168,15 +202,15 @@ def strip_latex_comments(c: Column) -> Column:
 def claim_text(c: Column, max_chars: int | None = None) -> Column:
     """First sentence with visible text.
 
-    Sentences end at ``。 . ! ?``, so a decimal point ends one too.
+    Sentences end at ``。 . ! ?``, so a decimal point ends one too. Only the sentence is collapsed,
+    not all of the text.
     """
 
+    def pick(trimmed: Column) -> Column:
+        first = F.regexp_extract(trimmed, f"^[。.!?{_WS_JAVA}]*([^。.!?]+)", 1)
+        return let(first, lambda f: F.when(f != "", f).otherwise(trimmed))
 
-    def pick(compact: Column) -> Column:
-        first = F.regexp_extract(compact, "^[。.!? ]*([^。.!?]+)", 1)
-        return let(first, lambda f: F.when(f != "", f).otherwise(compact))
-
-    return first_chars(js_trim(let(collapse(c), pick)), max_chars)
+    return first_chars(collapse(let(js_trim(c), pick)), max_chars)
 
 
 def headline(c: Column, max_chars: int | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docaudit import fixed as fx
 from docaudit.functions.plan import settle
 from docaudit.functions import text as tx
+from docaudit.functions.marks import marked, marks
 
 
 def mine_claims(
@@ -38,16 +39,12 @@ def mine_claims(
         lambda c: (c["chars"] >= fx.CLAIM_MIN_CHARS)
         & (F.length(c["text"]) >= fx.CLAIM_MIN_CHARS),
     )
-    df = settle(df)
-    df = df.withColumn(
-        "src", F.transform(long_enough, lambda c: c.withField("like", tx.looks_like_claim(c["text"])))
-    )
-    df = settle(df)
-    likely = F.filter("src", lambda c: c["like"])
-    others = F.filter("src", lambda c: ~c["like"])
-    ranked = F.transform(
-        tx.first_items(F.concat(likely, others), max_claims), lambda c: c.dropFields("like")
-    )
+    df = settle(settle(df).withColumn("src", long_enough))
+    df = settle(df.withColumn("likes", marks(F.transform("src", lambda c: c["text"]), [fx.CLAIM_PATTERNS])))
+    like = lambda i: marked(F.get("likes", i), 0)
+    likely = F.filter("src", lambda c, i: like(i))
+    others = F.filter("src", lambda c, i: ~like(i))
+    ranked = tx.first_items(F.concat(likely, others), max_claims)
     limits = [n for n in (max_claims, max(3, min_claims) if min_claims else None) if n is not None]
     short = F.filter("cand", lambda c: F.length(c["text"]) > 0)
     stand_ins = tx.first_items(short, min(limits) if limits else None)
@@ -64,7 +61,7 @@ def mine_claims(
             F.array(c["para_id"]).alias("para_ids"),
         ),
     )
-    return settle(df.withColumn("claims", claims).drop("cand", "src", "picked"))
+    return settle(df.withColumn("claims", claims).drop("cand", "src", "likes", "picked"))
 
 
 def claim_table(mined: DataFrame) -> DataFrame:

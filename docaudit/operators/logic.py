@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit import fixed as fx
 from docaudit.functions import text as tx
+from docaudit.functions.marks import marked, marks
 from docaudit.functions.plan import settle
 
 LOGIC_RULES = [
@@ -24,11 +25,11 @@ def logic_flags(text: Column) -> Column:
         F.lower(text),
         lambda low: F.struct(
             tx.has_digit(text).alias("number"),
-            tx.matches_any(low, fx.VAGUE).alias("vague"),
-            tx.matches_any(low, fx.ABSOLUTE).alias("absolute"),
-            tx.matches_any(low, fx.COMPARATIVE).alias("comparative"),
-            tx.matches_any(low, fx.COMPARATOR).alias("comparator"),
-            tx.matches_any(low, fx.CONDITION).alias("condition"),
+            tx.matches_any(low, fx.VAGUE, lowered=True).alias("vague"),
+            tx.matches_any(low, fx.ABSOLUTE, lowered=True).alias("absolute"),
+            tx.matches_any(low, fx.COMPARATIVE, lowered=True).alias("comparative"),
+            tx.matches_any(low, fx.COMPARATOR, lowered=True).alias("comparator"),
+            tx.matches_any(low, fx.CONDITION, lowered=True).alias("condition"),
             (F.length(tx.js_trim(text)) < fx.LOGIC_SHORT_CHARS).alias("short"),
         ),
     )
@@ -36,6 +37,11 @@ def logic_flags(text: Column) -> Column:
 
 def logic_of(text: Column) -> Column:
     """Rule names, reason and severity of the rules that a claim breaks; a null severity if none."""
+    return broken_rules(logic_flags(text))
+
+
+def broken_rules(flags: Column) -> Column:
+    """The same from the word predicates."""
 
     def judged(f: Column) -> Column:
         hits = F.array(
@@ -64,7 +70,7 @@ def logic_of(text: Column) -> Column:
 
         return tx.let(hits, told)
 
-    return tx.let(logic_flags(text), judged)
+    return tx.let(flags, judged)
 
 
 def inspect_logic(claims: DataFrame) -> DataFrame:
@@ -75,17 +81,25 @@ def inspect_logic(claims: DataFrame) -> DataFrame:
 
 def logic_rows(rows: DataFrame) -> DataFrame:
     """Add ``logic``: (ord, claim_id, text, rules, reason, severity) of the claims that break a rule."""
+    words = {"number": ["[0-9]"], "vague": fx.VAGUE, "absolute": fx.ABSOLUTE, "comparative": fx.COMPARATIVE, "comparator": fx.COMPARATOR, "condition": fx.CONDITION}
+    found = marks(F.transform("claims", lambda c: c["text"]), list(words.values()), folded=True)
+    rows = settle(rows.withColumn("__marks", found))
+
+    def flags(text: Column, mark: Column) -> Column:
+        short = F.length(tx.js_trim(text)) < fx.LOGIC_SHORT_CHARS
+        return F.struct(*[marked(mark, n).alias(name) for n, name in enumerate(words)], short.alias("short"))
+
     every = F.transform(
         "claims",
         lambda c, i: tx.let(
-            logic_of(c["text"]),
+            broken_rules(flags(c["text"], F.get("__marks", i))),
             lambda l: F.struct(
                 (i + 1).alias("ord"), c["claim_id"].alias("claim_id"), c["text"].alias("text"),
                 l["rules"].alias("rules"), l["reason"].alias("reason"), l["severity"].alias("severity"),
             ),
         ),
     )
-    return settle(rows.withColumn("logic", F.filter(every, lambda l: l["severity"].isNotNull())))
+    return settle(rows.withColumn("logic", F.filter(every, lambda l: l["severity"].isNotNull())).drop("__marks"))
 
 
 def query_of(text: Column, domain: Column | None = None, max_keywords: int | None = None) -> Column:

@@ -20,6 +20,7 @@ from docaudit.functions.plan import settle
 _LINE = "(?md)"  # multi-line, only \n ends a line
 MARKDOWN_HEADING = f"^#{{1,6}}{tx.WS_IN_LINE}+{tx.NOT_WS}.*$"
 LABEL_HEADING = f"^[A-Za-z][A-Za-z0-9 _\\-/]{{2,40}}:{tx.WS_IN_LINE}*$"
+NOT_PROSE = "^(?:[^A-Za-z]|true|false|null|NaN|Inf)"
 NUMBER_HEADING = f"^\\d{{1,2}}(?:\\.\\d{{1,2}})*{tx.WS_IN_LINE}+.+$"
 
 
@@ -74,8 +75,10 @@ def sheet_blocks(docs: DataFrame, max_rows: int | None = None) -> DataFrame:
     With ``max_rows`` the column ``rows_left_out`` counts the lines beyond it.
     """
     norm = tx.js_trim(tx.newlines(F.col("text")))
-    # Only text that starts like JSON reaches Python; the variant parser allows trailing text.
-    maybe = F.when(F.try_parse_json(norm).isNotNull(), norm)
+    # Only text that starts like JSON reaches Python; the variant parser allows trailing text. It fails
+    # by an exception, so prose, which starts with a letter of no JSON word, is not given to it.
+    like_json = lambda t: t.rlike(NOT_PROSE) & F.try_parse_json(t).isNotNull()
+    maybe = tx.let(norm, lambda t: F.when(like_json(t), t))
     df = docs.withColumn("lines", _lines(F.col("text"))).withColumn("pretty", pretty_json(maybe))
     df = settle(df.withColumn("is_json", F.col("pretty").isNotNull()))
     rows = tx.first_items("lines", max_rows)
