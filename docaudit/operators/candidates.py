@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from docaudit import fixed as fx
 from docaudit.functions import arrays as aa
 from docaudit.functions import text as tx
+from docaudit.functions.marks import marked, marks
 from docaudit.functions.plan import settle
+from docaudit.operators.evidence import distinct, in_runs, list_starts, text_tokens
 
 # ---- segments and prompts ----------------------------------------------------------------
 
@@ -448,28 +450,83 @@ def merge_with_fallback(rows: DataFrame, limit: int | None = None) -> DataFrame:
 # ---- quality and refinement ----------------------------------------------------------------------
 
 
-def quality_of(claims: Column, paragraphs: Column) -> Column:
+QUALITY_WORDS = [fx.CLAIM_PATTERNS, ["[0-9]"], [fx.CONDITION_CUE]]
+
+
+def overlap_batch(claims: pa.ListArray, refs: pa.ListArray, ids: pa.ListArray, texts: pa.ListArray) -> pa.ListArray:
+    """Share of each claim's tokens, repeats counted, that the first paragraph of its row with the id in ``refs`` holds."""
+    claim_at, para_at = list_starts(claims), list_starts(ids)
+    rows = lambda at: np.repeat(np.arange(len(claims)), np.diff(at))
+    named = pa.chunked_array([refs.flatten(), ids.flatten()]).combine_chunks().dictionary_encode()
+    codes, kinds = pc.fill_null(named.indices, -1).to_numpy(zero_copy_only=False).astype("i8"), len(named.dictionary) + 1
+    asked, own = rows(claim_at) * kinds + codes[: claim_at[-1]], rows(para_at) * kinds + codes[claim_at[-1] :]
+    own[codes[claim_at[-1] :] < 0] = -1
+    known, place = np.unique(own, return_index=True)
+    at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+    para = np.full(len(asked), -1)
+    if len(known):
+        para = np.where((known[at] == asked) & (codes[: claim_at[-1]] >= 0), place[at], -1)
+    (left, claim_of), (right, para_of) = text_tokens(claims.flatten()), text_tokens(texts.flatten())
+    words = pa.chunked_array([left, right]).combine_chunks().dictionary_encode()
+    tokens, kinds = words.indices.to_numpy(zero_copy_only=False).astype("i8"), max(1, len(words.dictionary))
+    held = distinct(para_of * kinds + tokens[len(left) :])
+    sought = para[claim_of] * kinds + tokens[: len(left)]
+    found = np.searchsorted(held, sought, side="right") > np.searchsorted(held, sought)
+    total = np.bincount(claim_of, minlength=len(asked))
+    share = np.divide(np.bincount(claim_of[found], minlength=len(asked)), total, out=np.zeros(len(asked)), where=total > 0)
+    return pa.ListArray.from_arrays(pa.array(claim_at.astype("i4")), pa.array(share), mask=claims.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _overlaps(claims: pa.Array, refs: pa.Array, ids: pa.Array, texts: pa.Array) -> pa.Array:
+    return in_runs(overlap_batch, [claims, refs, ids, texts])
+
+
+def with_quality(rows: DataFrame, name: str, to: str) -> DataFrame:
+    """Add ``to``: ``quality_of`` the claims in the column ``name``; words and tokens are compared for a batch of rows at once."""
+    part = lambda p: f"{to}_{p}"
+    texts = settle(rows.withColumn(part("texts"), F.transform(name, lambda c: tx.claim_text(c["text"]))))
+    shares = _overlaps(
+        part("texts"), F.transform(name, lambda c: F.get(c["para_ids"], F.lit(0))), F.transform("paragraphs", lambda p: p["para_id"]), F.transform("paragraphs", lambda p: p["text"])
+    )
+    found = settle(texts.withColumns({part("marks"): marks(F.col(part("texts")), QUALITY_WORDS), part("shares"): shares}))
+    ready = (part("texts"), part("marks"), part("shares"))
+    return settle(found.withColumn(to, quality_of(F.col(name), F.col("paragraphs"), *map(F.col, ready))).drop(*ready))
+
+
+def quality_of(
+    claims: Column, paragraphs: Column, texts: Column | None = None, found: Column | None = None, shares: Column | None = None
+) -> Column:
     """Claims (text, para_ids) with ``quality``, ``issues`` and the comparison ``key``.
 
-    The first referenced paragraph is looked up in the row.
+    The first referenced paragraph is looked up in the row. Claim texts, the marks of
+    ``QUALITY_WORDS`` in them and the shares of their tokens in that paragraph may be given as columns.
     """
 
-    def judged(c: Column, ids: Column) -> Column:
+    def judged(c: Column, place: Column, ids: Column) -> Column:
         first = F.get(c["para_ids"], F.lit(0))
         at = F.array_position(ids, first)
         para = F.coalesce(F.when(at > 0, F.get(paragraphs, (at - 1).cast("int"))["text"]), F.lit(""))
-        norm, has_ref = tx.claim_text(c["text"]), F.size(c["para_ids"]) > 0
+        norm, has_ref = tx.claim_text(c["text"]) if texts is None else F.get(texts, place), F.size(c["para_ids"]) > 0
+
+        def words(n: Column) -> list[Column]:
+            if found is None:
+                return [tx.looks_like_claim(n), tx.has_digit(n), tx.matches(n, fx.CONDITION_CUE)]
+            return [marked(F.get(found, place), bit) for bit in range(3)]
 
         def overlap(o: Column) -> Column:
-            shared = F.size(F.filter(o["left"], lambda t: F.array_contains(o["right"], t)))
+            """Share of the left tokens, repeats counted, that the right ones hold."""
+            both = F.array_intersect(o["left"], o["right"])
+            shared = tx.let(both, lambda b: F.size(F.filter(o["left"], lambda t: F.array_contains(b, t))))
             return F.when(F.size(o["left"]) > 0, shared / F.size(o["left"])).otherwise(0.0)
 
         def points(v: Column) -> Column:
+            like, number, condition = words(v["norm"])
             checks = [
                 (F.length(v["norm"]) >= 20, 100, "too_short"),
-                (tx.looks_like_claim(v["norm"]), 100, "not_claim_like"),
-                (tx.has_digit(v["norm"]), 80, "no_number"),
-                (tx.matches(v["norm"], fx.CONDITION_CUE), 70, "no_condition_or_comparator"),
+                (like, 100, "not_claim_like"),
+                (number, 80, "no_number"),
+                (condition, 70, "no_condition_or_comparator"),
                 (has_ref, 60, "no_paragraph_ref"),
             ]
             close = has_ref & (v["overlap"] >= 0.3)
@@ -488,10 +545,13 @@ def quality_of(claims: Column, paragraphs: Column) -> Column:
 
             return tx.let(tests, sums)
 
-        shares = tx.let(F.struct(tx.tokens(norm).alias("left"), tx.tokens(para).alias("right")), overlap)
-        return tx.let(F.struct(norm.alias("norm"), shares.alias("overlap")), points)
+        def share() -> Column:
+            both = F.struct(tx.tokens(norm).alias("left"), tx.tokens(para).alias("right"))
+            return tx.let(both, overlap) if shares is None else F.get(shares, place)
+
+        return tx.let(F.struct(norm.alias("norm"), share().alias("overlap")), points)
 
-    return tx.let(F.transform(paragraphs, lambda p: p["para_id"]), lambda ids: F.transform(claims, lambda c: judged(c, ids)))
+    return tx.let(F.transform(paragraphs, lambda p: p["para_id"]), lambda ids: F.transform(claims, lambda c, i: judged(c, i, ids)))
 
 
 def _weak(c: Column) -> Column:
@@ -506,9 +566,9 @@ def refine_claims(rows: DataFrame, initial: str = "claims", rounds: int = fx.REF
     which leaves a warning. ``claims`` gets the result with quality and issues, ``refine`` the
     iterations, replacements, weak claims left and warnings.
     """
-    judged = rows.withColumn("__now", quality_of(F.col(initial), F.col("paragraphs")))
     same = initial == "claims"
-    df = settle(judged if same else judged.withColumn("__own", quality_of(F.col("claims"), F.col("paragraphs"))))
+    df = with_quality(rows, initial, "__now")
+    df = df if same else with_quality(df, "claims", "__own")
     known = F.col("__now") if same else F.concat("__now", "__own")
     unique = F.filter(aa.first_of_each(known, lambda c: c["key"]), lambda c: c["key"] != "")
     pool = F.transform(

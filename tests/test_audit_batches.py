@@ -10,6 +10,7 @@ from docaudit import fixed as fx
 from docaudit.functions import arrays as aa
 from docaudit.functions import marks as mk
 from docaudit.functions import text as tx
+from docaudit.operators import candidates as cd
 from docaudit.operators import evidence as ev
 from docaudit.operators import logic as lo
 
@@ -55,6 +56,18 @@ def test_logic_rows_equal_the_claim_table(spark):
     assert got == lo.inspect_logic(claims).select(names).orderBy("ord").collect() and len(got) > 100
 
 
+def test_quality_in_batches_equals_the_column_function(spark):
+    rnd, given = random.Random(4), texts(4, 400)
+    ids = ["p1", "p2", "p2", "p3", None]
+    data = [
+        (d, [(rnd.choice(ids), None, rnd.choice([*given, None])) for _ in range(rnd.randrange(5))], [(rnd.choice(given), rnd.choice([[], ["p2"], ["p3", "p1"], ["none"]])) for _ in range(rnd.randrange(5))])
+        for d in range(150)
+    ]
+    df = spark.createDataFrame(data, "doc_id int, paragraphs array<struct<para_id:string,section_id:string,text:string>>, claims array<struct<text:string,para_ids:array<string>>>")
+    plain = df.withColumn("q", cd.quality_of(F.col("claims"), F.col("paragraphs")))
+    assert cd.with_quality(df, "claims", "q").orderBy("doc_id").select("q").collect() == plain.orderBy("doc_id").select("q").collect()
+
+
 def test_runs_of_rows_give_the_same_scores(monkeypatch):
     rnd, given = random.Random(5), texts(5, 60)
     claims, paras = ([[rnd.choice(given) for _ in range(rnd.randrange(4))] for _ in range(40)] + [None] for _ in range(2))
