@@ -43,6 +43,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def either(test: Column, yes: Column, no: Column) -> Column:
+    """``yes`` where the test holds, else ``no``; inside lambdas faster than a ``when`` with one branch."""
+    return F.call_function("if", test, yes, no)
+
+
 def literal_cores(pattern: str) -> list[str] | None:
     """One literal per alternative that any match must contain, or None if there is none.
 
@@ -133,7 +138,7 @@ def js_trim(c: Column) -> Column:
     visible ASCII are left as they are.
     """
     visible = lambda t, at: F.substring(t.cast("binary"), at, 1).between(F.lit(b"!"), F.lit(b"~"))
-    return let(c, lambda t: F.when(visible(t, 1) & visible(t, -1), t).otherwise(F.btrim(t, F.lit(fx.WS_CHARS))))
+    return let(c, lambda t: either(visible(t, 1) & visible(t, -1), t, F.btrim(t, F.lit(fx.WS_CHARS))))
 
 
 def is_blank(c: Column) -> Column:
@@ -157,8 +162,8 @@ def collapse(c: Column) -> Column:
     Mapping single characters first leaves only real runs to the regex. Both are slow, and plain
     text needs neither.
     """
-    blanks = lambda t: F.when(t.rlike("[^ -~]"), F.translate(t, fx.WS_CHARS, " " * len(fx.WS_CHARS))).otherwise(t)
-    single = lambda b: F.when(b.contains("  "), F.regexp_replace(b, " {2,}", " ")).otherwise(b)
+    blanks = lambda t: either(t.rlike("[^ -~]"), F.translate(t, fx.WS_CHARS, " " * len(fx.WS_CHARS)), t)
+    single = lambda b: either(b.contains("  "), F.regexp_replace(b, " {2,}", " "), b)
     return let(c, lambda t: let(blanks(t), lambda b: F.btrim(single(b))))
 
 
@@ -208,7 +213,7 @@ def claim_text(c: Column, max_chars: int | None = None) -> Column:
 
     def pick(trimmed: Column) -> Column:
         first = F.regexp_extract(trimmed, f"^[。.!?{_WS_JAVA}]*([^。.!?]+)", 1)
-        return let(first, lambda f: F.when(f != "", f).otherwise(trimmed))
+        return let(first, lambda f: either(f != "", f, trimmed))
 
     return first_chars(collapse(let(js_trim(c), pick)), max_chars)
 
@@ -296,4 +301,8 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def severity_rank(c: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in fx.SEVERITIES]), c)
+    """Place in the list of severities, 0 if it is another one; null for null."""
+    place = F.lit(0).cast("long")
+    for n, severity in enumerate(fx.SEVERITIES, 1):
+        place = either(c == severity, F.lit(n).cast("long"), place)
+    return either(c.isNull(), F.lit(None).cast("long"), place)

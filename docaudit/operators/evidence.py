@@ -57,7 +57,7 @@ def evidence_reason(code: Column, best: Column, avg: Column, coverage: Column) -
         return F.concat(*[tx.percent(values[p]) if n % 2 else F.lit(p) for n, p in enumerate(pieces)])
 
     names = ("no_evidence", "narrow_evidence", "numbers_unsupported", "thin_evidence")
-    return F.coalesce(*[F.when(code == n, fill(n)) for n in names])
+    return F.coalesce(*[tx.either(code == n, fill(n), F.lit(None)) for n in names])
 
 
 # ---- claims and paragraphs of the same artifact ------------------------------------------

@@ -63,8 +63,8 @@ def broken_rules(flags: Column) -> Column:
                     test = test | other
                 severity = severity.when(test, level)
             return F.struct(
-                F.concat_ws(",", *[F.when(hit(held, i), n) for i, n in enumerate(names)]).alias("rules"),
-                F.concat_ws("; ", *[F.when(hit(held, i), fx.MSG[n]) for i, n in enumerate(names)]).alias("reason"),
+                F.concat_ws(",", *[tx.either(hit(held, i), F.lit(n), F.lit(None)) for i, n in enumerate(names)]).alias("rules"),
+                F.concat_ws("; ", *[tx.either(hit(held, i), F.lit(fx.MSG[n]), F.lit(None)) for i, n in enumerate(names)]).alias("reason"),
                 severity.alias("severity"),
             )
 

@@ -100,3 +100,7 @@ def test_distinct_structs_of_a_long_array_are_not_compared_in_pairs(spark):
     started = time.time()
     assert df.select(F.size(aa.first_of_each(F.col("x"), lambda r: r))).first()[0] == 60_000
     assert time.time() - started < 20
+
+
+def test_severity_rank(value):
+    assert value(tx.severity_rank, ["LOW", "MEDIUM", "HIGH", "high", None]) == [1, 2, 3, 0, None]
