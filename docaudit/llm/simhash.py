@@ -110,7 +110,8 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     a, b, low, high = (F.col(c) for c in ("a", "b", "low", "high"))
     apart = ~(near(a, low) & near(b, low)) & ~(near(a, high) & near(b, high))
     others = (a < b) & ~b.isin(low, high) & ~a.isin(low, high) & chained(a, b) & near(a, b) & apart
-    joined = probes.join(buckets, "key").join(index, (F.col("key") == F.col("place")) & others, "left")
+    # the planner takes an exploded table for as many rows as before, and would broadcast the probes of tables of middling size
+    joined = probes.hint("merge").join(buckets, "key").join(index.hint("merge"), (F.col("key") == F.col("place")) & others, "left")
     ends = [F.when((a != c) & near(a, c), F.struct(F.least(a, c).alias("a"), F.greatest(a, c).alias("b"))) for c in (low, high)]
     ends.append(F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))))
     return joined.select(F.inline(F.array_compact(F.array(*ends)))).distinct()

@@ -59,6 +59,18 @@ def test_dedup_stage(spark, docs):
     assert sorted(got) == sorted(want) and len(got) < len(values)
 
 
+def test_dedup_stage_broadcasts_no_exploded_table(spark, docs, monkeypatch):
+    plans, stored = {}, simhash.stored
+
+    def seen(df, name, rows=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, rows)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    assert 0 < pipeline.dedup_stage(spark, docs, FOLDER).count() < docs.count()
+    assert "SortMergeJoin" in plans["links"] and "Broadcast" not in plans["links"]
+
+
 def test_decontamination_stage(spark, docs):
     leak = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("item_id = 0").first()["text"]
     planted = docs.union(spark.createDataFrame([(9_999_999, f"Before it. {leak} After it.", "en", "s", 1)], docs.schema))
