@@ -86,6 +86,14 @@ def test_dense_groups_give_few_links(spark):
     assert components(links).select("root").distinct().count() == 1
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """The planner doesn't count the rows that an explosion adds: probes and index are merged, however small they look."""
+    found = simhash.links(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_plain_shapes(spark):
     path = [(n, n + 1) for n in range(60)]
     star = [(1000, 1000 + n) for n in range(1, 300)]
